@@ -30,6 +30,9 @@ from calltrail.operators.scan import DEFAULT_CHUNK_SPAN, neighbours, running_sum
 
 SCOPES = ("thread", "class", "manufacturer", "device", "session", "device_id")
 UNKNOWN = "(unknown)"
+# Level key of rows that are neither ENTER nor EXIT: a non-null value no
+# balance can reach, so those rows group apart and never join on null keys.
+_NO_LEVEL = -(1 << 62)
 
 
 def scope_column(scope: str) -> Column:
@@ -78,7 +81,7 @@ def label_calls(df: DataFrame, scope: str = "thread", chunk_span: int = DEFAULT_
     b = running_sum(base, key, "seq", "__d", chunk_span=chunk_span, out="bal", floor_out="__floor")
     v = (F.when(F.col("type") == "ENTER", F.col("bal"))
           .when(F.col("type") == "EXIT", F.col("bal") + 1)
-          .otherwise(F.lit(None).cast("bigint")))
+          .otherwise(F.lit(_NO_LEVEL)))
     b = b.withColumn("__v", v)
     nb = neighbours(b, key + ["__v"], "seq", ["type", "ts", "__dur"], chunk_span=chunk_span)
     t = F.col("type")
