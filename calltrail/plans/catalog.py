@@ -24,7 +24,7 @@ APP = "com.example.app1"
 CURSOR_TS = 1705276800000          # 2024-01-15T00:00:00Z
 DAY_3 = 1704240000000              # 2024-01-03T00:00:00Z
 DAY_25 = 1706140800000             # 2024-01-25T00:00:00Z
-ERASE_USER = "user-7"
+ERASE_USER = "user-8"
 BATCH = 50                         # JS client batch size
 
 
@@ -310,3 +310,100 @@ QUERIES = {
     "grouped_table": q_grouped_table,
     "call_durations": q_call_durations,
 }
+
+
+# --- governance and sources -------------------------------------------------
+
+from calltrail.operators import governance as G  # noqa: E402
+from calltrail.sources import batches as B  # noqa: E402
+from calltrail.sources import logs as LG  # noqa: E402
+
+
+def _textify(df: DataFrame) -> DataFrame:
+    out = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, __import__("pyspark.sql.types", fromlist=["MapType"]).MapType):
+            out.append(F.to_json(f.name).alias(f.name))
+        elif f.dataType.typeName() == "array":
+            out.append(F.array_join(f.name, "\n").alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
+def q_erase_user(spark, sf_dir):
+    """D1 on a DataFrame: rows left after erasing one user."""
+    return G.erase_user(trace(spark, sf_dir), ERASE_USER).select("seq", "user_id")
+
+
+def _with_resent(t: DataFrame) -> DataFrame:
+    # Stand-in input: some batches stored twice (a retried POST gets new ids).
+    resent = t.where(((F.col("seq") / BATCH).cast("bigint") % 7) == 0).withColumn(
+        "seq", F.col("seq") + F.lit(1_000_000_000))
+    return t.unionByName(resent)
+
+
+def q_drop_repeats(spark, sf_dir):
+    """Exact repeats from retried batches: first seq and copy count."""
+    return G.repeats(_with_resent(trace(spark, sf_dir)))
+
+
+def _requests(t: DataFrame) -> DataFrame:
+    src = F.coalesce(F.col("device_id"), R.device_group_label())
+    return (t.withColumns({"batch_id": (F.col("seq") / BATCH).cast("bigint"), "source": src})
+             .groupBy("batch_id", "source")
+             .agg(F.min("ts").alias("ts"), F.min_by("app_id", F.col("seq")).alias("token")))
+
+
+def q_quota_audit(spark, sf_dir):
+    """D3: ingest requests per 60 s bucket per source and per token."""
+    return G.quota_audit(_requests(trace(spark, sf_dir)), "source", "token", "ts")
+
+
+def _batch_texts(t: DataFrame) -> DataFrame:
+    # Stand-in input: each run of 50 events rendered as one JSON array body.
+    a = (t.withColumn("batch_id", (F.col("seq") / BATCH).cast("bigint"))
+          .groupBy("batch_id")
+          .agg(F.array_sort(F.collect_list(F.struct("seq", B.wire_json().alias("j")))).alias("a")))
+    return a.select("batch_id", F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["j"]), ","),
+                                         F.lit("]")).alias("value"))
+
+
+def q_decode_batch(spark, sf_dir):
+    """Decode JSON-array batch bodies (rendered from the view)."""
+    ev, _rej = B.decode_batches(_batch_texts(trace(spark, sf_dir)))
+    return _textify(ev)
+
+
+def _log_lines(t: DataFrame) -> DataFrame:
+    # Stand-in input: a device log with a human line and a JSON line per event.
+    stamp = F.concat(F.date_format(R.epoch_ms_ntz("ts"), "MM-dd HH:mm:ss.SSS"), F.lit("  1234  "),
+                     F.col("thread_id").cast("string"), F.lit(" D "))
+    human = F.concat(stamp, R.log_tag(), F.lit(": "), F.split(R.log_line(), "\n").getItem(0))
+    js = F.concat(stamp, F.lit(R.JSON_LOG_TAG), F.lit(": "), B.wire_json())
+    return t.select(F.explode(F.array(
+        F.struct((F.col("seq") * 2).alias("line_no"), human.alias("value")),
+        F.struct((F.col("seq") * 2 + 1).alias("line_no"), js.alias("value")))).alias("l")
+    ).select("l.line_no", "l.value")
+
+
+def q_decode_log(spark, sf_dir):
+    """S3: decode a device log (rendered from the view)."""
+    cand = LG.logcat_candidates(_log_lines(trace(spark, sf_dir)), "value", "line_no")
+    return _textify(LG.events_of(cand).drop("source"))
+
+
+def q_load_report(spark, sf_dir):
+    """Loaded / skipped counts of that device log."""
+    cand = LG.logcat_candidates(_log_lines(trace(spark, sf_dir)), "value", "line_no")
+    return LG.load_report(cand)
+
+
+QUERIES.update({
+    "erase_user": q_erase_user,
+    "drop_repeats": q_drop_repeats,
+    "quota_audit": q_quota_audit,
+    "decode_batch": q_decode_batch,
+    "decode_log": q_decode_log,
+    "load_report": q_load_report,
+})

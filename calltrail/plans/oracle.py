@@ -12,7 +12,7 @@ APP = "com.example.app1"
 CURSOR_TS = 1705276800000
 DAY_3 = 1704240000000
 DAY_25 = 1706140800000
-ERASE_USER = "user-7"
+ERASE_USER = "user-8"
 
 
 def q(body: str, ctes: str = "") -> str:
@@ -324,3 +324,38 @@ ORACLE["call_durations"] = q("""SELECT class_name, method, CAST(count(*) AS BIGI
   CAST(sum(CASE WHEN exit_seq IS NOT NULL THEN TRY_CAST(nxdur AS BIGINT) END) AS BIGINT) AS total_ms,
   CAST(max(CASE WHEN exit_seq IS NOT NULL THEN TRY_CAST(nxdur AS BIGINT) END) AS BIGINT) AS max_ms
 FROM lab WHERE type = 'ENTER' GROUP BY class_name, method""", labelled("thread"))
+
+# --- governance and sources -------------------------------------------------
+
+STORE_COLS = ["type", "class_name", "method", "file", "line", "thread_id", "thread_name", "ts",
+              "device_manufacturer", "device_model", "tag", "params", "result", "duration_ms", "exception",
+              "message", "try_start_line", "condition_result", "schema_version", "platform", "runtime", "app_id",
+              "app_version", "build_number", "user_id", "device_id", "session_id", "stack", "source_map_id",
+              "proguard_map_id", "is_minified"]
+TEXT_STORE = ", ".join(
+    "array_to_string(from_json(stack, '[\"VARCHAR\"]'), chr(10)) AS stack" if c == "stack" else c
+    for c in STORE_COLS)
+
+ORACLE["erase_user"] = q(f"SELECT seq, user_id FROM trace WHERE user_id IS DISTINCT FROM '{ERASE_USER}'")
+
+ORACLE["drop_repeats"] = q(
+    "SELECT min(seq) AS seq, CAST(count(*) AS BIGINT) AS copies FROM all_rows GROUP BY " + ", ".join(STORE_COLS),
+    """, all_rows AS (SELECT * FROM trace UNION ALL
+  SELECT * REPLACE (seq + 1000000000 AS seq) FROM trace WHERE (seq // 50) % 7 = 0)""")
+
+ORACLE["quota_audit"] = q("""
+SELECT 'source' AS kind, source AS key, CAST(floor(ts / 60000) * 60000 AS BIGINT) AS window_start,
+  CAST(count(*) AS BIGINT) AS requests, 600 AS "limit", count(*) > 600 AS over_limit FROM req GROUP BY 2, 3
+UNION ALL
+SELECT 'token', coalesce(token, 'anon'), CAST(floor(ts / 60000) * 60000 AS BIGINT), CAST(count(*) AS BIGINT), 10000,
+  count(*) > 10000 FROM req GROUP BY 2, 3""", f""",
+req AS (SELECT seq // 50 AS batch_id, coalesce(device_id, {DEVICE_GROUP}) AS source, min(ts) AS ts,
+  arg_min(app_id, seq) AS token FROM trace GROUP BY 1, 2)""")
+
+ORACLE["decode_batch"] = q(f"""SELECT CAST(seq // 50 AS BIGINT) AS batch_id,
+  CAST(row_number() OVER (PARTITION BY seq // 50 ORDER BY seq) - 1 AS INTEGER) AS pos, {TEXT_STORE} FROM trace""")
+
+ORACLE["decode_log"] = q(f"SELECT seq * 2 + 1 AS seq, {TEXT_STORE} FROM trace")
+
+ORACLE["load_report"] = q("""SELECT 'any' AS kind, '' AS source, CAST(count(*) AS BIGINT) AS loaded,
+  CAST(count(*) AS BIGINT) AS skipped FROM trace""")
