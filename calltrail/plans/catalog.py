@@ -407,3 +407,39 @@ QUERIES.update({
     "decode_log": q_decode_log,
     "load_report": q_load_report,
 })
+
+
+# --- streaming ----------------------------------------------------------------
+
+from calltrail.streaming import live as LV  # noqa: E402
+from calltrail.streaming.runner import run_append, run_update, scratch  # noqa: E402
+from calltrail.traceview import stream_trace  # noqa: E402
+
+
+def q_live_stats(spark, sf_dir):
+    """T5: A2 maintained by a stream over the events files (update mode)."""
+    s = stream_trace(spark, sf_dir)
+    return run_update(spark, LV.live_stats(s), "live-stats", ["kind", "key"])
+
+
+def q_live_pairs(spark, sf_dir):
+    """Calls paired as their EXIT arrives (stateful stream)."""
+    s = stream_trace(spark, sf_dir)
+    out = run_append(spark, LV.live_pairs(s, "thread"), "live-pairs")
+    return out.where(F.col("kind") == "pair").select("scope", "class_name", "method", "enter_seq", "exit_seq")
+
+
+def q_live_quota(spark, sf_dir):
+    """Quota windows over a stream of ingest requests (update mode)."""
+    path = scratch(spark, "requests")
+    _requests(trace(spark, sf_dir)).write.parquet(path)
+    req = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    s = LV.live_quota(req, "source", "token")
+    return run_update(spark, s, "live-quota", ["kind", "key", "window_start"])
+
+
+QUERIES.update({
+    "live_stats": q_live_stats,
+    "live_pairs": q_live_pairs,
+    "live_quota": q_live_quota,
+})

@@ -359,3 +359,10 @@ ORACLE["decode_log"] = q(f"SELECT seq * 2 + 1 AS seq, {TEXT_STORE} FROM trace")
 
 ORACLE["load_report"] = q("""SELECT 'any' AS kind, '' AS source, CAST(count(*) AS BIGINT) AS loaded,
   CAST(count(*) AS BIGINT) AS skipped FROM trace""")
+
+# --- streaming (oracle = the batch answer) ----------------------------------
+
+ORACLE["live_stats"] = ORACLE["stats"]
+ORACLE["live_pairs"] = q("""SELECT scope, class_name, method, seq AS enter_seq, exit_seq
+FROM lab WHERE type = 'ENTER' AND exit_seq IS NOT NULL""", labelled("thread"))
+ORACLE["live_quota"] = ORACLE["quota_audit"]

@@ -84,8 +84,20 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def load_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store-shaped events (schema ``calltrail.schema.EVENT``) from ``events``."""
-    path = table_path(sf_dir, "events")
-    src = spark.read.parquet(path)
+    return trace_of(spark, spark.read.parquet(table_path(sf_dir, "events")))
+
+
+def stream_trace(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The same view over a file-source stream of the ``events`` table."""
+    schema = spark.read.parquet(table_path(sf_dir, "events")).schema
+    r = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", str(max_files))
+    return trace_of(spark, r.parquet(sf_dir), view="__calltrail_events_stream")
+
+
+def trace_of(spark: SparkSession, src: DataFrame, view: str = "__calltrail_events_src") -> DataFrame:
+    """Apply the view to an ``events``-shaped frame (batch or streaming)."""
     ts_type = src.schema["ts"].dataType
     if isinstance(ts_type, T.TimestampNTZType):
         ms = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
@@ -93,8 +105,8 @@ def load_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         ms = "unix_millis(ts)"
     else:
         ms = "CAST(ts AS BIGINT)"
-    src.createOrReplaceTempView("__calltrail_events_src")
-    sql = TRACE_SQL.format(K=SPARK_K, MS=ms, SRC="__calltrail_events_src")
+    src.createOrReplaceTempView(view)
+    sql = TRACE_SQL.format(K=SPARK_K, MS=ms, SRC=view)
     df = spark.sql(sql)
     return df.withColumns({
         "params": F.from_json("params", T.MapType(T.StringType(), T.StringType())),
