@@ -443,3 +443,78 @@ QUERIES.update({
     "live_pairs": q_live_pairs,
     "live_quota": q_live_quota,
 })
+
+
+# --- insights ------------------------------------------------------------------
+
+from calltrail.operators import insights as IN  # noqa: E402
+
+RETAIN_FROM = 1705363200000  # 2024-01-16T00:00:00Z
+
+
+def q_issues(spark, sf_dir):
+    """Issues by fingerprint per app."""
+    return IN.issues(trace(spark, sf_dir))
+
+
+def q_alerts(spark, sf_dir):
+    """R2: CATCH counts per app in 5-minute windows sliding by 1 minute."""
+    return IN.alert_windows(trace(spark, sf_dir), threshold=10)
+
+
+def q_latency(spark, sf_dir):
+    """Exact p50 / p95 / p99 of EXIT durations per method."""
+    return IN.latency(trace(spark, sf_dir))
+
+
+def q_sample(spark, sf_dir):
+    """1 % of sessions plus every CATCH."""
+    return IN.sample(trace(spark, sf_dir), 1).select("seq", "type", "session_id")
+
+
+def q_breadcrumbs(spark, sf_dir):
+    """The 100 events before each error in its session."""
+    return IN.breadcrumbs(trace(spark, sf_dir), 100)
+
+
+def q_timeline(spark, sf_dir):
+    """Last 20 events per user."""
+    return IN.timeline(trace(spark, sf_dir), 20).select("user_id", "seq", "type", "rank")
+
+
+def q_retention(spark, sf_dir):
+    """Rows kept by a retention cutoff."""
+    return IN.retained(trace(spark, sf_dir), RETAIN_FROM).select("seq")
+
+
+def _mapping(t: DataFrame) -> DataFrame:
+    # Stand-in input: an uploaded mapping table for the minified frames seen.
+    fr = t.where(F.col("stack").isNotNull()).select(F.col("source_map_id").alias("map_id"),
+                                                     F.explode("stack").alias("frame"))
+    return (fr.where(F.col("frame").startswith("at f")).distinct()
+              .withColumn("original", F.regexp_replace("frame", r"^at f(\d+)", "at handler$1")))
+
+
+def q_demap(spark, sf_dir):
+    """Stacks rewritten through a mapping table."""
+    t = trace(spark, sf_dir)
+    d = IN.demap_stacks(t, _mapping(t))
+    return d.select("seq", F.array_join("stack", "\n").alias("stack"), "mapped")
+
+
+def q_anomalies(spark, sf_dir):
+    """EXIT durations against the previous 20 of the same method."""
+    return IN.latency_anomalies(trace(spark, sf_dir), k=20)
+
+
+QUERIES.update({
+    "issues": q_issues,
+    "alerts": q_alerts,
+    "latency": q_latency,
+    "sample": q_sample,
+    "breadcrumbs": q_breadcrumbs,
+    "timeline": q_timeline,
+    "retention": q_retention,
+    "demap": q_demap,
+    "anomalies": q_anomalies,
+})

@@ -366,3 +366,58 @@ ORACLE["live_stats"] = ORACLE["stats"]
 ORACLE["live_pairs"] = q("""SELECT scope, class_name, method, seq AS enter_seq, exit_seq
 FROM lab WHERE type = 'ENTER' AND exit_seq IS NOT NULL""", labelled("thread"))
 ORACLE["live_quota"] = ORACLE["quota_audit"]
+
+# --- insights ------------------------------------------------------------------
+
+RETAIN_FROM = 1705363200000
+STACK_LIST = "from_json(stack, '[\"VARCHAR\"]')"
+
+ORACLE["issues"] = q(f"""SELECT app_id, fingerprint, min(ts) AS first_seen, max(ts) AS last_seen,
+  CAST(count(*) AS BIGINT) AS events, CAST(count(DISTINCT user_id) AS BIGINT) AS users,
+  arg_min(exception, seq) AS exception
+FROM (SELECT *, sha256(coalesce(exception, '') || chr(10) ||
+  coalesce(array_to_string(list_slice({STACK_LIST}, 1, 5), chr(10)), '')) AS fingerprint
+  FROM trace WHERE type = 'CATCH') GROUP BY app_id, fingerprint""")
+
+ORACLE["alerts"] = q("""SELECT app_id, ws AS window_start, ws + 300000 AS window_end, CAST(count(*) AS BIGINT) AS events,
+  count(*) > 10 AS alert
+FROM (SELECT app_id, (ts // 60000) * 60000 - k * 60000 AS ws FROM trace, range(0, 5) r(k) WHERE type = 'CATCH')
+GROUP BY app_id, ws""")
+
+ORACLE["latency"] = q("""SELECT class_name, method, CAST(count(*) AS BIGINT) AS n,
+  CAST(quantile_cont(duration_ms, 0.5) AS DOUBLE) AS p50, CAST(quantile_cont(duration_ms, 0.95) AS DOUBLE) AS p95,
+  CAST(quantile_cont(duration_ms, 0.99) AS DOUBLE) AS p99
+FROM trace WHERE type = 'EXIT' AND duration_ms IS NOT NULL AND duration_ms <= 100000000000
+GROUP BY class_name, method""")
+
+ORACLE["sample"] = q("""SELECT seq, type, session_id FROM trace
+WHERE (CAST('0x' || substr(md5(coalesce(session_id, CAST(seq AS VARCHAR))), 1, 8) AS BIGINT) % 100) < 1
+  OR type = 'CATCH'""")
+
+ORACLE["breadcrumbs"] = q("""SELECT session_id, seq, CAST(coalesce(len(l), 0) AS INTEGER) AS n_crumbs,
+  coalesce(array_to_string(l, chr(10)), '') AS crumbs
+FROM (SELECT session_id, seq, type, list(type || ' ' || class_name || '.' || method) OVER (
+  PARTITION BY session_id ORDER BY seq ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS l
+  FROM trace WHERE session_id IS NOT NULL) WHERE type = 'CATCH'""")
+
+ORACLE["timeline"] = q("""SELECT user_id, seq, type, rank FROM (SELECT user_id, seq, type,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS INTEGER) AS rank
+  FROM trace WHERE user_id IS NOT NULL) WHERE rank <= 20""")
+
+ORACLE["retention"] = q(f"SELECT seq FROM trace WHERE ts // 86400000 >= {RETAIN_FROM} // 86400000")
+
+ORACLE["demap"] = q(f"""SELECT f.seq, string_agg(coalesce(m.original, f.frame), chr(10) ORDER BY f.pos) AS stack,
+  CAST(count(m.original) AS INTEGER) AS mapped
+FROM fr f LEFT JOIN mp m ON f.map_id = m.map_id AND f.frame = m.frame GROUP BY f.seq""", f""",
+fr AS (SELECT seq, source_map_id AS map_id, unnest({STACK_LIST}) AS frame,
+  generate_subscripts({STACK_LIST}, 1) AS pos FROM trace WHERE stack IS NOT NULL),
+mp AS (SELECT DISTINCT map_id, frame, regexp_replace(frame, '^at f(\\d+)', 'at handler\\1') AS original
+  FROM fr WHERE starts_with(frame, 'at f'))""")
+
+ORACLE["anomalies"] = q("""SELECT class_name, method, seq, duration_ms,
+  CASE WHEN c >= 2 THEN round(m, 2) END AS baseline_mean, CASE WHEN c >= 2 THEN round(sd, 2) END AS baseline_sd,
+  CASE WHEN c >= 2 AND sd > 0 THEN abs((duration_ms - m) / sd) > 3.0 END AS anomaly
+FROM (SELECT class_name, method, seq, duration_ms,
+  count(*) OVER w AS c, avg(duration_ms) OVER w AS m, stddev_samp(duration_ms) OVER w AS sd
+  FROM trace WHERE type = 'EXIT' AND duration_ms IS NOT NULL AND duration_ms <= 100000000000
+  WINDOW w AS (PARTITION BY class_name, method ORDER BY seq ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))""")
