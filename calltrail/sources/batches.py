@@ -57,7 +57,7 @@ def decode_batches(texts: DataFrame, id_col: str = "batch_id", text_col: str = "
     ``events``: store columns + ``batch_id`` + ``pos`` (index in the batch).
     ``rejected``: ``batch_id``, ``reason`` for every batch refused whole.
     """
-    t = F.trim(F.col(text_col))
+    t = F.regexp_replace(F.col(text_col), r"^\s+|\s+$", "")
     shaped = t.startswith("[") & t.endswith("]")
     parsed = texts.select(F.col(id_col).alias("batch_id"),
                           F.when(shaped, F.from_json(F.col(text_col), _ELEMS)).alias("__arr"),

@@ -96,7 +96,7 @@ def read_any(spark: SparkSession, path: str):
     """Per file, trimmed content starting with ``[`` is a session, else a log."""
     texts = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source"), "value")
-    is_session = F.ltrim(F.col("value")).startswith("[")
+    is_session = F.regexp_replace(F.col("value"), r"^\s+", "").startswith("[")
     sess = session_candidates(texts.where(is_session)).withColumn("kind", F.lit("session"))
     lines = (texts.where(~is_session)
                   .select("source", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value")))
@@ -108,7 +108,7 @@ def read_any(spark: SparkSession, path: str):
 def page_candidates(texts: DataFrame, id_col: str = "source", text_col: str = "value") -> DataFrame:
     """A raw array (old servers) or ``{"events": [...], ...}``; other
     shapes yield nothing."""
-    t = F.ltrim(F.col(text_col))
+    t = F.regexp_replace(F.col(text_col), r"^\s+", "")
     arr = (F.when(t.startswith("["), F.from_json(F.col(text_col), _ARR))
             .when(t.startswith("{"), F.from_json(F.col(text_col), _PAGE)["events"]))
     ex = texts.select(F.col(id_col).alias("source"), F.posexplode(F.coalesce(arr, F.array().cast(_ARR)))
