@@ -42,8 +42,8 @@ def ingest_stream(spark: SparkSession, inbox: str, table: str, checkpoint: str,
     micro-batch id, then position, so a replayed micro-batch rewrites the
     same ids; a commit marker per micro-batch makes the replay a no-op.
     """
-    src = (spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", str(max_files))
-                .text(inbox).select(F.col("_metadata.file_path").alias("batch_id"), "value"))
+    src = (spark.readStream.option("maxFilesPerTrigger", str(max_files))
+                .text(inbox, wholetext=True).select(F.col("_metadata.file_path").alias("batch_id"), "value"))
     marks = f"{checkpoint.rstrip('/')}/_loads"
 
     def write(df: DataFrame, epoch: int):
@@ -65,6 +65,8 @@ def logcat_stream(spark: SparkSession, log_dir: str, max_files: int = 100) -> Da
     """T4: rotated device-log files as a stream of events (S3)."""
     lines = (spark.readStream.option("maxFilesPerTrigger", str(max_files)).text(log_dir)
                   .select(F.col("_metadata.file_path").alias("file"), "value"))
+    # Line order is not known in a stream; seq stays null until the store's
+    # append assigns it (load id, then position).
     cand = logcat_candidates(lines.withColumn("line_no", F.lit(None).cast("bigint")),
-                             "value", None, "file")
+                             "value", "line_no", "file")
     return events_of(cand)
