@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from calltrail.functions.render import (component_type, date_text, detail, device_group_label,
                                         extra_map, source_ref, time_text)
-from calltrail.operators.scan import DEFAULT_CHUNK_SPAN, neighbours, running_sum
+from calltrail.operators.scan import DEFAULT_CHUNK_SPAN, fork, neighbours, running_sum
 
 SCOPES = ("thread", "class", "manufacturer", "device", "session", "device_id")
 UNKNOWN = "(unknown)"
@@ -78,6 +78,7 @@ def label_calls(df: DataFrame, scope: str = "thread", chunk_span: int = DEFAULT_
         "__dur": _exit_duration_text() if "params" in df.columns else F.col("duration_ms").cast("string"),
     })
     key = ["scope", "class_name", "method"]
+    base = fork(base)
     b = running_sum(base, key, "seq", "__d", chunk_span=chunk_span, out="bal", floor_out="__floor")
     v = (F.when(F.col("type") == "ENTER", F.col("bal"))
           .when(F.col("type") == "EXIT", F.col("bal") + 1)
@@ -163,9 +164,13 @@ def tree_rows(df: DataFrame, scope: str = "thread", collapsed_scopes=(), collaps
     """
     lab = label_calls(df, scope, chunk_span, keep_all=True)
     kept = lab.where((F.col("type") != "EXIT") | F.col("orphan"))
+    # Group nodes need only the raw events: partial aggregates straight from
+    # the input, so the pairing plan is not re-run for them.
+    src = df.withColumns({"scope": scope_column(scope),
+                          "class_name": F.coalesce(F.col("class_name"), F.lit(""))})
     first = F.min_by(F.struct("ts", "thread_name", "thread_id"), F.col("seq"))
-    scopes = lab.groupBy("scope").agg(F.min("seq").alias("sf"), first.alias("__first"))
-    comps = lab.groupBy("scope", "class_name").agg(F.min("seq").alias("cf"),
+    scopes = src.groupBy("scope").agg(F.min("seq").alias("sf"), first.alias("__first"))
+    comps = src.groupBy("scope", "class_name").agg(F.min("seq").alias("cf"),
                                                    F.min_by("ts", F.col("seq")).alias("start_ts"))
     comps = comps.join(scopes.select("scope", "sf"), "scope")
     top = 0 if scope != "class" else -1

@@ -17,6 +17,43 @@ from pyspark.sql import functions as F
 
 DEFAULT_CHUNK_SPAN = 1 << 20
 
+# How a frame read by two branches of one plan (a fork) is handled:
+#   "AUTO"            keep it (spillable cache) only when Catalyst's size
+#                     estimate says it is large, else recompute each branch
+#   "MEMORY_AND_DISK" always keep it (rebuilt from lineage if an executor dies)
+#   "CHECKPOINT"      reliable copy in spark.checkpoint.dir (cuts lineage)
+#   "NONE"            always recompute
+FORK_STORAGE = "AUTO"
+FORK_MIN_BYTES = 256 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's plan-time size estimate (no job runs)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return None
+
+
+def fork(df: DataFrame) -> DataFrame:
+    """Mark ``df`` as read by several branches (see ``FORK_STORAGE``).
+
+    Recomputing a small fork is cheaper than caching it; a large one would
+    be scanned and shuffled once per branch, so it is kept instead.
+    """
+    mode = FORK_STORAGE.upper()
+    if mode == "AUTO":
+        size = estimated_bytes(df)
+        mode = "MEMORY_AND_DISK" if size is None or size >= FORK_MIN_BYTES else "NONE"
+    if mode == "NONE":
+        return df
+    if mode == "CHECKPOINT":
+        from calltrail.session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    from pyspark import StorageLevel
+    return df.persist(getattr(StorageLevel, mode))
+
 
 def _chunk(order: str, chunk_span: int) -> Column:
     return F.floor(F.col(order) / F.lit(int(chunk_span))).cast("bigint")
@@ -38,7 +75,13 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: str,
     if floor_out:
         local = local.withColumn("__lmin_prev",
                                  F.min("__lrun").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    summ = local.groupBy(*keys, ck).agg(F.sum(value).alias("__tot"), F.min("__lrun").alias("__mn"))
+    if floor_out:
+        # the floor needs each chunk's lowest prefix: summarise the windowed rows
+        local = fork(local)
+        summ = local.groupBy(*keys, ck).agg(F.sum(value).alias("__tot"), F.min("__lrun").alias("__mn"))
+    else:
+        # totals only: partial aggregation straight from the input
+        summ = d.groupBy(*keys, ck).agg(F.sum(value).alias("__tot"))
     ws = Window.partitionBy(*keys).orderBy(ck)
     summ = summ.withColumn("__off", F.coalesce(
         F.sum("__tot").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -69,7 +112,7 @@ def neighbours(df: DataFrame, keys: list[str], order: str, cols: list[str],
     """
     ck = "__chunk"
     allc = [order] + [c for c in cols if c != order]
-    d = df.withColumn(ck, _chunk(order, chunk_span))
+    d = fork(df).withColumn(ck, _chunk(order, chunk_span))
     w = Window.partitionBy(*keys, ck).orderBy(order)
     row = F.struct(*[F.col(c) for c in allc])
     local = d.withColumn("__row", row)
@@ -77,8 +120,10 @@ def neighbours(df: DataFrame, keys: list[str], order: str, cols: list[str],
         local = local.withColumn("__lp", F.lag("__row").over(w))
     if nxt:
         local = local.withColumn("__ln", F.lead("__row").over(w))
-    summ = local.groupBy(*keys, ck).agg(F.min_by("__row", F.col(order)).alias("__first"),
-                                        F.max_by("__row", F.col(order)).alias("__last"))
+    # first / last row per chunk straight from the input (partial aggregation)
+    summ = (d.withColumn("__row", row).groupBy(*keys, ck)
+             .agg(F.min_by("__row", F.col(order)).alias("__first"),
+                  F.max_by("__row", F.col(order)).alias("__last")))
     ws = Window.partitionBy(*keys).orderBy(ck)
     sel = [*keys, ck]
     if prev:
