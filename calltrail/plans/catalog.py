@@ -518,3 +518,62 @@ QUERIES.update({
     "demap": q_demap,
     "anomalies": q_anomalies,
 })
+
+
+# --- store round trip, views, live notices ------------------------------------
+
+from calltrail.sources import store as ST  # noqa: E402
+
+STORE_SINCE = 1704844800000  # 2024-01-10T00:00:00Z
+STORE_UNTIL = 1705449600000  # 2024-01-17T00:00:00Z
+
+
+def q_store_page(spark, sf_dir):
+    """S8 + S9 + F1 + L1: the view appended to a day-partitioned store, read
+    back with schema evolution, queried with day-partition pruning, paged."""
+    table = scratch(spark, "store")
+    ST.append_events(trace(spark, sf_dir), table)
+    ev = ST.read_events(spark, table)
+    f = FL.store_query(ev, since=STORE_SINCE, until=STORE_UNTIL, platform="react-native")
+    return PG.page(f, limit=250).select("seq", "ts", "type", "app_id", "page_pos", "next_cursor",
+                                        F.col("event_date").cast("string").alias("event_date"))
+
+
+def q_sort_view(spark, sf_dir):
+    """L3: flat view sorted by a shown column (seq breaks ties)."""
+    t = trace(spark, sf_dir).select("seq", "class_name", R.detail().alias("detail"))
+    return PG.sort_view(t, "detail")
+
+
+def q_unknown_types(spark, sf_dir):
+    """rows a viewer drops because their type is not one of the four."""
+    return FL.unknown_type_count(trace(spark, sf_dir))
+
+
+def q_live_apps(spark, sf_dir):
+    """T5: A3 maintained by a stream (update mode)."""
+    s = stream_trace(spark, sf_dir)
+    out = run_update(spark, LV.live_apps(s), "live-apps", ["app_id"])
+    return out.select("app_id", "event_count", "last_seen", F.array_join("platforms", ",").alias("platforms"))
+
+
+def q_live_labels(spark, sf_dir):
+    """One notice per new device label / manufacturer (stream)."""
+    s = stream_trace(spark, sf_dir)
+    out = run_append(spark, LV.new_labels(s), "live-labels")
+    return out.select("kind", "value")
+
+
+def q_latency_approx(spark, sf_dir):
+    """R3 with bounded-memory sketches (percentile_approx)."""
+    return IN.latency(trace(spark, sf_dir), exact=False)
+
+
+QUERIES.update({
+    "store_page": q_store_page,
+    "sort_view": q_sort_view,
+    "unknown_types": q_unknown_types,
+    "live_apps": q_live_apps,
+    "live_labels": q_live_labels,
+    "latency_approx": q_latency_approx,
+})

@@ -421,3 +421,24 @@ FROM (SELECT class_name, method, seq, duration_ms,
   count(*) OVER w AS c, avg(duration_ms) OVER w AS m, stddev_samp(duration_ms) OVER w AS sd
   FROM trace WHERE type = 'EXIT' AND duration_ms IS NOT NULL AND duration_ms <= 100000000000
   WINDOW w AS (PARTITION BY class_name, method ORDER BY seq ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))""")
+
+# --- store round trip, views, live notices ------------------------------------
+
+STORE_SINCE = 1704844800000
+STORE_UNTIL = 1705449600000
+
+ORACLE["store_page"] = q(f"""
+SELECT seq, ts, type, app_id, CAST(page_pos AS INTEGER) AS page_pos,
+  CASE WHEN n > 250 THEN max(CASE WHEN page_pos = 250 THEN ts END) OVER () END AS next_cursor,
+  strftime(epoch_ms(ts), '%Y-%m-%d') AS event_date
+FROM r WHERE page_pos <= 250""", f""",
+p AS (SELECT * FROM trace WHERE ts > {STORE_SINCE} AND ts <= {STORE_UNTIL} AND platform = 'react-native'
+      ORDER BY ts, seq LIMIT 251),
+r AS (SELECT *, row_number() OVER (ORDER BY ts, seq) AS page_pos, count(*) OVER () AS n FROM p)""")
+
+ORACLE["sort_view"] = q(f"SELECT seq, class_name, {DETAIL} AS detail FROM trace")
+ORACLE["unknown_types"] = q("""SELECT CAST(count(*) FILTER (WHERE type IS NULL OR type NOT IN
+  ('ENTER', 'EXIT', 'CATCH', 'BRANCH')) AS BIGINT) AS dropped FROM trace""")
+ORACLE["live_apps"] = ORACLE["apps"]
+ORACLE["live_labels"] = q(f"""SELECT DISTINCT 'device' AS kind, {DEVICE_LABEL} AS value FROM trace WHERE ({DEVICE_LABEL}) <> ''
+UNION ALL SELECT DISTINCT 'manufacturer', device_manufacturer FROM trace WHERE coalesce(device_manufacturer, '') <> ''""")
