@@ -174,10 +174,8 @@ def latency_anomalies(df: DataFrame, k: int = 20, z: float = 3.0,
         "class_name", "method", "seq", F.col("duration_ms").cast("double").alias("x"))
     keys = ["class_name", "method"]
     e = e.withColumns({"__one": F.lit(1).cast("bigint"), "__x2": F.col("x") * F.col("x")})
-    a = running_sum(e, keys, "seq", "__one", chunk_span=chunk_span, out="pos")
-    a = running_sum(a, keys, "seq", "x", chunk_span=chunk_span, out="__s1")
-    a = running_sum(a, keys, "seq", "__x2", chunk_span=chunk_span, out="__s2")
-    a = a.withColumns({"__s1": F.col("__s1").cast("double"), "__s2": F.col("__s2").cast("double")})
+    a = running_sum(e, keys, "seq", ["__one", "x", "__x2"], chunk_span=chunk_span,
+                    out=["pos", "__s1", "__s2"])
     back = a.select(*keys, (F.col("pos") + k + 1).alias("pos"), F.col("__s1").alias("__b1"),
                     F.col("__s2").alias("__b2"))
     j = a.join(back, [*keys, "pos"], "left")

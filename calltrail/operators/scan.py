@@ -59,44 +59,52 @@ def _chunk(order: str, chunk_span: int) -> Column:
     return F.floor(F.col(order) / F.lit(int(chunk_span))).cast("bigint")
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value: str,
-                chunk_span: int = DEFAULT_CHUNK_SPAN, out: str = "run",
+def running_sum(df: DataFrame, keys: list[str], order: str, value,
+                chunk_span: int = DEFAULT_CHUNK_SPAN, out="run",
                 floor_out: str | None = None) -> DataFrame:
     """Inclusive running ``sum(value)`` per key in ``order``.
 
-    With ``floor_out`` also ``least(0, min(run) over strictly earlier rows)``
-    (the lowest balance reached before each row, never above 0).
-    ``keys`` must be non-null columns; ``order`` must be unique within a key.
+    ``value`` / ``out`` may be lists to compute several sums in one pass.
+    With ``floor_out`` (single value only) also ``least(0, min(run) over
+    strictly earlier rows)``: the lowest balance reached before each row,
+    never above 0.  ``keys`` must be non-null; ``order`` unique within a key.
     """
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
+    if floor_out and len(values) != 1:
+        raise ValueError("floor_out needs a single value column")
     ck = "__chunk"
     d = df.withColumn(ck, _chunk(order, chunk_span))
     w = Window.partitionBy(*keys, ck).orderBy(order)
-    local = d.withColumn("__lrun", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    frame = w.rowsBetween(Window.unboundedPreceding, 0)
+    local = d.withColumns({f"__lrun{i}": F.sum(v).over(frame) for i, v in enumerate(values)})
+    tots = [F.sum(v).alias(f"__tot{i}") for i, v in enumerate(values)]
     if floor_out:
         local = local.withColumn("__lmin_prev",
-                                 F.min("__lrun").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    if floor_out:
+                                 F.min("__lrun0").over(w.rowsBetween(Window.unboundedPreceding, -1)))
         # the floor needs each chunk's lowest prefix: summarise the windowed rows
         local = fork(local)
-        summ = local.groupBy(*keys, ck).agg(F.sum(value).alias("__tot"), F.min("__lrun").alias("__mn"))
+        summ = local.groupBy(*keys, ck).agg(*tots, F.min("__lrun0").alias("__mn"))
     else:
         # totals only: partial aggregation straight from the input
-        summ = d.groupBy(*keys, ck).agg(F.sum(value).alias("__tot"))
+        summ = d.groupBy(*keys, ck).agg(*tots)
     ws = Window.partitionBy(*keys).orderBy(ck)
-    summ = summ.withColumn("__off", F.coalesce(
-        F.sum("__tot").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    cols = [*keys, ck, "__off"]
+    before = ws.rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumns({f"__off{i}": F.coalesce(F.sum(f"__tot{i}").over(before), F.lit(0))
+                             for i in range(len(values))})
+    cols = [*keys, ck] + [f"__off{i}" for i in range(len(values))]
     if floor_out:
-        summ = summ.withColumn("__pmin", F.min(F.col("__off") + F.col("__mn")).over(
-            ws.rowsBetween(Window.unboundedPreceding, -1)))
+        summ = summ.withColumn("__pmin", F.min(F.col("__off0") + F.col("__mn")).over(before))
         cols.append("__pmin")
     joined = local.join(summ.select(*cols), [*keys, ck], "inner")
-    res = joined.withColumn(out, (F.col("__off") + F.col("__lrun")).cast("bigint"))
-    drop = ["__lrun", "__off", ck]
+    res = joined.withColumns({o: (F.col(f"__off{i}") + F.col(f"__lrun{i}")).cast(
+        "bigint" if dict(df.dtypes)[values[i]] in ("bigint", "int", "smallint", "tinyint") else "double")
+        for i, o in enumerate(outs)})
+    drop = [ck] + [f"__lrun{i}" for i in range(len(values))] + [f"__off{i}" for i in range(len(values))]
     if floor_out:
         res = res.withColumn(floor_out, F.least(
             F.lit(0), F.coalesce(F.col("__pmin"), F.lit(0)),
-            F.coalesce(F.col("__off") + F.col("__lmin_prev"), F.lit(0))).cast("bigint"))
+            F.coalesce(F.col("__off0") + F.col("__lmin_prev"), F.lit(0))).cast("bigint"))
         drop += ["__lmin_prev", "__pmin"]
     return res.drop(*drop)
 
