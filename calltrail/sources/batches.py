@@ -56,34 +56,29 @@ def decode_batches(texts: DataFrame, id_col: str = "batch_id", text_col: str = "
 
     ``events``: store columns + ``batch_id`` + ``pos`` (index in the batch).
     ``rejected``: ``batch_id``, ``reason`` for every batch refused whole.
-    Each element is typed once inside its array; the batch stays one row
-    until every element has passed, so no shuffle is needed.
+
+    A batch stays one row while it is judged (``forall`` over its parsed
+    elements, so no shuffle); accepted batches are exploded and typed with
+    plain, code-generated column expressions.
     """
     t = F.regexp_replace(F.col(text_col), r"^\s+|\s+$", "")
     shaped = t.startswith("[") & t.endswith("]")
-    arr = F.when(shaped, F.from_json(F.col(text_col), _ELEMS))
-
-    def typed(e):
-        fields = []
-        for w, s_, dt, d in FIELDS:
-            c = _typed_field(e, w, dt)
-            if d is not None:
-                c = F.coalesce(c, F.lit(d).cast(dt))
-            fields.append(c.alias(s_))
-        ok = F.when(e.isNull(), F.lit(False)).otherwise(_all_fields_ok(e))
-        return F.struct(*fields, ok.alias("__ok"))
-
     parsed = texts.select(F.col(id_col).alias("batch_id"), shaped.alias("__shaped"),
-                          F.transform(arr, typed).alias("__arr"))
+                          F.when(shaped, F.from_json(F.col(text_col), _ELEMS)).alias("__arr"))
+    all_ok = F.forall("__arr", lambda e: F.when(e.isNull(), F.lit(False)).otherwise(_all_fields_ok(e)))
     judged = parsed.withColumn(
         "reason",
         F.when(~F.col("__shaped"), F.lit("not a JSON array"))
          .when(F.col("__arr").isNull(), F.lit("malformed JSON"))
-         .when(~F.forall("__arr", lambda x: x["__ok"]), F.lit("undecodable event")))
+         .when(~all_ok, F.lit("undecodable event")))
     rejected = judged.where(F.col("reason").isNotNull()).select("batch_id", "reason")
     good = judged.where(F.col("reason").isNull()).select("batch_id", F.posexplode("__arr").alias("pos", "__e"))
     cols = [F.col("batch_id"), F.col("pos").cast("int").alias("pos")]
-    cols += [F.col("__e")[s_].alias(s_) for _, s_, _, _ in FIELDS]
+    for w, s_, dt, d in FIELDS:
+        c = _typed_field(F.col("__e"), w, dt)
+        if d is not None:
+            c = F.coalesce(c, F.lit(d).cast(dt))
+        cols.append(c.alias(s_))
     return good.select(*cols), rejected
 
 
