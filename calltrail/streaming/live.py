@@ -94,21 +94,39 @@ STATE_SCHEMA = "stack string, high_ts long"
 
 
 def _pair_step(key, batches, state, timeout_ms):
-    """Per (scope, class, method): a stack of open ENTERs across micro-batches."""
+    """Per (scope, class, method): a stack of open ENTERs across micro-batches.
+
+    Open ENTERs older than ``timeout_ms`` of event time behind the watermark
+    are emitted as ``open`` and dropped from the stack, so a method that
+    keeps throwing (no EXIT) cannot grow its state without bound; a key idle
+    that long is evicted whole by the event-time timeout.
+    """
     scope, cls, meth = key
+    out = {k: [] for k in ("kind", "enter_seq", "exit_seq", "enter_ts", "exit_ts", "duration_ms")}
+
+    def emit_open(entries):
+        for s_, t_ in entries:
+            for k, v in zip(out, ("open", s_, None, t_, None, None)):
+                out[k].append(v)
+
+    def result():
+        if out["kind"]:
+            res = pd.DataFrame(out)
+            res.insert(0, "method", meth)
+            res.insert(0, "class_name", cls)
+            res.insert(0, "scope", scope)
+            yield res
+
     if state.hasTimedOut:
         stack = json.loads(state.get[0]) if state.exists else []
         state.remove()
-        if stack:
-            yield pd.DataFrame({"scope": scope, "class_name": cls, "method": meth, "kind": "open",
-                                "enter_seq": [s for s, _ in stack], "exit_seq": None,
-                                "enter_ts": [t for _, t in stack], "exit_ts": None, "duration_ms": None})
+        emit_open(stack)
+        yield from result()
         return
     stack, high = ([], None)
     if state.exists:
         stack, high = json.loads(state.get[0]), state.get[1]
     pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
-    out = {k: [] for k in ("kind", "enter_seq", "exit_seq", "enter_ts", "exit_ts", "duration_ms")}
     for typ, seq, ts, dur in zip(pdf["type"], pdf["seq"], pdf["ts"], pdf["duration_ms"]):
         seq, ts = int(seq), int(ts)
         high = ts if high is None else max(high, ts)
@@ -122,14 +140,16 @@ def _pair_step(key, batches, state, timeout_ms):
                 row = ("orphan", None, seq, None, ts, None)
             for k, v in zip(out, row):
                 out[k].append(v)
+    wm = state.getCurrentWatermarkMs()
+    if wm and wm > 0:
+        cutoff = wm - int(timeout_ms)
+        old = [e for e in stack if e[1] < cutoff]
+        if old:
+            emit_open(old)
+            stack = [e for e in stack if e[1] >= cutoff]
     state.update((json.dumps(stack), high))
-    state.setTimeoutTimestamp(int(high) + int(timeout_ms))
-    if out["kind"]:
-        res = pd.DataFrame(out)
-        res.insert(0, "method", meth)
-        res.insert(0, "class_name", cls)
-        res.insert(0, "scope", scope)
-        yield res
+    state.setTimeoutTimestamp(max(int(high) + int(timeout_ms), (wm or 0) + 1))
+    yield from result()
 
 
 def live_pairs(events: DataFrame, scope: str = "thread", watermark: str = "10 minutes",
@@ -137,8 +157,9 @@ def live_pairs(events: DataFrame, scope: str = "thread", watermark: str = "10 mi
     """Pair ENTER/EXIT as they arrive (append mode).
 
     State per (scope, class, method) is the stack of open ENTERs; rows of a
-    micro-batch are applied in seq order.  A key idle for ``timeout_ms`` of
-    event time is evicted and its still-open calls are emitted as ``open``.
+    micro-batch are applied in seq order.  ``timeout_ms`` is the longest call
+    tracked: an ENTER that far behind the watermark is emitted as ``open``
+    and leaves the stack, and a key idle that long is evicted whole.
     """
     def step(key, batches, state):
         return _pair_step(key, batches, state, timeout_ms)

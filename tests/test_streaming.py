@@ -91,10 +91,27 @@ def test_live_pairs_equal_batch_across_microbatches(spark, tmp_path):
     files = sorted(f for f in os.listdir(src) if f.endswith(".parquet"))
     assert len(files) == 4
     s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = run_append(spark, LV.live_pairs(s, "thread", watermark="0 seconds", timeout_ms=10_000), "pairs-test")
+    out = run_append(spark, LV.live_pairs(s, "thread", watermark="0 seconds", timeout_ms=10_000_000), "pairs-test")
     got = out.collect()
     live = {(r["enter_seq"], r["exit_seq"]) for r in got if r["kind"] == "pair"}
     orphans = {r["exit_seq"] for r in got if r["kind"] == "orphan"}
     batch_orphans = {r["seq"] for r in C.orphan_exits(df, "thread").collect()}
     assert live == batch
     assert orphans == batch_orphans
+
+
+def test_live_pairs_evicts_old_open_calls(spark, tmp_path):
+    schema = ("seq long, thread_id long, thread_name string, class_name string, method string, type string, "
+              "ts long, duration_ms long")
+    src = str(tmp_path / "src")
+    first = [(1, 1, "t", "A", "m", "ENTER", 1_000, None), (2, 1, "t", "A", "m", "ENTER", 2_000, None)]
+    later = [(3, 1, "t", "A", "m", "EXIT", 900_000, 5), (4, 1, "t", "B", "n", "ENTER", 2_000_000, None)]
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(src)
+    more = [(5, 1, "t", "A", "m", "ENTER", 2_100_000, None)]
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = run_append(spark, LV.live_pairs(s, "thread", watermark="0 seconds", timeout_ms=60_000), "evict-test")
+    rows = {(r["kind"], r["enter_seq"], r["exit_seq"]) for r in out.collect()}
+    assert ("pair", 2, 3) in rows          # EXIT closes the latest open ENTER
+    assert ("open", 1, None) in rows       # the older one is evicted once far behind the watermark
