@@ -84,7 +84,21 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def load_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store-shaped events (schema ``calltrail.schema.EVENT``) from ``events``."""
-    return trace_of(spark, spark.read.parquet(table_path(sf_dir, "events")))
+    return trace_of(spark, spread(spark, spark.read.parquet(table_path(sf_dir, "events"))))
+
+
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the cluster has task
+    slots (a small file is one row group, hence one task), so per-row work
+    runs in parallel.  A large input already has many splits and is left
+    alone, so at scale this adds nothing.  The split count comes from
+    physical planning only; no job runs."""
+    slots = spark.sparkContext.defaultParallelism
+    try:
+        n = df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
+    except Exception:  # no JVM access (e.g. Spark Connect): leave the scan as is
+        return df
+    return df.repartition(slots) if n < slots else df
 
 
 def stream_trace(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
