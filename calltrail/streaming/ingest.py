@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from calltrail.functions import masking as M
 from calltrail.sources.batches import decode_batches
 from calltrail.sources.logs import events_of, logcat_candidates
-from calltrail.sources.store import append_events
+from calltrail.sources.store import append_events_once
 
 
 def mask_events(df: DataFrame, words=None, key_patterns=None, text_rules=None) -> DataFrame:
@@ -38,9 +38,10 @@ def ingest_stream(spark: SparkSession, inbox: str, table: str, checkpoint: str,
     """Batch files arriving in ``inbox`` -> decoded (S1), masked, appended.
 
     A file is one batch (all-or-nothing); refused batches go to
-    ``<table>_rejected``.  Each micro-batch is one load: ``seq`` =
-    micro-batch id, then position, so a replayed micro-batch rewrites the
-    same ids; a commit marker per micro-batch makes the replay a no-op.
+    ``<table>_rejected/load=<id>``.  Each micro-batch is one load (``seq`` =
+    micro-batch id, then position) committed with ``append_events_once``, so
+    a micro-batch replayed after a failure lands exactly once; a marker per
+    finished micro-batch skips the work on later replays.
     """
     src = (spark.readStream.option("maxFilesPerTrigger", str(max_files))
                 .text(inbox, wholetext=True).select(F.col("_metadata.file_path").alias("batch_id"), "value"))
@@ -51,9 +52,9 @@ def ingest_stream(spark: SparkSession, inbox: str, table: str, checkpoint: str,
         if fs.exists(done):
             return
         events, rejected = decode_batches(df)
-        append_events(mask_events(events.drop("batch_id", "pos"), words, key_patterns, text_rules),
-                      table, load_id=epoch + 1)
-        rejected.write.mode("append").parquet(table.rstrip("/") + "_rejected")
+        rejected.write.mode("overwrite").parquet(f"{table.rstrip('/')}_rejected/load={epoch + 1}")
+        append_events_once(mask_events(events.drop("batch_id", "pos"), words, key_patterns, text_rules),
+                           table, load_id=epoch + 1)
         fs.create(done, True).close()
 
     w = src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -140,3 +140,16 @@ def test_session_export_roundtrip(spark, fx, tmp_path):
     full = str(tmp_path / "full")
     ST.write_session(ev, full)
     assert spark.read.json(full).count() == 2
+
+
+def test_append_once_is_idempotent(spark, fx, tmp_path):
+    table = str(tmp_path / "once")
+    v1, _ = B.read_batches(spark, fx("batch_v1.json"))
+    ev = v1.drop("batch_id", "pos")
+    first = ST.append_events_once(ev, table, load_id=7)
+    again = ST.append_events_once(ev, table, load_id=7)   # replay of the same load
+    assert first > 0 and again == 0
+    back = ST.read_events(spark, table)
+    assert back.count() == 3 and back.select("seq").distinct().count() == 3
+    ST.append_events_once(ev, table, load_id=8)            # a new load is appended
+    assert ST.read_events(spark, table).count() == 6

@@ -27,6 +27,7 @@ def test_ingest_decodes_masks_appends(spark, fx, tmp_path):
     catch = ev.where(F.col("type") == "CATCH").first()
     assert catch["message"] == "token=*** failed"
     assert spark.read.parquet(table + "_rejected").count() == 1
+    assert not os.path.exists(os.path.join(table, "_staging", "load=1"))
     # a second run over the same inbox adds nothing (files already committed)
     IG.ingest_stream(spark, inbox, table, ck, available_now=True).awaitTermination()
     assert ST.read_events(spark, table).count() == 4
