@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,4 +45,4 @@ def run_update(spark: SparkSession, stream: DataFrame, name: str, keys: list[str
     return hist.join(latest, [*keys, "__epoch"], "left_semi").drop("__epoch")
 
 
-__all__ = ["run_append", "run_update", "scratch", "Window"]
+__all__ = ["run_append", "run_update", "scratch"]

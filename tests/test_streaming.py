@@ -1,7 +1,6 @@
 """Streaming: ingest (T1), follow + late rule (T2, T3), device-log follow
 (T4), notices (T6), live pairing (T7) equal to batch pairing."""
 
-import json
 import os
 import random
 import shutil
