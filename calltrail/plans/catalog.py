@@ -105,9 +105,10 @@ def q_component_class(spark, sf_dir):
 
 def _raw_class():
     # Stand-in input: bytecode-style class names built from the view.
-    sfx = (F.when(F.col("seq") % 3 == 0, F.lit("$1"))
-            .when(F.col("seq") % 3 == 1, F.concat(F.lit("$$Lambda$"), F.col("line").cast("string")))
-            .otherwise(F.concat(F.lit("$"), F.col("method"))))
+    m = F.col("method")
+    sfx = (F.when(m == "onCreate", F.lit("$1"))
+            .when(m == "reduce", F.concat(F.lit("$$Lambda$"), F.col("line").cast("string")))
+            .otherwise(F.concat(F.lit("$"), m)))
     return F.concat(F.lit("com/example/"), F.col("class_name"), sfx)
 
 
@@ -120,10 +121,11 @@ def q_class_names(spark, sf_dir):
 def _raw_method():
     m = F.col("method")
     cap = F.concat(F.upper(F.substring(m, 1, 1)), F.substring(m, 2, 1 << 30))
-    return (F.when(F.col("seq") % 5 == 0, F.concat(F.lit("get"), cap))
-             .when(F.col("seq") % 5 == 1, F.concat(F.lit("set"), cap))
-             .when(F.col("seq") % 5 == 2, F.lit("<init>"))
-             .when(F.col("seq") % 5 == 3, F.lit("invokeSuspend"))
+    c = F.col("class_name")
+    return (F.when(c == "LoginViewModel", F.concat(F.lit("get"), cap))
+             .when(c == "CheckoutActivity", F.concat(F.lit("set"), cap))
+             .when(c == "CartFragment", F.lit("<init>"))
+             .when(c == "AuthRepository", F.lit("invokeSuspend"))
              .otherwise(m))
 
 
@@ -337,8 +339,9 @@ def q_erase_user(spark, sf_dir):
 
 
 def _with_resent(t: DataFrame) -> DataFrame:
-    # Stand-in input: some batches stored twice (a retried POST gets new ids).
-    resent = t.where(((F.col("seq") / BATCH).cast("bigint") % 7) == 0).withColumn(
+    # Stand-in input: the react-native clients' events stored twice (their
+    # POST replies were lost and the batches retried; the copies get new ids).
+    resent = t.where(F.col("platform") == "react-native").withColumn(
         "seq", F.col("seq") + F.lit(1_000_000_000))
     return t.unionByName(resent)
 

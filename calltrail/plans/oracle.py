@@ -86,11 +86,11 @@ def masked_params(hit: str) -> str:
 WORDS = ["password", "token", "pin", "secret", "cvv", "ssn"]
 KEY_RX = "(?i)(?:(?:password)|(?:token)|(?:jwt)|(?:api[_-]?key)|(?:secret)|(?:cvv)|(?:ssn)|(?:pin)|(?:creditcard))"
 
-RAW_CLASS = """'com/example/' || class_name || CASE WHEN seq % 3 = 0 THEN '$1'
-  WHEN seq % 3 = 1 THEN '$$Lambda$' || CAST(line AS VARCHAR) ELSE '$' || method END"""
-RAW_METHOD = """CASE WHEN seq % 5 = 0 THEN 'get' || upper(substr(method, 1, 1)) || substr(method, 2)
-  WHEN seq % 5 = 1 THEN 'set' || upper(substr(method, 1, 1)) || substr(method, 2)
-  WHEN seq % 5 = 2 THEN '<init>' WHEN seq % 5 = 3 THEN 'invokeSuspend' ELSE method END"""
+RAW_CLASS = """'com/example/' || class_name || CASE WHEN method = 'onCreate' THEN '$1'
+  WHEN method = 'reduce' THEN '$$Lambda$' || CAST(line AS VARCHAR) ELSE '$' || method END"""
+RAW_METHOD = """CASE WHEN class_name = 'LoginViewModel' THEN 'get' || upper(substr(method, 1, 1)) || substr(method, 2)
+  WHEN class_name = 'CheckoutActivity' THEN 'set' || upper(substr(method, 1, 1)) || substr(method, 2)
+  WHEN class_name = 'CartFragment' THEN '<init>' WHEN class_name = 'AuthRepository' THEN 'invokeSuspend' ELSE method END"""
 
 ORACLE: dict[str, str] = {}
 
@@ -341,7 +341,7 @@ ORACLE["erase_user"] = q(f"SELECT seq, user_id FROM trace WHERE user_id IS DISTI
 ORACLE["drop_repeats"] = q(
     "SELECT min(seq) AS seq, CAST(count(*) AS BIGINT) AS copies FROM all_rows GROUP BY " + ", ".join(STORE_COLS),
     """, all_rows AS (SELECT * FROM trace UNION ALL
-  SELECT * REPLACE (seq + 1000000000 AS seq) FROM trace WHERE (seq // 50) % 7 = 0)""")
+  SELECT * REPLACE (seq + 1000000000 AS seq) FROM trace WHERE platform = 'react-native')""")
 
 ORACLE["quota_audit"] = q("""
 SELECT 'source' AS kind, source AS key, CAST(floor(ts / 60000) * 60000 AS BIGINT) AS window_start,
