@@ -74,15 +74,30 @@ def _long_or_zero(s: Column) -> Column:
     return F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("bigint")).otherwise(F.lit(0)).cast("bigint")
 
 
-def detail(extra: Column | None = None) -> Column:
-    """The per-type detail text built from the ``extra`` map."""
-    extra = extra if extra is not None else extra_map()
+def _extra_value(key: str) -> Column:
+    """``extra[key]`` for one fixed key without building the map: the field
+    when it is set, else a param of the same name (same as ``extra_map``)."""
+    field = {
+        "result": F.col("result"),
+        "durationMs": F.col("duration_ms").cast("string"),
+        "exception": F.col("exception"),
+        "message": F.col("message"),
+        "tryStartLine": F.col("try_start_line").cast("string"),
+        "conditionResult": F.col("condition_result").cast("string"),
+    }[key]
+    return F.coalesce(field, F.col("params").getItem(key))
 
-    def get(k):
-        return extra.getItem(k)
 
+def detail(extra: Column | None = None) -> Column:
+    """The per-type detail text of the ``extra`` map.
+
+    Only ENTER lists the whole map; the other types read single keys, which
+    are taken straight from the columns (no map is built for them).
+    """
+    entries = extra if extra is not None else extra_map()
+    get = _extra_value
     enter = F.array_join(
-        F.transform(F.map_entries(extra), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "  ")
+        F.transform(F.map_entries(entries), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "  ")
     exit_ = F.concat(
         F.coalesce(F.concat(F.lit("result: "), get("result"), F.lit("  ")), F.lit("")),
         F.coalesce(F.concat(F.lit("["), format_duration(_long_or_zero(get("durationMs"))), F.lit("]")),
