@@ -162,7 +162,14 @@ def tree_rows(df: DataFrame, scope: str = "thread", collapsed_scopes=(), collaps
     is the indent.  ``collapsed_scopes`` / ``collapsed_components`` (pairs
     ``(scope, class_name)``) hide the children of those nodes.
     """
-    lab = label_calls(df, scope, chunk_span, keep_all=True)
+    # Pair narrow rows (the columns labels and sort keys need); the grouped
+    # table's display columns are joined back by seq afterwards, so wide
+    # columns (stacks, messages) are not carried through the ordered scans.
+    narrow_cols = ["seq", "type", "class_name", "method", "ts", "thread_id", "thread_name",
+                   "device_manufacturer", "device_model", "tag", "session_id", "device_id", "duration_ms",
+                   "params"]
+    narrow = df.select(*[c for c in narrow_cols if c in df.columns])
+    lab = label_calls(narrow, scope, chunk_span, keep_all=True)
     kept = lab.where((F.col("type") != "EXIT") | F.col("orphan"))
     # Group nodes need only the raw events: partial aggregates straight from
     # the input, so the pairing plan is not re-run for them.
@@ -203,6 +210,9 @@ def tree_rows(df: DataFrame, scope: str = "thread", collapsed_scopes=(), collaps
             F.col("__first.ts").alias("start_ts"), F.lit(-1).cast("bigint").alias("seq"))
         parts.append(scope_rows)
     if table:
+        shown = df.select("seq", "file", "line", "result", "exception", "message", "try_start_line",
+                          "condition_result")
+        events = events.join(shown, "seq", "left")
         extra = extra_map()
         ev_table = {
             "date": date_text("ts", zone), "time": time_text("ts", zone), "type_label": F.col("type"),
