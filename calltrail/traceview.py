@@ -8,6 +8,7 @@ the JSON accessor ``{K}`` and the epoch-millisecond expression ``{MS}`` differ.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,11 +108,14 @@ def stream_trace(spark: SparkSession, sf_dir: str, max_files: int | None = None)
     r = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
-    return trace_of(spark, r.parquet(sf_dir), view="__calltrail_events_stream")
+    return trace_of(spark, r.parquet(sf_dir))
 
 
-def trace_of(spark: SparkSession, src: DataFrame, view: str = "__calltrail_events_src") -> DataFrame:
-    """Apply the view to an ``events``-shaped frame (batch or streaming)."""
+def trace_of(spark: SparkSession, src: DataFrame) -> DataFrame:
+    """Apply the view to an ``events``-shaped frame (batch or streaming).
+
+    The SQL text runs over a temporary view with a name of its own, dropped
+    once the query is analysed, so concurrent callers never share a view."""
     ts_type = src.schema["ts"].dataType
     if isinstance(ts_type, T.TimestampNTZType):
         ms = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
@@ -119,9 +123,13 @@ def trace_of(spark: SparkSession, src: DataFrame, view: str = "__calltrail_event
         ms = "unix_millis(ts)"
     else:
         ms = "CAST(ts AS BIGINT)"
+    view = f"__calltrail_events_{uuid.uuid4().hex}"
     src.createOrReplaceTempView(view)
-    sql = TRACE_SQL.format(K=SPARK_K, MS=ms, SRC=view)
-    df = spark.sql(sql)
+    try:
+        df = spark.sql(TRACE_SQL.format(K=SPARK_K, MS=ms, SRC=view))
+        df.schema  # force analysis while the view exists
+    finally:
+        spark.catalog.dropTempView(view)
     return df.withColumns({
         "params": F.from_json("params", T.MapType(T.StringType(), T.StringType())),
         "stack": F.from_json("stack", T.ArrayType(T.StringType())),
