@@ -199,10 +199,12 @@ def join_stack(frames) -> Column:
     return F.array_join(_c(frames), "\n")
 
 
-# Device-log tags per event type.
-LOG_TAGS = {"ENTER": "TraceFlow ENTER", "EXIT": "TraceFlow EXIT ", "CATCH": "TraceFlow CATCH",
-            "BRANCH": "TraceFlow BRANCH"}
-JSON_LOG_TAG = "TraceFlow JSON"
+# The device-log tag prefix, the tag per event type (EXIT is
+# padded to the others' width) and the tag of machine-readable JSON lines.
+LOG_TAG_PREFIX = "TraceFlow"
+LOG_TAGS = {"ENTER": LOG_TAG_PREFIX + " ENTER", "EXIT": LOG_TAG_PREFIX + " EXIT ",
+            "CATCH": LOG_TAG_PREFIX + " CATCH", "BRANCH": LOG_TAG_PREFIX + " BRANCH"}
+JSON_LOG_TAG = LOG_TAG_PREFIX + " JSON"
 
 
 def log_tag() -> Column:

@@ -6,6 +6,7 @@ trace view is inlined as the CTE ``trace``; params / stack stay JSON text.
 
 from __future__ import annotations
 
+from calltrail.functions.render import LOG_TAGS
 from calltrail.traceview import duck_trace_sql
 
 APP = "com.example.app1"
@@ -144,9 +145,8 @@ LOG_LINE = f"""CASE type
   WHEN 'BRANCH' THEN '[' || class_name || '] ' || method || '  src:' || file || ':' || CAST(line AS VARCHAR) ||
     chr(10) || '  condition -> ' || CASE WHEN coalesce(condition_result, false) THEN 'TRUE -- entered if block'
     ELSE 'FALSE -- entered else block' END END"""
-ORACLE["log_lines"] = q(f"""SELECT seq, CASE type WHEN 'ENTER' THEN 'TraceFlow ENTER' WHEN 'EXIT' THEN 'TraceFlow EXIT '
-  WHEN 'CATCH' THEN 'TraceFlow CATCH' WHEN 'BRANCH' THEN 'TraceFlow BRANCH' END AS log_tag, {LOG_LINE} AS log_line
-FROM trace""")
+LOG_TAG_SQL = "CASE type " + " ".join(f"WHEN '{t}' THEN '{tag}'" for t, tag in LOG_TAGS.items()) + " END"
+ORACLE["log_lines"] = q(f"""SELECT seq, {LOG_TAG_SQL} AS log_tag, {LOG_LINE} AS log_line FROM trace""")
 
 ORACLE["component_class"] = q(f"""SELECT class_name, {COMPONENT} AS component, CAST(count(*) AS BIGINT) AS events
 FROM trace GROUP BY class_name""")

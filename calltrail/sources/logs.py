@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calltrail.functions.render import JSON_LOG_TAG
+from calltrail.functions.render import JSON_LOG_TAG, LOG_TAG_PREFIX
 from calltrail.schema import EVENT_TYPES, FIELDS
 
 _MAP = T.MapType(T.StringType(), T.StringType())
@@ -49,14 +49,14 @@ def logcat_candidates(lines: DataFrame, text_col: str = "value", order_col: str
                       file_col: str | None = None) -> DataFrame:
     """S3 candidates from a frame of log lines.
 
-    Keeps lines containing ``TraceFlow JSON``, decodes from the first ``{``.
-    Also counts every line containing ``TraceFlow`` for the load report.
+    Keeps lines containing the JSON log tag, decodes from the first ``{``.
+    Also counts every line containing the tag prefix for the load report.
     """
     v = F.col(text_col)
     seq = F.col(order_col) if order_col else F.monotonically_increasing_id()
     src = F.col(file_col) if file_col else F.lit("")
     base = lines.select(src.alias("source"), seq.cast("bigint").alias("seq"), v.alias("__v"))
-    base = base.where(F.contains(F.col("__v"), F.lit("TraceFlow")))
+    base = base.where(F.contains(F.col("__v"), F.lit(LOG_TAG_PREFIX)))
     is_json = F.contains(F.col("__v"), F.lit(JSON_LOG_TAG)) & (F.instr(F.col("__v"), "{") > 0)
     body = F.substring(F.col("__v"), F.instr(F.col("__v"), "{"), 1 << 30)
     e = F.when(is_json, F.from_json(body, _MAP))
@@ -135,7 +135,7 @@ def load_report(candidates: DataFrame) -> DataFrame:
     """Per source, (loaded, skipped).
 
     Session / page elements: skipped = elements - loaded.  Logs: skipped =
-    max(0, lines mentioning ``TraceFlow`` - loaded), so human-readable trace
+    max(0, lines mentioning the tag prefix - loaded), so human-readable trace
     lines count as skipped, as in the viewer.
     """
     kind = F.col("kind") if "kind" in candidates.columns else F.lit("any")

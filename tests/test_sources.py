@@ -71,7 +71,7 @@ def test_logcat_and_report(spark, fx):
     assert rows[2]["ts"] == 0  # a missing ts is 0, never "now"
     assert rows[0]["params"]["password"] == "***"
     rep = L.load_report(cand).first()
-    assert (rep["loaded"], rep["skipped"]) == (3, 3)  # 6 TraceFlow lines, 3 loaded
+    assert (rep["loaded"], rep["skipped"]) == (3, 3)  # 6 tagged lines, 3 loaded
 
 
 def test_session_and_detection(spark, fx, tmp_path):
