@@ -580,3 +580,28 @@ QUERIES.update({
     "live_labels": q_live_labels,
     "latency_approx": q_latency_approx,
 })
+
+
+def q_live_alerts(spark, sf_dir):
+    """R2 on a stream: CATCH counts per app in sliding windows (update mode)."""
+    s = stream_trace(spark, sf_dir)
+    return run_update(spark, LV.live_alerts(s, threshold=10), "live-alerts", ["app_id", "window_start"])
+
+
+def q_live_dedupe(spark, sf_dir):
+    """D4 on a stream: retried batches arrive as a second file; repeats are
+    dropped within the watermark."""
+    base = scratch(spark, "resent")
+    t = trace(spark, sf_dir)
+    t.write.parquet(f"{base}/in/part=0")
+    _with_resent(t).where(F.col("seq") >= F.lit(1_000_000_000)).write.parquet(f"{base}/in/part=1")
+    schema = spark.read.parquet(f"{base}/in/part=0").schema
+    s = spark.readStream.schema(schema).parquet(f"{base}/in/part=*")
+    out = run_append(spark, LV.drop_repeats_live(s, watermark="1 day"), "live-dedupe")
+    return out.select("ts", "type", "class_name", "method", "user_id")
+
+
+QUERIES.update({
+    "live_alerts": q_live_alerts,
+    "live_dedupe": q_live_dedupe,
+})

@@ -442,3 +442,6 @@ ORACLE["unknown_types"] = q("""SELECT CAST(count(*) FILTER (WHERE type IS NULL O
 ORACLE["live_apps"] = ORACLE["apps"]
 ORACLE["live_labels"] = q(f"""SELECT DISTINCT 'device' AS kind, {DEVICE_LABEL} AS value FROM trace WHERE ({DEVICE_LABEL}) <> ''
 UNION ALL SELECT DISTINCT 'manufacturer', device_manufacturer FROM trace WHERE coalesce(device_manufacturer, '') <> ''""")
+
+ORACLE["live_alerts"] = ORACLE["alerts"]
+ORACLE["live_dedupe"] = q("SELECT DISTINCT ts, type, class_name, method, user_id FROM trace")

@@ -187,4 +187,30 @@ def live_quota(requests: DataFrame, source_col: str, token_col: str, watermark:
                     "limit", (F.col("requests") > F.col("limit")).alias("over_limit"))
 
 
-__all__ = ["follow", "live_stats", "live_apps", "new_labels", "live_pairs", "live_quota", "quota_audit"]
+def live_alerts(events: DataFrame, threshold: int = 10, duration: str = "5 minutes",
+                slide: str = "1 minute", watermark: str = "10 minutes", types=("CATCH",)) -> DataFrame:
+    """R2 on a stream: errors per app in sliding event-time windows; state
+    for a window is dropped once the watermark passes its end."""
+    e = (events.where(F.col("type").isin(list(types)))
+               .withColumn("event_time", F.timestamp_millis("ts"))
+               .withWatermark("event_time", watermark))
+    g = (e.groupBy("app_id", F.window("event_time", duration, slide))
+          .agg(F.count(F.lit(1)).cast("bigint").alias("events")))
+    return g.select("app_id", F.unix_millis(F.col("window.start")).alias("window_start"),
+                    F.unix_millis(F.col("window.end")).alias("window_end"), "events",
+                    (F.col("events") > threshold).alias("alert"))
+
+
+def drop_repeats_live(events: DataFrame, watermark: str = "10 minutes", columns=None) -> DataFrame:
+    """D4 on a stream: drop exact repeats (all columns but ``seq``) that
+    arrive within the watermark of the first copy; the dedupe state for an
+    event is dropped once the watermark passes it."""
+    from calltrail.operators.governance import wire_fingerprint
+    return (events.withColumns({"__fp": wire_fingerprint(columns),
+                                "event_time": F.timestamp_millis("ts")})
+                  .withWatermark("event_time", watermark)
+                  .dropDuplicatesWithinWatermark(["__fp"])
+                  .drop("__fp", "event_time"))
+
+
+__all__ = ["live_alerts", "drop_repeats_live","follow", "live_stats", "live_apps", "new_labels", "live_pairs", "live_quota", "quota_audit"]

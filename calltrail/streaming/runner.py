@@ -41,8 +41,9 @@ def run_update(spark: SparkSession, stream: DataFrame, name: str, keys: list[str
     q.awaitTermination()
     schema = T.StructType(stream.schema.fields + [T.StructField("__epoch", T.LongType(), True)])
     hist = spark.read.schema(schema).parquet(f"{out}/epoch=*")
-    latest = hist.groupBy(*keys).agg(F.max("__epoch").alias("__epoch"))
-    return hist.join(latest, [*keys, "__epoch"], "left_semi").drop("__epoch")
+    latest = hist.groupBy(*keys).agg(F.max("__epoch").alias("__last"))
+    cond = [hist[k].eqNullSafe(latest[k]) for k in keys] + [hist["__epoch"] == latest["__last"]]
+    return hist.join(latest, cond, "left_semi").drop("__epoch")
 
 
 __all__ = ["run_append", "run_update", "scratch"]
