@@ -79,7 +79,8 @@ def label_calls(df: DataFrame, scope: str = "thread", chunk_span: int = DEFAULT_
     })
     key = ["scope", "class_name", "method"]
     base = fork(base)
-    b = running_sum(base, key, "seq", "__d", chunk_span=chunk_span, out="bal", floor_out="__floor")
+    b = running_sum(base, key, "seq", "__d", chunk_span=chunk_span, out="bal", floor_out="__floor",
+                    keep_chunk=True)
     v = (F.when(F.col("type") == "ENTER", F.col("bal"))
           .when(F.col("type") == "EXIT", F.col("bal") + 1)
           .otherwise(F.lit(_NO_LEVEL)))

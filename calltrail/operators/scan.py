@@ -61,13 +61,15 @@ def _chunk(order: str, chunk_span: int) -> Column:
 
 def running_sum(df: DataFrame, keys: list[str], order: str, value,
                 chunk_span: int = DEFAULT_CHUNK_SPAN, out="run",
-                floor_out: str | None = None) -> DataFrame:
+                floor_out: str | None = None, keep_chunk: bool = False) -> DataFrame:
     """Inclusive running ``sum(value)`` per key in ``order``.
 
     ``value`` / ``out`` may be lists to compute several sums in one pass.
     With ``floor_out`` (single value only) also ``least(0, min(run) over
     strictly earlier rows)``: the lowest balance reached before each row,
     never above 0.  ``keys`` must be non-null; ``order`` unique within a key.
+    ``keep_chunk`` keeps the ``__chunk`` column: a following scan over the
+    same keys (plus more) then reuses this pass's partitioning, no shuffle.
     """
     values = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
@@ -100,7 +102,8 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value,
     res = joined.withColumns({o: (F.col(f"__off{i}") + F.col(f"__lrun{i}")).cast(
         "bigint" if dict(df.dtypes)[values[i]] in ("bigint", "int", "smallint", "tinyint") else "double")
         for i, o in enumerate(outs)})
-    drop = [ck] + [f"__lrun{i}" for i in range(len(values))] + [f"__off{i}" for i in range(len(values))]
+    drop = ([] if keep_chunk else [ck]) + [f"__lrun{i}" for i in range(len(values))] \
+        + [f"__off{i}" for i in range(len(values))]
     if floor_out:
         res = res.withColumn(floor_out, F.least(
             F.lit(0), F.coalesce(F.col("__pmin"), F.lit(0)),
@@ -120,7 +123,9 @@ def neighbours(df: DataFrame, keys: list[str], order: str, cols: list[str],
     """
     ck = "__chunk"
     allc = [order] + [c for c in cols if c != order]
-    d = fork(df).withColumn(ck, _chunk(order, chunk_span))
+    d = fork(df)
+    if ck not in d.columns:  # else: chunks of an earlier scan with the same span
+        d = d.withColumn(ck, _chunk(order, chunk_span))
     w = Window.partitionBy(*keys, ck).orderBy(order)
     row = F.struct(*[F.col(c) for c in allc])
     local = d.withColumn("__row", row)
