@@ -13,7 +13,7 @@ __all__ = [
     "extra_map", "detail", "format_duration", "device_label", "device_group_label",
     "platform_label", "date_text", "time_text", "source_ref", "component_type",
     "truncate_value", "split_stack", "join_stack", "log_line", "log_tag",
-    "clean_class_name", "clean_method_name", "epoch_ms_ntz",
+    "clean_class_name", "clean_method_name", "epoch_ms_ntz", "epoch_sized_duration",
 ]
 
 
@@ -116,6 +116,16 @@ def detail(extra: Column | None = None) -> Column:
              .when(t == "CATCH", catch).when(t == "BRANCH", branch))
 
 
+# Fixed value: with duration logging off the start time is 0, so the
+# "duration" is the epoch itself; anything above this is such a value.
+EPOCH_SIZED_MS = 10 ** 11
+
+
+def epoch_sized_duration(ms="duration_ms") -> Column:
+    """Flag durations that are really epoch timestamps (duration logging off)."""
+    return _c(ms) > F.lit(EPOCH_SIZED_MS)
+
+
 def device_label(tag="tag", model="device_model") -> Column:
     """``model (tag)`` / tag / model / ``""``."""
     tag, model = _c(tag), _c(model)

@@ -13,10 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from calltrail.functions.render import EPOCH_SIZED_MS
 from calltrail.operators.scan import DEFAULT_CHUNK_SPAN, running_sum
 
-EPOCH_SIZED_MS = 10 ** 11  # durations above this are epoch values (logging off)
-
 
 def fingerprint_text(top_frames: int = 5) -> F.Column:
     frames = F.coalesce(F.array_join(F.slice(F.coalesce(F.col("stack"), F.array().cast("array<string>")),

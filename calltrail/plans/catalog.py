@@ -80,7 +80,7 @@ def q_flat_table(spark, sf_dir):
         F.coalesce("app_id", F.lit("")).alias("app"), F.coalesce("user_id", F.lit("")).alias("user"),
         F.col("device_manufacturer").alias("manufacturer"), F.col("device_model").alias("device"), "tag",
         R.detail().alias("detail"), R.format_duration("duration_ms").alias("duration_text"),
-        R.device_label().alias("device_label"))
+        R.device_label().alias("device_label"), R.epoch_sized_duration().alias("epoch_duration"))
 
 
 def q_detail_text(spark, sf_dir):

@@ -128,7 +128,8 @@ SELECT seq, strftime(epoch_ms(ts), '%Y-%m-%d') AS date, strftime(epoch_ms(ts), '
   type, class_name, method, file || ':' || CAST(line AS VARCHAR) AS file_line,
   {PLATFORM_LABEL} AS platform_label, coalesce(app_id, '') AS app, coalesce(user_id, '') AS user,
   device_manufacturer AS manufacturer, device_model AS device, tag, {DETAIL} AS detail,
-  {dur('duration_ms')} AS duration_text, {DEVICE_LABEL} AS device_label
+  {dur('duration_ms')} AS duration_text, {DEVICE_LABEL} AS device_label,
+  duration_ms > 100000000000 AS epoch_duration
 FROM trace""")
 
 ORACLE["detail_text"] = q(f"SELECT seq, type, {DETAIL} AS detail, {EXTRA_JSON} AS extra FROM trace")

@@ -24,14 +24,16 @@ def store_stream(spark: SparkSession, table: str, max_files: int = 1000) -> Data
 
 
 def follow(spark: SparkSession, table: str, on_batch, checkpoint: str, compat: bool = False,
-           trigger: str = "1500 milliseconds", available_now: bool = False, **filters):
+           trigger: str = "1500 milliseconds", available_now: bool = False, on_error=None, **filters):
     """Every 1.5 s hand the new store rows matching F1 to ``on_batch(df, epoch)``,
     sorted by (ts, seq).
 
     T3, ``compat=True``: a row whose ts is not above the highest ts already
     delivered is dropped, as the reference's ts cursor does; the highest ts
     is kept in the checkpoint folder so it survives restarts.  Default: late
-    rows are delivered.
+    rows are delivered.  ``on_error(exc, epoch)``, when given, receives a
+    failure of ``on_batch`` and the stream goes on (that batch counts as
+    delivered); without it the failure stops the query.
     """
     src = store_query(store_stream(spark, table), **filters)
     high_file = f"{checkpoint.rstrip('/')}/_high_ts"
@@ -60,7 +62,12 @@ def follow(spark: SparkSession, table: str, on_batch, checkpoint: str, compat: b
             if high is not None:
                 df = df.where(F.col("ts") > F.lit(high))
             m = df.agg(F.max("ts")).first()[0]
-        on_batch(df.orderBy("ts", "seq"), epoch)
+        try:
+            on_batch(df.orderBy("ts", "seq"), epoch)
+        except Exception as exc:  # user callback failed
+            if on_error is None:
+                raise
+            on_error(exc, epoch)
         if compat and m is not None:
             _write_high(max(m, high or m))
 

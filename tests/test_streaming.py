@@ -115,3 +115,18 @@ def test_live_pairs_evicts_old_open_calls(spark, tmp_path):
     rows = {(r["kind"], r["enter_seq"], r["exit_seq"]) for r in out.collect()}
     assert ("pair", 2, 3) in rows          # EXIT closes the latest open ENTER
     assert ("open", 1, None) in rows       # the older one is evicted once far behind the watermark
+
+
+def test_follow_on_error_keeps_going(spark, tmp_path):
+    table = str(tmp_path / "store")
+    schema = "seq long, type string, class_name string, method string, ts long, app_id string"
+    ST.append_events(spark.createDataFrame(_rows(0, 3, 1000), schema), table)
+    errors = []
+
+    def boom(df, epoch):
+        raise ValueError("consumer failed")
+
+    q = LV.follow(spark, table, boom, str(tmp_path / "ck"), available_now=True,
+                  on_error=lambda e, epoch: errors.append(str(e)))
+    q.awaitTermination()
+    assert errors == ["consumer failed"]
