@@ -130,8 +130,10 @@ def erase_user(spark: SparkSession, table: str, user_id: str) -> int:
 
     Only the day partitions holding the user are rewritten: their other rows
     are staged under the checkpoint folder, then the partitions are replaced
-    by a dynamic partition overwrite; days left empty are deleted.  Each
-    partition is replaced atomically on its own.
+    by a dynamic partition overwrite; days left empty are deleted.  Days are
+    replaced one at a time (Spark deletes a day's folder, then renames the
+    new one in), so a reader during the rewrite can briefly miss a day or
+    see it before or after the erase, never half of it.
     """
     if user_id is None:
         raise ValueError("erase_user needs a user id")
