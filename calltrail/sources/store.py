@@ -28,10 +28,13 @@ def _fs(spark: SparkSession, path: str):
 
 
 def assign_seq(df: DataFrame, load_id: int) -> DataFrame:
-    """Arrival order for rows without ``seq``: the load id, then position in
-    the load (file order, then row order).  Deterministic on recompute."""
-    return df.withColumn("seq", (F.lit(int(load_id)) * F.lit(1 << _LOAD_SHIFT)
-                                 + F.monotonically_increasing_id()).cast("bigint"))
+    """Arrival order for rows without a ``seq`` (no column, or null as from a
+    log stream): the load id, then position in the load (file order, then
+    row order).  Deterministic on recompute; existing ids are kept."""
+    new = (F.lit(int(load_id)) * F.lit(1 << _LOAD_SHIFT) + F.monotonically_increasing_id()).cast("bigint")
+    if "seq" in df.columns:
+        new = F.coalesce(F.col("seq").cast("bigint"), new)
+    return df.withColumn("seq", new)
 
 
 def append_events(df: DataFrame, table: str, load_id: int | None = None,
@@ -41,9 +44,7 @@ def append_events(df: DataFrame, table: str, load_id: int | None = None,
     Rows of one day are spread over ``files_per_day`` writer tasks (hash of
     seq), so a busy day is not written by one task.
     """
-    d = df
-    if "seq" not in d.columns:
-        d = assign_seq(d, load_id if load_id is not None else 0)
+    d = assign_seq(df, load_id if load_id is not None else 0)
     d = with_time(conform(d)).drop("event_time")
     salt = F.pmod(F.xxhash64("seq"), F.lit(int(files_per_day)))
     (d.repartition(F.col("event_date"), salt)
@@ -63,8 +64,7 @@ def append_events_once(df: DataFrame, table: str, load_id: int, files_per_day: i
     """
     spark = df.sparkSession
     stage = f"{table.rstrip('/')}/_staging/load={int(load_id)}"
-    d = df if "seq" in df.columns else assign_seq(df, load_id)
-    d = with_time(conform(d)).drop("event_time")
+    d = with_time(conform(assign_seq(df, load_id))).drop("event_time")
     salt = F.pmod(F.xxhash64("seq"), F.lit(int(files_per_day)))
     (d.repartition(F.col("event_date"), salt)
       .sortWithinPartitions("event_date", "app_id", "ts", "seq")

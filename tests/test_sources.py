@@ -153,3 +153,12 @@ def test_append_once_is_idempotent(spark, fx, tmp_path):
     assert back.count() == 3 and back.select("seq").distinct().count() == 3
     ST.append_events_once(ev, table, load_id=8)            # a new load is appended
     assert ST.read_events(spark, table).count() == 6
+
+
+def test_null_seq_rows_get_ids(spark, fx, tmp_path):
+    ev, _ = L.read_logcat(spark, fx("logcat.txt"))
+    table = str(tmp_path / "logstore")
+    ST.append_events(ev.drop("source").withColumn("seq", F.lit(None).cast("bigint")), table, load_id=5)
+    back = ST.read_events(spark, table)
+    seqs = [r["seq"] for r in back.collect()]
+    assert len(seqs) == 3 and None not in seqs and len(set(seqs)) == 3 and all(s >> 44 == 5 for s in seqs)
