@@ -51,8 +51,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
+    if not d:  # unset (local tests): a scratch folder of our own
         d = tempfile.mkdtemp(prefix="calltrail-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+    # spark.checkpoint.dir is a core setting that cannot change at run time;
+    # the context's checkpoint folder can.
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
