@@ -173,3 +173,21 @@ def test_hot_key_is_split_across_tasks(spark):
     exp_pairs, exp_orph = literal_pairs([(s, th, c, m, t) for s, th, _, c, m, t in rows])
     assert {r["seq"]: r["partner_seq"] for r in got if r["type"] == "ENTER"} == exp_pairs
     assert {r["seq"] for r in got if r["orphan"]} == exp_orph
+
+
+@pytest.mark.parametrize("mode", ["MEMORY_AND_DISK", "CHECKPOINT", "NONE"])
+def test_fork_storage_modes_give_the_same_pairs(spark, mode):
+    import calltrail.operators.scan as SC
+    rng = random.Random(5)
+    rows = random_rows(rng, 300)
+    rows = [(i + 1, *r[1:]) for i, r in enumerate(rows)]
+    old = SC.FORK_STORAGE
+    SC.FORK_STORAGE = mode
+    try:
+        lab = C.label_calls(frame(spark, rows), "thread", chunk_span=16).collect()
+    finally:
+        SC.FORK_STORAGE = old
+        spark.catalog.clearCache()
+    exp_pairs, exp_orph = literal_pairs(rows)
+    assert {r["seq"]: r["partner_seq"] for r in lab if r["type"] == "ENTER"} == exp_pairs
+    assert {r["seq"] for r in lab if r["type"] == "EXIT" and r["orphan"]} == exp_orph
