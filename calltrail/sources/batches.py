@@ -37,11 +37,23 @@ def _typed_field(m: Column, wire: str, dtype: T.DataType) -> Column:
     return raw.try_cast(dtype)
 
 
+def _flat_json(raw: Column) -> Column:
+    """A JSON object / array whose values are all scalars and not null: the
+    server decodes params as a string map and the stack as a string list
+    (numbers and booleans pass leniently; nested values and nulls fail)."""
+    sch = F.schema_of_variant(F.try_parse_json(raw))
+    inner = F.substring(sch, F.instr(sch, "<") + 1, 1 << 30)
+    return (sch.isNotNull() & ~inner.contains("OBJECT<") & ~inner.contains("ARRAY<")
+            & ~inner.contains("VOID") & ~inner.contains("VARIANT"))
+
+
 def _field_ok(m: Column, wire: str, dtype: T.DataType) -> Column:
     """A present value must decode; non-nullable fields must not be JSON null."""
     raw = m.getItem(wire)
     present = F.map_contains_key(m, wire)
     typed = _typed_field(m, wire, dtype)
+    if isinstance(dtype, (T.MapType, T.ArrayType)):
+        typed = F.when(_flat_json(raw), typed)
     if wire in _NON_NULL:
         bad = present & (raw.isNull() | (typed.isNull()))
         if wire in _REQUIRED:

@@ -19,8 +19,8 @@ def copy(src_paths, dst):
 
 
 def test_batches_v1_v2_lenient_and_bad(spark, fx, tmp_path):
-    d = copy([fx("batch_v1.json"), fx("batch_v2.json"), fx("batch_lenient.json"), fx("batch_bad.json")],
-             str(tmp_path / "in"))
+    d = copy([fx("batch_v1.json"), fx("batch_v2.json"), fx("batch_lenient.json"), fx("batch_bad.json"),
+              fx("batch_nested.json")], str(tmp_path / "in"))
     ev, rej = B.read_batches(spark, d)
     rows = {r["method"]: r for r in ev.collect()}
     assert set(rows) == {"onCreate", "fetchUser", "add"}
@@ -32,22 +32,25 @@ def test_batches_v1_v2_lenient_and_bad(spark, fx, tmp_path):
     assert v2["schema_version"] == 2 and v2["try_start_line"] == 3
     le = rows["add"]
     assert le["ts"] == 5 and le["line"] == 9 and le["thread_id"] == 3
-    assert le["params"]["a"] == "2" and le["params"]["flag"] == "true" and le["params"]["obj"] == '{"k":[1,2]}'
-    rj = rej.collect()
-    assert [os.path.basename(r["batch_id"]) for r in rj] == ["batch_bad.json"]
-    assert rj[0]["reason"] == "undecodable event"
+    assert le["params"]["a"] == "2" and le["params"]["flag"] == "true" and le["params"]["b"] == "3.5"
+    rj = {os.path.basename(r["batch_id"]): r["reason"] for r in rej.collect()}
+    assert rj == {"batch_bad.json": "undecodable event", "batch_nested.json": "undecodable event"}
 
 
 def test_batch_shape_guards(spark):
     texts = spark.createDataFrame([("a", '{"type":"ENTER"}'), ("b", '[{"type":"ENTER"}] trailing'),
                                    ("c", '[{"type":"ENTER"'), ("d", '[{"type":"ENTER","line":"x"}]'),
-                                   ("e", '[{"type":"ENTER","class":null}]'), ("f", '[]')],
+                                   ("e", '[{"type":"ENTER","class":null}]'), ("f", '[]'),
+                                   ("g", '[{"type":"ENTER","params":{"k":null}}]'),
+                                   ("h", '[{"type":"ENTER","stack":["a",{"f":1}]}]'),
+                                   ("i", '[{"type":"ENTER","params":{"k":1},"stack":["a","b"]}]')],
                                   "batch_id string, value string")
     ev, rej = B.decode_batches(texts)
     reasons = {r["batch_id"]: r["reason"] for r in rej.collect()}
     assert reasons == {"a": "not a JSON array", "b": "not a JSON array", "c": "not a JSON array",
-                       "d": "undecodable event", "e": "undecodable event"}
-    assert ev.count() == 0
+                       "d": "undecodable event", "e": "undecodable event", "g": "undecodable event",
+                       "h": "undecodable event"}
+    assert [r["batch_id"] for r in ev.collect()] == ["i"]
 
 
 def test_raw_bodies_gzip_magic_and_caps(spark, fx, tmp_path):
