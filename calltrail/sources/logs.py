@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from calltrail.functions.render import JSON_LOG_TAG, LOG_TAG_PREFIX
 from calltrail.schema import EVENT_TYPES, FIELDS
+from calltrail.sources.batches import _flat_json
 
 _MAP = T.MapType(T.StringType(), T.StringType())
 _ARR = T.ArrayType(_MAP)
@@ -25,15 +26,16 @@ def _event_cols(e: Column) -> tuple[list[Column], Column]:
     """Store columns from a map of raw JSON values, and whether it is valid.
 
     Unknown types are not valid; a present value that does not decode
-    (e.g. ``"line": "x"``) is not valid; missing values take their default
-    (``ts`` 0, never "now").
+    (e.g. ``"line": "x"``, or a param whose value is an object or null) is
+    not valid; missing values take their default (``ts`` 0, never "now").
     """
     cols, ok = [], e.getItem("type").isin(EVENT_TYPES)
     for w, s, dt, d in FIELDS:
         raw = e.getItem(w)
         if isinstance(dt, (T.MapType, T.ArrayType)):
+            # values must be scalars (the viewer reads each as a string)
             c = F.from_json(raw, dt)
-            ok = ok & (raw.isNull() | (raw == "null") | c.isNotNull())
+            ok = ok & (raw.isNull() | (raw == "null") | (c.isNotNull() & _flat_json(raw)))
         elif isinstance(dt, T.StringType):
             c = raw
         else:

@@ -165,3 +165,16 @@ def test_null_seq_rows_get_ids(spark, fx, tmp_path):
     back = ST.read_events(spark, table)
     seqs = [r["seq"] for r in back.collect()]
     assert len(seqs) == 3 and None not in seqs and len(set(seqs)) == 3 and all(s >> 44 == 5 for s in seqs)
+
+
+def test_viewer_inputs_skip_nested_params(spark):
+    from calltrail.functions.render import JSON_LOG_TAG
+    head = f"x D {JSON_LOG_TAG}: "
+    lines = spark.createDataFrame(
+        [(1, head + '{"type":"ENTER","class":"A","method":"m","params":{"a":"1","n":2}}'),
+         (2, head + '{"type":"ENTER","class":"A","method":"m","params":{"o":{"k":1}}}'),
+         (3, head + '{"type":"ENTER","class":"A","method":"m","params":{"z":null}}')],
+        "line_no long, value string")
+    cand = L.logcat_candidates(lines, "value", "line_no")
+    assert [r["seq"] for r in L.events_of(cand).collect()] == [1]
+    assert L.load_report(cand).first()["skipped"] == 2
