@@ -178,3 +178,9 @@ def test_viewer_inputs_skip_nested_params(spark):
     cand = L.logcat_candidates(lines, "value", "line_no")
     assert [r["seq"] for r in L.events_of(cand).collect()] == [1]
     assert L.load_report(cand).first()["skipped"] == 2
+
+
+def test_gz_batches_through_the_text_path(spark, fx, tmp_path):
+    d = copy([fx("batch.json.gz")], str(tmp_path / "gz"))
+    ev, rej = B.read_batches(spark, d)  # codec inflates .gz; no size caps on this path
+    assert ev.count() == 3 and rej.count() == 0
