@@ -94,10 +94,16 @@ def decode_batches(texts: DataFrame, id_col: str = "batch_id", text_col: str = "
     return good.select(*cols), rejected
 
 
+def _can_fail(wire: str, dtype: T.DataType) -> bool:
+    # a nullable text field accepts any value, so it needs no check
+    return wire in _NON_NULL or not isinstance(dtype, T.StringType)
+
+
 def _all_fields_ok(e: Column) -> Column:
     ok = F.lit(True)
     for w, _, dt, _ in FIELDS:
-        ok = ok & _field_ok(e, w, dt)
+        if _can_fail(w, dt):
+            ok = ok & _field_ok(e, w, dt)
     return ok
 
 
