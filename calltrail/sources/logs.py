@@ -77,8 +77,13 @@ def read_logcat(spark: SparkSession, path: str):
 
 
 def session_candidates(texts: DataFrame, id_col: str = "source", text_col: str = "value") -> DataFrame:
-    """S4 candidates: one row per element of each file's JSON array."""
-    arr = F.from_json(F.col(text_col), _ARR)
+    """S4 candidates: one row per element of each file's JSON array, or per
+    line of a JSON-lines file (the lossless export of ``write_session``)."""
+    v = F.col(text_col)
+    as_array = F.regexp_replace(v, r"^\s+", "").startswith("[")
+    lines = F.filter(F.split(v, "\r?\n"), lambda x: F.trim(x) != "")
+    arr = F.when(as_array, F.from_json(v, _ARR)).otherwise(
+        F.transform(lines, lambda x: F.from_json(x, _MAP)))
     ex = texts.select(F.col(id_col).alias("source"), F.posexplode_outer(arr).alias("pos", "__e"))
     cols, ok = _event_cols(F.col("__e"))
     return ex.where(F.col("pos").isNotNull()).select(
