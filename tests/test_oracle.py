@@ -36,3 +36,15 @@ def test_entry_runs(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert df.columns == ["class_name", "method", "calls", "closed", "open", "total_ms", "max_ms"]
+
+
+@pytest.mark.parametrize("name", ["flat_table", "alerts", "store_page", "quota_audit", "retention", "grouped_table"])
+def test_results_do_not_depend_on_the_session_zone(spark, con, name):
+    key = "spark.sql.session.timeZone"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "America/New_York")
+    try:
+        info = compare(spark, con, name, QUERIES[name], ORACLE[name], SMOKE)
+    finally:
+        spark.conf.set(key, old)
+    assert info["ok"], info
