@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from calltrail import schema as S
 from calltrail.functions import masking as M
@@ -322,11 +323,12 @@ from calltrail.sources import logs as LG  # noqa: E402
 
 
 def _textify(df: DataFrame) -> DataFrame:
+    """Maps as JSON text, arrays joined by newlines (for the value hash)."""
     out = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, __import__("pyspark.sql.types", fromlist=["MapType"]).MapType):
+        if isinstance(f.dataType, T.MapType):
             out.append(F.to_json(f.name).alias(f.name))
-        elif f.dataType.typeName() == "array":
+        elif isinstance(f.dataType, T.ArrayType):
             out.append(F.array_join(f.name, "\n").alias(f.name))
         else:
             out.append(F.col(f.name))
