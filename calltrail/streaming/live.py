@@ -24,7 +24,8 @@ def store_stream(spark: SparkSession, table: str, max_files: int = 1000) -> Data
 
 
 def follow(spark: SparkSession, table: str, on_batch, checkpoint: str, compat: bool = False,
-           trigger: str = "1500 milliseconds", available_now: bool = False, on_error=None, **filters):
+           trigger: str = "1500 milliseconds", available_now: bool = False, on_error=None,
+           on_connected=None, **filters):
     """Every 1.5 s hand the new store rows matching F1 to ``on_batch(df, epoch)``,
     sorted by (ts, seq).
 
@@ -33,7 +34,8 @@ def follow(spark: SparkSession, table: str, on_batch, checkpoint: str, compat: b
     is kept in the checkpoint folder so it survives restarts.  Default: late
     rows are delivered.  ``on_error(exc, epoch)``, when given, receives a
     failure of ``on_batch`` and the stream goes on (that batch counts as
-    delivered); without it the failure stops the query.
+    delivered); without it the failure stops the query.  ``on_connected(query)``
+    is called once the stream has started.
     """
     src = store_query(store_stream(spark, table), **filters)
     high_file = f"{checkpoint.rstrip('/')}/_high_ts"
@@ -73,7 +75,10 @@ def follow(spark: SparkSession, table: str, on_batch, checkpoint: str, compat: b
 
     w = src.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
-    return w.start()
+    q = w.start()
+    if on_connected is not None:
+        on_connected(q)
+    return q
 
 
 def live_stats(events: DataFrame) -> DataFrame:

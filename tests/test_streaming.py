@@ -126,7 +126,9 @@ def test_follow_on_error_keeps_going(spark, tmp_path):
     def boom(df, epoch):
         raise ValueError("consumer failed")
 
+    started = []
     q = LV.follow(spark, table, boom, str(tmp_path / "ck"), available_now=True,
-                  on_error=lambda e, epoch: errors.append(str(e)))
+                  on_error=lambda e, epoch: errors.append(str(e)), on_connected=started.append)
     q.awaitTermination()
     assert errors == ["consumer failed"]
+    assert started == [q]
