@@ -95,3 +95,21 @@ def test_detail_and_extra_order(spark):
     r = df.select(F.to_json(R.extra_map()).alias("e"), R.detail().alias("d")).first()
     assert r["e"] == '{"result":"r","z":"1","durationMs":"1500"}'  # a set field replaces the param in place
     assert r["d"] == "result: r  [1s 500ms]"
+
+
+def test_noise_and_file_filters(spark):
+    from calltrail.operators import filters as FL
+    rows = [(1, "com.app.MainActivity", "onCreate", "/src/Main.kt"),
+            (2, "com.app.Hilt_MainActivity", "inject", "/src/Main.kt"),
+            (3, "com.app.Repo", "access$load", "/src/Repo.kt"),
+            (4, "com.app.Repo", "getName", "/src/Repo.kt"),
+            (5, "com.sdk.internal.Sender", "send", "/app/node_modules/sdk/x.js"),
+            (6, "com.app.Repo", "load$default", "\u0000polyfill:external-require"),
+            (7, "com.app.Cart", "add", "/app/vendor/runtime/index.js"),
+            (8, "com.app.Cart", "setup", "")]
+    df = spark.createDataFrame(rows, "seq long, class_name string, method string, file string")
+    kept = [r["seq"] for r in FL.drop_noise(df, self_package="com.sdk.").orderBy("seq").collect()]
+    assert kept == [1, 7, 8]          # DI class, accessors, $default, getter, own package dropped
+    files = [r["seq"] for r in FL.exclude_files(df, patterns=[r"Repo\.kt$"], runtime_paths=["/vendor/runtime/"])
+             .orderBy("seq").collect()]
+    assert files == [1, 2]            # NUL, node_modules, runtime path, pattern, missing file dropped
