@@ -113,3 +113,18 @@ def test_noise_and_file_filters(spark):
     files = [r["seq"] for r in FL.exclude_files(df, patterns=[r"Repo\.kt$"], runtime_paths=["/vendor/runtime/"])
              .orderBy("seq").collect()]
     assert files == [1, 2]            # NUL, node_modules, runtime path, pattern, missing file dropped
+
+
+def test_viewer_device_filter_and_bounds(spark):
+    from calltrail.operators import filters as FL
+    rows = [(1, "ENTER", "Cart", "add", 10, "QA-1", "Pixel 7", "google"),
+            (2, "ENTER", "Cart", "add", 20, "", "Pixel 7", "google"),
+            (3, "CATCH", "Cart", "add", 30, "qa-1", "Pixel 7", "google"),
+            (4, "WEIRD", "Cart", "add", 40, "QA-1", "Pixel 7", "google")]
+    df = spark.createDataFrame(rows, "seq long, type string, class_name string, method string, ts long, "
+                                     "tag string, device_model string, device_manufacturer string")
+    got = FL.viewer_query(df, device="Pixel 7 (QA-1)", tag="qa", class_filter="CART", method_filter="a(",
+                          from_ms=10, to_ms=40).collect()
+    assert [r["seq"] for r in got] == []      # "a(" is invalid: matched literally, so nothing matches
+    got = FL.viewer_query(df, device="Pixel 7 (QA-1)", tag="qa", class_filter="CART", from_ms=10, to_ms=40)
+    assert [r["seq"] for r in got.collect()] == [1]   # WEIRD type dropped (F4), lower-case tag row is another device
