@@ -11,3 +11,11 @@ Subpackages:
 
 from calltrail.session import get_spark, checkpoint_dir  # noqa: F401
 from calltrail.schema import EVENT, conform  # noqa: F401
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions that run in Python workers travel by value, so executors need no
+# copy of this package on their path.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
