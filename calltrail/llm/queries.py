@@ -12,6 +12,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from calltrail.llm import quality_net
+    docs = read(spark, sf_dir, "documents")
+    return quality_net.classify(docs, quality_net.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from calltrail.llm import quality_gbt
+    docs = read(spark, sf_dir, "documents")
+    return quality_gbt.judge(docs, quality_gbt.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from calltrail.llm.packing import pack_documents
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"),
@@ -19,6 +31,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_net": op2_quality_net,
+    "op3_quality_rules": op3_quality_rules,
     "op8_packing": op8_packing,
 }
 ORACLE: dict[str, str] = {}
