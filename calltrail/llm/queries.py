@@ -30,9 +30,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                           with_ids=False)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from calltrail.llm import toxicity
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op2_quality_net": op2_quality_net,
     "op3_quality_rules": op3_quality_rules,
     "op8_packing": op8_packing,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {}
