@@ -24,6 +24,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.judge(docs, quality_gbt.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from calltrail.llm import secrets
+    docs = read(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.train(docs))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from calltrail.llm.packing import pack_documents
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"),
@@ -39,6 +45,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_net": op2_quality_net,
     "op3_quality_rules": op3_quality_rules,
+    "op4_secret_scan": op4_secret_scan,
     "op8_packing": op8_packing,
     "op10_toxicity": op10_toxicity,
 }
