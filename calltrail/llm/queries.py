@@ -30,6 +30,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(docs, secrets.train(docs))
 
 
+def op7_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from calltrail.llm import ppm
+    return ppm.score(read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from calltrail.llm.packing import pack_documents
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"),
@@ -46,6 +51,7 @@ QUERIES = {
     "op2_quality_net": op2_quality_net,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
+    "op7_ppm_score": op7_ppm_score,
     "op8_packing": op8_packing,
     "op10_toxicity": op10_toxicity,
 }
