@@ -12,6 +12,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from calltrail.llm import near_dup
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op2_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     from calltrail.llm import quality_net
     docs = read(spark, sf_dir, "documents")
@@ -48,6 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dup": op1_near_dup,
     "op2_quality_net": op2_quality_net,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
