@@ -35,6 +35,17 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(docs, secrets.train(docs))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from calltrail.llm import topk
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from calltrail.llm import spans
+    return spans.deduplicated(read(spark, sf_dir, "documents"))
+
+
 def op7_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from calltrail.llm import ppm
     return ppm.score(read(spark, sf_dir, "documents"))
@@ -57,6 +68,8 @@ QUERIES = {
     "op2_quality_net": op2_quality_net,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
+    "op5_top_k": op5_top_k,
+    "op6_sentence_spans": op6_sentence_spans,
     "op7_ppm_score": op7_ppm_score,
     "op8_packing": op8_packing,
     "op10_toxicity": op10_toxicity,
