@@ -57,6 +57,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                           with_ids=False)
 
 
+def op9_n_best_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from calltrail.llm import pieces
+    return pieces.encode_n_best(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"),
+                                with_ids=False)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from calltrail.llm import toxicity
     docs = read(spark, sf_dir, "documents")
@@ -72,6 +78,7 @@ QUERIES = {
     "op6_sentence_spans": op6_sentence_spans,
     "op7_ppm_score": op7_ppm_score,
     "op8_packing": op8_packing,
+    "op9_n_best_pieces": op9_n_best_pieces,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {}
