@@ -205,6 +205,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees
                monotone={FEATURES.index(k): v for k, v in MONOTONE.items()})
 
 
+def _failed():
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def keep_good(docs: DataFrame, model: Trees, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with their columns, that `judge` keeps."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # safe names: a table may hold clashing ones
+    plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
+    good = document_statistics(plain, names, model).where(~_failed() & (F.col("score") >= threshold))
+    return good.select(*names).toDF(*docs.columns)
+
+
 def judge(docs: DataFrame, model: Trees, threshold: float = 0.3) -> DataFrame:
     """One row per row of docs: doc_id, the counts, base_failed, score, kept.
 
@@ -212,7 +224,7 @@ def judge(docs: DataFrame, model: Trees, threshold: float = 0.3) -> DataFrame:
     windows that the text holds twice.  kept: not base_failed and score >=
     threshold.  Null and empty texts have no words, so they are not kept.
     """
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = _failed()
     return (document_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], model)
             .select("doc_id", *COUNTS, failed.alias("base_failed"), "score",
                     (~failed & (F.col("score") >= threshold)).alias("kept")))

@@ -59,12 +59,12 @@ def found(text: Column, pattern: str, ok) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, t (the text as scanned) and the spans of each base rule."""
+def base_spans(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
+    """`others`, doc_id, t (the text as scanned) and the spans of each base rule."""
     t = F.col("t")
     # a hex run is only looked at if it is long enough: the runs are greedy, so this is the same
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean(F.col("text")).alias("t")).select(
-        "doc_id", "t",
+    return docs.select(*others, F.col("doc_id").cast("long").alias("doc_id"), clean(F.col("text")).alias("t")).select(
+        *others, "doc_id", "t",
         found(t, ASSIGN, lambda p: F.char_length(F.regexp_extract(p, ASSIGN, 2)) >= LEAST["assign"]).alias("assign"),
         found(t, ACCESS, lambda p: F.char_length(p) >= LEAST["access"]).alias("access"),
         found(t, HEX[:-1] + f"{{{LEAST['hex']},}}", lambda p: F.lit(True)).alias("hex"))
@@ -122,14 +122,14 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.array(codes), F.lit(0.0), lambda a, c: a + steps(c) / (F.size(c) - 1))
 
 
-def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, t, and `spans`: all spans as an array of (start, kind no., end),
+def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, others: tuple[str, ...] = ()) -> DataFrame:
+    """`others` (columns to carry along), doc_id, t, and `spans`: all spans as an array of (start, kind no., end),
     sorted.  Null texts are empty; an empty text has no spans.
 
     A markov span is a token of 20 characters or more whose mean ratio reaches
     the threshold and which overlaps no base span.
     """
-    based = base_spans(docs)
+    based = base_spans(docs, others)
     based = based.select("*", found(F.col("t"), CANDIDATE, lambda p: ratio(p, model) >= threshold).alias("likely"))
 
     def apart(s):
@@ -139,7 +139,7 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
     def listed(col, k):
         return F.transform(col, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")))
 
-    return based.select("doc_id", "t", F.array_sort(F.concat(
+    return based.select(*others, "doc_id", "t", F.array_sort(F.concat(
         listed("assign", 0), listed("access", 1), listed("hex", 2),
         listed(F.filter("likely", apart), 3))).alias("spans"))
 
@@ -173,3 +173,14 @@ def redact(t: Column, spans: Column, by: str = "[SECRET]") -> Column:
     done = F.aggregate(spans, start, step,
                        lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.char_length(t) - a["at"])))
     return F.when(F.size(spans) > 0, done).otherwise(t)
+
+
+def redacted(docs: DataFrame, model: list[float], by: str = "[SECRET]") -> DataFrame:
+    """docs with its columns, every span of `text` replaced; a null text stays
+    null, and a text without spans stays as it is."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # safe names: a table may hold clashing ones
+    text = F.col(names[docs.columns.index("text")])
+    plain = docs.toDF(*names).select("*", F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
+    s = scan(plain, model, others=tuple(names))
+    new = F.when(F.size("spans") > 0, redact(F.col("t"), F.col("spans"), by)).otherwise(text)
+    return s.select(*[new.alias(c) if n == "text" else F.col(c) for c, n in zip(names, docs.columns)]).toDF(*docs.columns)
