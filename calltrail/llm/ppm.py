@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from calltrail.llm.base import crc_mod, kept, text_chunks, word_table
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
 ORDER = 4
 PAD, END = 0xFE, 0xFF
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -102,9 +102,10 @@ def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
 
 
 def _rows(table: pa.Table):
-    """(held, row offsets, bytes) of runs of documents of about 2 MB."""
+    """(held, row offsets, bytes) of runs of documents of about 0.5 MB, which
+    bounds the arrays of 8 bytes a character."""
     held = table["held"].to_numpy(zero_copy_only=False)
-    for at, off, data in text_chunks(table["text"]):
+    for at, off, data in text_chunks(table["text"], 500_000):
         yield held[at:at + len(off) - 1], off, data
 
 
@@ -117,6 +118,8 @@ def block_grams(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
         for rows, seen in ((train, 1), (~train, 0)):
             k, c = np.unique(g[rows], return_counts=True)
             parts.append((k, c * seen))
+        if len(parts) >= 8:
+            parts = [_counted(parts)]
     return _counted(parts)
 
 
@@ -184,7 +187,7 @@ def score_block(table: pa.Table, tokens: pa.Table, codes: pa.Table, order: int):
     words, log10 probability of its bytes."""
     joined = tokens["token"].combine_chunks().cast(pa.large_binary())
     words = [np.zeros(0, np.uint64)]
-    for _, off, data in text_chunks(joined, 8_000_000):
+    for _, off, data in text_chunks(joined, 500_000):
         words.append(word_table(off, data)[3])
     counts = Table(np.concatenate(words), tokens["n"].to_numpy().astype(float))
     bits = Table(codes["gram"].to_numpy().astype(np.uint64), codes["bits"].to_numpy())
