@@ -33,7 +33,7 @@ from calltrail.llm.base import mix64
 BLANK = "▁"
 N_BEST = 4
 #: Chunks kept with their segmentation per task.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 600_000
 UNKNOWN_PENALTY = 10.0
 
 
