@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from calltrail.llm.base import crc_mod, kept, text_chunks, word_table
 
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 ORDER = 4
 PAD, END = 0xFE, 0xFF
 _LOWER = np.arange(256, dtype=np.uint8)
