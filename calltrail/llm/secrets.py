@@ -84,8 +84,9 @@ def train(docs: DataFrame, max_random: int = MAX_RANDOM, max_documents: int = MA
     Random strings: the values of base spans, at most `max_random`.  Ordinary
     ones: tokens of six characters and more outside base spans, of at most
     `max_documents` documents.  Both are the rows with the smallest hash of
-    their text, so the models are the same on every run.  Counts are smoothed by
-    one; without samples all ratios are 0 and nothing is added.
+    their text, so the models are the same on every run.  Transitions are
+    smoothed by the frequency of the character itself, as if seen ten times
+    more; without samples all ratios are 0 and nothing is added.
     """
     spans = base_spans(docs)
     # an assignment's value, and the keys; a run of decimal digits is a number more often than a secret
@@ -100,13 +101,16 @@ def train(docs: DataFrame, max_random: int = MAX_RANDOM, max_documents: int = MA
                         F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("token")))
     # at most 2 x 65 x 65 rows, whatever the input
     counts = _bigrams(random.union(ordinary)).collect()
-    n, after = defaultdict(int), defaultdict(int)
+    n, after, total = defaultdict(int), defaultdict(int), defaultdict(int)
     for r in counts:
         n[r["label"], r["c"], r["d"]] += r["count"]
         after[r["label"], r["c"]] += r["count"]
+        n[r["label"], r["d"]] += r["count"]
+        total[r["label"]] += r["count"]
     if {r["label"] for r in counts} != {0, 1}:
         return [0.0] * (128 * 128)
-    p = lambda k, c, d: (n[k, c, d] + 1) / (after[k, c] + 65)
+    one = lambda k, d: (n[k, d] + 1) / (total[k] + 65)
+    p = lambda k, c, d: (n[k, c, d] + 10 * one(k, d)) / (after[k, c] + 10)
     return [log(p(1, c, d) / p(0, c, d)) for c in range(128) for d in range(128)]
 
 
