@@ -82,8 +82,9 @@ def train(docs: DataFrame, max_random: int = MAX_RANDOM, max_documents: int = MA
     """Log-likelihood ratios random : ordinary of character d after c, at 128 c + d.
 
     Random strings: the values of base spans, at most `max_random`.  Ordinary
-    ones: tokens of six characters and more outside base spans, of at most
-    `max_documents` documents.  Both are the rows with the smallest hash of
+    ones: tokens of six characters and more outside base spans that stand in two
+    texts or more (an unlisted secret seldom does), of at most `max_documents`
+    documents.  Both are the rows with the smallest hash of
     their text, so the models are the same on every run.  Transitions are
     smoothed by the frequency of the character itself, as if seen ten times
     more; without samples all ratios are 0 and nothing is added.
@@ -97,8 +98,9 @@ def train(docs: DataFrame, max_random: int = MAX_RANDOM, max_documents: int = MA
               .orderBy(F.xxhash64("token"), "token").limit(max_random).select(F.lit(1).alias("label"), "token"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), "[0-9a-f]{16,}", " ")
     ordinary = (docs.select(clean(F.col("text")).alias("t")).orderBy(F.xxhash64("t"), "t").limit(max_documents)
-                .select(F.lit(0).alias("label"),
-                        F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("token")))
+                .select(F.xxhash64("t").alias("d"),
+                        F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("token"))
+                .distinct().groupBy("token").count().where("count > 1").select(F.lit(0).alias("label"), "token"))
     # at most 2 x 65 x 65 rows, whatever the input
     counts = _bigrams(random.union(ordinary)).collect()
     n, after, total = defaultdict(int), defaultdict(int), defaultdict(int)
