@@ -30,7 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     one row; rows without an id are classes of their own."""
     judged = near_dup.near_duplicates(docs).where("kept").where("doc_id is not null")
     judged = judged.groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    found = docs.join(judged, "doc_id").select(*docs.columns, "__rows")
+    # the list grows with the corpus: a merge join at every size, never a broadcast
+    found = docs.join(judged.hint("merge"), "doc_id").select(*docs.columns, "__rows")
     single = found.where("__rows = 1").drop("__rows")
     repeated = found.where("__rows > 1").drop("__rows").dropDuplicates(["doc_id"])
     return single.union(repeated).union(docs.where("doc_id is null"))
