@@ -82,5 +82,7 @@ def mask_text_array(arr, rules=None) -> Column:
 
 def params_from_json(text) -> Column:
     """JSON object text -> map<string,string>; strings as is, numbers and
-    booleans as their literal text, nested values as JSON text."""
-    return F.from_json(_c(text), "map<string,string>")
+    booleans as their literal text, nested values as JSON text, null as the
+    text ``null``."""
+    return F.transform_values(F.from_json(_c(text), "map<string,string>"),
+                              lambda _, v: F.coalesce(v, F.lit("null")))

@@ -209,18 +209,21 @@ def join_stack(frames) -> Column:
     return F.array_join(_c(frames), "\n")
 
 
-# The device-log tag prefix, the tag per event type (EXIT is
-# padded to the others' width) and the tag of machine-readable JSON lines.
-LOG_TAG_PREFIX = "TraceFlow"
+# The default device-log tag prefix (an argument wherever it is used), the tag
+# per event type (EXIT is padded to the others' width) and the tag of
+# machine-readable JSON lines.
+LOG_TAG_PREFIX = "CallTrail"
 LOG_TAGS = {"ENTER": LOG_TAG_PREFIX + " ENTER", "EXIT": LOG_TAG_PREFIX + " EXIT ",
             "CATCH": LOG_TAG_PREFIX + " CATCH", "BRANCH": LOG_TAG_PREFIX + " BRANCH"}
 JSON_LOG_TAG = LOG_TAG_PREFIX + " JSON"
 
 
-def log_tag() -> Column:
+def log_tag(prefix: str = LOG_TAG_PREFIX) -> Column:
+    """The device-log tag per type; an app's own prefix is an argument."""
     t = F.col("type")
     expr = None
     for k, v in LOG_TAGS.items():
+        v = prefix + v[len(LOG_TAG_PREFIX):]
         expr = F.when(t == k, F.lit(v)) if expr is None else expr.when(t == k, F.lit(v))
     return expr
 

@@ -56,7 +56,7 @@ def safe_regex(spark: SparkSession | None, pattern: str | None) -> str | None:
             ok = False
     if not ok:
         pattern = r"\Q" + pattern.replace(r"\E", r"\E\\E\Q") + r"\E"
-    return "(?i)" + pattern
+    return "(?iu)" + pattern  # folds case beyond ASCII too
 
 
 def viewer_query(df: DataFrame, types=None, class_filter: str = "", method_filter: str = "",

@@ -62,11 +62,10 @@ def repeats(df: DataFrame, columns=None) -> DataFrame:
 def drop_repeats(df: DataFrame, columns=None) -> DataFrame:
     """Keep the first (lowest seq) copy of each exact repeat.
 
-    Copies are grouped by the hash and the full text of their columns; the
-    map-side partial aggregate keeps only one row per event per task.
+    Copies are grouped by the SHA-256 of their columns; the map-side partial
+    aggregate keeps only one row per event per task.  Copies that share the
+    lowest seq are reduced to one as well.
     """
-    fp = wire_fingerprint(columns)
-    keep = (df.select(F.xxhash64(fp).alias("__h"), fp.alias("__fp"), "seq")
-              .groupBy("__h", "__fp").agg(F.min("seq").alias("seq"))
-              .select("seq"))
-    return df.join(keep, "seq", "left_semi")
+    marked = df.withColumn("__fp", F.sha2(wire_fingerprint(columns), 256))
+    keep = marked.groupBy("__fp").agg(F.min("seq").alias("seq"))
+    return marked.join(keep, ["__fp", "seq"], "left_semi").dropDuplicates(["__fp", "seq"]).drop("__fp")

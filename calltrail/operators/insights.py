@@ -149,12 +149,14 @@ def retained(df: DataFrame, cutoff_ms: int) -> DataFrame:
 def demap_stacks(df: DataFrame, mapping: DataFrame, id_col: str = "source_map_id") -> DataFrame:
     """Rewrite minified stack frames through a mapping table
     ``(map_id, frame, original)``: explode frames, equi-join on (map id,
-    frame), regroup each stack in frame order (one stack per row)."""
+    frame), regroup each stack in frame order (one stack per row).  An empty
+    stack stays empty; a frame mapped twice takes the least original."""
     fr = df.where(F.col("stack").isNotNull()).select(
-        "seq", F.col(id_col).alias("map_id"), F.posexplode("stack").alias("pos", "frame"))
-    j = fr.join(mapping.select("map_id", "frame", "original"), ["map_id", "frame"], "left")
-    g = j.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct(
-        "pos", F.coalesce(F.col("original"), F.col("frame")).alias("f")))).alias("__l"),
+        "seq", F.col(id_col).alias("map_id"), F.posexplode_outer("stack").alias("pos", "frame"))
+    one = mapping.groupBy("map_id", "frame").agg(F.min("original").alias("original"))
+    j = fr.join(one, ["map_id", "frame"], "left")
+    g = j.groupBy("seq").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct(
+        "pos", F.coalesce(F.col("original"), F.col("frame")).alias("f"))))).alias("__l"),
         F.count("original").cast("int").alias("mapped"))
     return g.select("seq", F.transform("__l", lambda x: x["f"]).alias("stack"), "mapped")
 

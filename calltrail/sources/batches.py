@@ -134,14 +134,21 @@ def _inflate(batches):
             data = bytes(content)
             reason = None
             if len(data) >= 2 and data[0] == 0x1F and data[1] == 0x8B:
+                out, rest = b"", data
                 try:
-                    d = zlib.decompressobj(16 + zlib.MAX_WBITS)
-                    out = d.decompress(data, MAX_INFLATED_BYTES + 1)
-                    if len(out) > MAX_INFLATED_BYTES:
-                        reason, out = "inflated body over 50 MB", b""
-                    data = out
+                    while rest:  # a gzip body may have several members
+                        d = zlib.decompressobj(16 + zlib.MAX_WBITS)
+                        out += d.decompress(rest, MAX_INFLATED_BYTES + 1 - len(out))
+                        if len(out) > MAX_INFLATED_BYTES:
+                            reason = "inflated body over 50 MB"
+                            break
+                        if not d.eof:  # cut before its trailer
+                            reason = "bad gzip body"
+                            break
+                        rest = d.unused_data
                 except zlib.error:
-                    reason, data = "bad gzip body", b""
+                    reason = "bad gzip body"
+                data = b"" if reason else out
             texts.append(None if reason else data.decode("utf-8", errors="replace"))
             reasons.append(reason)
         yield pd.DataFrame({"batch_id": b["path"].values, "value": texts, "reason": reasons})

@@ -86,7 +86,8 @@ def append_events_once(df: DataFrame, table: str, load_id: int, files_per_day: i
             target = spark._jvm.org.apache.hadoop.fs.Path(target_dir, f"load-{int(load_id)}-{part}{suffix}")
             if fs.exists(target):
                 continue
-            fs.rename(f.getPath(), target)
+            if not fs.rename(f.getPath(), target):  # before anything staged is deleted
+                raise OSError(f"could not commit {f.getPath()} as {target}")
             committed += 1
     fs.delete(sp, True)
     return committed

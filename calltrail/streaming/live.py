@@ -43,8 +43,10 @@ def follow(spark: SparkSession, table: str, on_batch, checkpoint: str, compat: b
     def _read_high():
         jp = spark._jvm.org.apache.hadoop.fs.Path(high_file)
         fs = jp.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(jp):
-            return None
+        if not fs.exists(jp):  # a crash between delete and rename leaves the new file
+            jp = spark._jvm.org.apache.hadoop.fs.Path(high_file + ".new")
+            if not fs.exists(jp):
+                return None
         stream = fs.open(jp)
         try:
             return int(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -54,9 +56,13 @@ def follow(spark: SparkSession, table: str, on_batch, checkpoint: str, compat: b
     def _write_high(v):
         jp = spark._jvm.org.apache.hadoop.fs.Path(high_file)
         fs = jp.getFileSystem(spark._jsc.hadoopConfiguration())
-        out = fs.create(jp, True)
+        aside = spark._jvm.org.apache.hadoop.fs.Path(high_file + ".new")
+        out = fs.create(aside, True)
         out.write(bytearray(str(v).encode()))
         out.close()
+        fs.delete(jp, False)
+        if not fs.rename(aside, jp):
+            raise OSError(f"could not write {high_file}")
 
     def run(df: DataFrame, epoch: int):
         if compat:

@@ -80,7 +80,7 @@ def test_split_stack(spark):
 
 def test_safe_regex(spark):
     assert safe_regex(spark, "   ") is None
-    assert safe_regex(spark, "a.c") == "(?i)a.c"
+    assert safe_regex(spark, "a.c") == "(?iu)a.c"
     bad = safe_regex(spark, "a(b")
     df = spark.createDataFrame([("xa(by",), ("ab",)], "s string")
     assert [r["s"] for r in df.where(F.col("s").rlike(bad)).collect()] == ["xa(by"]
@@ -128,3 +128,15 @@ def test_viewer_device_filter_and_bounds(spark):
     assert [r["seq"] for r in got] == []      # "a(" is invalid: matched literally, so nothing matches
     got = FL.viewer_query(df, device="Pixel 7 (QA-1)", tag="qa", class_filter="CART", from_ms=10, to_ms=40)
     assert [r["seq"] for r in got.collect()] == [1]   # WEIRD type dropped (F4), lower-case tag row is another device
+
+
+def test_stringify_writes_null_as_text(spark):
+    from calltrail.functions.masking import params_from_json
+    row = spark.createDataFrame([('{"a": null, "b": 1, "c": "x"}',)], "t string").select(params_from_json("t").alias("m")).first()
+    assert row["m"] == {"a": "null", "b": "1", "c": "x"}
+
+
+def test_filter_folds_case_beyond_ascii(spark):
+    from calltrail.operators.filters import safe_regex
+    df = spark.createDataFrame([("ÖdemeEkranı",), ("x",)], "c string")
+    assert df.where(F.col("c").rlike(safe_regex(spark, "ödeme"))).count() == 1

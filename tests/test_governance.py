@@ -77,3 +77,16 @@ def test_alert_threshold(spark):
     hot = out.where(F.col("alert")).collect()
     assert hot and all(r["events"] > 10 for r in hot)
     assert {r["window_start"] for r in hot} == {600_000 - k * 60_000 for k in range(5)}
+
+
+def test_copies_that_share_an_id_are_reduced_to_one(spark):
+    from calltrail.operators.governance import drop_repeats
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, "b")], "seq long, c string")
+    assert sorted(tuple(r) for r in drop_repeats(df, ["c"]).collect()) == [(1, "a"), (3, "b")]
+
+
+def test_demap_keeps_empty_stacks_and_single_frames(spark):
+    from calltrail.operators.insights import demap_stacks
+    df = spark.createDataFrame([(1, "m", ["a", "z"]), (2, "m", [])], "seq long, source_map_id string, stack array<string>")
+    mapping = spark.createDataFrame([("m", "a", "A"), ("m", "a", "B")], "map_id string, frame string, original string")
+    assert sorted((r.seq, r.stack, r.mapped) for r in demap_stacks(df, mapping).collect()) == [(1, ["A", "z"], 1), (2, [], 0)]

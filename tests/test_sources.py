@@ -199,3 +199,12 @@ def test_lossless_export_reimports(spark, fx, tmp_path):
     b = sorted((r.asDict() for r in back.select(*cols).collect()), key=key)
     assert a == b
     assert L.load_report(cand).agg(F.sum("loaded")).first()[0] == 4
+
+
+def test_gzip_members_and_cut_bodies():
+    import gzip
+    import pandas as pd
+    from calltrail.sources.batches import _inflate
+    two, cut = gzip.compress(b"[1,") + gzip.compress(b"2]"), gzip.compress(b"[1, 2]")[:-8]
+    out = next(_inflate([pd.DataFrame({"path": ["a", "b"], "content": [two, cut]})]))
+    assert out["value"][0] == "[1,2]" and out["reason"][1] == "bad gzip body"
