@@ -197,8 +197,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose shingle sets are similar enough."""
-    left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u")
-    both = left.join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b")), "v")
+    # pairs and sets grow with the corpus: merge joins at every size
+    left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a")).hint("merge"), "u")
+    both = left.join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b")).hint("merge"), "v")
     common = F.size(F.array_intersect("a", "b"))
     return (both.select("u", "v", common.alias("c"), (F.size("a") + F.size("b")).alias("t"))
             .where(F.col("c") >= similarity * (F.col("t") - F.col("c")) - 1e-9).select("u", "v"))
@@ -225,7 +226,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     shared = rows.groupBy("h").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("h")
     live = kept(rows.join(shared, "h"))
     wanted = live.select(F.col("rep").alias("doc_id")).distinct()
-    sets = kept(shingle_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
+    # the list grows with the corpus: a merge join at every size, never a broadcast
+    sets = kept(shingle_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])))
 
     found, links, classes, turn = None, [], None, 0
     members = live.withColumn("class", F.col("rep"))
