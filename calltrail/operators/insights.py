@@ -51,7 +51,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps=(0.5, 0.95,
     key's values: count per (key, value), a chunked running count over the
     values gives each value's rank range, and the ranks each percentile
     needs are found by a range test.  Output: keys, ``n``, ``p<100p>``."""
-    cnt = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+    names, keys = keys, ["__key"]  # a struct of the keys: never null itself, so null keys join
+    cnt = df.where(F.col(value).isNotNull()).groupBy(F.struct(*names).alias("__key"), value).agg(
         F.count(F.lit(1)).cast("bigint").alias("__c"))
     cum = running_sum(cnt, keys, value, "__c", chunk_span=chunk_span, out="__cum")
     n = cnt.groupBy(*keys).agg(F.sum("__c").cast("bigint").alias("n"))
@@ -71,7 +72,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps=(0.5, 0.95,
     res = both.withColumn("v", F.col("lo") + F.col("frac") * (F.col("hi") - F.col("lo")))
     out = res.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).cast("double")
                                         .alias(f"p{int(round(p * 100))}") for p in ps])
-    return out
+    return out.select(*[F.col("__key")[c].alias(c) for c in names], *[c for c in out.columns if c != "__key"])
 
 
 def latency(df: DataFrame, ps=(0.5, 0.95, 0.99), exact: bool = True) -> DataFrame:
@@ -162,32 +163,29 @@ def demap_stacks(df: DataFrame, mapping: DataFrame, id_col: str = "source_map_id
 
 
 def latency_anomalies(df: DataFrame, k: int = 20, z: float = 3.0,
-                      chunk_span: int = DEFAULT_CHUNK_SPAN) -> DataFrame:
+                      chunk_span: int = DEFAULT_CHUNK_SPAN, bucket_rows: int = 100_000) -> DataFrame:
     """Each EXIT duration against the mean and sample deviation of the
     previous ``k`` EXITs of the same method.
 
-    Trailing sums are differences of prefix sums (chunked running sums);
-    the prefix ``k`` rows back is fetched by an equi-join on the unique
-    (method, position), so no method is processed by one task.
+    Positions come from a chunked running count.  A method is cut into buckets
+    of ``bucket_rows`` positions (``k`` at least), each of which also gets the
+    last ``k`` rows of the one before, so a plain trailing window per bucket is
+    exact and no method is processed by one task.
     """
+    size = max(int(bucket_rows), k)
     e = df.where((F.col("type") == "EXIT") & F.col("duration_ms").isNotNull()
                  & (F.col("duration_ms") <= EPOCH_SIZED_MS)).select(
-        "class_name", "method", "seq", F.col("duration_ms").cast("double").alias("x"))
-    keys = ["class_name", "method"]
-    e = e.withColumns({"__one": F.lit(1).cast("bigint"), "__x2": F.col("x") * F.col("x")})
-    a = running_sum(e, keys, "seq", ["__one", "x", "__x2"], chunk_span=chunk_span,
-                    out=["pos", "__s1", "__s2"])
-    back = a.select(*keys, (F.col("pos") + k + 1).alias("pos"), F.col("__s1").alias("__b1"),
-                    F.col("__s2").alias("__b2"))
-    j = a.join(back, [*keys, "pos"], "left")
-    cnt = F.least(F.col("pos") - 1, F.lit(k)).cast("double")
-    s1 = F.col("__s1") - F.col("x") - F.coalesce(F.col("__b1"), F.lit(0.0))
-    s2 = F.col("__s2") - F.col("__x2") - F.coalesce(F.col("__b2"), F.lit(0.0))
-    mean = F.try_divide(s1, cnt)
-    var = F.greatest(F.try_divide(s2 - cnt * mean * mean, cnt - 1), F.lit(0.0))
-    sd = F.sqrt(var)
-    zz = F.try_divide(F.col("x") - mean, sd)
-    return j.select(*keys, "seq", F.col("x").cast("bigint").alias("duration_ms"),
+        F.struct("class_name", "method").alias("__key"),  # a struct is a key that is never null itself
+        "seq", F.col("duration_ms").cast("double").alias("x"), F.lit(1).cast("bigint").alias("__one"))
+    a = running_sum(e, ["__key"], "seq", "__one", chunk_span=chunk_span, out="pos")
+    at, place = F.expr(f"(pos - 1) div {size}"), F.pmod(F.col("pos") - 1, F.lit(size))
+    rows = a.select("__key", "seq", "x", "pos", at.alias("__own"), F.explode(
+        F.when(place >= size - k, F.array(at, at + 1)).otherwise(F.array(at))).alias("__bucket"))
+    w = Window.partitionBy("__key", "__bucket").orderBy("pos").rowsBetween(-k, -1)
+    j = rows.withColumns({"__mean": F.avg("x").over(w), "__sd": F.stddev_samp("x").over(w)}).where("__own = __bucket")
+    cnt = F.least(F.col("pos") - 1, F.lit(k))
+    mean, sd = F.col("__mean"), F.col("__sd")
+    return j.select("__key.class_name", "__key.method", "seq", F.col("x").cast("bigint").alias("duration_ms"),
                     F.when(cnt >= 2, F.round(mean, 2)).alias("baseline_mean"),
                     F.when(cnt >= 2, F.round(sd, 2)).alias("baseline_sd"),
-                    F.when((cnt >= 2) & (sd > 0), F.abs(zz) > F.lit(z)).alias("anomaly"))
+                    F.when((cnt >= 2) & (sd > 0), F.abs((F.col("x") - mean) / sd) > F.lit(z)).alias("anomaly"))

@@ -79,14 +79,16 @@ def method_type_sequence(df: DataFrame, chunk_span: int = 1 << 20) -> DataFrame:
 
     ``pos`` (1-based, seq order) comes from a chunked running count, so a
     method holding a large share of all events is numbered by many tasks
-    instead of being gathered into one list.
+    instead of being gathered into one list.  Rows without a class or method
+    form the sequence of the null name.
     """
     from calltrail.operators.scan import running_sum
 
     name = F.concat(F.col("class_name"), F.lit("."), F.col("method"))
-    base = df.select(name.alias("name"), "seq", "type", F.lit(1).cast("bigint").alias("__one"))
-    out = running_sum(base, ["name"], "seq", "__one", chunk_span=chunk_span, out="pos")
-    return out.select("name", "pos", "seq", "type")
+    # a struct is a key that is never null itself
+    base = df.select(F.struct(name.alias("name")).alias("__key"), "seq", "type", F.lit(1).cast("bigint").alias("__one"))
+    out = running_sum(base, ["__key"], "seq", "__one", chunk_span=chunk_span, out="pos")
+    return out.select("__key.name", "pos", "seq", "type")
 
 
 def coverage(df: DataFrame, expected: DataFrame) -> DataFrame:

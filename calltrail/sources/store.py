@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calltrail.schema import EVENT, FIELDS, V1_FIELDS, conform, with_time
-from calltrail.session import checkpoint_dir
 
 STORE_SCHEMA = T.StructType(EVENT.fields + [T.StructField("event_date", T.DateType(), True)])
 _LOAD_SHIFT = 44  # seq = load_id << 44 | position within the load
@@ -129,39 +128,55 @@ def _partition_dirs(spark: SparkSession, table: str) -> dict:
 def erase_user(spark: SparkSession, table: str, user_id: str) -> int:
     """Delete every row of ``user_id``; returns the count (0 when run again).
 
-    Only the day partitions holding the user are rewritten: their other rows
-    are staged under the checkpoint folder, then the partitions are replaced
-    by a dynamic partition overwrite; days left empty are deleted.  Days are
-    replaced one at a time (Spark deletes a day's folder, then renames the
-    new one in), so a reader during the rewrite can briefly miss a day or
-    see it before or after the erase, never half of it.
+    Only the files that hold the user are rewritten.  Their other rows are
+    written beside them, under ``<table>/_staging``, and counted; only if old rows
+    = new rows + erased rows are the new files renamed into their days (as
+    ``erased-*``, which ``streaming.live`` does not follow) and exactly the old
+    files deleted.  Rows appended meanwhile are in other files and stay.  A
+    reader during the exchange can see a row twice, never miss one; after a
+    crash between the two steps both copies are there.  One path per touched file goes
+    through the driver, as any listing of the table does.
     """
     if user_id is None:
         raise ValueError("erase_user needs a user id")
     ev = read_events(spark, table)
-    hit = ev.where(F.col("user_id") == F.lit(user_id))
-    per_day = hit.groupBy("event_date").count().collect()  # one row per touched day
-    n = sum(r["count"] for r in per_day)
-    if n == 0:
+    mine = F.col("user_id") == F.lit(user_id)
+    held = (ev.select(F.col("_metadata.file_path").alias("file"), mine.alias("mine"))
+            .groupBy("file").agg(F.count_if("mine").alias("gone"), F.count(F.lit(1)).alias("rows"))
+            .where("gone > 0").collect())
+    if not held:
         return 0
-    days = [r["event_date"] for r in per_day]
-    stage = f"{checkpoint_dir(spark).rstrip('/')}/calltrail-stage-{uuid.uuid4().hex}"
-    keep = ev.where(F.col("event_date").isin(days) & ~F.col("user_id").eqNullSafe(F.lit(user_id)))
-    keep.write.mode("overwrite").partitionBy("event_date").parquet(stage)
-    staged = read_events(spark, stage)
-    (staged.repartition(F.col("event_date"), F.pmod(F.xxhash64("seq"), F.lit(8)))
-           .sortWithinPartitions("event_date", "app_id", "ts", "seq")
-           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy("event_date").parquet(table))
-    left = {str(r["event_date"]) for r in staged.select("event_date").distinct().collect()}
-    dirs = _partition_dirs(spark, table)
-    fs, _ = _fs(spark, table)
-    for d in days:
-        if str(d) not in left and str(d) in dirs:
-            fs.delete(dirs[str(d)], True)
-    sfs, sp = _fs(spark, stage)
-    sfs.delete(sp, True)
-    return n
+    jvm = spark._jvm
+    old = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["file"])) for r in held]
+    gone, rows = sum(r["gone"] for r in held), sum(r["rows"] for r in held)
+    name = f"erased-{uuid.uuid4().hex}"
+    stage = f"{table.rstrip('/')}/_staging/{name}"
+    (spark.read.schema(STORE_SCHEMA).option("basePath", table).parquet(*[p.toString() for p in old])
+          .where(~F.col("user_id").eqNullSafe(F.lit(user_id)))
+          .repartition(F.col("event_date"), F.pmod(F.xxhash64("seq"), F.lit(8)))
+          .sortWithinPartitions("event_date", "app_id", "ts", "seq")
+          .write.mode("overwrite").partitionBy("event_date").parquet(stage))
+    fs, sp = _fs(spark, stage)
+    days = [d for d in fs.listStatus(sp) if d.isDirectory() and d.getPath().getName().startswith("event_date=")]
+    left = spark.read.schema(STORE_SCHEMA).parquet(stage).count() if days else 0
+    if left + gone != rows:
+        fs.delete(sp, True)
+        raise RuntimeError(f"erase_user: {rows} rows read, {left} written and {gone} erased; nothing was changed")
+    for day in days:
+        for f in fs.listStatus(day.getPath()):
+            own = f.getPath().getName()
+            if own.startswith("part-"):
+                target = jvm.org.apache.hadoop.fs.Path(f"{table.rstrip('/')}/{day.getPath().getName()}/{name}-{own}")
+                if not fs.rename(f.getPath(), target):  # before anything old is deleted
+                    raise OSError(f"could not commit {f.getPath()} as {target}")
+    for p in old:
+        if not fs.delete(p, False):
+            raise OSError(f"could not delete {p}")
+        day = p.getParent()
+        if len(fs.listStatus(day)) == 0:
+            fs.delete(day, False)
+    fs.delete(sp, True)
+    return gone
 
 
 def drop_before(spark: SparkSession, table: str, cutoff_date: str) -> list[str]:

@@ -90,3 +90,32 @@ def test_demap_keeps_empty_stacks_and_single_frames(spark):
     df = spark.createDataFrame([(1, "m", ["a", "z"]), (2, "m", [])], "seq long, source_map_id string, stack array<string>")
     mapping = spark.createDataFrame([("m", "a", "A"), ("m", "a", "B")], "map_id string, frame string, original string")
     assert sorted((r.seq, r.stack, r.mapped) for r in demap_stacks(df, mapping).collect()) == [(1, ["A", "z"], 1), (2, [], 0)]
+
+
+def test_anomaly_deviation_after_one_long_call(spark):
+    from statistics import mean, stdev
+
+    from calltrail.operators import insights as IN
+    xs = [10 * 86_400_000] + [100 + i % 2 for i in range(60)]
+    df = spark.createDataFrame([(i, "EXIT", "C", None, x) for i, x in enumerate(xs)],
+                               "seq long, type string, class_name string, method string, duration_ms long")
+    for rows in (20, 23, 100_000):  # a bucket's first rows look into the one before
+        got = IN.latency_anomalies(df, k=20, chunk_span=7, bucket_rows=rows).orderBy("seq").collect()
+        assert len(got) == len(xs)
+        for i, r in enumerate(got):
+            back = xs[max(0, i - 20):i]
+            if len(back) >= 2:
+                assert abs(r["baseline_mean"] - mean(back)) < 0.0051 and abs(r["baseline_sd"] - stdev(back)) < 0.0051
+            else:
+                assert r["baseline_sd"] is None
+
+
+def test_null_class_or_method_keeps_its_rows(spark):
+    from calltrail.operators import insights as IN
+    from calltrail.operators import summary as SM
+    df = spark.createDataFrame([(i, "EXIT", "C" if i % 2 else None, "m", i) for i in range(6)],
+                               "seq long, type string, class_name string, method string, duration_ms long")
+    seq = SM.method_type_sequence(df, chunk_span=2).where("name is null").orderBy("pos").collect()
+    assert [(r["pos"], r["seq"]) for r in seq] == [(1, 0), (2, 2), (3, 4)]
+    lat = {r["class_name"]: (r["n"], r["p50"]) for r in IN.latency(df).collect()}
+    assert lat == {None: (3, 2.0), "C": (3, 3.0)}

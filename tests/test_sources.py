@@ -208,3 +208,40 @@ def test_gzip_members_and_cut_bodies():
     two, cut = gzip.compress(b"[1,") + gzip.compress(b"2]"), gzip.compress(b"[1, 2]")[:-8]
     out = next(_inflate([pd.DataFrame({"path": ["a", "b"], "content": [two, cut]})]))
     assert out["value"][0] == "[1,2]" and out["reason"][1] == "bad gzip body"
+
+
+def test_erase_touches_only_files_of_the_user(spark, tmp_path):
+    table = str(tmp_path / "store 3")
+    schema = "seq long, type string, class_name string, method string, ts long, user_id string"
+    ST.append_events(spark.createDataFrame([(1, "ENTER", "C", "m", 5, "u0"), (2, "ENTER", "C", "m", 6, "u1"),
+                                            (3, "EXIT", "C", "m", 7, None)], schema).coalesce(1), table, files_per_day=1)
+    ST.append_events(spark.createDataFrame([(4, "ENTER", "C", "m", 8, "u2")], schema), table, files_per_day=1)
+    day = os.path.join(table, "event_date=1970-01-01")
+    other = [f for f in os.listdir(day) if f.startswith("part-")]
+    assert ST.erase_user(spark, table, "u1") == 1
+    after = [f for f in os.listdir(day) if f.endswith(".parquet")]
+    assert len([f for f in after if f in other]) == 1 and len([f for f in after if f.startswith("erased-")]) == 1
+    assert [r["seq"] for r in ST.read_events(spark, table).orderBy("seq").collect()] == [1, 3, 4]
+
+
+def test_erase_changes_nothing_if_rows_would_be_lost(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "store4")
+    schema = "seq long, type string, class_name string, method string, ts long, user_id string"
+    ST.append_events(spark.createDataFrame([(1, "ENTER", "C", "m", 5, "u0"), (2, "ENTER", "C", "m", 6, "u1")], schema), table)
+    real = ST._fs
+
+    def losing(s, path):
+        if "_staging" in path:  # the written files are gone before they are counted
+            import shutil
+            for d in os.listdir(path):
+                if d.startswith("event_date="):
+                    shutil.rmtree(os.path.join(path, d))
+        return real(s, path)
+
+    monkeypatch.setattr(ST, "_fs", losing)
+    try:
+        ST.erase_user(spark, table, "u1")
+        raise AssertionError("must refuse")
+    except RuntimeError:
+        pass
+    assert ST.read_events(spark, table).count() == 2

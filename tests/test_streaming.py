@@ -132,3 +132,15 @@ def test_follow_on_error_keeps_going(spark, tmp_path):
     q.awaitTermination()
     assert errors == ["consumer failed"]
     assert started == [q]
+
+
+def test_follow_after_an_erase_delivers_nothing_again(spark, tmp_path):
+    table, ck = str(tmp_path / "store"), str(tmp_path / "ck")
+    schema = "seq long, type string, class_name string, method string, ts long, user_id string"
+    ST.append_events(spark.createDataFrame([(i, "ENTER", "C", "m", i + 1, f"u{i % 2}") for i in range(6)], schema), table)
+    got = []
+    for _ in range(2):
+        LV.follow(spark, table, lambda df, e: got.extend(r["seq"] for r in df.collect()), ck,
+                  available_now=True).awaitTermination()
+        assert sorted(got) == list(range(6))
+        ST.erase_user(spark, table, "u1")
