@@ -477,3 +477,11 @@ def test_every_operator_is_registered():
     import __spark_entry__ as e
     names = [q.split("_")[0] for q in e.queries()]
     assert all(names.count(f"op{i}") == 1 for i in range(1, 11)) and "pipeline" in e.queries()
+
+
+def test_secret_scan_runs_no_python(docs):
+    from calltrail.llm import secrets as m
+    model = [0.0] * (128 * 128)
+    for df in (m.report(docs, model), m.redacted(docs, model)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
