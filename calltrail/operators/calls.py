@@ -6,12 +6,15 @@ C1  An EXIT closes the latest open ENTER with the same class and method in
     ENTER(+1)/EXIT(-1) balance of a key in ``seq`` order, an ENTER at
     balance ``v`` is closed by the first later EXIT that brings the balance
     back to ``v - 1``.  Put ENTERs under level ``v = bal`` and EXITs under
-    ``v = bal + 1``: inside one (key, v) group, ordered by seq, an ENTER's
-    next row is its EXIT if it has one, and an EXIT whose previous row is
-    not an ENTER is an orphan.  Both the balance and the previous / next row
-    come from chunked scans (``calltrail.operators.scan``), so a hot key is
-    spread over many tasks and no Python runs.
-C2  open calls / orphan exits: filters on the C1 labels.
+    ``v = bal + 1``: inside one (key, v) group, ordered by seq, a closed
+    ENTER's next row is its EXIT.  The balance comes from a chunked scan
+    (``calltrail.operators.scan``), so a hot key is spread over many tasks and
+    no Python runs.  Calls that begin and end in one chunk are paired where the
+    scan left them; only the ends of calls that cross a chunk border are
+    shuffled again.
+C2  from the balance alone: an ENTER is never closed if no later balance
+    falls below its own, an EXIT is an orphan if it takes the balance below the
+    lowest one before it (or below zero).
 C3  scopes: thread id, one class-wide stack, manufacturer, device label
     (plus session and device id as options).
 C4-C6 group tree rows: scope node, component node (first-seen order in the
@@ -21,18 +24,16 @@ C7  the grouped table projection.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltrail.functions.render import (component_type, date_text, detail, device_group_label,
                                         extra_map, source_ref, time_text)
-from calltrail.operators.scan import DEFAULT_CHUNK_SPAN, fork, neighbours, running_sum
+from calltrail.operators.scan import DEFAULT_CHUNK_SPAN, running_balance
 
 SCOPES = ("thread", "class", "manufacturer", "device", "session", "device_id")
 UNKNOWN = "(unknown)"
-# Level key of rows that are neither ENTER nor EXIT: a non-null value no
-# balance can reach, so those rows group apart and never join on null keys.
-_NO_LEVEL = -(1 << 62)
+KEY = ["scope", "class_name", "method"]
 
 
 def scope_column(scope: str) -> Column:
@@ -58,49 +59,58 @@ def _exit_duration_text() -> Column:
     return F.coalesce(F.col("duration_ms").cast("string"), F.col("params").getItem("durationMs"))
 
 
-def label_calls(df: DataFrame, scope: str = "thread", chunk_span: int = DEFAULT_CHUNK_SPAN,
-                keep_all: bool = False) -> DataFrame:
-    """For every ENTER / EXIT row (``keep_all``: every row) add
+def _is_call() -> Column:
+    return F.col("type").isin("ENTER", "EXIT")
 
-    ``scope``, ``bal``, ``depth`` (1 = outermost open call of the key),
-    ``partner_seq`` (the EXIT of an ENTER, the ENTER of an EXIT),
-    ``open`` (ENTER never closed), ``orphan`` (EXIT closing nothing),
-    ``exit_ts`` and ``exit_duration`` (for paired ENTERs).
+
+def _keyed(df: DataFrame, scope: str) -> dict:
+    return {"scope": scope_column(scope), "class_name": F.coalesce(F.col("class_name"), F.lit("")),
+            "method": F.coalesce(F.col("method"), F.lit(""))}
+
+
+def balanced_calls(df: DataFrame, scope: str = "thread", chunk_span: int = DEFAULT_CHUNK_SPAN) -> DataFrame:
+    """The ENTER / EXIT rows, only the columns that pairing needs (key, ``seq``,
+    ``type``, ``ts``, ``reported`` = the duration as text), with ``bal``,
+    ``depth`` (1 = outermost open call of the key), ``open`` (ENTER never closed)
+    and ``orphan`` (EXIT closing nothing).  One exchange of rows."""
+    reported = _exit_duration_text() if "params" in df.columns else F.col("duration_ms").cast("string")
+    step = F.when(F.col("type") == "ENTER", F.lit(1)).otherwise(F.lit(-1)).cast("bigint")
+    narrow = df.where(_is_call()).select(*[c.alias(n) for n, c in _keyed(df, scope).items()],
+                                         "seq", "type", "ts", reported.alias("reported"), step.alias("__step"))
+    b = running_balance(narrow, KEY, "seq", "__step", chunk_span)
+    enter = F.col("type") == "ENTER"
+    return b.withColumns({
+        "depth": (F.col("bal") - F.col("floor") + F.when(enter, 0).otherwise(1)).cast("bigint"),
+        "open": enter & F.coalesce(F.col("later_min") >= F.col("bal"), F.lit(True)),
+        "orphan": ~enter & (F.col("bal") < F.col("floor")),
+    }).drop("__step", "floor", "later_min")
+
+
+def label_calls(df: DataFrame, scope: str = "thread", chunk_span: int = DEFAULT_CHUNK_SPAN) -> DataFrame:
+    """The rows of ``balanced_calls`` with
+
+    ``partner_seq`` (the EXIT of an ENTER, the ENTER of an EXIT), ``exit_ts`` and
+    ``exit_duration`` (of paired ENTERs, from their EXIT).
     """
-    is_ee = F.col("type").isin("ENTER", "EXIT")
-    base = df if keep_all else df.where(is_ee)
-    base = base.withColumns({
-        "scope": scope_column(scope),
-        "class_name": F.coalesce(F.col("class_name"), F.lit("")),
-        "method": F.coalesce(F.col("method"), F.lit("")),
-        "__d": F.when(F.col("type") == "ENTER", F.lit(1)).when(F.col("type") == "EXIT", F.lit(-1))
-                .otherwise(F.lit(0)).cast("bigint"),
-        "__dur": _exit_duration_text() if "params" in df.columns else F.col("duration_ms").cast("string"),
-    })
-    key = ["scope", "class_name", "method"]
-    base = fork(base)
-    b = running_sum(base, key, "seq", "__d", chunk_span=chunk_span, out="bal", floor_out="__floor",
-                    keep_chunk=True)
-    v = (F.when(F.col("type") == "ENTER", F.col("bal"))
-          .when(F.col("type") == "EXIT", F.col("bal") + 1)
-          .otherwise(F.lit(_NO_LEVEL)))
-    b = b.withColumn("__v", v)
-    nb = neighbours(b, key + ["__v"], "seq", ["type", "ts", "__dur"], chunk_span=chunk_span)
-    t = F.col("type")
-    enter, exit_ = t == "ENTER", t == "EXIT"
-    closed = enter & (F.col("next_type") == "EXIT")
-    matched = exit_ & (F.col("prev_type") == "ENTER")
-    out = nb.withColumns({
-        "depth": F.when(enter, F.col("bal") - F.col("__floor"))
-                  .when(exit_, F.col("bal") - F.col("__floor") + 1).cast("bigint"),
-        "partner_seq": F.when(closed, F.col("next_seq")).when(matched, F.col("prev_seq")),
-        "open": F.when(is_ee, enter & ~F.coalesce(closed, F.lit(False))),
-        "orphan": F.when(is_ee, exit_ & ~F.coalesce(matched, F.lit(False))),
-        "exit_ts": F.when(closed, F.col("next_ts")),
-        "exit_duration": F.when(closed, F.col("next___dur")),
-    })
-    drop = [c for c in out.columns if c.startswith("prev_") or c.startswith("next_")]
-    return out.drop(*drop, "__d", "__dur", "__v", "__floor")
+    enter = F.col("type") == "ENTER"
+    b = balanced_calls(df, scope, chunk_span).withColumn(
+        "__v", F.when(enter, F.col("bal")).otherwise(F.col("bal") + 1))
+    row = F.struct("seq", "ts", "reported")
+
+    def beside(d: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("seq")
+        return d.withColumns({"__next": F.lead(row).over(w), "__prev": F.lag("seq").over(w)})
+
+    closed, matched = enter & ~F.col("open"), ~enter & ~F.col("orphan")
+    near = beside(b, [*KEY, "__chunk", "__v"])
+    crosses = (closed & F.col("__next").isNull()) | (matched & F.col("__prev").isNull())
+    far = beside(near.where(crosses).drop("__next", "__prev"), [*KEY, "__v"])
+    both = near.where(~crosses).unionByName(far)
+    return both.withColumns({
+        "partner_seq": F.when(closed, F.col("__next.seq")).when(matched, F.col("__prev")),
+        "exit_ts": F.when(closed, F.col("__next.ts")),
+        "exit_duration": F.when(closed, F.col("__next.reported")),
+    }).drop("__next", "__prev", "__v", "__chunk", "reported")
 
 
 def pair_calls(df: DataFrame, scope: str = "thread", chunk_span: int = DEFAULT_CHUNK_SPAN) -> DataFrame:
@@ -115,25 +125,30 @@ def pair_calls(df: DataFrame, scope: str = "thread", chunk_span: int = DEFAULT_C
 
 def open_calls(df: DataFrame, scope: str = "thread", chunk_span: int = DEFAULT_CHUNK_SPAN) -> DataFrame:
     """ENTERs never closed (Android throws emit no EXIT)."""
-    lab = label_calls(df, scope, chunk_span)
-    return lab.where(F.col("open")).select("scope", "class_name", "method", "seq", "ts", "depth")
+    b = balanced_calls(df, scope, chunk_span)
+    return b.where(F.col("open")).select("scope", "class_name", "method", "seq", "ts", "depth")
 
 
 def orphan_exits(df: DataFrame, scope: str = "thread", chunk_span: int = DEFAULT_CHUNK_SPAN) -> DataFrame:
     """EXITs with no open ENTER of the same method in the scope."""
-    lab = label_calls(df, scope, chunk_span)
-    return lab.where(F.col("orphan")).select("scope", "class_name", "method", "seq", "ts")
+    b = balanced_calls(df, scope, chunk_span)
+    return b.where(F.col("orphan")).select("scope", "class_name", "method", "seq", "ts")
 
 
 def call_durations(df: DataFrame, scope: str = "thread", chunk_span: int = DEFAULT_CHUNK_SPAN) -> DataFrame:
-    """Per method: paired calls, open calls, total / max reported duration."""
-    p = pair_calls(df, scope, chunk_span)
-    return (p.groupBy("class_name", "method")
-              .agg(F.count(F.lit(1)).cast("bigint").alias("calls"),
-                   F.count("exit_seq").cast("bigint").alias("closed"),
-                   F.count_if(F.col("exit_seq").isNull()).cast("bigint").alias("open"),
-                   F.sum("duration_ms").cast("bigint").alias("total_ms"),
-                   F.max("duration_ms").cast("bigint").alias("max_ms")))
+    """Per method: calls, closed and open ones, total / max reported duration.
+
+    Every EXIT that is no orphan closes one call of its method, so the balance
+    says it all and no EXIT has to meet its ENTER."""
+    enter = F.col("type") == "ENTER"
+    took = F.when(~enter & ~F.col("orphan"), F.col("reported").try_cast("bigint"))
+    per = (balanced_calls(df, scope, chunk_span).groupBy("class_name", "method")
+           .agg(F.count_if(enter).cast("bigint").alias("calls"),
+                F.count_if(~enter & ~F.col("orphan")).cast("bigint").alias("closed"),
+                F.sum(took).cast("bigint").alias("total_ms"), F.max(took).cast("bigint").alias("max_ms")))
+    return per.where(F.col("calls") > 0).select(
+        "class_name", "method", "calls", "closed", (F.col("calls") - F.col("closed")).alias("open"),
+        "total_ms", "max_ms")
 
 
 def _scope_label(scope: str, first: Column) -> Column:
@@ -151,6 +166,12 @@ def _scope_label(scope: str, first: Column) -> Column:
     return F.lit("")
 
 
+# What the grouped table shows of an event.
+_SHOWN = ["seq", "type", "class_name", "method", "file", "line", "ts", "thread_id", "thread_name",
+          "device_manufacturer", "device_model", "tag", "params", "result", "duration_ms", "exception",
+          "message", "try_start_line", "condition_result"]
+
+
 def tree_rows(df: DataFrame, scope: str = "thread", collapsed_scopes=(), collapsed_components=(),
               zone: str = "UTC", chunk_span: int = DEFAULT_CHUNK_SPAN,
               table: bool = False) -> DataFrame:
@@ -163,15 +184,20 @@ def tree_rows(df: DataFrame, scope: str = "thread", collapsed_scopes=(), collaps
     is the indent.  ``collapsed_scopes`` / ``collapsed_components`` (pairs
     ``(scope, class_name)``) hide the children of those nodes.
     """
-    # Pair narrow rows (the columns labels and sort keys need); the grouped
-    # table's display columns are joined back by seq afterwards, so wide
-    # columns (stacks, messages) are not carried through the ordered scans.
-    narrow_cols = ["seq", "type", "class_name", "method", "ts", "thread_id", "thread_name",
-                   "device_manufacturer", "device_model", "tag", "session_id", "device_id", "duration_ms",
-                   "params"]
-    narrow = df.select(*[c for c in narrow_cols if c in df.columns])
-    lab = label_calls(narrow, scope, chunk_span, keep_all=True)
-    kept = lab.where((F.col("type") != "EXIT") | F.col("orphan"))
+    # Only ENTER and EXIT rows go through the pairing, and only its narrow
+    # columns; CATCH and BRANCH rows are leaves as they are.
+    lab = label_calls(df, scope, chunk_span).where((F.col("type") == "ENTER") | F.col("orphan"))
+    leaves = df.where(~_is_call()).withColumns({
+        **_keyed(df, scope), "partner_seq": F.lit(None).cast("bigint"), "exit_duration": F.lit(None).cast("string")})
+    paired = ["seq", "scope", "partner_seq", "exit_duration"]
+    if table:
+        # the display columns of calls meet their pairs once, by seq
+        shown = [c for c in _SHOWN if c in df.columns]
+        calls = df.where(_is_call()).withColumns(_keyed(df, scope)).select(*shown).join(lab.select(*paired), "seq")
+        kept = calls.unionByName(leaves.select(*shown, *paired[1:]))
+    else:
+        cols = [*paired, "class_name", "method", "type", "ts"]
+        kept = lab.select(*cols).unionByName(leaves.select(*cols))
     # Group nodes need only the raw events: partial aggregates straight from
     # the input, so the pairing plan is not re-run for them.
     src = df.withColumns({"scope": scope_column(scope),
@@ -211,9 +237,6 @@ def tree_rows(df: DataFrame, scope: str = "thread", collapsed_scopes=(), collaps
             F.col("__first.ts").alias("start_ts"), F.lit(-1).cast("bigint").alias("seq"))
         parts.append(scope_rows)
     if table:
-        shown = df.select("seq", "file", "line", "result", "exception", "message", "try_start_line",
-                          "condition_result")
-        events = events.join(shown, "seq", "left")
         extra = extra_map()
         ev_table = {
             "date": date_text("ts", zone), "time": time_text("ts", zone), "type_label": F.col("type"),

@@ -45,7 +45,7 @@ def quota_audit(requests: DataFrame, source_col: str, token_col: str, ts_col: st
 
 def wire_fingerprint(columns=None) -> F.Column:
     """Exact identity of an event apart from its store id: its columns as
-    one JSON text (maps and arrays included, so no hash collisions)."""
+    one JSON text (maps and arrays included); grouped by its SHA-256."""
     cols = columns or STORE_COLUMNS
     return F.to_json(F.struct(*[F.col(c) for c in cols]))
 
@@ -53,10 +53,9 @@ def wire_fingerprint(columns=None) -> F.Column:
 def repeats(df: DataFrame, columns=None) -> DataFrame:
     """D4 report: per distinct event, the first seq and how many copies."""
     fp = wire_fingerprint(columns)
-    return (df.select(fp.alias("__fp"), F.xxhash64(fp).alias("__h"), "seq")
-              .groupBy("__h", "__fp")
+    return (df.select(F.sha2(fp, 256).alias("__fp"), "seq").groupBy("__fp")
               .agg(F.min("seq").alias("seq"), F.count(F.lit(1)).cast("bigint").alias("copies"))
-              .drop("__h", "__fp"))
+              .drop("__fp"))
 
 
 def drop_repeats(df: DataFrame, columns=None) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from calltrail.functions.render import EPOCH_SIZED_MS
 from calltrail.operators.scan import DEFAULT_CHUNK_SPAN, running_sum
 
+APPROX_ACCURACY = 10_000  # percentile_approx: relative rank error 1 / this
+
 
 def fingerprint_text(top_frames: int = 5) -> F.Column:
     frames = F.coalesce(F.array_join(F.slice(F.coalesce(F.col("stack"), F.array().cast("array<string>")),
@@ -75,17 +77,51 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps=(0.5, 0.95,
     return out.select(*[F.col("__key")[c].alias(c) for c in names], *[c for c in out.columns if c != "__key"])
 
 
-def latency(df: DataFrame, ps=(0.5, 0.95, 0.99), exact: bool = True) -> DataFrame:
+def timed_exits(df: DataFrame, max_ms: int | None = None) -> DataFrame:
+    """EXITs with a duration, of at most ``max_ms`` where that is given."""
+    e = df.where((F.col("type") == "EXIT") & F.col("duration_ms").isNotNull())
+    return e if max_ms is None else e.where(F.col("duration_ms") <= F.lit(int(max_ms)))
+
+
+def cut_durations(df: DataFrame, max_ms: int = EPOCH_SIZED_MS) -> DataFrame:
+    """Per method, how many EXITs a limit of ``max_ms`` leaves out (0 rows shown too)."""
+    return timed_exits(df).groupBy("class_name", "method").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"),
+        F.count_if(F.col("duration_ms") > F.lit(int(max_ms))).cast("bigint").alias("cut"))
+
+
+def latency(df: DataFrame, ps=(0.5, 0.95, 0.99), exact: bool = True, max_ms: int | None = EPOCH_SIZED_MS) -> DataFrame:
     """Per method, percentiles of EXIT durations; epoch-sized durations
-    (duration logging off) are excluded.  ``exact=False``: bounded-memory
-    ``percentile_approx`` sketches instead."""
-    e = df.where((F.col("type") == "EXIT") & F.col("duration_ms").isNotNull()
-                 & (F.col("duration_ms") <= EPOCH_SIZED_MS))
+    (duration logging off), above ``max_ms``, are excluded and counted by
+    ``cut_durations``.  ``exact=False``: bounded-memory ``percentile_approx``
+    sketches instead."""
+    e = timed_exits(df, max_ms)
     keys = ["class_name", "method"]
     if exact:
         return exact_percentiles(e, keys, "duration_ms", ps)
     return e.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n"), *[
-        F.percentile_approx("duration_ms", p, 10000).cast("double").alias(f"p{int(round(p * 100))}") for p in ps])
+        F.percentile_approx("duration_ms", p, APPROX_ACCURACY).cast("double").alias(f"p{int(round(p * 100))}")
+        for p in ps])
+
+
+def rank_check(df: DataFrame, ps=(0.5, 0.95, 0.99), max_ms: int | None = EPOCH_SIZED_MS) -> DataFrame:
+    """Whether each approximate percentile keeps its promise: a value whose
+    rank is within ``n / APPROX_ACCURACY`` (and one row) of ``p * n``."""
+    e, approx = timed_exits(df, max_ms), latency(df, ps, exact=False, max_ms=max_ms)
+    names = [f"p{int(round(p * 100))}" for p in ps]
+    same = e["class_name"].eqNullSafe(approx["class_name"]) & e["method"].eqNullSafe(approx["method"])
+    j = approx.join(e.select("class_name", "method", "duration_ms"), same).select(
+        approx["class_name"], approx["method"], "n", *names, "duration_ms")
+    ranks = []
+    for c in names:
+        ranks += [F.count_if(F.col("duration_ms") < F.col(c)).alias(f"__below_{c}"),
+                  F.count_if(F.col("duration_ms") <= F.col(c)).alias(f"__upto_{c}")]
+    g = j.groupBy("class_name", "method", "n").agg(*ranks)
+    slack = F.col("n") / F.lit(float(APPROX_ACCURACY)) + 1
+    return g.select("class_name", "method", "n", *[
+        ((F.col(f"__below_{c}") <= F.lit(float(p)) * F.col("n") + slack)
+         & (F.col(f"__upto_{c}") >= F.lit(float(p)) * F.col("n") - slack)).alias(f"{c}_ok")
+        for p, c in zip(ps, names)])
 
 
 def sample_bucket(key: F.Column) -> F.Column:
@@ -163,18 +199,19 @@ def demap_stacks(df: DataFrame, mapping: DataFrame, id_col: str = "source_map_id
 
 
 def latency_anomalies(df: DataFrame, k: int = 20, z: float = 3.0,
-                      chunk_span: int = DEFAULT_CHUNK_SPAN, bucket_rows: int = 100_000) -> DataFrame:
+                      chunk_span: int = DEFAULT_CHUNK_SPAN, bucket_rows: int = 100_000,
+                      max_ms: int | None = None) -> DataFrame:
     """Each EXIT duration against the mean and sample deviation of the
     previous ``k`` EXITs of the same method.
 
     Positions come from a chunked running count.  A method is cut into buckets
     of ``bucket_rows`` positions (``k`` at least), each of which also gets the
     last ``k`` rows of the one before, so a plain trailing window per bucket is
-    exact and no method is processed by one task.
+    exact and no method is processed by one task.  ``max_ms`` leaves longer
+    durations out (``cut_durations`` counts them); by default all take part.
     """
     size = max(int(bucket_rows), k)
-    e = df.where((F.col("type") == "EXIT") & F.col("duration_ms").isNotNull()
-                 & (F.col("duration_ms") <= EPOCH_SIZED_MS)).select(
+    e = timed_exits(df, max_ms).select(
         F.struct("class_name", "method").alias("__key"),  # a struct is a key that is never null itself
         "seq", F.col("duration_ms").cast("double").alias("x"), F.lit(1).cast("bigint").alias("__one"))
     a = running_sum(e, ["__key"], "seq", "__one", chunk_span=chunk_span, out="pos")

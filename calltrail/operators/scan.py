@@ -1,5 +1,5 @@
-"""Chunked ordered scans: running sums / minima and previous / next rows
-within a key, computed without sending a whole key to one task.
+"""Chunked ordered scans: running sums and minima within a key, computed
+without sending a whole key to one task.
 
 A plain ``Window.partitionBy(key).orderBy(seq)`` puts every row of a key in
 one task.  Here each key is cut into chunks of the ordering column
@@ -8,6 +8,10 @@ a small per-(key, chunk) summary is scanned in chunk order, and the summary
 is joined back.  The result equals the plain window exactly.  The summary
 has one row per (key, chunk), so even a key holding a third of all rows
 spreads over ``rows / chunk_span`` tasks.
+
+The rows and their summary are two branches over one input.  Nothing is cached:
+the plan is the same at every size, the summary's branch reads only the columns
+it needs, and exchanges that come out equal are reused by Spark.
 """
 
 from __future__ import annotations
@@ -17,142 +21,60 @@ from pyspark.sql import functions as F
 
 DEFAULT_CHUNK_SPAN = 1 << 20
 
-# How a frame read by two branches of one plan (a fork) is handled:
-#   "AUTO"            keep it (spillable cache) only when Catalyst's size
-#                     estimate says it is large, else recompute each branch
-#   "MEMORY_AND_DISK" always keep it (rebuilt from lineage if an executor dies)
-#   "CHECKPOINT"      reliable copy in spark.checkpoint.dir (cuts lineage)
-#   "NONE"            always recompute
-FORK_STORAGE = "AUTO"
-FORK_MIN_BYTES = 256 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's plan-time size estimate (no job runs)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
-
-
-def fork(df: DataFrame) -> DataFrame:
-    """Mark ``df`` as read by several branches (see ``FORK_STORAGE``).
-
-    Recomputing a small fork is cheaper than caching it; a large one would
-    be scanned and shuffled once per branch, so it is kept instead.
-    """
-    mode = FORK_STORAGE.upper()
-    if mode == "AUTO":
-        size = estimated_bytes(df)
-        mode = "MEMORY_AND_DISK" if size is None or size >= FORK_MIN_BYTES else "NONE"
-    if mode == "NONE":
-        return df
-    if mode == "CHECKPOINT":
-        from calltrail.session import checkpoint_dir
-        checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    from pyspark import StorageLevel
-    return df.persist(getattr(StorageLevel, mode))
-
 
 def _chunk(order: str, chunk_span: int) -> Column:
     return F.floor(F.col(order) / F.lit(int(chunk_span))).cast("bigint")
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value,
-                chunk_span: int = DEFAULT_CHUNK_SPAN, out="run",
-                floor_out: str | None = None, keep_chunk: bool = False) -> DataFrame:
-    """Inclusive running ``sum(value)`` per key in ``order``.
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str,
+                chunk_span: int = DEFAULT_CHUNK_SPAN, out: str = "run") -> DataFrame:
+    """Inclusive running ``sum(value)`` per key in ``order``, as ``out``.
 
-    ``value`` / ``out`` may be lists to compute several sums in one pass.
-    With ``floor_out`` (single value only) also ``least(0, min(run) over
-    strictly earlier rows)``: the lowest balance reached before each row,
-    never above 0.  ``keys`` must be non-null; ``order`` unique within a key.
-    ``keep_chunk`` keeps the ``__chunk`` column: a following scan over the
-    same keys (plus more) then reuses this pass's partitioning, no shuffle.
+    ``keys`` must be non-null; ``order`` unique within a key.
     """
-    values = [value] if isinstance(value, str) else list(value)
-    outs = [out] if isinstance(out, str) else list(out)
-    if floor_out and len(values) != 1:
-        raise ValueError("floor_out needs a single value column")
     ck = "__chunk"
     d = df.withColumn(ck, _chunk(order, chunk_span))
     w = Window.partitionBy(*keys, ck).orderBy(order)
-    frame = w.rowsBetween(Window.unboundedPreceding, 0)
-    local = d.withColumns({f"__lrun{i}": F.sum(v).over(frame) for i, v in enumerate(values)})
-    tots = [F.sum(v).alias(f"__tot{i}") for i, v in enumerate(values)]
-    if floor_out:
-        local = local.withColumn("__lmin_prev",
-                                 F.min("__lrun0").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-        # the floor needs each chunk's lowest prefix: summarise the windowed rows
-        local = fork(local)
-        summ = local.groupBy(*keys, ck).agg(*tots, F.min("__lrun0").alias("__mn"))
-    else:
-        # totals only: partial aggregation straight from the input
-        summ = d.groupBy(*keys, ck).agg(*tots)
-    ws = Window.partitionBy(*keys).orderBy(ck)
-    before = ws.rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.withColumns({f"__off{i}": F.coalesce(F.sum(f"__tot{i}").over(before), F.lit(0))
-                             for i in range(len(values))})
-    cols = [*keys, ck] + [f"__off{i}" for i in range(len(values))]
-    if floor_out:
-        summ = summ.withColumn("__pmin", F.min(F.col("__off0") + F.col("__mn")).over(before))
-        cols.append("__pmin")
-    joined = local.join(summ.select(*cols), [*keys, ck], "inner")
-    res = joined.withColumns({o: (F.col(f"__off{i}") + F.col(f"__lrun{i}")).cast(
-        "bigint" if dict(df.dtypes)[values[i]] in ("bigint", "int", "smallint", "tinyint") else "double")
-        for i, o in enumerate(outs)})
-    drop = ([] if keep_chunk else [ck]) + [f"__lrun{i}" for i in range(len(values))] \
-        + [f"__off{i}" for i in range(len(values))]
-    if floor_out:
-        res = res.withColumn(floor_out, F.least(
-            F.lit(0), F.coalesce(F.col("__pmin"), F.lit(0)),
-            F.coalesce(F.col("__off0") + F.col("__lmin_prev"), F.lit(0))).cast("bigint"))
-        drop += ["__lmin_prev", "__pmin"]
-    return res.drop(*drop)
-
-
-def neighbours(df: DataFrame, keys: list[str], order: str, cols: list[str],
-               chunk_span: int = DEFAULT_CHUNK_SPAN, prev: bool = True,
-               nxt: bool = True) -> DataFrame:
-    """``lag`` / ``lead`` by one row per key in ``order`` for ``cols``.
-
-    Adds ``prev_<c>`` / ``next_<c>`` for ``c`` in ``[order] + cols``.  The
-    first row of a chunk takes the last row of the nearest earlier non-empty
-    chunk of the same key (and symmetrically for ``next``).
+    local = d.withColumn("__run", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy(*keys).orderBy(ck).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (d.groupBy(*keys, ck).agg(F.sum(value).alias("__total"))  # partial sums straight from the input
+               .select(*keys, ck, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start")))
+    whole = dict(df.dtypes)[value] in ("bigint", "int", "smallint", "tinyint")
+    return (local.join(starts, [*keys, ck])
+                 .withColumn(out, (F.col("__start") + F.col("__run")).cast("bigint" if whole else "double"))
+                 .drop(ck, "__run", "__start"))
+
+
+def running_balance(df: DataFrame, keys: list[str], order: str, step: str,
+                    chunk_span: int = DEFAULT_CHUNK_SPAN) -> DataFrame:
+    """Running balance of ``step`` per key in ``order``, seen both ways.  Adds
+
+    ``bal``        the balance after the row,
+    ``floor``      ``least(0, lowest balance after any earlier row)``,
+    ``later_min``  the lowest balance after any later row (null: none),
+    ``__chunk``    the row's chunk; rows stay partitioned by (keys, chunk), so
+                   windows per (keys, chunk, more) need no further shuffle.
     """
     ck = "__chunk"
-    allc = [order] + [c for c in cols if c != order]
-    d = fork(df)
-    if ck not in d.columns:  # else: chunks of an earlier scan with the same span
-        d = d.withColumn(ck, _chunk(order, chunk_span))
-    w = Window.partitionBy(*keys, ck).orderBy(order)
-    row = F.struct(*[F.col(c) for c in allc])
-    local = d.withColumn("__row", row)
-    if prev:
-        local = local.withColumn("__lp", F.lag("__row").over(w))
-    if nxt:
-        local = local.withColumn("__ln", F.lead("__row").over(w))
-    # first / last row per chunk straight from the input (partial aggregation)
-    summ = (d.withColumn("__row", row).groupBy(*keys, ck)
-             .agg(F.min_by("__row", F.col(order)).alias("__first"),
-                  F.max_by("__row", F.col(order)).alias("__last")))
-    ws = Window.partitionBy(*keys).orderBy(ck)
-    sel = [*keys, ck]
-    if prev:
-        summ = summ.withColumn("__cp", F.lag("__last").over(ws))
-        sel.append("__cp")
-    if nxt:
-        summ = summ.withColumn("__cn", F.lead("__first").over(ws))
-        sel.append("__cn")
-    joined = local.join(summ.select(*sel), [*keys, ck], "inner")
-    new = {}
-    if prev:
-        p = F.coalesce(F.col("__lp"), F.col("__cp"))
-        for c in allc:
-            new[f"prev_{c}"] = p[c]
-    if nxt:
-        n = F.coalesce(F.col("__ln"), F.col("__cn"))
-        for c in allc:
-            new[f"next_{c}"] = n[c]
-    return joined.withColumns(new).drop("__row", "__lp", "__ln", "__cp", "__cn", ck)
+    d = df.withColumn(ck, _chunk(order, chunk_span))
+    w = Window.partitionBy(*keys, ck)
+    up_to, behind = w.orderBy(order), w.orderBy(F.col(order).desc())
+    earlier = (Window.unboundedPreceding, -1)
+    local = d.withColumn("__run", F.sum(step).over(up_to.rowsBetween(Window.unboundedPreceding, 0)))
+    # one row per (key, chunk): where the chunk ends and its lowest balance
+    ends = local.groupBy(*keys, ck).agg(F.sum(step).alias("__total"), F.min("__run").alias("__low"))
+    k = Window.partitionBy(*keys)
+    ends = ends.withColumn("__start", F.coalesce(F.sum("__total").over(k.orderBy(ck).rowsBetween(*earlier)), F.lit(0)))
+    low = F.col("__start") + F.col("__low")
+    ends = ends.select(*keys, ck, "__start", F.min(low).over(k.orderBy(ck).rowsBetween(*earlier)).alias("__low_before"),
+                       F.min(low).over(k.orderBy(F.col(ck).desc()).rowsBetween(*earlier)).alias("__low_after"))
+    seen = local.withColumns({"__least_before": F.min("__run").over(up_to.rowsBetween(*earlier)),
+                              "__least_after": F.min("__run").over(behind.rowsBetween(*earlier))})
+    start = F.col("__start")
+    return (seen.join(ends, [*keys, ck])
+                .withColumns({
+                    "bal": (start + F.col("__run")).cast("bigint"),
+                    # least() skips nulls
+                    "floor": F.least(F.lit(0), F.col("__low_before"), start + F.col("__least_before")).cast("bigint"),
+                    "later_min": F.least(F.col("__low_after"), start + F.col("__least_after")).cast("bigint")})
+                .drop("__run", "__start", "__low_before", "__low_after", "__least_before", "__least_after"))

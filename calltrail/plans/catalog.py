@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from calltrail import schema as S
 from calltrail.functions import masking as M
@@ -318,138 +317,43 @@ QUERIES = {
 # --- governance and sources -------------------------------------------------
 
 from calltrail.operators import governance as G  # noqa: E402
+from calltrail.plans import stored  # noqa: E402
+from calltrail.plans.stored import batch_texts, log_lines, textify  # noqa: E402
 from calltrail.sources import batches as B  # noqa: E402
 from calltrail.sources import logs as LG  # noqa: E402
 
 
-def _textify(df: DataFrame) -> DataFrame:
-    """Maps as JSON text, arrays joined by newlines (for the value hash)."""
-    out = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.MapType):
-            out.append(F.to_json(f.name).alias(f.name))
-        elif isinstance(f.dataType, T.ArrayType):
-            out.append(F.array_join(f.name, "\n").alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return df.select(*out)
-
-
 def q_erase_user(spark, sf_dir):
     """D1 on a DataFrame: rows left after erasing one user."""
     return G.erase_user(trace(spark, sf_dir), ERASE_USER).select("seq", "user_id")
 
 
-def _with_resent(t: DataFrame) -> DataFrame:
-    # Stand-in input: the react-native clients' events stored twice (their
-    # POST replies were lost and the batches retried; the copies get new ids).
-    resent = t.where(F.col("platform") == "react-native").withColumn(
-        "seq", F.col("seq") + F.lit(1_000_000_000))
-    return t.unionByName(resent)
-
-
-def q_drop_repeats(spark, sf_dir):
-    """Exact repeats from retried batches: first seq and copy count."""
-    return G.repeats(_with_resent(trace(spark, sf_dir)))
-
-
-def _requests(t: DataFrame) -> DataFrame:
-    src = F.coalesce(F.col("device_id"), R.device_group_label())
-    return (t.withColumns({"batch_id": (F.col("seq") / BATCH).cast("bigint"), "source": src})
-             .groupBy("batch_id", "source")
-             .agg(F.min("ts").alias("ts"), F.min_by("app_id", F.col("seq")).alias("token")))
-
-
-def q_quota_audit(spark, sf_dir):
-    """D3: ingest requests per 60 s bucket per source and per token."""
-    return G.quota_audit(_requests(trace(spark, sf_dir)), "source", "token", "ts")
-
-
-def _batch_texts(t: DataFrame) -> DataFrame:
-    # Stand-in input: each run of 50 events rendered as one JSON array body.
-    a = (t.withColumn("batch_id", (F.col("seq") / BATCH).cast("bigint"))
-          .groupBy("batch_id")
-          .agg(F.array_sort(F.collect_list(F.struct("seq", B.wire_json().alias("j")))).alias("a")))
-    return a.select("batch_id", F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["j"]), ","),
-                                         F.lit("]")).alias("value"))
-
-
 def q_decode_batch(spark, sf_dir):
     """Decode JSON-array batch bodies (rendered from the view)."""
-    ev, _rej = B.decode_batches(_batch_texts(trace(spark, sf_dir)))
-    return _textify(ev)
-
-
-def _log_lines(t: DataFrame) -> DataFrame:
-    # Stand-in input: a device log with a human line and a JSON line per event.
-    stamp = F.concat(F.date_format(R.epoch_ms_ntz("ts"), "MM-dd HH:mm:ss.SSS"), F.lit("  1234  "),
-                     F.col("thread_id").cast("string"), F.lit(" D "))
-    human = F.concat(stamp, R.log_tag(), F.lit(": "), F.split(R.log_line(), "\n").getItem(0))
-    js = F.concat(stamp, F.lit(R.JSON_LOG_TAG), F.lit(": "), B.wire_json())
-    return t.select(F.explode(F.array(
-        F.struct((F.col("seq") * 2).alias("line_no"), human.alias("value")),
-        F.struct((F.col("seq") * 2 + 1).alias("line_no"), js.alias("value")))).alias("l")
-    ).select("l.line_no", "l.value")
+    ev, _rej = B.decode_batches(batch_texts(trace(spark, sf_dir)))
+    return textify(ev)
 
 
 def q_decode_log(spark, sf_dir):
     """S3: decode a device log (rendered from the view)."""
-    cand = LG.logcat_candidates(_log_lines(trace(spark, sf_dir)), "value", "line_no")
-    return _textify(LG.events_of(cand).drop("source"))
+    cand = LG.logcat_candidates(log_lines(trace(spark, sf_dir)), "value", "line_no")
+    return textify(LG.events_of(cand).drop("source"))
 
 
 def q_load_report(spark, sf_dir):
     """Loaded / skipped counts of that device log."""
-    cand = LG.logcat_candidates(_log_lines(trace(spark, sf_dir)), "value", "line_no")
+    cand = LG.logcat_candidates(log_lines(trace(spark, sf_dir)), "value", "line_no")
     return LG.load_report(cand)
 
 
 QUERIES.update({
     "erase_user": q_erase_user,
-    "drop_repeats": q_drop_repeats,
-    "quota_audit": q_quota_audit,
     "decode_batch": q_decode_batch,
     "decode_log": q_decode_log,
     "load_report": q_load_report,
 })
 
 
-# --- streaming ----------------------------------------------------------------
-
-from calltrail.streaming import live as LV  # noqa: E402
-from calltrail.streaming.runner import run_append, run_update, scratch  # noqa: E402
-from calltrail.traceview import stream_trace  # noqa: E402
-
-
-def q_live_stats(spark, sf_dir):
-    """T5: A2 maintained by a stream over the events files (update mode)."""
-    s = stream_trace(spark, sf_dir)
-    return run_update(spark, LV.live_stats(s), "live-stats", ["kind", "key"])
-
-
-def q_live_pairs(spark, sf_dir):
-    """Calls paired as their EXIT arrives (stateful stream)."""
-    s = stream_trace(spark, sf_dir)
-    out = run_append(spark, LV.live_pairs(s, "thread"), "live-pairs")
-    return out.where(F.col("kind") == "pair").select("scope", "class_name", "method", "enter_seq", "exit_seq")
-
-
-def q_live_quota(spark, sf_dir):
-    """Quota windows over a stream of ingest requests (update mode)."""
-    path = scratch(spark, "requests")
-    _requests(trace(spark, sf_dir)).write.parquet(path)
-    req = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    s = LV.live_quota(req, "source", "token")
-    return run_update(spark, s, "live-quota", ["kind", "key", "window_start"])
-
-
-QUERIES.update({
-    "live_stats": q_live_stats,
-    "live_pairs": q_live_pairs,
-    "live_quota": q_live_quota,
-})
-
-
 # --- insights ------------------------------------------------------------------
 
 from calltrail.operators import insights as IN  # noqa: E402
@@ -507,11 +411,6 @@ def q_demap(spark, sf_dir):
     return d.select("seq", F.array_join("stack", "\n").alias("stack"), "mapped")
 
 
-def q_anomalies(spark, sf_dir):
-    """EXIT durations against the previous 20 of the same method."""
-    return IN.latency_anomalies(trace(spark, sf_dir), k=20)
-
-
 QUERIES.update({
     "issues": q_issues,
     "alerts": q_alerts,
@@ -521,13 +420,13 @@ QUERIES.update({
     "timeline": q_timeline,
     "retention": q_retention,
     "demap": q_demap,
-    "anomalies": q_anomalies,
 })
 
 
 # --- store round trip, views, live notices ------------------------------------
 
 from calltrail.sources import store as ST  # noqa: E402
+from calltrail.streaming.runner import scratch  # noqa: E402
 
 STORE_SINCE = 1704844800000  # 2024-01-10T00:00:00Z
 STORE_UNTIL = 1705449600000  # 2024-01-17T00:00:00Z
@@ -537,7 +436,7 @@ def q_store_page(spark, sf_dir):
     """S8 + S9 + F1 + L1: the view appended to a day-partitioned store, read
     back with schema evolution, queried with day-partition pruning, paged."""
     table = scratch(spark, "store")
-    ST.append_events(trace(spark, sf_dir), table)
+    ST.append_events(trace(spark, sf_dir), table, load_id=1)
     ev = ST.read_events(spark, table)
     f = FL.store_query(ev, since=STORE_SINCE, until=STORE_UNTIL, platform="react-native")
     return PG.page(f, limit=250).select("seq", "ts", "type", "app_id", "page_pos", "next_cursor",
@@ -550,60 +449,10 @@ def q_sort_view(spark, sf_dir):
     return PG.sort_view(t, "detail")
 
 
-def q_unknown_types(spark, sf_dir):
-    """rows a viewer drops because their type is not one of the four."""
-    return FL.unknown_type_count(trace(spark, sf_dir))
-
-
-def q_live_apps(spark, sf_dir):
-    """T5: A3 maintained by a stream (update mode)."""
-    s = stream_trace(spark, sf_dir)
-    out = run_update(spark, LV.live_apps(s), "live-apps", ["app_id"])
-    return out.select("app_id", "event_count", "last_seen", F.array_join("platforms", ",").alias("platforms"))
-
-
-def q_live_labels(spark, sf_dir):
-    """One notice per new device label / manufacturer (stream)."""
-    s = stream_trace(spark, sf_dir)
-    out = run_append(spark, LV.new_labels(s), "live-labels")
-    return out.select("kind", "value")
-
-
-def q_latency_approx(spark, sf_dir):
-    """R3 with bounded-memory sketches (percentile_approx)."""
-    return IN.latency(trace(spark, sf_dir), exact=False)
-
-
 QUERIES.update({
     "store_page": q_store_page,
     "sort_view": q_sort_view,
-    "unknown_types": q_unknown_types,
-    "live_apps": q_live_apps,
-    "live_labels": q_live_labels,
-    "latency_approx": q_latency_approx,
 })
 
 
-def q_live_alerts(spark, sf_dir):
-    """R2 on a stream: CATCH counts per app in sliding windows (update mode)."""
-    s = stream_trace(spark, sf_dir)
-    return run_update(spark, LV.live_alerts(s, threshold=10), "live-alerts", ["app_id", "window_start"])
-
-
-def q_live_dedupe(spark, sf_dir):
-    """D4 on a stream: retried batches arrive as a second file; repeats are
-    dropped within the watermark."""
-    base = scratch(spark, "resent")
-    t = trace(spark, sf_dir)
-    t.write.parquet(f"{base}/in/part=0")
-    _with_resent(t).where(F.col("seq") >= F.lit(1_000_000_000)).write.parquet(f"{base}/in/part=1")
-    schema = spark.read.parquet(f"{base}/in/part=0").schema
-    s = spark.readStream.schema(schema).parquet(f"{base}/in/part=*")
-    out = run_append(spark, LV.drop_repeats_live(s, watermark="1 day"), "live-dedupe")
-    return out.select("ts", "type", "class_name", "method", "user_id")
-
-
-QUERIES.update({
-    "live_alerts": q_live_alerts,
-    "live_dedupe": q_live_dedupe,
-})
+QUERIES.update(stored.QUERIES)

@@ -446,3 +446,84 @@ UNION ALL SELECT DISTINCT 'manufacturer', device_manufacturer FROM trace WHERE c
 
 ORACLE["live_alerts"] = ORACLE["alerts"]
 ORACLE["live_dedupe"] = q("SELECT DISTINCT ts, type, class_name, method, user_id FROM trace")
+
+
+# --- files, the store and streams -------------------------------------------------
+
+ORACLE["bodies"] = q("""
+SELECT batch, CAST(row_number() OVER (PARTITION BY batch ORDER BY seq) - 1 AS INTEGER) AS pos, type, class_name,
+  method, ts, CAST(NULL AS VARCHAR) AS reason FROM b WHERE batch % 7 NOT IN (3, 5, 6)
+UNION ALL SELECT DISTINCT batch, CAST(NULL AS INTEGER), NULL, NULL, NULL, CAST(NULL AS BIGINT), CASE batch % 7
+  WHEN 3 THEN 'not a JSON array' WHEN 5 THEN 'undecodable event' ELSE 'malformed JSON' END
+FROM b WHERE batch % 7 IN (3, 5, 6)""", ", b AS (SELECT *, CAST(seq // 100 AS BIGINT) AS batch FROM trace)")
+
+ORACLE["pages"] = q("""SELECT CAST(seq // 100 AS BIGINT) AS page,
+  CAST(row_number() OVER (PARTITION BY seq // 100 ORDER BY seq) - 1 AS BIGINT) AS pos, type, class_name, method, ts
+FROM trace WHERE (seq // 100) % 9 <> 4""")
+ORACLE["session"] = q(f"SELECT {TEXT_STORE} FROM trace")
+ORACLE["session_compat"] = q("""SELECT type, class_name, method, file, line, thread_id, thread_name, ts,
+  device_manufacturer, device_model, tag, CAST(NULL AS VARCHAR) AS params, result, duration_ms, exception, message,
+  try_start_line, condition_result FROM trace""")
+ORACLE["read_any"] = q("""SELECT CASE WHEN seq % 2 = 0 THEN 'session' ELSE 'log' END AS kind, type, class_name,
+  method, ts FROM trace""")
+ORACLE["log_stream"] = q("SELECT type, class_name, method, ts FROM trace")
+ORACLE["params_text"] = q("""SELECT seq, CAST(line AS VARCHAR) AS n, 'true' AS b, 'null' AS z, '{"a":[1,2]}' AS o,
+  class_name AS s FROM trace""")
+
+ORACLE["store_erase"] = q(f"""SELECT seq, user_id,
+  (SELECT CAST(count(*) AS BIGINT) FROM trace WHERE user_id = '{ERASE_USER}') AS erased
+FROM trace WHERE user_id IS DISTINCT FROM '{ERASE_USER}'""")
+ORACLE["store_clear"] = q("""SELECT CAST(count(*) AS BIGINT) AS cleared,
+  CAST(count(*) FILTER (WHERE type = 'CATCH') AS BIGINT) AS rows FROM trace""")
+ORACLE["store_retention"] = ORACLE["retention"]
+ORACLE["store_evolution"] = q("SELECT seq, type, tag, " + ", ".join(
+    f"CASE WHEN seq % 2 = 1 THEN {c} END AS {c}" for c in ("platform", "app_id", "session_id", "is_minified"))
+    + " FROM trace")
+ORACLE["ingest"] = q(f"""
+SELECT ts, type, class_name, method, user_id, {mask('message')} AS message, CAST(NULL AS VARCHAR) AS reason
+FROM b WHERE batch % 7 NOT IN (3, 5, 6)
+UNION ALL SELECT CAST(NULL AS BIGINT), NULL, NULL, NULL, NULL, NULL, reason FROM (
+  SELECT DISTINCT batch, CASE batch % 7 WHEN 3 THEN 'not a JSON array' WHEN 5 THEN 'undecodable event'
+    ELSE 'malformed JSON' END AS reason FROM b WHERE batch % 7 IN (3, 5, 6))""",
+                     ", b AS (SELECT *, CAST(seq // 100 AS BIGINT) AS batch FROM trace)")
+
+LOADS = f""", a AS (SELECT *, CASE WHEN thread_id IS NULL OR thread_id NOT IN (1, 2) THEN 2
+  WHEN seq < (SELECT max(seq) // 2 FROM trace) THEN 0 ELSE 1 END AS load FROM trace),
+f AS (SELECT seq, ts, type, load FROM a WHERE app_id = '{APP}' AND ts > 0)"""
+ORACLE["follow"] = q("SELECT seq, ts, type FROM f", LOADS)
+ORACLE["follow_compat"] = q("""SELECT seq, ts, type FROM f
+WHERE ts > coalesce((SELECT max(g.ts) FROM f g WHERE g.load < f.load), -1)""", LOADS)
+
+# --- rules on rows that meet them ----------------------------------------------------
+
+ORACLE["unknown_types"] = q("""SELECT CAST(count(*) FILTER (WHERE seq % 10 IN (0, 1)
+  OR type NOT IN ('ENTER', 'EXIT', 'CATCH', 'BRANCH')) AS BIGINT) AS dropped FROM trace""")
+ORACLE["regex_literal"] = q("""SELECT seq, class_name || '(1)' AS class_name FROM trace
+WHERE seq % 3 = 0 AND contains(lower(class_name), 'cart')
+  AND lower(class_name) LIKE '%cart'""")
+ORACLE["noise_builtin"] = q(
+    "SELECT seq, class_name, method FROM n WHERE NOT ("
+    + " OR ".join(f"contains(class_name, '{f}')" for f in NOISE if f != "Repository")
+    + " OR method = '<clinit>' OR regexp_matches(method, '^[gs]et\\p{Lu}'))",
+    """, n AS (SELECT seq, CASE seq % 6 WHEN 0 THEN 'Hilt_' || class_name WHEN 1 THEN class_name || '_Factory'
+    ELSE class_name END AS class_name, CASE seq % 6 WHEN 2 THEN '<clinit>'
+    WHEN 3 THEN 'get' || upper(left(method, 1)) || lower(substr(method, 2))
+    WHEN 4 THEN 'get' || method ELSE method END AS method FROM trace)""")
+
+ORACLE["repeats"] = ORACLE["drop_repeats"]
+ORACLE["drop_repeats"] = ORACLE["repeats"].replace(
+    "SELECT min(seq) AS seq, CAST(count(*) AS BIGINT) AS copies", "SELECT min(seq) AS seq, ts, type")
+ORACLE["quota_audit"] = ORACLE["quota_audit"].replace(
+    "600 AS", "2 AS").replace("> 600", "> 2").replace("10000,", "2,").replace("> 10000", "> 2")
+ORACLE["live_quota"] = ORACLE["quota_audit"]
+
+UNEVEN = """SELECT * REPLACE (CASE seq % 97 WHEN 5 THEN duration_ms * 50 WHEN 6 THEN duration_ms + 1700000000000
+  ELSE duration_ms END AS duration_ms) FROM trace"""
+ORACLE["anomalies"] = ORACLE["anomalies"].replace("FROM trace WHERE type", f"FROM ({UNEVEN}) WHERE type")
+ORACLE["latency_cut"] = q(f"""SELECT class_name, method, CAST(count(*) AS BIGINT) AS n,
+  CAST(count(*) FILTER (WHERE duration_ms > 100000000000) AS BIGINT) AS cut
+FROM ({UNEVEN}) WHERE type = 'EXIT' AND duration_ms IS NOT NULL GROUP BY class_name, method""")
+ORACLE["latency_approx"] = q("""SELECT class_name, method, CAST(count(*) AS BIGINT) AS n, true AS p50_ok,
+  true AS p95_ok, true AS p99_ok
+FROM trace WHERE type = 'EXIT' AND duration_ms IS NOT NULL AND duration_ms <= 100000000000
+GROUP BY class_name, method""")

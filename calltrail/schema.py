@@ -64,10 +64,6 @@ EVENT = T.StructType(
     + [T.StructField(s, t, True) for _, s, t, _ in FIELDS]
 )
 
-# Wire shape: every scalar decoded as text first (lenient numbers), nested
-# values kept as their JSON text so params/stack can be typed afterwards.
-WIRE_TEXT = T.StructType([T.StructField(w, T.StringType(), True) for w, _, _, _ in FIELDS])
-
 
 def _typed(name: str, c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):

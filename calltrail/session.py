@@ -44,14 +44,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage and staged rewrites.
 
-    Read from ``spark.checkpoint.dir`` (set by the cluster); only when it is
-    unset (local tests) a scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (set by the cluster).  Where it is unset
+    a local master (tests) gets a scratch folder; on a cluster, whose machines
+    do not share one, that is an error.
     """
     d = spark.sparkContext.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:  # unset (local tests): a scratch folder of our own
+    if not d:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         d = tempfile.mkdtemp(prefix="calltrail-ckpt-")
     # spark.checkpoint.dir is a core setting that cannot change at run time;
     # the context's checkpoint folder can.

@@ -63,35 +63,53 @@ def _field_ok(m: Column, wire: str, dtype: T.DataType) -> Column:
     return ~bad
 
 
-def decode_batches(texts: DataFrame, id_col: str = "batch_id", text_col: str = "value"):
-    """S1 on a frame of (batch id, body text) rows -> (events, rejected).
+def decode_rows(texts: DataFrame, id_col: str = "batch_id", text_col: str = "value") -> DataFrame:
+    """S1 on (batch id, body text) rows, judged in one pass.
 
-    ``events``: store columns + ``batch_id`` + ``pos`` (index in the batch).
-    ``rejected``: ``batch_id``, ``reason`` for every batch refused whole.
+    One row per event of an accepted batch (``batch_id``, ``pos`` = index in the
+    batch, store columns, ``reason`` null) and one row per batch refused
+    whole (``reason`` set, the event columns without meaning).  A batch that already has a
+    ``reason`` (S2) keeps it.
 
     A batch stays one row while it is judged (``forall`` over its parsed
     elements, so no shuffle); accepted batches are exploded and typed with
     plain, code-generated column expressions.
     """
+    given = F.col("reason") if "reason" in texts.columns else F.lit(None).cast("string")
     t = F.regexp_replace(F.col(text_col), r"^\s+|\s+$", "")
     shaped = t.startswith("[") & t.endswith("]")
-    parsed = texts.select(F.col(id_col).alias("batch_id"), shaped.alias("__shaped"),
+    parsed = texts.select(F.col(id_col).alias("batch_id"), given.alias("__given"), shaped.alias("__shaped"),
                           F.when(shaped, F.from_json(F.col(text_col), _ELEMS)).alias("__arr"))
     all_ok = F.forall("__arr", lambda e: F.when(e.isNull(), F.lit(False)).otherwise(_all_fields_ok(e)))
     judged = parsed.withColumn(
         "reason",
-        F.when(~F.col("__shaped"), F.lit("not a JSON array"))
+        F.when(F.col("__given").isNotNull(), F.col("__given"))
+         .when(~F.col("__shaped"), F.lit("not a JSON array"))
          .when(F.col("__arr").isNull(), F.lit("malformed JSON"))
          .when(~all_ok, F.lit("undecodable event")))
-    rejected = judged.where(F.col("reason").isNotNull()).select("batch_id", "reason")
-    good = judged.where(F.col("reason").isNull()).select("batch_id", F.posexplode("__arr").alias("pos", "__e"))
+    rows = judged.select("batch_id", "reason", F.posexplode_outer(
+        F.when(F.col("reason").isNull(), F.col("__arr"))).alias("pos", "__e"))
+    rows = rows.where(F.col("pos").isNotNull() | F.col("reason").isNotNull())  # an empty batch has no rows
     cols = [F.col("batch_id"), F.col("pos").cast("int").alias("pos")]
     for w, s_, dt, d in FIELDS:
         c = _typed_field(F.col("__e"), w, dt)
         if d is not None:
             c = F.coalesce(c, F.lit(d).cast(dt))
         cols.append(c.alias(s_))
-    return good.select(*cols), rejected
+    return rows.select(*cols, "reason")
+
+
+def split_rows(rows: DataFrame):
+    """Judged rows (``decode_rows``) -> (events, rejected batches)."""
+    refused = F.col("reason").isNotNull()
+    return rows.where(~refused).drop("reason"), rows.where(refused).select("batch_id", "reason")
+
+
+def decode_batches(texts: DataFrame, id_col: str = "batch_id", text_col: str = "value"):
+    """S1 -> (events, rejected): ``decode_rows``, split.  The two frames are
+    plans over the same source; to read it once, write ``decode_rows`` and
+    split what was written."""
+    return split_rows(decode_rows(texts, id_col, text_col))
 
 
 def _can_fail(wire: str, dtype: T.DataType) -> bool:
@@ -107,58 +125,54 @@ def _all_fields_ok(e: Column) -> Column:
     return ok
 
 
-def read_batches(spark: SparkSession, path: str, raw: bool = False):
-    """S1 (+ S2 with ``raw``): one file = one batch -> (events, rejected).
+def read_batch_rows(spark: SparkSession, path: str, max_raw: int = MAX_RAW_BYTES,
+                    max_inflated: int = MAX_INFLATED_BYTES) -> DataFrame:
+    """S1 + S2: one file = one batch, as judged rows (``decode_rows``)."""
+    return decode_rows(bodies_of(spark.read.format("binaryFile").load(path), max_raw, max_inflated))
 
-    ``raw=False`` reads text files (``.gz`` inflated by the codec).
-    ``raw=True`` reads bytes, refuses bodies over 5 MB, inflates gzip bodies
-    recognised by the ``1f 8b`` magic (any extension) up to 50 MB.
-    """
-    if not raw:
-        texts = (spark.read.text(path, wholetext=True)
-                      .select(F.col("_metadata.file_path").alias("batch_id"), "value"))
-        return decode_batches(texts)
-    bodies, too_big = read_bodies(spark, path)
-    events, rejected = decode_batches(bodies.where(F.col("reason").isNull()).select("batch_id", "value"))
-    rejected = rejected.unionByName(bodies.where(F.col("reason").isNotNull()).select("batch_id", "reason"))
-    return events, rejected.unionByName(too_big)
+
+def read_batches(spark: SparkSession, path: str, max_raw: int = MAX_RAW_BYTES,
+                 max_inflated: int = MAX_INFLATED_BYTES):
+    """S1 + S2: one file = one batch -> (events, rejected)."""
+    return split_rows(read_batch_rows(spark, path, max_raw, max_inflated))
 
 
-def _inflate(batches):
+def inflate(data: bytes, max_inflated: int):
+    """A body's text, or the reason it is refused.  Gzip is known by its ``1f 8b``
+    magic; a gzip body may have several members and must be whole."""
     import zlib
 
-    import pandas as pd
-    for b in batches:
-        texts, reasons = [], []
-        for content in b["content"]:
-            data = bytes(content)
-            reason = None
-            if len(data) >= 2 and data[0] == 0x1F and data[1] == 0x8B:
-                out, rest = b"", data
-                try:
-                    while rest:  # a gzip body may have several members
-                        d = zlib.decompressobj(16 + zlib.MAX_WBITS)
-                        out += d.decompress(rest, MAX_INFLATED_BYTES + 1 - len(out))
-                        if len(out) > MAX_INFLATED_BYTES:
-                            reason = "inflated body over 50 MB"
-                            break
-                        if not d.eof:  # cut before its trailer
-                            reason = "bad gzip body"
-                            break
-                        rest = d.unused_data
-                except zlib.error:
-                    reason = "bad gzip body"
-                data = b"" if reason else out
-            texts.append(None if reason else data.decode("utf-8", errors="replace"))
-            reasons.append(reason)
-        yield pd.DataFrame({"batch_id": b["path"].values, "value": texts, "reason": reasons})
-
-
-def read_bodies(spark: SparkSession, path: str):
-    """Bodies as text (gzip by magic, size caps) -> (bodies, too_big)."""
-    files = spark.read.format("binaryFile").load(path)
-    too_big = (files.where(F.col("length") > MAX_RAW_BYTES)
-                    .select(F.col("path").alias("batch_id"), F.lit("raw body over 5 MB").alias("reason")))
-    ok = files.where(F.col("length") <= MAX_RAW_BYTES).select("path", "content")
-    bodies = ok.mapInPandas(_inflate, "batch_id string, value string, reason string")
-    return bodies, too_big
+    if data[:2] == b"\x1f\x8b":
+        out, rest = b"", data
+        try:
+            while rest:
+                d = zlib.decompressobj(16 + zlib.MAX_WBITS)
+                out += d.decompress(rest, max_inflated + 1 - len(out))
+                if len(out) > max_inflated:
+                    return None, f"inflated body over {max_inflated} bytes"
+                if not d.eof:  # cut before its trailer
+                    return None, "bad gzip body"
+                rest = d.unused_data
+        except zlib.error:
+            return None, "bad gzip body"
+        data = out
+    return data.decode("utf-8", errors="replace"), None
+
+
+def bodies_of(files: DataFrame, max_raw: int = MAX_RAW_BYTES, max_inflated: int = MAX_INFLATED_BYTES) -> DataFrame:
+    """S2 on a ``binaryFile`` frame or stream: one row per body (``batch_id``,
+    ``value`` text, ``reason`` if refused).  Bodies over ``max_raw`` bytes are
+    refused by their length alone; their content is not read."""
+    def step(batches):
+        import pandas as pd
+        for b in batches:
+            done = [inflate(bytes(c), max_inflated) for c in b["content"]]
+            yield pd.DataFrame({"batch_id": b["path"].values, "value": [v for v, _ in done],
+                                "reason": [r for _, r in done]})
+
+    fits = F.col("length") <= F.lit(int(max_raw))
+    ok = files.where(fits).select("path", "content").mapInPandas(
+        step, "batch_id string, value string, reason string")
+    too_big = files.where(~fits).select(F.col("path").alias("batch_id"), F.lit(None).cast("string").alias("value"),
+                                        F.lit(f"raw body over {int(max_raw)} bytes").alias("reason"))
+    return ok.unionByName(too_big)

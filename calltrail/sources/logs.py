@@ -4,7 +4,7 @@
 Each reader first builds *candidates* (one row per array element or per log
 line that mentions the JSON tag) with an ``ok`` flag; ``events`` are the ok
 rows and ``load_report`` counts both.  Everything is column expressions;
-a file is one row only for the array formats (S4, S6).
+a file is one row only for JSON arrays (S4, S5) and pages (S6).
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ _ARR = T.ArrayType(_MAP)
 _PAGE = T.StructType([T.StructField("events", _ARR, True)])
 
 
-def _event_cols(e: Column) -> tuple[list[Column], Column]:
+def _event_cols(e: Column, nulls_fail: bool = False) -> tuple[list[Column], Column]:
     """Store columns from a map of raw JSON values, and whether it is valid.
 
     Unknown types are not valid; a present value that does not decode
     (e.g. ``"line": "x"``, or a param whose value is an object or null) is
     not valid; missing values take their default (``ts`` 0, never "now").
+    An explicit null of a field with a default takes the default too (saved
+    sessions, pages), or is not valid with ``nulls_fail`` (device logs).
     """
     cols, ok = [], e.getItem("type").isin(EVENT_TYPES)
     for w, s, dt, d in FIELDS:
@@ -42,6 +44,8 @@ def _event_cols(e: Column) -> tuple[list[Column], Column]:
             c = raw.try_cast(dt)
             ok = ok & (raw.isNull() | (raw == "null") | c.isNotNull())
         if d is not None:
+            if nulls_fail:
+                ok = ok & ~(F.map_contains_key(e, F.lit(w)) & raw.isNull())
             c = F.coalesce(c, F.lit(d).cast(dt))
         cols.append(c.alias(s))
     return cols, F.coalesce(ok, F.lit(False))
@@ -62,7 +66,7 @@ def logcat_candidates(lines: DataFrame, text_col: str = "value", order_col: str
     is_json = F.contains(F.col("__v"), F.lit(JSON_LOG_TAG)) & (F.instr(F.col("__v"), "{") > 0)
     body = F.substring(F.col("__v"), F.instr(F.col("__v"), "{"), 1 << 30)
     e = F.when(is_json, F.from_json(body, _MAP))
-    cols, ok = _event_cols(F.col("__e"))
+    cols, ok = _event_cols(F.col("__e"), nulls_fail=True)
     return (base.withColumns({"__e": e, "__json": is_json})
                 .select("source", "seq", F.col("__json").alias("candidate"),
                         (F.col("__json") & F.col("__e").isNotNull() & ok).alias("ok"), *cols))
@@ -76,37 +80,80 @@ def read_logcat(spark: SparkSession, path: str):
     return events_of(cand), cand
 
 
-def session_candidates(texts: DataFrame, id_col: str = "source", text_col: str = "value") -> DataFrame:
-    """S4 candidates: one row per element of each file's JSON array, or per
-    line of a JSON-lines file (the lossless export of ``write_session``)."""
-    v = F.col(text_col)
-    as_array = F.regexp_replace(v, r"^\s+", "").startswith("[")
-    lines = F.filter(F.split(v, "\r?\n"), lambda x: F.trim(x) != "")
-    arr = F.when(as_array, F.from_json(v, _ARR)).otherwise(
-        F.transform(lines, lambda x: F.from_json(x, _MAP)))
-    ex = texts.select(F.col(id_col).alias("source"), F.posexplode_outer(arr).alias("pos", "__e"))
+def _session_rows(rows: DataFrame) -> DataFrame:
+    # (source, pos, __e): one raw element each
     cols, ok = _event_cols(F.col("__e"))
-    return ex.where(F.col("pos").isNotNull()).select(
-        "source", F.col("pos").cast("bigint").alias("seq"), F.lit(True).alias("candidate"),
-        (F.col("__e").isNotNull() & ok).alias("ok"), *cols)
+    return rows.select("source", F.col("pos").cast("bigint").alias("seq"), F.lit(True).alias("candidate"),
+                       (F.col("__e").isNotNull() & ok).alias("ok"), *cols)
+
+
+def array_candidates(texts: DataFrame, id_col: str = "source", text_col: str = "value") -> DataFrame:
+    """S4 candidates: one row per element of each text's JSON array."""
+    ex = texts.select(F.col(id_col).alias("source"), F.posexplode(F.from_json(F.col(text_col), _ARR))
+                      .alias("pos", "__e"))
+    return _session_rows(ex)
+
+
+def line_candidates(lines: DataFrame) -> DataFrame:
+    """S4 candidates of a JSON-lines session (the lossless export of
+    ``write_session``): one row per non-blank line of (source, line_no, value)."""
+    return _session_rows(lines.where(F.trim("value") != "")
+                         .select("source", F.col("line_no").alias("pos"), F.from_json("value", _MAP).alias("__e")))
+
+
+def _lines(spark: SparkSession, paths) -> DataFrame:
+    """Text lines (source, line_no, value) in file order; splittable files are
+    read by many tasks."""
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("source"),
+                                         F.monotonically_increasing_id().alias("line_no"), "value")
+
+
+def _starts(spark: SparkSession, path: str) -> DataFrame:
+    """Per file, its first text that is not blank, cut to one character.  Lines are
+    aggregated map-side to one row per file and split of it."""
+    seen = (spark.read.text(path).where(F.col("value").rlike(r"\S"))
+            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                    F.monotonically_increasing_id().alias("n"),
+                    F.substring(F.regexp_replace(F.substring("value", 1, 4096), r"^\s+", ""), 1, 1).alias("head")))
+    return seen.groupBy("file").agg(F.min_by("head", F.struct("at", "n")).alias("head"))
+
+
+def _by_start(spark: SparkSession, path: str):
+    """The files under ``path`` that start with ``[`` (JSON arrays, which must be
+    read whole) and the others (read by line).  One path per file comes to the
+    driver, as in any listing."""
+    arrays, others = [], []
+    for r in _starts(spark, path).collect():
+        (arrays if r["head"] == "[" else others).append(
+            spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(r["file"])).toString())
+    return sorted(arrays), sorted(others)
+
+
+def _whole(spark: SparkSession, paths) -> DataFrame:
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
+
+
+def _none(spark: SparkSession, columns: str) -> DataFrame:
+    return spark.createDataFrame([], columns)
 
 
 def read_session(spark: SparkSession, path: str):
-    """Saved session files (JSON arrays) -> (events, candidates)."""
-    texts = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source"), "value")
-    cand = session_candidates(texts)
+    """Saved sessions -> (events, candidates).  A file is a JSON array (read
+    whole, one file one row) or JSON lines (read by line)."""
+    arrays, others = _by_start(spark, path)
+    whole = _whole(spark, arrays) if arrays else _none(spark, "source string, value string")
+    lines = _lines(spark, others) if others else _none(spark, "source string, line_no long, value string")
+    cand = array_candidates(whole).unionByName(line_candidates(lines))
     return events_of(cand), cand
 
 
 def read_any(spark: SparkSession, path: str):
-    """Per file, trimmed content starting with ``[`` is a session, else a log."""
-    texts = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source"), "value")
-    is_session = F.regexp_replace(F.col("value"), r"^\s+", "").startswith("[")
-    sess = session_candidates(texts.where(is_session)).withColumn("kind", F.lit("session"))
-    lines = (texts.where(~is_session)
-                  .select("source", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value")))
+    """Per file, trimmed content starting with ``[`` is a session, else a
+    log; logs are read by line."""
+    arrays, others = _by_start(spark, path)
+    whole = _whole(spark, arrays) if arrays else _none(spark, "source string, value string")
+    lines = _lines(spark, others) if others else _none(spark, "source string, line_no long, value string")
+    sess = array_candidates(whole).withColumn("kind", F.lit("session"))
     logs = logcat_candidates(lines, "value", "line_no", "source").withColumn("kind", F.lit("log"))
     cand = sess.unionByName(logs)
     return events_of(cand), cand

@@ -1,7 +1,7 @@
 """The event store on Parquet: append (S8), read with schema evolution (S9),
 export sessions (S10), erase a user (D1), clear (D2), retention (R7).
 
-Layout: ``<table>/event_date=YYYY-MM-DD/part-*.parquet`` (daily partitions,
+Layout: ``<table>/event_date=YYYY-MM-DD/load-*.parquet`` (daily partitions,
 R8); rows inside files sorted by (app_id, ts) so row-group statistics act
 like the reference's (app_id, ts) index.
 """
@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calltrail.schema import EVENT, FIELDS, V1_FIELDS, conform, with_time
 
 STORE_SCHEMA = T.StructType(EVENT.fields + [T.StructField("event_date", T.DateType(), True)])
-_LOAD_SHIFT = 44  # seq = load_id << 44 | position within the load
+_POS_BITS = 36                     # rows of one load: up to 2^36
+_MAX_LOAD = (1 << (63 - _POS_BITS)) - 1  # load ids: 0 .. 2^27 - 1
 
 
 def _fs(spark: SparkSession, path: str):
@@ -26,70 +27,117 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def assign_seq(df: DataFrame, load_id: int) -> DataFrame:
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _mark(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.create(p, True).close()
+
+
+def by_day(df: DataFrame) -> DataFrame:
+    """Rows of a day together, ordered for the files.  The rebalance hint lets
+    adaptive execution size the writers by data: a busy day is split over
+    many tasks, small days share one."""
+    return (df.hint("rebalance", F.col("event_date"))
+              .sortWithinPartitions("event_date", "app_id", "ts", "seq"))
+
+
+def assign_seq(df: DataFrame, load_id: int, work: str, order: list[str] | None = None) -> DataFrame:
     """Arrival order for rows without a ``seq`` (no column, or null as from a
-    log stream): the load id, then position in the load (file order, then
-    row order).  Deterministic on recompute; existing ids are kept."""
-    new = (F.lit(int(load_id)) * F.lit(1 << _LOAD_SHIFT) + F.monotonically_increasing_id()).cast("bigint")
+    log stream): ``load_id`` * 2^36 + the row's dense position in the load.
+    Existing ids are kept.
+
+    The position follows ``order`` (default ``batch_id``, ``pos`` where present,
+    else the order of the input), whatever the number of partitions: the rows are
+    written once to ``work`` in that order, the written partitions are counted,
+    and a row's position is its partition's start (one row per partition,
+    broadcast) plus its place in it.  Load ids end at 2^27 - 1; larger ones,
+    and loads of more than 2^36 rows, are refused.
+    """
+    load_id = int(load_id)
+    if not 0 <= load_id <= _MAX_LOAD:
+        raise ValueError(f"load id {load_id} is not in 0 .. {_MAX_LOAD}")
+    spark = df.sparkSession
+    if order is None:
+        order = ["batch_id", "pos"] if {"batch_id", "pos"} <= set(df.columns) else []
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    df.withColumn("__at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(work)
+    rows = spark.read.parquet(work).withColumns({
+        "__part": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    parts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"),
+                          (F.sum("__n").over(Window.orderBy("__part")) <= F.lit(1 << _POS_BITS)).alias("__fits"))
+    if starts.where("not __fits").limit(1).count():
+        raise ValueError(f"load {load_id} has more than 2^{_POS_BITS} rows")
+    new = F.lit(load_id << _POS_BITS) + F.col("__start") + F.col("__at")
     if "seq" in df.columns:
         new = F.coalesce(F.col("seq").cast("bigint"), new)
-    return df.withColumn("seq", new)
+    return (rows.join(F.broadcast(starts), "__part").withColumn("seq", new.cast("bigint"))
+                .drop("__part", "__at", "__start", "__fits"))
 
 
-def append_events(df: DataFrame, table: str, load_id: int | None = None,
-                  files_per_day: int = 8) -> None:
-    """Conform and append to the store, partitioned by ``event_date``.
+def append_events(df: DataFrame, table: str, load_id: int, order: list[str] | None = None) -> int:
+    """Conform and append one load to the store, partitioned by ``event_date``.
 
-    Rows of one day are spread over ``files_per_day`` writer tasks (hash of
-    seq), so a busy day is not written by one task.
-    """
-    d = assign_seq(df, load_id if load_id is not None else 0)
-    d = with_time(conform(d)).drop("event_time")
-    salt = F.pmod(F.xxhash64("seq"), F.lit(int(files_per_day)))
-    (d.repartition(F.col("event_date"), salt)
-      .sortWithinPartitions("event_date", "app_id", "ts", "seq")
-      .write.mode("append").partitionBy("event_date").parquet(table))
-
-
-def append_events_once(df: DataFrame, table: str, load_id: int, files_per_day: int = 8) -> int:
-    """S8, idempotent per ``load_id`` (for replayed streaming micro-batches).
-
-    The load is written to ``<table>/_staging/load=<id>`` (overwrite, so a
-    replay rewrites it), then each file is renamed into its day partition as
-    ``load-<id>-<part>``; a target that already exists came from an earlier
-    attempt of the same load and is kept.  Given the same input the staged
-    files are the same (deterministic ``seq`` and partitioning), so a load
-    lands exactly once.  Returns the number of files committed now.
+    ``load_id`` names the load: it numbers the rows (``assign_seq``) and makes
+    the append idempotent, so a load appended again adds nothing.  Returns
+    the number of files committed now.  Steps:
+
+    1. the load is written to ``<table>/_staging/load=<id>``, then marked ready;
+       an attempt that ended before the mark left nothing visible and is redone;
+    2. from the mark on the staged files are the load: each is renamed into its
+       day as ``load-<id>-<part>``.  A replay finds only those not yet renamed
+       and goes on with them, however its own input is split;
+    3. ``<table>/_loads/<id>`` records the load as done, and the stage goes.
     """
-    spark = df.sparkSession
-    stage = f"{table.rstrip('/')}/_staging/load={int(load_id)}"
-    d = with_time(conform(assign_seq(df, load_id))).drop("event_time")
-    salt = F.pmod(F.xxhash64("seq"), F.lit(int(files_per_day)))
-    (d.repartition(F.col("event_date"), salt)
-      .sortWithinPartitions("event_date", "app_id", "ts", "seq")
-      .write.mode("overwrite").partitionBy("event_date").parquet(stage))
-    fs, sp = _fs(spark, stage)
+    spark, load_id, root = df.sparkSession, int(load_id), table.rstrip("/")
+    done, stage = f"{root}/_loads/{load_id}", f"{root}/_staging/load={load_id}"
+    ready, files = f"{stage}/_ready", f"{stage}/files"
+    fs, stage_path = _fs(spark, stage)
     committed = 0
+    if not _exists(spark, done):
+        if not _exists(spark, ready):
+            fs.delete(stage_path, True)
+            numbered = assign_seq(df, load_id, f"{stage}/rows", order)
+            by_day(with_time(conform(numbered)).drop("event_time")).write.partitionBy("event_date").parquet(files)
+            _mark(spark, ready)
+        committed = _move_in(spark, files, root, f"load-{load_id}-")
+        _mark(spark, done)
+    fs.delete(stage_path, True)
+    return committed
+
+
+#: The append is idempotent per load; this name says so where it matters.
+append_events_once = append_events
+
+
+def _move_in(spark: SparkSession, files: str, table: str, prefix: str) -> int:
+    """Rename staged files into their day partitions as ``<prefix><part>``.  A
+    name already taken by another file is an error; nothing is overwritten."""
+    jvm = spark._jvm
+    fs, sp = _fs(spark, files)
+    moved = 0
     for day in fs.listStatus(sp):
         name = day.getPath().getName()
         if not (day.isDirectory() and name.startswith("event_date=")):
             continue
-        target_dir = spark._jvm.org.apache.hadoop.fs.Path(f"{table.rstrip('/')}/{name}")
+        target_dir = jvm.org.apache.hadoop.fs.Path(f"{table}/{name}")
         fs.mkdirs(target_dir)
         for f in fs.listStatus(day.getPath()):
-            fname = f.getPath().getName()
-            if not fname.startswith("part-"):
-                continue
-            part = fname.split("-")[1]
-            suffix = fname[fname.index("."):] if "." in fname else ""
-            target = spark._jvm.org.apache.hadoop.fs.Path(target_dir, f"load-{int(load_id)}-{part}{suffix}")
-            if fs.exists(target):
+            own = f.getPath().getName()
+            if not own.startswith("part-"):
                 continue
-            if not fs.rename(f.getPath(), target):  # before anything staged is deleted
+            suffix = own[own.index("."):] if "." in own else ""
+            target = jvm.org.apache.hadoop.fs.Path(target_dir, f"{prefix}{own.split('-')[1]}{suffix}")
+            if fs.exists(target) or not fs.rename(f.getPath(), target):
                 raise OSError(f"could not commit {f.getPath()} as {target}")
-            committed += 1
-    fs.delete(sp, True)
-    return committed
+            moved += 1
+    return moved
 
 
 def read_events(spark: SparkSession, table: str) -> DataFrame:
@@ -153,22 +201,15 @@ def erase_user(spark: SparkSession, table: str, user_id: str) -> int:
     stage = f"{table.rstrip('/')}/_staging/{name}"
     (spark.read.schema(STORE_SCHEMA).option("basePath", table).parquet(*[p.toString() for p in old])
           .where(~F.col("user_id").eqNullSafe(F.lit(user_id)))
-          .repartition(F.col("event_date"), F.pmod(F.xxhash64("seq"), F.lit(8)))
-          .sortWithinPartitions("event_date", "app_id", "ts", "seq")
-          .write.mode("overwrite").partitionBy("event_date").parquet(stage))
+          .transform(by_day).write.mode("overwrite").partitionBy("event_date").parquet(stage))
     fs, sp = _fs(spark, stage)
     days = [d for d in fs.listStatus(sp) if d.isDirectory() and d.getPath().getName().startswith("event_date=")]
     left = spark.read.schema(STORE_SCHEMA).parquet(stage).count() if days else 0
     if left + gone != rows:
         fs.delete(sp, True)
         raise RuntimeError(f"erase_user: {rows} rows read, {left} written and {gone} erased; nothing was changed")
-    for day in days:
-        for f in fs.listStatus(day.getPath()):
-            own = f.getPath().getName()
-            if own.startswith("part-"):
-                target = jvm.org.apache.hadoop.fs.Path(f"{table.rstrip('/')}/{day.getPath().getName()}/{name}-{own}")
-                if not fs.rename(f.getPath(), target):  # before anything old is deleted
-                    raise OSError(f"could not commit {f.getPath()} as {target}")
+    if days:
+        _move_in(spark, stage, table.rstrip("/"), f"{name}-")  # before anything old is deleted
     for p in old:
         if not fs.delete(p, False):
             raise OSError(f"could not delete {p}")

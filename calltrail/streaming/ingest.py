@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltrail.functions import masking as M
-from calltrail.sources.batches import decode_batches
+from calltrail.sources.batches import MAX_INFLATED_BYTES, MAX_RAW_BYTES, bodies_of, decode_rows, split_rows
 from calltrail.sources.logs import events_of, logcat_candidates
-from calltrail.sources.store import append_events_once
+from calltrail.sources.store import append_events
 
 
 def mask_events(df: DataFrame, words=None, key_patterns=None, text_rules=None) -> DataFrame:
@@ -27,37 +27,40 @@ def mask_events(df: DataFrame, words=None, key_patterns=None, text_rules=None) -
     return df.withColumns(out)
 
 
-def _fs(spark, path):
-    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jp.getFileSystem(spark._jsc.hadoopConfiguration()), jp
+#: What a streamed ``binaryFile`` folder looks like (a stream needs it said).
+_FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def ingest_stream(spark: SparkSession, inbox: str, table: str, checkpoint: str,
                   trigger: str = "3 seconds", max_files: int = 1000, available_now: bool = False,
-                  words=None, key_patterns=None, text_rules=None):
-    """Batch files arriving in ``inbox`` -> decoded (S1), masked, appended.
+                  words=None, key_patterns=None, text_rules=None, max_raw: int = MAX_RAW_BYTES,
+                  max_inflated: int = MAX_INFLATED_BYTES):
+    """Batch files arriving in ``inbox`` -> bodies (S2: gzip by magic, both
+    caps), decoded (S1), masked, appended (S8).
 
-    A file is one batch (all-or-nothing); refused batches go to
-    ``<table>_rejected/load=<id>``.  Each micro-batch is one load (``seq`` =
-    micro-batch id, then position) committed with ``append_events_once``, so
-    a micro-batch replayed after a failure lands exactly once; a marker per
-    finished micro-batch skips the work on later replays.
+    A file is one batch (all-or-nothing).  A micro-batch is read and judged
+    once: its rows are written to ``<table>/_judged/<id>`` and split from there.
+    Refused batches go to ``<table>_rejected/load=<id>`` (overwritten by a
+    replay), events to the store as load ``<id>`` = micro-batch id + 1 with
+    ids in (file, index) order.  ``append_events`` adds a load once, so a
+    micro-batch replayed after a failure changes nothing that was committed.
     """
-    src = (spark.readStream.option("maxFilesPerTrigger", str(max_files))
-                .text(inbox, wholetext=True).select(F.col("_metadata.file_path").alias("batch_id"), "value"))
-    marks = f"{checkpoint.rstrip('/')}/_loads"
+    files = (spark.readStream.format("binaryFile").schema(_FILES)
+                  .option("maxFilesPerTrigger", str(max_files)).load(inbox))
+    root = table.rstrip("/")
 
     def write(df: DataFrame, epoch: int):
-        fs, done = _fs(spark, f"{marks}/{epoch}")
-        if fs.exists(done):
-            return
-        events, rejected = decode_batches(df)
-        rejected.write.mode("overwrite").parquet(f"{table.rstrip('/')}_rejected/load={epoch + 1}")
-        append_events_once(mask_events(events.drop("batch_id", "pos"), words, key_patterns, text_rules),
-                           table, load_id=epoch + 1)
-        fs.create(done, True).close()
+        work = f"{root}/_judged/{epoch}"
+        rows = decode_rows(df)
+        rows.write.mode("overwrite").parquet(work)
+        events, rejected = split_rows(df.sparkSession.read.schema(rows.schema).parquet(work))
+        rejected.write.mode("overwrite").parquet(f"{root}_rejected/load={epoch + 1}")
+        append_events(mask_events(events, words, key_patterns, text_rules), table, load_id=epoch + 1)
+        jp = spark._jvm.org.apache.hadoop.fs.Path(work)
+        jp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jp, True)
 
-    w = src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = (bodies_of(files, max_raw, max_inflated).writeStream.foreachBatch(write)
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
     return w.start()
 

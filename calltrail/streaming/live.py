@@ -1,5 +1,11 @@
 """Follow the store (T2, T3) and live views: stats (T5), new-device notices
-(T6), call pairing (T7), quota windows (T8)."""
+(T6), call pairing (T7), quota windows (T8), alerts (R2), repeats (D4).
+
+Late rows.  Every view takes all rows, however late they arrive, unless a
+``watermark`` is given: then state older than it is freed, and rows later than
+it are dropped.  Spark counts those in the query's progress
+(``stateOperators[].numRowsDroppedByWatermark``).
+"""
 
 from __future__ import annotations
 
@@ -89,6 +95,11 @@ def follow(spark: SparkSession, table: str, on_batch, checkpoint: str, compat: b
     return q
 
 
+def _timed(df: DataFrame, watermark: str | None) -> DataFrame:
+    d = df.withColumn("event_time", F.timestamp_millis("ts"))
+    return d if watermark is None else d.withWatermark("event_time", watermark)
+
+
 def live_stats(events: DataFrame) -> DataFrame:
     """T5: A2 on a stream (run in update or complete mode)."""
     return stats(events)
@@ -116,7 +127,7 @@ STATE_SCHEMA = "stack string, high_ts long"
 def _pair_step(key, batches, state, timeout_ms):
     """Per (scope, class, method): a stack of open ENTERs across micro-batches.
 
-    Open ENTERs older than ``timeout_ms`` of event time behind the watermark
+    With ``timeout_ms``, open ENTERs that far of event time behind the watermark
     are emitted as ``open`` and dropped from the stack, so a method that
     keeps throwing (no EXIT) cannot grow its state without bound; a key idle
     that long is evicted whole by the event-time timeout.
@@ -137,7 +148,7 @@ def _pair_step(key, batches, state, timeout_ms):
             res.insert(0, "scope", scope)
             yield res
 
-    if state.hasTimedOut:
+    if timeout_ms is not None and state.hasTimedOut:
         stack = json.loads(state.get[0]) if state.exists else []
         state.remove()
         emit_open(stack)
@@ -160,6 +171,10 @@ def _pair_step(key, batches, state, timeout_ms):
                 row = ("orphan", None, seq, None, ts, None)
             for k, v in zip(out, row):
                 out[k].append(v)
+    if timeout_ms is None:
+        state.update((json.dumps(stack), high))
+        yield from result()
+        return
     wm = state.getCurrentWatermarkMs()
     if wm and wm > 0:
         cutoff = wm - int(timeout_ms)
@@ -172,31 +187,35 @@ def _pair_step(key, batches, state, timeout_ms):
     yield from result()
 
 
-def live_pairs(events: DataFrame, scope: str = "thread", watermark: str = "10 minutes",
-               timeout_ms: int = 3_600_000) -> DataFrame:
+def live_pairs(events: DataFrame, scope: str = "thread", watermark: str | None = None,
+               timeout_ms: int | None = None) -> DataFrame:
     """Pair ENTER/EXIT as they arrive (append mode).
 
     State per (scope, class, method) is the stack of open ENTERs; rows of a
-    micro-batch are applied in seq order.  ``timeout_ms`` is the longest call
-    tracked: an ENTER that far behind the watermark is emitted as ``open``
+    micro-batch are applied in seq order.  By default a call may stay open for
+    ever and no row is too late.  ``timeout_ms`` (with a ``watermark``) is the longest
+    call tracked: an ENTER that far behind the watermark is emitted as ``open``
     and leaves the stack, and a key idle that long is evicted whole.
     """
+    if timeout_ms is not None and watermark is None:
+        raise ValueError("timeout_ms needs a watermark")
+
     def step(key, batches, state):
         return _pair_step(key, batches, state, timeout_ms)
 
-    ee = (events.where(F.col("type").isin("ENTER", "EXIT"))
+    ee = _timed(events.where(F.col("type").isin("ENTER", "EXIT"))
                 .select(scope_column(scope).alias("scope"), "class_name", "method", "type", "seq", "ts",
-                        "duration_ms", F.timestamp_millis("ts").alias("event_time"))
-                .withWatermark("event_time", watermark))
+                        "duration_ms"), watermark)
+    timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.EventTimeTimeout
     return ee.groupBy("scope", "class_name", "method").applyInPandasWithState(
-        step, PAIR_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+        step, PAIR_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
-def live_quota(requests: DataFrame, source_col: str, token_col: str, watermark: str = "2 minutes",
+def live_quota(requests: DataFrame, source_col: str, token_col: str, watermark: str | None = None,
                source_limit: int = 600, token_limit: int = 10_000) -> DataFrame:
-    """D3 on a stream of requests: 60 s event-time windows, finalised by
-    the watermark (append mode) or refreshed (update mode)."""
-    r = requests.withColumn("event_time", F.timestamp_millis("ts")).withWatermark("event_time", watermark)
+    """D3 on a stream of requests: 60 s event-time windows, refreshed as
+    requests arrive (update mode) or, with a watermark, finalised by it (append mode)."""
+    r = _timed(requests, watermark)
     src = r.select(F.lit("source").alias("kind"), F.col(source_col).cast("string").alias("key"), "event_time",
                    F.lit(source_limit).alias("limit"))
     tok = r.select(F.lit("token").alias("kind"), F.coalesce(F.col(token_col).cast("string"), F.lit("anon"))
@@ -208,12 +227,10 @@ def live_quota(requests: DataFrame, source_col: str, token_col: str, watermark:
 
 
 def live_alerts(events: DataFrame, threshold: int = 10, duration: str = "5 minutes",
-                slide: str = "1 minute", watermark: str = "10 minutes", types=("CATCH",)) -> DataFrame:
-    """R2 on a stream: errors per app in sliding event-time windows; state
-    for a window is dropped once the watermark passes its end."""
-    e = (events.where(F.col("type").isin(list(types)))
-               .withColumn("event_time", F.timestamp_millis("ts"))
-               .withWatermark("event_time", watermark))
+                slide: str = "1 minute", watermark: str | None = None, types=("CATCH",)) -> DataFrame:
+    """R2 on a stream: errors per app in sliding event-time windows; with a
+    watermark the state of a window is freed once it passes the window's end."""
+    e = _timed(events.where(F.col("type").isin(list(types))), watermark)
     g = (e.groupBy("app_id", F.window("event_time", duration, slide))
           .agg(F.count(F.lit(1)).cast("bigint").alias("events")))
     return g.select("app_id", F.unix_millis(F.col("window.start")).alias("window_start"),
@@ -221,16 +238,14 @@ def live_alerts(events: DataFrame, threshold: int = 10, duration: str = "5 minut
                     (F.col("events") > threshold).alias("alert"))
 
 
-def drop_repeats_live(events: DataFrame, watermark: str = "10 minutes", columns=None) -> DataFrame:
-    """D4 on a stream: drop exact repeats (all columns but ``seq``) that
-    arrive within the watermark of the first copy; the dedupe state for an
-    event is dropped once the watermark passes it."""
+def drop_repeats_live(events: DataFrame, watermark: str | None = None, columns=None) -> DataFrame:
+    """D4 on a stream: drop exact repeats (all columns but ``seq``).  The state
+    holds a 256-bit fingerprint per event; with a watermark it is freed once
+    that passes the event, and only repeats that arrive before then are dropped."""
     from calltrail.operators.governance import wire_fingerprint
-    return (events.withColumns({"__fp": wire_fingerprint(columns),
-                                "event_time": F.timestamp_millis("ts")})
-                  .withWatermark("event_time", watermark)
-                  .dropDuplicatesWithinWatermark(["__fp"])
-                  .drop("__fp", "event_time"))
+    d = _timed(events, watermark).withColumn("__fp", F.sha2(wire_fingerprint(columns), 256))
+    d = d.dropDuplicates(["__fp"]) if watermark is None else d.dropDuplicatesWithinWatermark(["__fp"])
+    return d.drop("__fp", "event_time")
 
 
-__all__ = ["live_alerts", "drop_repeats_live","follow", "live_stats", "live_apps", "new_labels", "live_pairs", "live_quota", "quota_audit"]
+__all__ = ["live_alerts", "drop_repeats_live", "follow", "live_stats", "live_apps", "new_labels", "live_pairs", "live_quota", "quota_audit"]

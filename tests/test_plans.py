@@ -18,7 +18,7 @@ PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "
                 "FlatMapGroupsInPandasWithState", "PythonUDF")
 # Queries whose operators are allowed Python workers or that
 # run a stream (planned per micro-batch).
-PYTHON_OK = {"live_pairs", "live_stats", "live_quota", "live_apps", "live_labels"}
+PYTHON_OK = {"bodies", "live_pairs", "live_stats", "live_quota", "live_apps", "live_labels"}
 BOUNDED_GLOBAL_WINDOW = {"page", "store_page"}  # window over the <= 5001-row page only
 
 
@@ -52,7 +52,7 @@ def test_pure_plans(spark, name):
 
 def test_store_query_prunes_partitions(spark, tmp_path):
     table = str(tmp_path / "store")
-    ST.append_events(load_trace(spark, SMOKE), table)
+    ST.append_events(load_trace(spark, SMOKE), table, load_id=1)
     ev = ST.read_events(spark, table)
     q = FL.store_query(ev, since=1704844800000, until=1705449600000, app_id="com.example.app1")
     plan = q._jdf.queryExecution().executedPlan().toString()
@@ -66,3 +66,17 @@ def test_timeline_limits_map_side(spark):
     t = IN.timeline(load_trace(spark, SMOKE), 20)
     plan = executed_plan(t.select("user_id", "seq"))
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("name,most", [("call_durations", 6), ("open_calls", 5), ("call_pairs", 9)])
+def test_pairing_shuffles_few_and_narrow_rows(spark, name, most):
+    """ENTER / EXIT rows are cut to the columns pairing needs before any
+    exchange by key, nothing is cached, and the exchanges are counted."""
+    qe = QUERIES[name](spark, SMOKE)._jdf.queryExecution()
+    plan = qe.sparkPlan().toString() + qe.executedPlan().toString()
+    assert "InMemoryRelation" not in plan and "InMemoryTableScan" not in plan
+    keyed = [x for x in re.findall(r"Exchange hashpartitioning\(([^\n]*)", qe.executedPlan().toString())]
+    assert 0 < len(keyed) <= most
+    for line in qe.optimizedPlan().toString().splitlines():
+        if "Window [" in line:
+            assert not re.search(r"message#|stack#|exception#|params#|app_version#", line)

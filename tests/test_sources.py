@@ -59,11 +59,11 @@ def test_raw_bodies_gzip_magic_and_caps(spark, fx, tmp_path):
         f.write(b"[" + b" " * (B.MAX_RAW_BYTES - 1) + b"]" + b" ")
     with open(os.path.join(d, "bomb.bin"), "wb") as f:
         f.write(gzip.compress(b"[" + b" " * (B.MAX_INFLATED_BYTES + 10) + b"]"))
-    ev, rej = B.read_batches(spark, d, raw=True)
+    ev, rej = B.read_batches(spark, d)
     per = ev.groupBy(F.element_at(F.split("batch_id", "/"), -1).alias("f")).count().collect()
     assert {r["f"]: r["count"] for r in per} == {"batch.json.gz": 3, "batch_gz_noext.bin": 3, "batch_v1.json": 3}
     reasons = {os.path.basename(r["batch_id"]): r["reason"] for r in rej.collect()}
-    assert reasons == {"oversize.bin": "raw body over 5 MB", "bomb.bin": "inflated body over 50 MB"}
+    assert reasons == {"oversize.bin": "raw body over 5242880 bytes", "bomb.bin": "inflated body over 52428800 bytes"}
 
 
 def test_logcat_and_report(spark, fx):
@@ -108,7 +108,7 @@ def test_store_append_evolve_erase_clear_retention(spark, fx, tmp_path):
     ev = ST.read_events(spark, table)
     assert ev.count() == 4
     seqs = [r["seq"] for r in ev.orderBy("seq").collect()]
-    assert len(set(seqs)) == 4 and seqs[-1] >> 44 == 2
+    assert len(set(seqs)) == 4 and [q >> 36 for q in seqs] == [1, 1, 1, 2]
     assert sorted({str(r["event_date"]) for r in ev.collect()}) == ["2023-11-14"]
     assert ST.erase_user(spark, table, "u1") == 1
     assert ST.erase_user(spark, table, "u1") == 0
@@ -125,7 +125,7 @@ def test_erase_keeps_other_days(spark, tmp_path):
     table = str(tmp_path / "store2")
     rows = [(i, "ENTER", "C", "m", 86_400_000 * (i % 3), f"u{i % 2}") for i in range(12)]
     df = spark.createDataFrame(rows, "seq long, type string, class_name string, method string, ts long, user_id string")
-    ST.append_events(df, table)
+    ST.append_events(df, table, load_id=1)
     assert ST.erase_user(spark, table, "u1") == 6
     ev = ST.read_events(spark, table)
     assert ev.count() == 6 and ev.where(F.col("user_id") == "u1").count() == 0
@@ -164,7 +164,7 @@ def test_null_seq_rows_get_ids(spark, fx, tmp_path):
     ST.append_events(ev.drop("source").withColumn("seq", F.lit(None).cast("bigint")), table, load_id=5)
     back = ST.read_events(spark, table)
     seqs = [r["seq"] for r in back.collect()]
-    assert len(seqs) == 3 and None not in seqs and len(set(seqs)) == 3 and all(s >> 44 == 5 for s in seqs)
+    assert len(seqs) == 3 and None not in seqs and len(set(seqs)) == 3 and all(s >> 36 == 5 for s in seqs)
 
 
 def test_viewer_inputs_skip_nested_params(spark):
@@ -180,9 +180,9 @@ def test_viewer_inputs_skip_nested_params(spark):
     assert L.load_report(cand).first()["skipped"] == 2
 
 
-def test_gz_batches_through_the_text_path(spark, fx, tmp_path):
+def test_gz_batches_by_extension(spark, fx, tmp_path):
     d = copy([fx("batch.json.gz")], str(tmp_path / "gz"))
-    ev, rej = B.read_batches(spark, d)  # codec inflates .gz; no size caps on this path
+    ev, rej = B.read_batches(spark, d)
     assert ev.count() == 3 and rej.count() == 0
 
 
@@ -202,22 +202,126 @@ def test_lossless_export_reimports(spark, fx, tmp_path):
 
 
 def test_gzip_members_and_cut_bodies():
-    import gzip
-    import pandas as pd
-    from calltrail.sources.batches import _inflate
     two, cut = gzip.compress(b"[1,") + gzip.compress(b"2]"), gzip.compress(b"[1, 2]")[:-8]
-    out = next(_inflate([pd.DataFrame({"path": ["a", "b"], "content": [two, cut]})]))
-    assert out["value"][0] == "[1,2]" and out["reason"][1] == "bad gzip body"
+    assert B.inflate(two, 100) == ("[1,2]", None)
+    assert B.inflate(cut, 100) == (None, "bad gzip body")
+    assert B.inflate(two, 4) == (None, "inflated body over 4 bytes")
+    assert B.inflate(b"", 100) == ("", None)
+
+
+def test_caps_are_arguments(spark, tmp_path):
+    d = str(tmp_path / "in")
+    os.makedirs(d)
+    with open(os.path.join(d, "a.json"), "w") as f:
+        f.write('[{"type":"ENTER"}]')
+    ev, rej = B.read_batches(spark, d, max_raw=10)
+    assert ev.count() == 0 and [r["reason"] for r in rej.collect()] == ["raw body over 10 bytes"]
+
+
+def test_device_log_skips_null_fields_sessions_default_them(spark, tmp_path):
+    body = '{"type":"ENTER","class":null,"method":"m","message":null}'
+    lines = spark.createDataFrame([(1, f"D {L.JSON_LOG_TAG}: {body}"),
+                                   (2, f'D {L.JSON_LOG_TAG}: {{"type":"EXIT","message":null}}')],
+                                  "line_no long, value string")
+    assert [r["seq"] for r in L.events_of(L.logcat_candidates(lines, "value", "line_no")).collect()] == [2]
+    (tmp_path / "s.json").write_text(f"[{body}]")
+    ev, _ = L.read_session(spark, str(tmp_path / "s.json"))
+    assert [(r["type"], r["class_name"]) for r in ev.collect()] == [("ENTER", "")]
+
+
+def test_only_json_arrays_are_read_whole(spark, fx, tmp_path):
+    d = copy([fx("logcat.txt")], str(tmp_path / "logs"))
+    _, cand = L.read_any(spark, d)
+    plan = cand._jdf.queryExecution().optimizedPlan().toString()
+    assert "wholetext" not in cand._jdf.queryExecution().toString().lower()
+    assert "Relation" in plan
+
+
+def _events(spark, n, parts):
+    rows = [(i // 7, i % 7, "ENTER", "C", f"m{i}", 86_400_000 * (i % 4) + i, f"u{i % 3}") for i in range(n)]
+    return spark.createDataFrame(rows, "batch_id long, pos int, type string, class_name string, method string, "
+                                       "ts long, user_id string").repartition(parts)
+
+
+def test_ids_are_dense_and_follow_the_order_whatever_the_split(spark, tmp_path):
+    for parts in (1, 5, 64):
+        got = ST.assign_seq(_events(spark, 200, parts), 524_289, str(tmp_path / f"w{parts}")).collect()
+        assert sorted((r["seq"] - (524_289 << 36), r["method"]) for r in got) == [(i, f"m{i}") for i in range(200)]
+    last = ST.assign_seq(_events(spark, 10, 2), ST._MAX_LOAD, str(tmp_path / "last")).agg(F.max("seq")).first()[0]
+    assert last == (ST._MAX_LOAD << 36) + 9
+    for bad in (-1, ST._MAX_LOAD + 1):
+        try:
+            ST.assign_seq(_events(spark, 10, 2), bad, str(tmp_path / "bad"))
+            raise AssertionError("must refuse")
+        except ValueError:
+            pass
+
+
+def test_a_partial_commit_is_finished_by_a_replay_with_other_splits(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "partial")
+    real = ST._move_in
+
+    def one_file_then_crash(s, files, root, prefix):
+        day = sorted(d for d in os.listdir(files) if d.startswith("event_date="))[0]
+        own = sorted(f for f in os.listdir(f"{files}/{day}") if f.startswith("part-"))[0]
+        os.makedirs(f"{root}/{day}")
+        os.rename(f"{files}/{day}/{own}", f"{root}/{day}/{prefix}{own.split('-')[1]}{own[own.index('.'):]}")
+        raise OSError("crash")
+
+    monkeypatch.setattr(ST, "_move_in", one_file_then_crash)
+    try:
+        ST.append_events(_events(spark, 200, 3), table, load_id=4)
+        raise AssertionError("must crash")
+    except OSError:
+        pass
+    monkeypatch.setattr(ST, "_move_in", real)
+    assert ST.append_events(_events(spark, 200, 11), table, load_id=4) > 0
+    assert ST.append_events(_events(spark, 200, 2), table, load_id=4) == 0
+    got = ST.read_events(spark, table).select("seq", "method").collect()
+    assert sorted((r["seq"] - (4 << 36), r["method"]) for r in got) == [(i, f"m{i}") for i in range(200)]
+    assert not os.path.exists(f"{table}/_staging/load=4")
+
+
+def test_a_crash_before_the_ready_mark_leaves_nothing_visible(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "early")
+    real = ST._mark
+    monkeypatch.setattr(ST, "_mark", lambda s, p: (_ for _ in ()).throw(OSError("crash")))
+    try:
+        ST.append_events(_events(spark, 50, 3), table, load_id=1)
+        raise AssertionError("must crash")
+    except OSError:
+        pass
+    assert not [d for d in os.listdir(table) if d.startswith("event_date=")]
+    monkeypatch.setattr(ST, "_mark", real)
+    ST.append_events(_events(spark, 50, 5), table, load_id=1)
+    assert ST.read_events(spark, table).select("seq").distinct().count() == 50
+
+
+def test_rows_appended_during_an_erase_stay(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "busy")
+    ST.append_events(_events(spark, 60, 2), table, load_id=1)
+    real, more = ST.by_day, []
+
+    def append_first(df):
+        if not more:
+            more.append(1)
+            ST.append_events(_events(spark, 30, 2), table, load_id=2)
+        return real(df)
+
+    monkeypatch.setattr(ST, "by_day", append_first)
+    assert ST.erase_user(spark, table, "u1") == 20
+    left = ST.read_events(spark, table)
+    assert left.count() == 40 + 30 and left.where("user_id = 'u1'").count() == 10
 
 
 def test_erase_touches_only_files_of_the_user(spark, tmp_path):
     table = str(tmp_path / "store 3")
     schema = "seq long, type string, class_name string, method string, ts long, user_id string"
     ST.append_events(spark.createDataFrame([(1, "ENTER", "C", "m", 5, "u0"), (2, "ENTER", "C", "m", 6, "u1"),
-                                            (3, "EXIT", "C", "m", 7, None)], schema).coalesce(1), table, files_per_day=1)
-    ST.append_events(spark.createDataFrame([(4, "ENTER", "C", "m", 8, "u2")], schema), table, files_per_day=1)
+                                            (3, "EXIT", "C", "m", 7, None)], schema).coalesce(1), table, load_id=1)
+    ST.append_events(spark.createDataFrame([(4, "ENTER", "C", "m", 8, "u2")], schema), table, load_id=2)
     day = os.path.join(table, "event_date=1970-01-01")
-    other = [f for f in os.listdir(day) if f.startswith("part-")]
+    other = [f for f in os.listdir(day) if f.startswith("load-2-")]
     assert ST.erase_user(spark, table, "u1") == 1
     after = [f for f in os.listdir(day) if f.endswith(".parquet")]
     assert len([f for f in after if f in other]) == 1 and len([f for f in after if f.startswith("erased-")]) == 1
@@ -227,7 +331,7 @@ def test_erase_touches_only_files_of_the_user(spark, tmp_path):
 def test_erase_changes_nothing_if_rows_would_be_lost(spark, tmp_path, monkeypatch):
     table = str(tmp_path / "store4")
     schema = "seq long, type string, class_name string, method string, ts long, user_id string"
-    ST.append_events(spark.createDataFrame([(1, "ENTER", "C", "m", 5, "u0"), (2, "ENTER", "C", "m", 6, "u1")], schema), table)
+    ST.append_events(spark.createDataFrame([(1, "ENTER", "C", "m", 5, "u0"), (2, "ENTER", "C", "m", 6, "u1")], schema), table, load_id=1)
     real = ST._fs
 
     def losing(s, path):

@@ -1,6 +1,7 @@
 """Streaming: ingest (T1), follow + late rule (T2, T3), device-log follow
 (T4), notices (T6), live pairing (T7) equal to batch pairing."""
 
+import gzip
 import os
 import random
 import shutil
@@ -17,18 +18,29 @@ from calltrail.streaming.runner import run_append
 def test_ingest_decodes_masks_appends(spark, fx, tmp_path):
     inbox, table, ck = str(tmp_path / "inbox"), str(tmp_path / "store"), str(tmp_path / "ck")
     os.makedirs(inbox)
-    for f in ("batch_v1.json", "batch_v2.json", "batch_bad.json"):
+    for f in ("batch_v1.json", "batch_bad.json"):
         shutil.copy(fx(f), inbox)
-    q = IG.ingest_stream(spark, inbox, table, ck, available_now=True)
+    with open(fx("batch_v2.json"), "rb") as f:  # a gzip body, known by its magic
+        body = gzip.compress(f.read())
+    with open(os.path.join(inbox, "batch_v2.bin"), "wb") as f:
+        f.write(body)
+    with open(os.path.join(inbox, "cut.gz"), "wb") as f:
+        f.write(body[:-8])
+    with open(os.path.join(inbox, "large.json"), "wb") as f:
+        f.write(b"[" + b" " * 200_000 + b"]")
+    q = IG.ingest_stream(spark, inbox, table, ck, available_now=True, max_raw=100_000)
     q.awaitTermination()
     ev = ST.read_events(spark, table)
     assert ev.count() == 4
     catch = ev.where(F.col("type") == "CATCH").first()
     assert catch["message"] == "token=*** failed"
-    assert spark.read.parquet(table + "_rejected").count() == 1
+    refused = {os.path.basename(r["batch_id"]): r["reason"] for r in spark.read.parquet(table + "_rejected").collect()}
+    assert refused == {"batch_bad.json": "undecodable event", "cut.gz": "bad gzip body",
+                       "large.json": "raw body over 100000 bytes"}
+    assert os.listdir(os.path.join(table, "_judged")) == []
     assert not os.path.exists(os.path.join(table, "_staging", "load=1"))
     # a second run over the same inbox adds nothing (files already committed)
-    IG.ingest_stream(spark, inbox, table, ck, available_now=True).awaitTermination()
+    IG.ingest_stream(spark, inbox, table, ck, available_now=True, max_raw=100_000).awaitTermination()
     assert ST.read_events(spark, table).count() == 4
 
 
@@ -39,14 +51,14 @@ def _rows(n0, n, ts0):
 def test_follow_and_compat_late_rule(spark, tmp_path):
     table = str(tmp_path / "store")
     schema = "seq long, type string, class_name string, method string, ts long, app_id string"
-    ST.append_events(spark.createDataFrame(_rows(0, 5, 1000), schema), table)
+    ST.append_events(spark.createDataFrame(_rows(0, 5, 1000), schema), table, load_id=1)
     got, got_compat = [], []
     LV.follow(spark, table, lambda df, e: got.extend(r["seq"] for r in df.collect()),
               str(tmp_path / "ck1"), available_now=True, app_id="a").awaitTermination()
     LV.follow(spark, table, lambda df, e: got_compat.extend(r["seq"] for r in df.collect()),
               str(tmp_path / "ck2"), compat=True, available_now=True, app_id="a").awaitTermination()
     # late rows: ts below what was already delivered
-    ST.append_events(spark.createDataFrame(_rows(100, 3, 500), schema), table)
+    ST.append_events(spark.createDataFrame(_rows(100, 3, 500), schema), table, load_id=2)
     LV.follow(spark, table, lambda df, e: got.extend(r["seq"] for r in df.collect()),
               str(tmp_path / "ck1"), available_now=True, app_id="a").awaitTermination()
     LV.follow(spark, table, lambda df, e: got_compat.extend(r["seq"] for r in df.collect()),
@@ -91,7 +103,7 @@ def test_live_pairs_equal_batch_across_microbatches(spark, tmp_path):
     files = sorted(f for f in os.listdir(src) if f.endswith(".parquet"))
     assert len(files) == 4
     s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = run_append(spark, LV.live_pairs(s, "thread", watermark="0 seconds", timeout_ms=10_000_000), "pairs-test")
+    out = run_append(spark, LV.live_pairs(s, "thread"), "pairs-test")
     got = out.collect()
     live = {(r["enter_seq"], r["exit_seq"]) for r in got if r["kind"] == "pair"}
     orphans = {r["exit_seq"] for r in got if r["kind"] == "orphan"}
@@ -120,7 +132,7 @@ def test_live_pairs_evicts_old_open_calls(spark, tmp_path):
 def test_follow_on_error_keeps_going(spark, tmp_path):
     table = str(tmp_path / "store")
     schema = "seq long, type string, class_name string, method string, ts long, app_id string"
-    ST.append_events(spark.createDataFrame(_rows(0, 3, 1000), schema), table)
+    ST.append_events(spark.createDataFrame(_rows(0, 3, 1000), schema), table, load_id=1)
     errors = []
 
     def boom(df, epoch):
@@ -137,7 +149,7 @@ def test_follow_on_error_keeps_going(spark, tmp_path):
 def test_follow_after_an_erase_delivers_nothing_again(spark, tmp_path):
     table, ck = str(tmp_path / "store"), str(tmp_path / "ck")
     schema = "seq long, type string, class_name string, method string, ts long, user_id string"
-    ST.append_events(spark.createDataFrame([(i, "ENTER", "C", "m", i + 1, f"u{i % 2}") for i in range(6)], schema), table)
+    ST.append_events(spark.createDataFrame([(i, "ENTER", "C", "m", i + 1, f"u{i % 2}") for i in range(6)], schema), table, load_id=1)
     got = []
     for _ in range(2):
         LV.follow(spark, table, lambda df, e: got.extend(r["seq"] for r in df.collect()), ck,
