@@ -4,7 +4,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltrail.schema import STORE_COLUMNS
@@ -61,10 +61,10 @@ def repeats(df: DataFrame, columns=None) -> DataFrame:
 def drop_repeats(df: DataFrame, columns=None) -> DataFrame:
     """Keep the first (lowest seq) copy of each exact repeat.
 
-    Copies are grouped by the SHA-256 of their columns; the map-side partial
-    aggregate keeps only one row per event per task.  Copies that share the
-    lowest seq are reduced to one as well.
+    Rows are ranked under the SHA-256 of their columns; asking only for the first
+    lets Spark keep one row per event in each task before the shuffle (window
+    group limit).  Copies that share the lowest seq are reduced to one as well.
     """
-    marked = df.withColumn("__fp", F.sha2(wire_fingerprint(columns), 256))
-    keep = marked.groupBy("__fp").agg(F.min("seq").alias("seq"))
-    return marked.join(keep, ["__fp", "seq"], "left_semi").dropDuplicates(["__fp", "seq"]).drop("__fp")
+    first = F.row_number().over(Window.partitionBy("__fp").orderBy("seq"))
+    return (df.withColumn("__fp", F.sha2(wire_fingerprint(columns), 256)).withColumn("__rank", first)
+              .where("__rank = 1").drop("__fp", "__rank"))
