@@ -22,7 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from itertools import product
+from itertools import chain, product
 
 import numpy as np
 import pandas as pd
@@ -109,7 +109,7 @@ class Pieces:
         at = 0
         while at < len(order):
             size = 1
-            while at + size < len(order) and (size + 1) * len(chunks[order[at + size]]) <= 40_000:
+            while at + size < len(order) and (size + 1) * len(chunks[order[at + size]]) <= 10_000:
                 size += 1
             rows = order[at:at + size]
             for i, r in zip(rows, self._viterbi([chunks[i] for i in rows])):
@@ -167,15 +167,14 @@ class Pieces:
             active = pos < size
         second = through.reshape(n, -1).max(1)
         ids = np.stack(ids, 1)
-        plain = (ids != -1).all(1)
-        out = []
-        for i in range(n):
-            row = ids[i][ids[i] != -2]
-            if not plain[i]:
-                where = np.array([s[i] for s in steps])[:len(row)]
-                row = np.array([x for j, at in zip(row, where)
-                                for x in ([j] if j >= 0 else self.byte_ids(chunks[i][at]))])
-            out.append((row.astype("<u4").tobytes(), float(total[i]), float(total[i] - second[i])))
+        used = ids != -2
+        raw = ids[used].astype("<u4").tobytes()  # all rows behind each other
+        ends = (4 * used.sum(1).cumsum()).tolist()
+        out = list(zip([raw[i:j] for i, j in zip([0, *ends], ends)], total.tolist(), (total - second).tolist()))
+        for i in np.flatnonzero((ids == -1).any(1)):  # characters that no piece covers
+            row = [x for j, at in zip(ids[i][used[i]], [s[i] for s in steps])
+                   for x in ([j] if j >= 0 else self.byte_ids(chunks[i][at]))]
+            out[i] = (np.array(row, "<u4").tobytes(), *out[i][1:])
         return out
 
     def byte_ids(self, char: str) -> list[int]:
@@ -207,7 +206,7 @@ class Pieces:
         return out
 
     def decode(self, ids) -> str:
-        text = b"".join([self.text[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -226,18 +225,18 @@ class Segmenter:
     def run(self, texts: list[str]):
         """For each text its segmentations, best first: (score, ids as bytes)."""
         cut = [self.pieces.chunks(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        self._learn(dict.fromkeys(c for cs in cut for c in cs))
+        self._learn(dict.fromkeys(chain.from_iterable(cut)))
         for cs in cut:
-            found = [self.known[c] for c in cs]
-            ids, total = [f[0] for f in found], sum([f[1] for f in found])
-            few = [x for x in heapq.nsmallest(self.n - 1, zip([f[2] for f in found], range(len(found)))) if x[0] < np.inf]
+            ids, scores, losses = zip(*map(self.known.__getitem__, cs)) if cs else ((), (), ())
+            total = sum(scores)
+            few = [x for x in heapq.nsmallest(self.n - 1, zip(losses, range(len(cs)))) if x[0] < np.inf]
             options = []
             for _, i in few:
                 if cs[i] not in self.lists:
                     if len(self.lists) >= CACHE_CHUNKS:
                         self.lists = {}
                     self.lists[cs[i]] = self.pieces.n_best(cs[i], self.n)
-                options.append([(s - found[i][1], x) for s, x in self.lists[cs[i]]])
+                options.append([(s - scores[i], x) for s, x in self.lists[cs[i]]])
             ways = sorted(((-sum(o[0] for o in way), [o[1] for o in way]) for way in product(*options)))[:self.n]
             result = []
             for rank, (loss, way) in enumerate(ways):
