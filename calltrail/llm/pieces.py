@@ -19,7 +19,6 @@ has one chunk per text.
 
 from __future__ import annotations
 
-import gc
 import heapq
 import re
 import zlib
@@ -222,7 +221,6 @@ class Segmenter:
         if len(self.known) + len(new) > CACHE_CHUNKS:
             self.known, self.lists, new = {}, {}, list(wanted)
         self.known.update(zip(new, self.pieces.best(new)))
-        gc.freeze()  # nothing kept here is cyclic; collections need not walk it
 
     def run(self, texts: list[str]):
         """For each text its segmentations, best first: (score, ids as bytes)."""
