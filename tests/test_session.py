@@ -1,12 +1,14 @@
 """Checkpoint folder: read from the session, created only when unset, and
 never written into the (run-time immutable) core setting."""
 
+import pytest
+
 from calltrail.session import checkpoint_dir
 
 
 class _Ctx:
-    def __init__(self, d=None):
-        self.d = d
+    def __init__(self, d=None, master="local[2]"):
+        self.d, self.master = d, master
 
     def getCheckpointDir(self):
         return self.d
@@ -45,5 +47,13 @@ def test_unset_folder_gets_a_scratch_one():
     assert d.startswith("file:") and "calltrail-ckpt-" in d
 
 
+def test_unset_folder_on_a_cluster_is_an_error():
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        s = _Spark()
+        s.sparkContext.master = master
+        with pytest.raises(RuntimeError):
+            checkpoint_dir(s)
+
+
 def test_live_session_has_one(spark):
     assert checkpoint_dir(spark)
