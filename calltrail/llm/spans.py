@@ -1,8 +1,9 @@
 """Operator 6, substring dedup: sliding sentence spans.
 
 Sentences end at . ! ? (and the ideographic full stop) before a blank, and at
-line breaks.  From every sentence on, runs of one to three sentences with enough
-words are hashed over their words.  A run that stands in several documents
+line breaks.  From every sentence on, runs of sentences with enough words are
+hashed over their words; a run ends at the latest where any sentences, however
+short, have enough.  A run that stands in several documents
 belongs to the one with the least doc_id; in all others, and wherever it
 repeats inside one document, the sentences that it covers are removed.
 
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from calltrail.llm.base import mix64, text_chunks, word_table
 
-#: Sentences of a run -> words that it must have.
-MIN_WORDS = {1: 30, 2: 20, 3: 10}
+#: Sentences of a run -> words that it must have.  Ten sentences have ten words.
+MIN_WORDS = {1: 15, 2: 15, **dict.fromkeys(range(3, 11), 10)}
 
 
 def sentences(off: np.ndarray, data: np.ndarray):
@@ -44,18 +45,24 @@ def sentences(off: np.ndarray, data: np.ndarray):
 
 
 def runs(rows: np.ndarray, n: np.ndarray, h: np.ndarray, min_words: dict[int, int]):
-    """(first sentence, sentences, hash) of all runs inside one row."""
+    """(first sentence, sentences, hash) of the runs inside one row.  A run is
+    left out if it is one without its first and without its last sentence too:
+    these two cover it, and they are repeated wherever it is."""
     at, size, out = [], [], []
     g, words = np.zeros(len(h), np.uint64), np.zeros(len(h), np.int64)
+    shorter = np.zeros(len(h) + 1, bool)
     for k in range(1, max(min_words) + 1):
         m = len(h) - k + 1
         if m <= 0:
             break
         g = mix64(g[:m] * np.uint64(0x2545F4914F6CDD1D) + h[k - 1:])
         words = words[:m] + n[k - 1:]
+        enough = np.zeros(m, bool)
         if k in min_words:
-            i = np.flatnonzero((rows[:m] == rows[k - 1:]) & (words >= min_words[k]))
+            enough = (rows[:m] == rows[k - 1:]) & (words >= min_words[k])
+            i = np.flatnonzero(enough & ~(shorter[:m] & shorter[1:m + 1]))
             at.append(i), size.append(np.full(len(i), k)), out.append(mix64(g[i] + np.uint64(k)))
+        shorter = enough
     if not at:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     return np.concatenate(at), np.concatenate(size), np.concatenate(out)

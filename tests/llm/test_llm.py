@@ -325,6 +325,27 @@ def test_sentence_spans(docs, rows, none):
     assert deduplicated(none).count() == 0
 
 
+def test_sentence_spans_of_short_sentences_and_cut_ends(spark):
+    from calltrail.llm.spans import MIN_WORDS, deduplicated
+    r = random.Random(6)
+    words = lambda n: " ".join(f"w{r.randrange(10 ** 6)}" for _ in range(n))
+    parts = [[words(n) + "." for n in sizes] for sizes in ([2] * 30, [1] * 60, [9, 9, 9, 9, 9, 9], [1, 2, 3] * 10, [17, 1, 1, 17, 20])]
+    made = [(i, f"{words(20)}. {' '.join(p)} {words(20)}.") for i, p in enumerate(parts)]
+    made += [(100 + i, f"{words(22)}. {' '.join(p)} {words(21)}.") for i, p in enumerate(parts)]
+    made += [(200, "\n".join(parts[1])), (201, f"{words(30)} {' '.join(parts[2][:4])} {words(30)}")]
+    inner = f"{words(9)}. {words(9)}."  # a passage of 60 words that starts and ends inside a sentence
+    tail, head = words(21), words(21)
+    made += [(300 + i, f"{words(8)} {tail}. {inner} {head} {words(8)}.") for i in range(2)]
+    made += [(400 + i, f"{words(8)} {tail}. One inner sentence of fifteen words that both hold, between two that are cut short. {head} {words(8)}.")
+             for i in range(2)]
+    got = sorted(tuple(x) for x in deduplicated(spark.createDataFrame(made, "doc_id long, text string")).collect())
+    assert got == sorted(_cut(made, MIN_WORDS))
+    by = {x[0]: x for x in got}
+    assert [by[i][2] for i in range(5)] == [0] * 5
+    assert [by[100 + i][2] for i in range(5)] == [len(p) for p in parts]
+    assert by[200][2] == 60 and by[201][2] == 3 and by[301][2] == 2 and by[401][2] == 1
+
+
 # ---- 7 PPM -------------------------------------------------------------------------------
 
 def _ppm(rows, order):
