@@ -31,9 +31,13 @@ def load_encoder(path: str):
 
     A single blank between two non-blank characters always starts a new
     pre-token, so text is cut there and each chunk's ids are remembered;
-    texts with other runs of blanks are encoded as a whole.
+    texts with other runs of blanks are encoded as a whole.  The added tokens
+    of a JSON tokenizer beside the rank file have their own ids wherever a
+    text holds their literals; such texts are encoded as a whole too.
     """
     import base64
+    import json
+    import os
     import re
 
     import public_tokenizers
@@ -41,9 +45,14 @@ def load_encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    whole, added = path.removesuffix(".tiktoken") + ".json", {}
+    if os.path.exists(whole):
+        with open(whole, encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                            special_tokens={})
+                            special_tokens=added)
     plain = bpe.encode_ordinary
+    literal = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
 
     class Chunks(dict):
         def __missing__(self, chunk):
@@ -58,6 +67,8 @@ def load_encoder(path: str):
     odd = re.compile(r" \s|\s |^\s|\s$").search
 
     def encode(text: str) -> bytes:
+        if literal(text):
+            return np.array(bpe.encode(text, allowed_special="all"), "<u4").tobytes()
         if odd(text):
             return np.array(plain(text), "<u4").tobytes()
         first, *rest = text.split(" ")

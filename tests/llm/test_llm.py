@@ -426,6 +426,22 @@ def test_packing(docs, rows, none):
     assert pack_documents(none, path).count() == 0
 
 
+def test_packing_of_texts_that_hold_an_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from calltrail.llm.packing import pack_documents
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n\n b  ", "x  <|endoftext|>  y é",
+             "<|endoftext <|endoftext|", "plain words", "  <|endoftext|>", "it's<|endoftext|>'s"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in pack_documents(df, public_tokenizers.path("byte_bpe_50k.tiktoken")).orderBy("doc_id", "start").collect():
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        got[r.doc_id] += r.ids
+    assert got == {i: t.encode(x, add_special_tokens=False).ids + [1] for i, x in enumerate(texts)}
+    assert got[0] == [437, 220, 50256, 1306, 1]
+
+
 def test_packer_minimises_the_sum_of_squares():
     from calltrail.llm.packing import Packer
     r, p = random.Random(5), Packer(20)
