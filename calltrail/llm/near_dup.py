@@ -1,12 +1,12 @@
 """Operator 1, MinHash near-dedup by DartMinHash.
 
-A document is its set of 5-word shingles, weighted by their counts.  For every
-shingle a Poisson process of darts lies on the plane weight x rank, drawn from
+A document is its set of 5-word shingles, each of weight 1 however often it
+stands there, as links are judged on sets.  For every shingle a Poisson process of darts lies on the plane weight x rank, drawn from
 hashes of the shingle alone; the document owns the darts below its weight.  It
 throws only the darts of rank below t / (total weight), about t in all whatever
 its length, each of which falls on one of K coordinates; the dart of lowest
 rank is that coordinate's signature.  Two documents agree on a coordinate with
-the probability of their weighted Jaccard similarity.
+the probability of their Jaccard similarity.
 
 Copies of one word sequence are collapsed first (a pre-aggregated group-by on a
 128-bit fingerprint), so the rest runs on distinct texts.  Signatures are cut
@@ -131,9 +131,8 @@ def _sketch(docs: DataFrame, bands: int, per_band: int) -> DataFrame:
                 key = mix64(g + srow.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
                 order = np.argsort(key)
                 first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else order
-                weight = np.diff(np.append(first, len(key))).astype(float)
                 one = order[first]
-                sig = dart_signatures(srow[one], g[one], weight, n_rows, k).reshape(n_rows, bands, per_band)
+                sig = dart_signatures(srow[one], g[one], np.ones(len(one)), n_rows, k).reshape(n_rows, bands, per_band)
                 keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (n_rows, 1))
                 for i in range(per_band):
                     keys = mix64(keys * np.uint64(0x2545F4914F6CDD1D) + sig[:, :, i])

@@ -103,6 +103,18 @@ def test_near_duplicates_in_a_large_group_of_edited_copies(spark):
     assert got == _near(made)
 
 
+def test_near_duplicates_that_differ_in_how_often_a_passage_repeats(spark):
+    from calltrail.llm.near_dup import near_duplicates
+    r, made = random.Random(8), []
+    for i in range(40):
+        w = [f"w{r.randrange(10 ** 6)}" for _ in range(150)]
+        menu = " ".join(w[:9])
+        texts = [w, w * (2 + i % 4), w + [menu] * 60]
+        made += [(10 * i + j, " ".join(t)) for j, t in enumerate(texts)]
+    got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == _near(made) and set(got.values()) == set(range(0, 400, 10))
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     from calltrail.llm.base import mix64
     from calltrail.llm.near_dup import dart_signatures
