@@ -14,7 +14,8 @@ into bands.  In a bucket of equal bands no pairs are made: members are compared
 with a few leaders, by the exact Jaccard similarity of their shingle sets.
 Linked texts form components (alternating large-star and small-star steps); in
 further rounds buckets that still hold several components get new leaders, until a
-round adds no link.  All joins are on keys of one bucket or document, and
+round adds no link.  What is left in buckets of several components is joined
+exactly, by a prefix filter on the rarest shingles.  All joins are on keys of one bucket or document, and
 large ones are left to Spark's skewed-join splitting.
 """
 
@@ -33,6 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Leaders that a bucket gets in a round.
 LEADERS = 4
+#: Bits of a set's parity map: two maps differ in at most as many bits as the sets in shingles.
+PARITY = 512
 
 
 def shingles(off: np.ndarray, data: np.ndarray):
@@ -147,7 +150,7 @@ def _sketch(docs: DataFrame, bands: int, per_band: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, s: the hashes of its distinct shingles."""
+    """doc_id, s: the hashes of its distinct shingles, bits: their parity map."""
     def run(batches):
         for b in batches:
             for at, off, data in text_chunks(b["text"]):
@@ -158,12 +161,16 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 new = np.ones(len(g), bool)
                 new[1:] = (g[1:] != g[:-1]) | (srow[1:] != srow[:-1])
                 ends = np.concatenate([[0], np.cumsum(np.bincount(srow[new], minlength=n_rows))])
+                bits = np.zeros(n_rows * PARITY, np.uint8)
+                np.bitwise_xor.at(bits, srow[new] * PARITY + (g[new] % np.uint64(PARITY)).astype(np.int64), np.uint8(1))
                 yield pa.RecordBatch.from_arrays(
                     [b["doc_id"].slice(at, n_rows),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(g[new].view(np.int64)))],
-                    ["doc_id", "s"])
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(g[new].view(np.int64))),
+                     pa.ListArray.from_arrays(pa.array(np.arange(n_rows + 1) * (PARITY // 64), pa.int32()),
+                                              pa.array(np.packbits(bits).view(np.int64)))],
+                    ["doc_id", "s", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, s array<long>")
+    return docs.mapInArrow(run, "doc_id long, s array<long>, bits array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,6 +212,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             .where(F.col("c") >= similarity * (F.col("t") - F.col("c")) - 1e-9).select("u", "v"))
 
 
+def _remaining_links(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All links (u, v) between the classes of docs (doc_id, class), exactly.
+
+    Shingles of one class link nothing, the others are ordered by how many docs
+    hold them.  Linked sets share one of their first shingles in that order, the
+    smaller set (a) among fewer of them; sizes, the places of the shared shingle
+    and the parity maps bound what a pair can have in common.
+    """
+    own = docs.join(sets.hint("merge"), "doc_id")
+    tokens = own.select("doc_id", "class", F.explode("s").alias("t"))
+    common = (tokens.groupBy("t").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("f"))
+              .where("low <> high").select("t", "f"))
+    rare = (tokens.select("doc_id", "t").join(common.hint("merge"), "t")
+            .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("l")))
+    least = lambda share, n: F.ceil(share * n - 1e-6)
+    first = (own.select("doc_id", "class", "bits", F.size("s").alias("n")).join(rare.hint("merge"), "doc_id")
+             .withColumn("first", (F.size("l") - least(similarity, F.col("n")) + 1).cast("int")).where("first > 0"))
+    # rest: the shingles of the set from this one on
+    first = kept(first.select("doc_id", "class", "bits", "n", F.size("l").alias("m"),
+                              F.posexplode(F.slice(F.col("l.t"), F.lit(1), F.col("first"))).alias("place", "t"))
+                 .select("t", "doc_id", "class", "bits", "n", (F.col("m") - F.col("place")).alias("rest")))
+    share = 2 * similarity / (1 + similarity)
+    a = first.where(F.col("rest") >= least(share, F.col("n"))).alias("a")
+    b = first.alias("b")
+    n, m = F.col("a.n"), F.col("b.n")
+    need = least(share / 2, n + m)
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("a.bits")[i].bitwiseXOR(F.col("b.bits")[i]))
+                                        for i in range(PARITY // 64)])
+    pairs = (a.join(b.hint("merge"), (F.col("a.t") == F.col("b.t")) & (F.col("a.class") != F.col("b.class"))
+                    & ((n < m) | (n == m) & (F.col("a.doc_id") < F.col("b.doc_id"))) & (n >= similarity * m - 1e-6)
+                    & (F.least("a.rest", "b.rest") >= need) & (n + m - apart >= 2 * need))
+             .select(F.greatest("a.doc_id", "b.doc_id").alias("u"), F.least("a.doc_id", "b.doc_id").alias("v")).distinct())
+    return _verified(pairs, sets, similarity)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS,
                     leaders: int = LEADERS) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the least doc_id of its
@@ -256,6 +298,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         members = kept(named.withColumn("class", F.coalesce("class", "rep")))
         turn += 1
 
+    # two members of a bucket of which neither was a leader have not met; in one of two, one was
+    mixed = (members.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("size"))
+             .where("low <> high and size > 2").select("h"))
+    left = kept(members.join(mixed, "h").select(F.col("rep").alias("doc_id"), "class").distinct())
+    found = kept(_remaining_links(left, sets, similarity))
+    if not found.isEmpty():
+        links.append(found)
+        classes = kept(components(reduce(DataFrame.union, links)))
+
     named = texts.select("f1", "f2", "rep")
     if classes is not None:
         named = named.join(classes.select(F.col("id").alias("rep"), "class"), "rep", "left")

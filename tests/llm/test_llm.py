@@ -103,6 +103,24 @@ def test_near_duplicates_in_a_large_group_of_edited_copies(spark):
     assert got == _near(made)
 
 
+def _edited(copies, words, changed, seed):
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10 ** 6)}" for _ in range(words)]
+    for i in range(copies):
+        w = list(base)
+        for j in r.sample(range(words), changed):
+            w[j] = f"x{r.randrange(10 ** 6)}"
+        yield i, " ".join(w)
+
+
+def test_near_duplicates_of_which_few_are_linked_in_a_large_group(spark):
+    from calltrail.llm.near_dup import near_duplicates
+    made = [*_edited(2000, 120, 3, 1), *((5000 + i, t) for i, t in _edited(600, 200, 5, 2))]
+    got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    want = {**_near(made[:2000]), **_near(made[2000:])}
+    assert got == want and len(set(want.values())) < len(made)
+
+
 def test_near_duplicates_that_differ_in_how_often_a_passage_repeats(spark):
     from calltrail.llm.near_dup import near_duplicates
     r, made = random.Random(8), []
