@@ -10,6 +10,9 @@
   packing      8  sum-of-squares online packing
   pieces       9  N-best SentencePiece segmentation and decoding
   toxicity     10 weighted lexicon over folded text
+  suffix_match 11 benchmark decontamination by training suffix arrays
+  filter_audit 12 filter interaction audit: min-plus removal ranks
+  spelling     13 spelling variants: trie-node pair dictionary
   queries         the registered queries
 
 Nothing outside this folder (and `corpus_pipeline.py`) imports it.

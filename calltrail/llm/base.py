@@ -67,6 +67,11 @@ def text_chunks(column, max_bytes: int = 2_000_000):
         at = to
 
 
+def lower_az(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z, and nothing else, in lower case."""
+    return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse mod 2^64
@@ -93,10 +98,10 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_table(off: np.ndarray, data: np.ndarray):
-    """Words `[^\\x20\\x09-\\x0D]+` of the rows: (row of each word, first byte,
-    end byte, 64-bit hash), in text order."""
-    word = ~_SPACE[data]
+def word_table(off: np.ndarray, data: np.ndarray, word: np.ndarray | None = None):
+    """Words `[^\\x20\\x09-\\x0D]+` of the rows, or the runs of the bytes that
+    `word` marks: (row of each word, first byte, end byte, 64-bit hash), in text order."""
+    word = ~_SPACE[data] if word is None else word
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from calltrail.llm.base import read
+from calltrail.llm.filter_audit import SQL as SQL12
+from calltrail.llm.suffix_match import SQL as SQL11
 
 
 def tokenizer_path(name: str) -> str:
@@ -69,6 +71,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from calltrail.llm import suffix_match
+    found = suffix_match.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("longest_words", "longest_at", "longest_item")  # the oracle's columns
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from calltrail.llm import filter_audit
+    return filter_audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from calltrail.llm import spelling
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_quality_net": op2_quality_net,
@@ -80,5 +98,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_n_best_pieces": op9_n_best_pieces,
     "op10_toxicity": op10_toxicity,
+    "op11_decontamination": op11_decontamination,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_decontamination": SQL11, "op12_filter_audit": SQL12}
