@@ -36,7 +36,7 @@ RATIO = 10
 #: One in so many (document, run) pairs loses a letter.
 DELETE_ONE_IN = 31
 _PAIRS = "p long, s long, kind int, r long"
-_VALUES = 1_000_000  # dictionary rows of one Arrow batch
+_VALUES = 250_000  # dictionary rows of one Arrow batch
 
 
 def _crc_table() -> np.ndarray:
@@ -86,7 +86,7 @@ def word_counts(docs: DataFrame, min_letters: int = MIN_LETTERS, min_count: int
     """
     def run(batches):
         for b in batches:
-            for at, off, data in text_chunks(b["text"], 4_000_000):
+            for at, off, data in text_chunks(b["text"]):
                 data, rows, starts, ends, h, letters = _runs(off, data)
                 on = np.flatnonzero(letters >= min_letters)
                 rows, starts, ends, h, letters = rows[on], starts[on], ends[on], h[on], letters[on]
