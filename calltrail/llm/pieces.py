@@ -26,6 +26,7 @@ from itertools import chain, product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from calltrail.llm.base import mix64
@@ -34,6 +35,8 @@ BLANK = "▁"
 N_BEST = 4
 #: Chunks kept with their segmentation per task.
 CACHE_CHUNKS = 600_000
+#: Longer chunks (text without blanks) are searched one by one.
+LONG_CHUNK = 4096
 UNKNOWN_PENALTY = 10.0
 
 
@@ -181,28 +184,57 @@ class Pieces:
         return [self.bytes_of[b] for b in char.encode("utf-8", "replace")]
 
     def n_best(self, chunk: str, n: int) -> list[tuple[float, tuple]]:
-        """The n best (score, ids): forward Viterbi, then backward A*."""
-        m, size = self.longest, len(chunk)
-        into: list[list] = [[] for _ in range(size + 1)]  # edges into a place: (start, score, ids)
+        """The n best (score, ids): forward Viterbi, then backward A*.
+
+        The search keeps back pointers, one per state met.  As the forward scores
+        are exact, a state's score is that of the best whole segmentation through it; every
+        step off the best way on is one more of them, so states that do not beat the
+        n-th best score met so far are not kept.  Work grows with the length of the chunk.
+        """
+        m, size, score, unknown = self.longest, len(chunk), self.score, self.unknown
         best = [0.0] + [-np.inf] * size
-        for i in range(size):
-            for j in range(i + 1, min(i + m, size) + 1):
-                p = chunk[i:j]
-                if p in self.id:
-                    into[j].append((i, self.score[p], (self.id[p],)))
-                elif j == i + 1:
-                    into[j].append((i, self.unknown, tuple(self.byte_ids(p))))
-                else:
-                    continue
-                best[j] = max(best[j], best[i] + into[j][-1][1])
-        heap, out = [(-best[size], (), size, 0.0)], []
+        for j in range(1, size + 1):
+            top = best[j]
+            for i in range(max(0, j - m), j):
+                s = score.get(chunk[i:j])
+                if s is None and i == j - 1:
+                    s = unknown
+                if s is not None and best[i] + s > top:
+                    top = best[i] + s
+            best[j] = top
+        # a state: where the rest begins, the rest's score, the state it came from
+        at, rest, came, out = [size], [0.0], [-1], []
+        heap, top, into = [(-best[size], 0)], [best[size]], {}
         while heap and len(out) < n:
-            f, ids, at, g = heapq.heappop(heap)
-            if at == 0:
-                out.append((g, ids))
+            node = -heapq.heappop(heap)[1]
+            j, g = at[node], rest[node]
+            if j == 0:
+                ids = []
+                while came[node] >= 0:
+                    piece = chunk[at[node]:at[came[node]]]
+                    ids.extend([self.id[piece]] if piece in self.id else self.byte_ids(piece))
+                    node = came[node]
+                out.append((g, tuple(ids)))
                 continue
-            for i, s, own in into[at]:
-                heapq.heappush(heap, (-(g + s + best[i]), own + ids, i, g + s))
+            ways = into.get(j)
+            if ways is None:
+                ways = []
+                for i in range(max(0, j - m), j):
+                    s = score.get(chunk[i:j])
+                    if s is None and i == j - 1:
+                        s = unknown
+                    if s is not None:
+                        ways.append((s + best[i], s, i))
+                ways.sort(reverse=True)
+                ways = into[j] = ways[:n]  # n are enough: each is a segmentation of its own
+            for k, (total, s, i) in enumerate(ways):
+                total += g
+                if k:
+                    if len(top) == n and total <= top[0]:
+                        break
+                    (heapq.heappush if len(top) < n else heapq.heappushpop)(top, total)
+                at.append(i), rest.append(g + s), came.append(node)
+                heapq.heappush(heap, (-total, 1 - len(at)))  # of equal scores the latest: it is furthest
         return out
 
     def decode(self, ids) -> str:
@@ -214,28 +246,48 @@ class Segmenter:
     """N-best segmentation of texts, with the chunks met so far."""
 
     def __init__(self, pieces: Pieces, n: int):
-        self.pieces, self.n, self.known, self.lists = pieces, n, {}, {}
+        self.pieces, self.n, self.known, self.lists, self.kept = pieces, n, {}, {}, 0
 
     def _learn(self, wanted):
         new = [c for c in wanted if c not in self.known]
-        if len(self.known) + len(new) > CACHE_CHUNKS:
+        self.kept += sum(map(len, new))
+        if len(self.known) + len(new) > CACHE_CHUNKS or self.kept > 10 * CACHE_CHUNKS:
             self.known, self.lists, new = {}, {}, list(wanted)
-        self.known.update(zip(new, self.pieces.best(new)))
+            self.kept = sum(map(len, new))
+        for c in [c for c in new if len(c) > LONG_CHUNK]:
+            found = self.lists[c] = self.pieces.n_best(c, max(self.n, 2))
+            loss = found[0][0] - found[1][0] if len(found) > 1 else np.inf
+            self.known[c] = (np.array(found[0][1], "<u4").tobytes(), found[0][0], loss, self._spells(c, found[0][1]))
+        new = [c for c in new if len(c) <= LONG_CHUNK]
+        for c, (raw, score, loss) in zip(new, self.pieces.best(new)):
+            self.known[c] = (raw, score, loss, self._spells(c, np.frombuffer(raw, "<u4").tolist()))
+
+    def _spells(self, chunk: str, ids) -> bool:
+        return b"".join(map(self.pieces.text.__getitem__, ids)) == chunk.replace(BLANK, " ").encode("utf-8", "replace")
 
     def run(self, texts: list[str]):
-        """For each text its segmentations, best first: (score, ids as bytes)."""
+        """For each text its segmentations, best first: (score, ids as bytes,
+        whether they decode to the text).  That is checked by chunk, once for each
+        segmentation met; a text that holds the blank mark itself does not come back."""
         cut = [self.pieces.chunks(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         self._learn(dict.fromkeys(chain.from_iterable(cut)))
-        for cs in cut:
-            ids, scores, losses = zip(*map(self.known.__getitem__, cs)) if cs else ((), (), ())
-            total = sum(scores)
-            few = [x for x in heapq.nsmallest(self.n - 1, zip(losses, range(len(cs)))) if x[0] < np.inf]
+        for text, cs in zip(texts, cut):
+            ids, scores, losses, spelt = zip(*map(self.known.__getitem__, cs)) if cs else ((), (), (), ())
+            total, whole = sum(scores), all(spelt) and BLANK not in (text or "")
+            least = np.array(losses)
+            if len(least) > self.n - 1:  # ties go to the chunks in front
+                edge = np.partition(least, self.n - 2)[self.n - 2] if self.n > 1 else -np.inf
+                near = np.flatnonzero(least <= edge)
+            else:
+                near = np.arange(len(least))
+            few = [(least[i], int(i)) for i in near[np.argsort(least[near], kind="stable")][:self.n - 1] if least[i] < np.inf]
             options = []
             for _, i in few:
                 if cs[i] not in self.lists:
                     if len(self.lists) >= CACHE_CHUNKS:
                         self.lists = {}
                     self.lists[cs[i]] = self.pieces.n_best(cs[i], self.n)
+                whole = whole and all(self._spells(cs[i], x) for _, x in self.lists[cs[i]])
                 options.append([(s - scores[i], x) for s, x in self.lists[cs[i]]])
             ways = sorted(((-sum(o[0] for o in way), [o[1] for o in way]) for way in product(*options)))[:self.n]
             result = []
@@ -245,7 +297,7 @@ class Segmenter:
                     own = list(ids)
                     for (_, i), x in zip(few, way):
                         own[i] = np.array(x, "<u4").tobytes()
-                result.append((total - loss, b"".join(own)))
+                result.append((total - loss, b"".join(own), whole))
             yield result
 
 
@@ -262,27 +314,32 @@ def encode_n_best(docs: DataFrame, model: str, n: int = N_BEST, with_ids: bool =
     schema = ("doc_id long, rank int, score double, n_pieces long, ids_crc32 long, round_trip boolean"
               + (", ids array<int>" if with_ids else ""))
 
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches):
-        pieces = Pieces(model)
-        segmenter = Segmenter(pieces, n)
+        segmenter = Segmenter(Pieces(model), n)
         for b in batches:
-            ids, texts = list(b["doc_id"].array), [t or "" for t in b["text"]]
+            ids, texts = b["doc_id"].to_pylist(), [t or "" for t in b["text"].to_pylist()]
             at = 0
             while at < len(texts):  # runs of about 500,000 characters bound the arrays
                 to, chars = at, 0
                 while to < len(texts) and (to == at or chars + len(texts[to]) <= 500_000):
                     chars += len(texts[to])
                     to += 1
-                out = []
-                for i, text, found in zip(ids[at:to], texts[at:to], segmenter.run(texts[at:to])):
-                    for rank, (score, raw) in enumerate(found, 1):
-                        own = np.frombuffer(raw, "<u4")
-                        rec = (i, rank, score, len(own), zlib.crc32(raw), pieces.decode(own.tolist()) == text)
-                        out.append(rec + (own.astype(np.int32),) if with_ids else rec)
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
+                rows, raws = [], []
+                for i, found in zip(ids[at:to], segmenter.run(texts[at:to])):
+                    for rank, (score, raw, whole) in enumerate(found, 1):
+                        rows.append((i, rank, score, len(raw) // 4, zlib.crc32(raw), whole))
+                        raws.append(raw)
+                types = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+                out = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                if with_ids:
+                    ends = np.cumsum([0] + [r[3] for r in rows]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raws), "<i4"))))
+                yield pa.RecordBatch.from_arrays(out, names)
                 at = to
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
