@@ -19,7 +19,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Chunks kept with their ids per task, and the longest chunk worth keeping.
@@ -170,20 +170,20 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
 
         encode = load_encoder(tokenizer)
         base = TaskContext.get().partitionId() << 32
-        rows = ((i, t or "") for b in batches for i, t in zip(b["doc_id"].array, b["text"].array))
+        rows = ((i, t or "") for b in batches for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()))
         out = []
         for row, start, ids, total, no, at in pack_partition(rows, encode, end_id, capacity):
-            rec = (None if row is None or row != row else int(row), start, len(ids) // 4, zlib.crc32(ids), total,
-                   base + no, at)
+            rec = (row, start, len(ids) // 4, zlib.crc32(ids), total, base + no, at)
             out.append(rec + (np.frombuffer(ids, "<u4").astype(np.int32),) if with_ids else rec)
             if len(out) >= 20_000:
-                yield frame(out)
+                yield table(out)
                 out = []
         if out:
-            yield frame(out)
+            yield table(out)
 
-    def frame(out):
-        pdf = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-        return pdf.astype({"doc_id": "Int64"})
+    def table(out):
+        types = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
+                                          [c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
