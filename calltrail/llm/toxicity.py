@@ -14,10 +14,13 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from calltrail.llm.base import crc_mod, kept, labelled_sample
@@ -88,8 +91,15 @@ def matches(folded: str, automaton) -> list[tuple[int, int, float]]:
             spared.append((start, end))
         elif size > found.get(start, (0, 0))[0]:
             found[start] = (size, weight)
-    return [(s, s + n, w) for s, (n, w) in sorted(found.items())
-            if not any(a <= s < b for a, b in spared)]
+    spared.sort()
+    starts = [a for a, _ in spared]
+    ends = list(accumulate((b for _, b in spared), max))  # how far the phrases up to one reach
+    out = []
+    for s, (n, w) in sorted(found.items()):
+        i = bisect_right(starts, s)
+        if not i or ends[i - 1] <= s:
+            out.append((s, s + n, w))
+    return out
 
 
 def _density(text: str, table: Fold, automaton) -> float:
@@ -186,16 +196,16 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFram
         a, table = lexicon.automaton(), Fold()
         for b in batches:
             sums, counts = [], []
-            for t in b["text"]:
+            for t in b["text"].to_pylist():
                 folded = fold(t or "", table)
                 found = matches(folded, a)
                 sums.append(sum(w for _, _, w in found) / (folded.count(" ") + 9))
                 counts.append(len(found))
             z = lexicon.bias + lexicon.slope * np.log1p(100 * np.array(sums, float))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": 1 / (1 + np.exp(-z)), "n_matches": counts}).astype(
-                {"doc_id": "Int64"})
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(1 / (1 + np.exp(-z))), pa.array(counts, pa.int64())],
+                                             ["doc_id", "score", "n_matches"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .mapInPandas(run, "doc_id long, score double, n_matches long")
+            .mapInArrow(run, "doc_id long, score double, n_matches long")
             .select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score",
                     (F.col("score") >= threshold).cast("int").alias("predicted"), "n_matches"))
