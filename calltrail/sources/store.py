@@ -1,35 +1,42 @@
 """The event store on Parquet: append (S8), read with schema evolution (S9),
 export sessions (S10), erase a user (D1), clear (D2), retention (R7).
 
-Layout: ``<table>/event_date=YYYY-MM-DD/load-*.parquet`` (daily partitions,
-R8); rows inside files sorted by (app_id, ts) so row-group statistics act
-like the reference's (app_id, ts) index.
+Layout: ``<table>/event_date=YYYY-MM-DD/load-<number>-*.parquet`` (daily
+partitions, R8; ``erased-<number>-*`` after an erase); rows inside files sorted by
+(app_id, ts) so row-group statistics act like the reference's (app_id, ts) index.
+Beside the days: ``_loads`` (who owns a load number, which loads are in), ``_commits``
+(one record per load, read by followers), ``_users`` (which load and day hold a
+user), ``_erased`` (users erased so far), ``_staging``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+import time
 import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calltrail.schema import EVENT, FIELDS, V1_FIELDS, conform, with_time
+from calltrail.sources import loads as LD
+from calltrail.sources.loads import LoadClash, StoreBusy
 
 STORE_SCHEMA = T.StructType(EVENT.fields + [T.StructField("event_date", T.DateType(), True)])
-_POS_BITS = 36                     # rows of one load: up to 2^36
-_MAX_LOAD = (1 << (63 - _POS_BITS)) - 1  # load ids: 0 .. 2^27 - 1
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # folder of rows without a day
+_POS_BITS, _MAX_LOAD = LD.POS_BITS, LD.MAX_LOAD
 
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+    return LD.fs_of(spark, path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
+    return LD.exists(spark, path)
 
 
 def _mark(spark: SparkSession, path: str) -> None:
@@ -81,39 +88,105 @@ def assign_seq(df: DataFrame, load_id: int, work: str, order: list[str] | None =
                 .drop("__part", "__at", "__start", "__fits"))
 
 
-def append_events(df: DataFrame, table: str, load_id: int, order: list[str] | None = None) -> int:
-    """Conform and append one load to the store, partitioned by ``event_date``.
+def _fingerprint(df: DataFrame) -> list:
+    # rows and a sum of row hashes; neither the order nor the ids of the rows count
+    cols = [F.map_entries(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name)
+            for f in df.schema.fields if f.name != "seq"]
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*cols).cast("decimal(38,0)")), F.lit(0))
+            .cast("string").alias("sum")]
+
+
+def _dated(df: DataFrame) -> DataFrame:
+    return with_time(conform(df)).drop("event_time")
 
-    ``load_id`` names the load: it numbers the rows (``assign_seq``) and makes
-    the append idempotent, so a load appended again adds nothing.  Returns
-    the number of files committed now.  Steps:
 
-    1. the load is written to ``<table>/_staging/load=<id>``, then marked ready;
-       an attempt that ended before the mark left nothing visible and is redone;
+def _same(df: DataFrame, load_id: int, known: str) -> None:
+    own, info = _dated(df).agg(*_fingerprint(_dated(df))).first(), json.loads(known)
+    if (own["rows"], own["sum"]) != (info["rows"], info["sum"]):
+        raise LoadClash(f"load id {load_id} is already used by a load of {info['rows']} other rows; "
+                        f"this one has {own['rows']}")
+
+
+def append_events(df: DataFrame, table: str, load_id: int | None = None, order: list[str] | None = None, *,
+                  source: str | None = None, batch=None) -> int:
+    """Conform and append one load to the store, partitioned by ``event_date``.
+
+    A load is known by ``load_id``, a number that the caller picks (below 2^26, as
+    larger ones are given to streams), or by ``source`` and ``batch``, which get
+    a number of their own (``loads.claim_number``); with neither it is a new load.
+    The number numbers the rows (``assign_seq``) and makes the append idempotent:
+    the same load appended again adds nothing.  Other rows under a ``load_id`` in
+    use raise ``LoadClash``; rows are compared by count and a sum of hashes, without
+    ``seq``.  Returns the number of files committed now.  Steps:
+
+    1. the load is written to ``<table>/_staging/load=<number>``, with the users it
+       holds to ``_users``, then marked ready; an attempt that ended before the
+       mark left nothing visible and is redone;
     2. from the mark on the staged files are the load: each is renamed into its
-       day as ``load-<id>-<part>``.  A replay finds only those not yet renamed
+       day as ``load-<number>-<part>``.  A replay finds only those not yet renamed
        and goes on with them, however its own input is split;
-    3. ``<table>/_loads/<id>`` records the load as done, and the stage goes.
+    3. users erased since the load began are erased from it;
+    4. a record in ``_commits`` shows the load to followers, ``_loads/done`` has
+       it as done, and the stage goes.
     """
-    spark, load_id, root = df.sparkSession, int(load_id), table.rstrip("/")
-    done, stage = f"{root}/_loads/{load_id}", f"{root}/_staging/load={load_id}"
+    spark, root = df.sparkSession, table.rstrip("/")
+    if load_id is not None:
+        number = int(load_id)
+        LD.own_number(spark, root, number)
+    else:
+        number = LD.claim_number(spark, root, source or "append", uuid.uuid4().hex if batch is None else batch)
+    done, stage = f"{root}/_loads/done/{number}", f"{root}/_staging/load={number}"
     ready, files = f"{stage}/_ready", f"{stage}/files"
+    known = LD.text_of(spark, done) or (LD.text_of(spark, f"{stage}/info") if _exists(spark, ready) else None)
+    if known is not None and load_id is not None:
+        _same(df, number, known)
+    if LD.text_of(spark, done) is not None:
+        return 0
+    if known is None:
+        fs, stage_path = _fs(spark, stage)
+        fs.delete(stage_path, True)
+        seen = Observation()
+        rows = by_day(_dated(assign_seq(df, number, f"{stage}/rows", order)))
+        rows.observe(seen, *_fingerprint(rows)).write.option(
+            "parquet.bloom.filter.enabled#user_id", "true").partitionBy("event_date").parquet(files)
+        _index_users(spark, root, files, number)
+        days = [n.split("=", 1)[1] for n in LD.names_in(spark, files) if n.startswith("event_date=")]
+        LD.put_new(spark, f"{stage}/info", json.dumps({**seen.get, "commit": uuid.uuid4().hex, "days": days}))
+        _mark(spark, ready)
+    return _finish(spark, root, number)
+
+
+#: The append is idempotent per load; this name says so where it matters.
+append_events_once = append_events
+
+
+def _finish(spark: SparkSession, root: str, number: int) -> int:
+    # steps 2 to 4 of append_events for a load that is marked ready
+    stage, claimed = f"{root}/_staging/load={number}", LD.modified(spark, f"{root}/_loads/ids/{number}")
+    text = LD.text_of(spark, f"{stage}/info")
+    info = json.loads(text)
+    committed = _move_in(spark, f"{stage}/files", root, f"load-{number}-")
+    gone = sorted({LD.text_of(spark, f"{root}/_erased/{n}") for n in LD.names_in(spark, f"{root}/_erased")
+                   if LD.modified(spark, f"{root}/_erased/{n}") > claimed})
+    if gone:
+        with LD.lock(spark, f"{root}/_erase/lock", wait_s=LD.LEASE_S):
+            for user in gone:
+                _erase(spark, root, user, {(str(number), d) for d in info["days"]})
+    LD.put_new(spark, f"{root}/_commits/{number}-{info['commit']}",
+               json.dumps({"tag": str(number), "days": info["days"]}))
+    LD.put_new(spark, f"{root}/_loads/done/{number}", text)
     fs, stage_path = _fs(spark, stage)
-    committed = 0
-    if not _exists(spark, done):
-        if not _exists(spark, ready):
-            fs.delete(stage_path, True)
-            numbered = assign_seq(df, load_id, f"{stage}/rows", order)
-            by_day(with_time(conform(numbered)).drop("event_time")).write.partitionBy("event_date").parquet(files)
-            _mark(spark, ready)
-        committed = _move_in(spark, files, root, f"load-{load_id}-")
-        _mark(spark, done)
     fs.delete(stage_path, True)
     return committed
 
 
-#: The append is idempotent per load; this name says so where it matters.
-append_events_once = append_events
+def _index_users(spark: SparkSession, root: str, files: str, number: int) -> None:
+    """Which day of the load holds which user, by the user's hash and sorted by
+    it, so that a look-up reads one row group of one small file per load."""
+    (spark.read.schema(STORE_SCHEMA).parquet(files).where("user_id is not null")
+          .select(F.xxhash64("user_id").alias("user"), F.coalesce(F.col("event_date").cast("string"), F.lit(NO_DAY)).alias("day")).distinct()
+          .repartitionByRange("user").sortWithinPartitions("user")
+          .write.mode("overwrite").parquet(f"{root}/_users/load={number}"))
 
 
 def _move_in(spark: SparkSession, files: str, table: str, prefix: str) -> int:
@@ -173,51 +246,149 @@ def _partition_dirs(spark: SparkSession, table: str) -> dict:
     return out
 
 
-def erase_user(spark: SparkSession, table: str, user_id: str) -> int:
+#: The load that a data file belongs to; files of other writers have none.
+_TAG = r"^(?:load|erased)-([^-]+)-"
+
+
+def file_tag(name):
+    """Column: the load of a file by its name; a foreign file is a load by itself."""
+    own = F.regexp_extract(name, _TAG, 1)
+    return F.when(own != "", own).otherwise(F.concat(F.lit("p"), F.substring(F.md5(name), 1, 16)))
+
+
+def files_of(spark: SparkSession, table: str) -> list[tuple[str, str, str]]:
+    """(path, tag, day) of every data file, from one listing of the table."""
+    out = []
+    for f in map(unquote, read_events(spark, table).inputFiles()):
+        day, name = f.rsplit("/", 2)[1:]
+        own = re.match(_TAG, name)
+        out.append((f, own[1] if own else "p" + hashlib.md5(name.encode()).hexdigest()[:16], day.split("=", 1)[-1]))
+    return out
+
+
+def files_that_may_hold(spark: SparkSession, table: str, user_id: str) -> list[str]:
+    """The files of the loads and days that the user index names, and those of
+    loads without an index (other writers')."""
+    root = table.rstrip("/")
+    named = set()
+    if _exists(spark, f"{root}/_users"):
+        named = {(r["load"], r["day"]) for r in
+                 spark.read.schema("user long, day string, load string").parquet(f"{root}/_users")
+                 .where(F.col("user") == F.xxhash64(F.lit(user_id))).select("load", "day").distinct().collect()}
+    indexed = {n.split("=", 1)[1] for n in LD.names_in(spark, f"{root}/_users") if n.startswith("load=")}
+    return [f for f, tag, day in files_of(spark, root) if tag not in indexed or (tag, day) in named]
+
+
+def erase_user(spark: SparkSession, table: str, user_id: str, idle_s: float = 3600.0) -> int:
     """Delete every row of ``user_id``; returns the count (0 when run again).
 
-    Only the files that hold the user are rewritten.  Their other rows are
-    written beside them, under ``<table>/_staging``, and counted; only if old rows
-    = new rows + erased rows are the new files renamed into their days (as
-    ``erased-*``, which ``streaming.live`` does not follow) and exactly the old
-    files deleted.  Rows appended meanwhile are in other files and stay.  A
-    reader during the exchange can see a row twice, never miss one; after a
-    crash between the two steps both copies are there.  One path per touched file goes
-    through the driver, as any listing of the table does.
+    Only files that may hold the user (``files_that_may_hold``) are opened, and only
+    those that do are rewritten: their other rows are written beside them, under
+    ``<table>/_staging``, per load, and counted; only if old rows = new rows +
+    erased rows are the new files renamed into their days (as ``erased-<load>-*``)
+    and exactly the old files deleted.  What is to be renamed and deleted is
+    noted first, so an exchange that breaks off is finished by the next erase.  Rows of loads
+    that begin during the erase stay.  A reader during the exchange can see a row
+    twice, never miss one; followers wait for it.
+
+    The user is also noted in ``<table>/_erased``: a load that began before and ends after
+    the erase drops the user itself.  Loads left ready but not finished for
+    ``idle_s`` are finished first, and unfinished attempts of that age (their sources
+    bring them again) are removed with the rows they hold.
+    One erase runs at a time; a second raises ``StoreBusy``.
     """
     if user_id is None:
         raise ValueError("erase_user needs a user id")
-    ev = read_events(spark, table)
-    mine = F.col("user_id") == F.lit(user_id)
-    held = (ev.select(F.col("_metadata.file_path").alias("file"), mine.alias("mine"))
+    root = table.rstrip("/")
+    with LD.lock(spark, f"{root}/_erase/lock"):
+        _recover(spark, root)
+    before = (time.time() - idle_s) * 1000
+    for name in LD.names_in(spark, f"{root}/_staging"):
+        own = f"{root}/_staging/{name}"
+        if name.startswith("load=") and _exists(spark, f"{own}/_ready"):
+            if LD.modified(spark, f"{own}/_ready") <= before:
+                _finish(spark, root, int(name.split("=", 1)[1]))
+        elif LD.modified(spark, own) <= before:
+            _remove(spark, own)
+    for name in LD.names_in(spark, f"{root}/_judged"):
+        if LD.modified(spark, f"{root}/_judged/{name}") <= before:
+            _remove(spark, f"{root}/_judged/{name}")
+    LD.put_new(spark, f"{root}/_erased/{uuid.uuid4().hex}", user_id)
+    with LD.lock(spark, f"{root}/_erase/lock", wait_s=60):
+        return _erase(spark, root, user_id)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _erase(spark: SparkSession, root: str, user_id: str, only: set | None = None) -> int:
+    # under the lock: rewrite the files that hold the user (of `only`: (load, day))
+    files = files_that_may_hold(spark, root, user_id)
+    if only is not None:
+        files = [f for f, tag, day in files_of(spark, root) if f in set(files) and (tag, day) in only]
+    if not files:
+        return 0
+    some = spark.read.schema(STORE_SCHEMA).option("basePath", root).parquet(*files)
+    held = (some.select(F.col("_metadata.file_path").alias("file"), (F.col("user_id") == F.lit(user_id)).alias("mine"))
             .groupBy("file").agg(F.count_if("mine").alias("gone"), F.count(F.lit(1)).alias("rows"))
             .where("gone > 0").collect())
     if not held:
         return 0
-    jvm = spark._jvm
-    old = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["file"])) for r in held]
+    old = [unquote(r["file"]) for r in held]
     gone, rows = sum(r["gone"] for r in held), sum(r["rows"] for r in held)
     name = f"erased-{uuid.uuid4().hex}"
-    stage = f"{table.rstrip('/')}/_staging/{name}"
-    (spark.read.schema(STORE_SCHEMA).option("basePath", table).parquet(*[p.toString() for p in old])
+    stage = f"{root}/_staging/{name}"
+    (spark.read.schema(STORE_SCHEMA).option("basePath", root).parquet(*old)
+          .withColumn("__load", file_tag(F.col("_metadata.file_name")))
           .where(~F.col("user_id").eqNullSafe(F.lit(user_id)))
-          .transform(by_day).write.mode("overwrite").partitionBy("event_date").parquet(stage))
-    fs, sp = _fs(spark, stage)
-    days = [d for d in fs.listStatus(sp) if d.isDirectory() and d.getPath().getName().startswith("event_date=")]
-    left = spark.read.schema(STORE_SCHEMA).parquet(stage).count() if days else 0
-    if left + gone != rows:
-        fs.delete(sp, True)
-        raise RuntimeError(f"erase_user: {rows} rows read, {left} written and {gone} erased; nothing was changed")
-    if days:
-        _move_in(spark, stage, table.rstrip("/"), f"{name}-")  # before anything old is deleted
-    for p in old:
-        if not fs.delete(p, False):
+          .transform(by_day).write.mode("overwrite").option("parquet.bloom.filter.enabled#user_id", "true")
+          .partitionBy("event_date", "__load").parquet(stage))
+    _, sp = _fs(spark, stage)
+    left = spark.read.schema(STORE_SCHEMA).parquet(stage)
+    if left.count() + gone != rows:
+        _remove(spark, stage)
+        raise RuntimeError(f"erase_user: {rows} rows read, {gone} to erase, but the rest was not written; nothing was changed")
+    moves = []
+    for f in left.inputFiles():
+        day, tag, own = unquote(f).rsplit("/", 3)[1:]
+        tag = tag.split("=", 1)[1]
+        moves.append([unquote(f), f"{root}/{day}/erased-{tag}-{name[7:]}-{own.split('-')[1]}{own[own.index('.'):]}"])
+    if not LD.put_new(spark, f"{root}/_erase/journal", json.dumps({"moves": moves, "old": old, "stage": stage})):
+        raise StoreBusy(f"{root}/_erase/journal is there already")
+    _recover(spark, root)
+    return gone
+
+
+def _recover(spark: SparkSession, root: str) -> None:
+    """Do what the journal of an erase still asks for; every step may be repeated."""
+    journal = LD.text_of(spark, f"{root}/_erase/journal")
+    if journal is None:
+        return
+    jvm, todo = spark._jvm, json.loads(journal)
+    fs, _ = _fs(spark, root)
+    path = jvm.org.apache.hadoop.fs.Path
+    for src, dst in todo["moves"]:  # before anything old is deleted
+        if fs.exists(path(src)):
+            fs.mkdirs(path(dst).getParent())
+            if fs.exists(path(dst)) or not fs.rename(path(src), path(dst)):
+                raise OSError(f"could not commit {src} as {dst}")
+        elif not fs.exists(path(dst)):
+            raise OSError(f"neither {src} nor {dst} is there")
+    for p in map(path, todo["old"]):
+        if fs.exists(p) and not fs.delete(p, False):
             raise OSError(f"could not delete {p}")
         day = p.getParent()
-        if len(fs.listStatus(day)) == 0:
+        if fs.exists(day) and len(fs.listStatus(day)) == 0:
             fs.delete(day, False)
-    fs.delete(sp, True)
-    return gone
+    _remove(spark, f"{root}/_erase/journal")
+    _remove(spark, todo["stage"])
+
+
+def erasing(spark: SparkSession, table: str) -> bool:
+    """Whether an erase is exchanging files now."""
+    return _exists(spark, f"{table.rstrip('/')}/_erase/journal")
 
 
 def drop_before(spark: SparkSession, table: str, cutoff_date: str) -> list[str]:
