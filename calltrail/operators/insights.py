@@ -104,10 +104,13 @@ def latency(df: DataFrame, ps=(0.5, 0.95, 0.99), exact: bool = True, max_ms: int
         for p in ps])
 
 
-def rank_check(df: DataFrame, ps=(0.5, 0.95, 0.99), max_ms: int | None = EPOCH_SIZED_MS) -> DataFrame:
-    """Whether each approximate percentile keeps its promise: a value whose
-    rank is within ``n / APPROX_ACCURACY`` (and one row) of ``p * n``."""
-    e, approx = timed_exits(df, max_ms), latency(df, ps, exact=False, max_ms=max_ms)
+def rank_check(df: DataFrame, ps=(0.5, 0.95, 0.99), max_ms: int | None = EPOCH_SIZED_MS,
+               approx: DataFrame | None = None, error: float = 1 / APPROX_ACCURACY) -> DataFrame:
+    """Whether each approximate percentile (of ``latency``, or of `approx`: class_name,
+    method, n, p<100p>) keeps its promise: a value whose rank is within
+    ``n * error`` (and one row) of ``p * n``."""
+    e = timed_exits(df, max_ms)
+    approx = latency(df, ps, exact=False, max_ms=max_ms) if approx is None else approx
     names = [f"p{int(round(p * 100))}" for p in ps]
     same = e["class_name"].eqNullSafe(approx["class_name"]) & e["method"].eqNullSafe(approx["method"])
     j = approx.join(e.select("class_name", "method", "duration_ms"), same).select(
@@ -117,7 +120,7 @@ def rank_check(df: DataFrame, ps=(0.5, 0.95, 0.99), max_ms: int | None = EPOCH_S
         ranks += [F.count_if(F.col("duration_ms") < F.col(c)).alias(f"__below_{c}"),
                   F.count_if(F.col("duration_ms") <= F.col(c)).alias(f"__upto_{c}")]
     g = j.groupBy("class_name", "method", "n").agg(*ranks)
-    slack = F.col("n") / F.lit(float(APPROX_ACCURACY)) + 1
+    slack = F.col("n") * F.lit(error) + 1
     return g.select("class_name", "method", "n", *[
         ((F.col(f"__below_{c}") <= F.lit(float(p)) * F.col("n") + slack)
          & (F.col(f"__upto_{c}") >= F.lit(float(p)) * F.col("n") - slack)).alias(f"{c}_ok")

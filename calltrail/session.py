@@ -21,6 +21,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Dynamic overwrite lets erase/retention rewrite only touched partitions.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # live pairing keeps its open calls as single state entries
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -4,31 +4,71 @@
 Late rows.  Every view takes all rows, however late they arrive, unless a
 ``watermark`` is given: then state older than it is freed, and rows later than
 it are dropped.  Spark counts those in the query's progress
-(``stateOperators[].numRowsDroppedByWatermark``).
+(``stateOperators[].numRowsDroppedByWatermark``).  ``streaming.rollup`` keeps quota,
+alert, usage and latency figures and first copies in tables instead: no state that grows,
+and no row too late.
 """
 
 from __future__ import annotations
 
+import datetime
 import json
+import time
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from calltrail.functions.render import device_label
 from calltrail.operators.calls import scope_column
 from calltrail.operators.filters import store_query
 from calltrail.operators.governance import quota_audit
 from calltrail.operators.summary import app_summary, stats
-from calltrail.sources.store import STORE_SCHEMA
+from calltrail.sources import loads as LD
+from calltrail.sources.loads import StoreBusy
+from calltrail.sources.store import NO_DAY, erasing, file_tag, files_of, read_events
 
 
-def store_stream(spark: SparkSession, table: str, max_files: int = 1000) -> DataFrame:
-    """Appended files of the store as a stream; files that an erase rewrote
-    hold rows delivered before and are left out."""
-    return (spark.readStream.schema(STORE_SCHEMA).option("maxFilesPerTrigger", str(max_files))
-                 .option("pathGlobFilter", "{part,load}-*").parquet(table))
+def _adopt(spark: SparkSession, table: str) -> None:
+    # files that other writers put into the table (or an erase made of them) get a record each
+    root = table.rstrip("/")
+    fs, p = LD.fs_of(spark, f"{root}/event_date=*/{{part-,erased-p}}*")
+    found = fs.globStatus(p)
+    if not found:
+        return
+    have = set(LD.names_in(spark, f"{root}/_commits"))
+    for _, tag, day in files_of(spark, root):
+        if tag.startswith("p") and tag not in have:
+            LD.put_new(spark, f"{root}/_commits/{tag}", json.dumps({"tag": tag, "days": [day]}))
+
+
+def commit_stream(spark: SparkSession, table: str, max_loads: int = 1000) -> DataFrame:
+    """The store's commit records as a stream (``value``: JSON with the load's
+    tag and days): the offset of a follower is the set of loads delivered."""
+    fs, p = LD.fs_of(spark, f"{table.rstrip('/')}/_commits")
+    fs.mkdirs(p)
+    _adopt(spark, table)
+    return (spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", str(max_loads))
+                 .option("maxFileAge", "36500d").load(f"{table.rstrip('/')}/_commits"))
+
+
+def rows_of(spark: SparkSession, table: str, records: list[str], wait_s: float = 600.0) -> DataFrame:
+    """The rows that the store holds now of some commit records, in whatever
+    files: days are pruned, and files by their names.  While an erase exchanges files it
+    is waited for."""
+    until = time.time() + wait_s
+    while erasing(spark, table):
+        if time.time() > until:
+            raise StoreBusy(f"an erase of {table} has not ended")
+        time.sleep(0.2)
+    found = [json.loads(r) for r in records]
+    days = sorted({d for r in found for d in r["days"]})
+    tags = sorted({r["tag"] for r in found})
+    dates = [None if d == NO_DAY else datetime.date.fromisoformat(d) for d in days]
+    known = F.col("event_date").isin([d for d in dates if d]) if any(dates) else F.lit(False)
+    return (read_events(spark, table).where(F.coalesce(known, F.lit(None in dates)))
+            .where(file_tag(F.col("_metadata.file_name")).isin(tags)))
 
 
 def follow(spark: SparkSession, table: str, on_batch, checkpoint: str, compat: bool = False,
@@ -44,8 +84,12 @@ def follow(spark: SparkSession, table: str, on_batch, checkpoint: str, compat: b
     failure of ``on_batch`` and the stream goes on (that batch counts as
     delivered); without it the failure stops the query.  ``on_connected(query)``
     is called once the stream has started.
+
+    A load is delivered once, with the rows that the store holds of it then: a
+    follower that starts or goes on after an erase gets exactly the rows that are left.
+    A micro-batch reads the records of at most 1000 loads; their rows stay distributed.
     """
-    src = store_query(store_stream(spark, table), **filters)
+    src = commit_stream(spark, table)
     high_file = f"{checkpoint.rstrip('/')}/_high_ts"
 
     def _read_high():
@@ -72,7 +116,8 @@ def follow(spark: SparkSession, table: str, on_batch, checkpoint: str, compat: b
         if not fs.rename(aside, jp):
             raise OSError(f"could not write {high_file}")
 
-    def run(df: DataFrame, epoch: int):
+    def run(records: DataFrame, epoch: int):
+        df = store_query(rows_of(spark, table, [r["value"] for r in records.collect()]), **filters)
         if compat:
             high = _read_high()
             if high is not None:
@@ -121,94 +166,134 @@ def new_labels(events: DataFrame) -> DataFrame:
 
 PAIR_SCHEMA = ("scope string, class_name string, method string, kind string, enter_seq long, "
                "exit_seq long, enter_ts long, exit_ts long, duration_ms long")
-STATE_SCHEMA = "stack string, high_ts long"
+#: State store that keeps single entries, which live_pairs needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 
+def pairing_session(spark: SparkSession) -> SparkSession:
+    """A session beside `spark` (same context, own settings) whose streams keep
+    state in RocksDB."""
+    own = spark.newSession()
+    own.conf.set(_PROVIDER, ROCKSDB)
+    return own
 
-def _pair_step(key, batches, state, timeout_ms):
-    """Per (scope, class, method): a stack of open ENTERs across micro-batches.
 
-    With ``timeout_ms``, open ENTERs that far of event time behind the watermark
-    are emitted as ``open`` and dropped from the stack, so a method that
-    keeps throwing (no EXIT) cannot grow its state without bound; a key idle
-    that long is evicted whole by the event-time timeout.
+class Pairing(StatefulProcessor):
+    """Per (scope, class, method): the open ENTERs, one state entry each.
+
+    ``open`` maps a place to an ENTER, ``ends`` says which places [low, top) are
+    in use and when the key's timer is due.  The calls that begin and end in one
+    micro-batch never reach the state: what is left of it is some EXITs, which each take one entry
+    off the top, and then some ENTERs, which each put one on.
     """
-    scope, cls, meth = key
-    out = {k: [] for k in ("kind", "enter_seq", "exit_seq", "enter_ts", "exit_ts", "duration_ms")}
-
-    def emit_open(entries):
-        for s_, t_ in entries:
-            for k, v in zip(out, ("open", s_, None, t_, None, None)):
-                out[k].append(v)
-
-    def result():
-        if out["kind"]:
-            res = pd.DataFrame(out)
-            res.insert(0, "method", meth)
-            res.insert(0, "class_name", cls)
-            res.insert(0, "scope", scope)
-            yield res
-
-    if timeout_ms is not None and state.hasTimedOut:
-        stack = json.loads(state.get[0]) if state.exists else []
-        state.remove()
-        emit_open(stack)
-        yield from result()
-        return
-    stack, high = ([], None)
-    if state.exists:
-        stack, high = json.loads(state.get[0]), state.get[1]
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
-    for typ, seq, ts, dur in zip(pdf["type"], pdf["seq"], pdf["ts"], pdf["duration_ms"]):
-        seq, ts = int(seq), int(ts)
-        high = ts if high is None else max(high, ts)
-        if typ == "ENTER":
-            stack.append((seq, ts))
-        elif typ == "EXIT":
-            if stack:
-                es, et = stack.pop()
-                row = ("pair", es, seq, et, ts, None if pd.isna(dur) else int(dur))
+
+    def __init__(self, timeout_ms: int | None):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "place long", "seq long, ts long")
+        self.ends = handle.getValueState("ends", "low long, top long, due long")
+
+    def close(self) -> None:
+        pass
+
+    def _ends(self):
+        return tuple(self.ends.get()) if self.ends.exists() else (0, 0, None)
+
+    def _pop(self, low: int, top: int):
+        while top > low:
+            top -= 1
+            if self.open.containsKey((top,)):  # a place may have been left
+                entry = self.open.getValue((top,))
+                self.open.removeKey((top,))
+                return tuple(entry), top
+        return None, low
+
+    def _settle(self, low: int, top: int, due) -> None:
+        # the timer follows the lowest open ENTER; an empty stack leaves no state
+        while low < top and not self.open.containsKey((low,)):
+            low += 1
+        want = None
+        if self.timeout_ms is not None and low < top:
+            want = tuple(self.open.getValue((low,)))[1] + self.timeout_ms
+        if due != want:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if want is not None:
+                self.handle.registerTimer(want)
+        if low < top:
+            self.ends.update((low, top, want))
+        else:
+            self.open.clear()
+            self.ends.clear()
+
+    @staticmethod
+    def _frame(key, rows):
+        if rows:
+            yield pd.DataFrame([(*key, *r) for r in rows], columns=[c.split()[0] for c in PAIR_SCHEMA.split(", ")])
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+        low, top, due = self._ends()
+        new, out = [], []
+        for typ, seq, ts, dur in zip(pdf["type"], pdf["seq"], pdf["ts"], pdf["duration_ms"]):
+            seq, ts = int(seq), int(ts)
+            if typ == "ENTER":
+                new.append((seq, ts))
+                continue
+            if new:
+                entry = new.pop()
             else:
-                row = ("orphan", None, seq, None, ts, None)
-            for k, v in zip(out, row):
-                out[k].append(v)
-    if timeout_ms is None:
-        state.update((json.dumps(stack), high))
-        yield from result()
-        return
-    wm = state.getCurrentWatermarkMs()
-    if wm and wm > 0:
-        cutoff = wm - int(timeout_ms)
-        old = [e for e in stack if e[1] < cutoff]
-        if old:
-            emit_open(old)
-            stack = [e for e in stack if e[1] >= cutoff]
-    state.update((json.dumps(stack), high))
-    state.setTimeoutTimestamp(max(int(high) + int(timeout_ms), (wm or 0) + 1))
-    yield from result()
+                entry, top = self._pop(low, top)
+            if entry is None:
+                out.append(("orphan", None, seq, None, ts, None))
+            else:
+                out.append(("pair", entry[0], seq, entry[1], ts, None if pd.isna(dur) else int(dur)))
+        for entry in new:
+            self.open.updateValue((top,), entry)
+            top += 1
+        self._settle(low, top, due)
+        yield from self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        low, top, due = self._ends()
+        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        if due == now:
+            due = None  # this timer is gone
+        while low < top:
+            if self.open.containsKey((low,)):
+                seq, ts = tuple(self.open.getValue((low,)))
+                if ts + self.timeout_ms > max(now, timerValues.getCurrentWatermarkInMs()):
+                    break
+                self.open.removeKey((low,))
+                out.append(("open", seq, None, ts, None, None))
+            low += 1
+        self._settle(low, top, due)
+        yield from self._frame(key, out)
 
 
 def live_pairs(events: DataFrame, scope: str = "thread", watermark: str | None = None,
                timeout_ms: int | None = None) -> DataFrame:
     """Pair ENTER/EXIT as they arrive (append mode).
 
-    State per (scope, class, method) is the stack of open ENTERs; rows of a
-    micro-batch are applied in seq order.  By default a call may stay open for
-    ever and no row is too late.  ``timeout_ms`` (with a ``watermark``) is the longest
-    call tracked: an ENTER that far behind the watermark is emitted as ``open``
-    and leaves the stack, and a key idle that long is evicted whole.
+    State per (scope, class, method) is the stack of open ENTERs, an entry each
+    (``Pairing``); rows of a micro-batch are applied in seq order.  By default a call may stay
+    open for ever and no row is too late.  ``timeout_ms`` (with a ``watermark``) is the
+    longest call tracked: a timer emits the ENTERs that far behind the watermark as
+    ``open``, lowest first, and they leave the stack; a key without open calls has no
+    state.  The session of `events` needs the RocksDB state store (``pairing_session``).
     """
     if timeout_ms is not None and watermark is None:
         raise ValueError("timeout_ms needs a watermark")
-
-    def step(key, batches, state):
-        return _pair_step(key, batches, state, timeout_ms)
-
+    if events.sparkSession.conf.get(_PROVIDER) != ROCKSDB:
+        raise ValueError(f"live_pairs needs {_PROVIDER} = {ROCKSDB}: read the stream in pairing_session(spark)")
     ee = _timed(events.where(F.col("type").isin("ENTER", "EXIT"))
                 .select(scope_column(scope).alias("scope"), "class_name", "method", "type", "seq", "ts",
                         "duration_ms"), watermark)
-    timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.EventTimeTimeout
-    return ee.groupBy("scope", "class_name", "method").applyInPandasWithState(
-        step, PAIR_SCHEMA, STATE_SCHEMA, "append", timeout)
+    return ee.groupBy("scope", "class_name", "method").transformWithStateInPandas(
+        Pairing(timeout_ms), PAIR_SCHEMA, "append", "None" if timeout_ms is None else "EventTime")
 
 
 def live_quota(requests: DataFrame, source_col: str, token_col: str, watermark: str | None = None,
