@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltrail.functions import masking as M
+from calltrail.sources import loads as LD
 from calltrail.sources.batches import MAX_INFLATED_BYTES, MAX_RAW_BYTES, bodies_of, decode_rows, split_rows
 from calltrail.sources.logs import events_of, logcat_candidates
 from calltrail.sources.store import append_events
+from calltrail.streaming.tail import tail_lines
 
 
 def mask_events(df: DataFrame, words=None, key_patterns=None, text_rules=None) -> DataFrame:
@@ -39,25 +43,30 @@ def ingest_stream(spark: SparkSession, inbox: str, table: str, checkpoint: str,
     caps), decoded (S1), masked, appended (S8).
 
     A file is one batch (all-or-nothing).  A micro-batch is read and judged
-    once: its rows are written to ``<table>/_judged/<id>`` and split from there.
-    Refused batches go to ``<table>_rejected/load=<id>`` (overwritten by a
-    replay), events to the store as load ``<id>`` = micro-batch id + 1 with
-    ids in (file, index) order.  ``append_events`` adds a load once, so a
-    micro-batch replayed after a failure changes nothing that was committed.
+    once: its rows are written to ``<table>/_judged`` and split from there.
+    Refused batches go to ``<table>_rejected/load=<number>`` (overwritten by a
+    replay), events to the store as one load with ids in (file, index) order.  The
+    load is known by this stream (the id in its checkpoint) and the micro-batch,
+    so a replay after a failure adds nothing that was committed, and any number of streams,
+    checkpoints and own appends may write to one store.
     """
     files = (spark.readStream.format("binaryFile").schema(_FILES)
                   .option("maxFilesPerTrigger", str(max_files)).load(inbox))
     root = table.rstrip("/")
 
     def write(df: DataFrame, epoch: int):
-        work = f"{root}/_judged/{epoch}"
+        source = stream_source(spark, checkpoint)
+        if load_done(spark, root, source, epoch):
+            return
+        number = LD.claim_number(spark, root, source, epoch)
+        work = f"{root}/_judged/{number}"
         rows = decode_rows(df)
         rows.write.mode("overwrite").parquet(work)
         events, rejected = split_rows(df.sparkSession.read.schema(rows.schema).parquet(work))
-        rejected.write.mode("overwrite").parquet(f"{root}_rejected/load={epoch + 1}")
-        append_events(mask_events(events, words, key_patterns, text_rules), table, load_id=epoch + 1)
-        jp = spark._jvm.org.apache.hadoop.fs.Path(work)
-        jp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jp, True)
+        rejected.write.mode("overwrite").parquet(f"{root}_rejected/load={number}")
+        append_events(mask_events(events, words, key_patterns, text_rules), table, source=source, batch=epoch)
+        fs, jp = LD.fs_of(spark, work)
+        fs.delete(jp, True)
 
     w = (bodies_of(files, max_raw, max_inflated).writeStream.foreachBatch(write)
          .option("checkpointLocation", checkpoint))
@@ -66,11 +75,46 @@ def ingest_stream(spark: SparkSession, inbox: str, table: str, checkpoint: str,
 
 
 def logcat_stream(spark: SparkSession, log_dir: str, max_files: int = 100) -> DataFrame:
-    """T4: rotated device-log files as a stream of events (S3)."""
+    """T4: rotated device-log files, each complete when it appears, as a stream
+    of events (S3).  Files that grow: ``logcat_tail``."""
     lines = (spark.readStream.option("maxFilesPerTrigger", str(max_files)).text(log_dir)
                   .select(F.col("_metadata.file_path").alias("file"), "value"))
     # Line order is not known in a stream; seq stays null until the store's
-    # append assigns it (load id, then position).
+    # append assigns it (load number, then position).
     cand = logcat_candidates(lines.withColumn("line_no", F.lit(None).cast("bigint")),
                              "value", "line_no", "file")
     return events_of(cand)
+
+
+def logcat_tail(spark: SparkSession, path: str, pattern: str = "*", split_bytes: int = 64 << 20) -> DataFrame:
+    """T4: device logs that are being written, as a stream of events (S3) in
+    their order in the file: ``source`` is the file and ``pos`` the byte at which an
+    event's line starts.  Each whole line arrives once (``streaming.tail``)."""
+    lines = tail_lines(spark, path, pattern, split_bytes)
+    events = events_of(logcat_candidates(lines, "value", "pos", "file"))
+    return events.withColumnRenamed("seq", "pos")
+
+
+def ingest_logs(spark: SparkSession, path: str, table: str, checkpoint: str, pattern: str = "*",
+                trigger: str = "3 seconds", available_now: bool = False, words=None, key_patterns=None, text_rules=None):
+    """T4 + S8: ``logcat_tail`` into the store, masked.  A micro-batch is a load
+    known by this stream and its number, in (file, position) order, so a replay adds nothing."""
+    def write(df: DataFrame, epoch: int):
+        source = stream_source(spark, checkpoint)
+        if load_done(spark, table, source, epoch):
+            return
+        append_events(mask_events(df, words, key_patterns, text_rules), table, order=["source", "pos"], source=source, batch=epoch)
+
+    w = logcat_tail(spark, path, pattern).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
+    return w.start()
+
+
+def stream_source(spark: SparkSession, checkpoint: str) -> str:
+    """The name of a stream as a source of loads: the id in its checkpoint."""
+    return "stream " + json.loads(LD.text_of(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"]
+
+
+def load_done(spark: SparkSession, table: str, source: str, batch) -> bool:
+    root = table.rstrip("/")
+    return LD.exists(spark, f"{root}/_loads/done/{LD.claim_number(spark, root, source, batch)}")

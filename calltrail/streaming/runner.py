@@ -16,7 +16,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/calltrail-{name}-{uuid.uuid4().hex}"
 
 
-def _append_step(stream: DataFrame, base: str) -> None:
+def append_step(stream: DataFrame, base: str) -> None:
+    """Take what is new of an append-mode stream into ``<base>/out``."""
     (stream.writeStream.format("parquet").option("path", f"{base}/out")
            .option("checkpointLocation", f"{base}/ckpt").outputMode("append")
            .trigger(availableNow=True).start().awaitTermination())
@@ -43,7 +44,7 @@ def _latest(spark: SparkSession, base: str, schema: T.StructType, keys: list[str
 def run_append(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Append-mode stream -> Parquet file sink (exactly once) -> batch frame."""
     base = scratch(spark, name)
-    _append_step(stream, base)
+    append_step(stream, base)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -64,10 +65,10 @@ def run_loads(spark: SparkSession, loads: list[DataFrame], view, name: str,
     for load in loads:
         load.write.mode("append").parquet(f"{base}/in")
         stream = view(spark.readStream.schema(loads[0].schema).parquet(f"{base}/in"))
-        _append_step(stream, base) if keys is None else _update_step(stream, base)
+        append_step(stream, base) if keys is None else _update_step(stream, base)
     if keys is None:
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
     return _latest(spark, base, stream.schema, keys)
 
 
-__all__ = ["run_append", "run_loads", "run_update", "scratch"]
+__all__ = ["append_step", "run_append", "run_loads", "run_update", "scratch"]
