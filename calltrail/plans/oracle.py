@@ -494,6 +494,20 @@ ORACLE["follow"] = q("SELECT seq, ts, type FROM f", LOADS)
 ORACLE["follow_compat"] = q("""SELECT seq, ts, type FROM f
 WHERE ts > coalesce((SELECT max(g.ts) FROM f g WHERE g.load < f.load), -1)""", LOADS)
 
+ORACLE["ingest_two_inboxes"] = q("SELECT ts, type, class_name, method, user_id, line FROM trace")
+ORACLE["follow_after_erase"] = q(f"""SELECT seq, ts, type, 'fresh' AS follower FROM f WHERE user_id IS DISTINCT FROM '{ERASE_USER}'
+UNION ALL SELECT seq, ts, type, 'lagging' FROM f WHERE load = 0 OR user_id IS DISTINCT FROM '{ERASE_USER}'""",
+                                 LOADS.replace("app_id = '", "'' <> '").replace("ts, type, load", "ts, type, user_id, load"))
+
+ORACLE["late_alerts"] = ORACLE["live_alerts"]
+ORACLE["late_dedupe"] = ORACLE["live_dedupe"]
+ORACLE["usage_days"] = q("""SELECT app_id, CAST(count(*) AS BIGINT) AS events,
+  CAST(count(*) FILTER (WHERE type = 'CATCH') AS BIGINT) AS errors, true AS users_ok FROM trace GROUP BY app_id""")
+ORACLE["latency_days"] = q("""SELECT class_name, method, CAST(count(*) AS BIGINT) AS n, true AS p50_ok,
+  true AS p95_ok, true AS p99_ok
+FROM trace WHERE type = 'EXIT' AND duration_ms IS NOT NULL GROUP BY class_name, method""")
+ORACLE["log_follow"] = ORACLE["log_stream"]
+
 # --- rules on rows that meet them ----------------------------------------------------
 
 ORACLE["unknown_types"] = q("""SELECT CAST(count(*) FILTER (WHERE seq % 10 IN (0, 1)
@@ -517,6 +531,8 @@ ORACLE["quota_audit"] = ORACLE["quota_audit"].replace(
     "600 AS", "2 AS").replace("> 600", "> 2").replace("10000,", "2,").replace("> 10000", "> 2")
 ORACLE["live_quota"] = ORACLE["quota_audit"]
 
+ORACLE["late_quota"] = ORACLE["quota_audit"]
+
 UNEVEN = """SELECT * REPLACE (CASE seq % 97 WHEN 5 THEN duration_ms * 50 WHEN 6 THEN duration_ms + 1700000000000
   ELSE duration_ms END AS duration_ms) FROM trace"""
 ORACLE["anomalies"] = ORACLE["anomalies"].replace("FROM trace WHERE type", f"FROM ({UNEVEN}) WHERE type")

@@ -21,7 +21,8 @@ from calltrail.sources import logs as LG
 from calltrail.sources import store as ST
 from calltrail.streaming import ingest as IG
 from calltrail.streaming import live as LV
-from calltrail.streaming.runner import run_append, run_loads, scratch
+from calltrail.streaming import rollup as RU
+from calltrail.streaming.runner import append_step, run_append, run_loads, scratch
 from calltrail.traceview import load_trace as trace
 
 APP = "com.example.app1"
@@ -171,6 +172,17 @@ def q_log_stream(spark, sf_dir):
     return run_append(spark, IG.logcat_stream(spark, path).select("type", "class_name", "method", "ts"), "log-stream")
 
 
+def q_log_follow(spark, sf_dir):
+    """T4: a folder of device logs that three loads add files to, followed by the
+    byte (split every 64 KB) by a stream that starts anew each time."""
+    base = scratch(spark, "tail")
+    for load in loads(trace(spark, sf_dir)):
+        log_lines(load).select("value").write.mode("append").text(f"{base}/log")
+        events = IG.logcat_tail(spark, f"{base}/log", pattern="part-*", split_bytes=64 << 10)
+        append_step(events.select("type", "class_name", "method", "ts"), base)
+    return spark.read.schema("type string, class_name string, method string, ts long").parquet(f"{base}/out")
+
+
 def q_params_text(spark, sf_dir):
     """Param values of every JSON kind as text."""
     raw = F.concat(F.lit('{"n":'), F.col("line").cast("string"), F.lit(',"b":true,"z":null,"o":{"a":[1,2]},"s":"'),
@@ -231,6 +243,47 @@ def q_ingest(spark, sf_dir):
                                            ("type", "class_name", "method", "user_id", "message")], "reason"))
 
 
+def q_ingest_two_inboxes(spark, sf_dir):
+    """T1 + S8: two inboxes with checkpoints of their own, started anew in between, and
+    a user's own load, all into one store; then everything is offered again."""
+    base, t = scratch(spark, "inboxes"), trace(spark, sf_dir)
+    third = F.col("seq") % 3
+    parts = [batch_texts(t.where(third == i), FILE_EVENTS).select(F.col("batch_id").alias("batch"), "value") for i in (0, 1)]
+
+    def ingest(i, ckpt):
+        IG.ingest_stream(spark, f"{base}/in{i}/*", f"{base}/table", f"{base}/{ckpt}", available_now=True,
+                         words=[], key_patterns=[], text_rules=[]).awaitTermination()
+
+    for again in range(2):
+        for i, p in enumerate(parts):
+            if not again:
+                _write_texts(p, f"{base}/in{i}")
+            ingest(i, f"ckpt{i}")
+        ST.append_events(t.where(third == 2).drop("seq"), f"{base}/table", load_id=1)
+    return ST.read_events(spark, f"{base}/table").select("ts", "type", "class_name", "method", "user_id", "line")
+
+
+def q_follow_after_erase(spark, sf_dir):
+    """T2 + D1: a follower that lags two loads behind and one that starts anew, after
+    a user was erased; both get exactly the rows left, the first none twice."""
+    base, parts = scratch(spark, "erased"), loads(trace(spark, sf_dir))
+    table = f"{base}/table"
+
+    def follow(name):
+        def keep(df, epoch):
+            df.select("seq", "ts", "type").write.mode("overwrite").parquet(f"{base}/{name}/epoch={epoch}")
+        LV.follow(spark, table, keep, f"{base}/ckpt-{name}", available_now=True).awaitTermination()
+        return (spark.read.schema("seq long, ts long, type string").parquet(f"{base}/{name}/epoch=*")
+                .withColumn("follower", F.lit(name)))
+
+    ST.append_events(parts[0], table, load_id=1)
+    follow("lagging")
+    for i, p in enumerate(parts[1:], 2):
+        ST.append_events(p, table, load_id=i)
+    ST.erase_user(spark, table, ERASE_USER)
+    return follow("lagging").unionByName(follow("fresh"))
+
+
 def _follow(compat: bool):
     def q(spark, sf_dir):
         base = scratch(spark, "follow")
@@ -272,7 +325,7 @@ def q_live_labels(spark, sf_dir):
 
 def q_live_pairs(spark, sf_dir):
     """Calls paired as their EXIT arrives (stateful stream, three loads)."""
-    out = _live(lambda s: LV.live_pairs(s, "thread"), "live-pairs")(spark, sf_dir)
+    out = _live(lambda s: LV.live_pairs(s, "thread"), "live-pairs")(LV.pairing_session(spark), sf_dir)
     return out.where(F.col("kind") == "pair").select("scope", "class_name", "method", "enter_seq", "exit_seq")
 
 
@@ -304,6 +357,60 @@ def q_live_dedupe(spark, sf_dir):
         "ts", "type", "class_name", "method", "user_id")
 
 
+# --- figures kept in tables, late rows included -----------------------------------------
+
+def _rollup(spark, parts, rollup, name, **read):
+    base = scratch(spark, name)
+    for part in parts:  # a load is a micro-batch; pairs of runs are merged
+        part.write.mode("append").parquet(f"{base}/in")
+        RU.keep_rollup(spark.readStream.schema(part.schema).parquet(f"{base}/in"), rollup, f"{base}/table", f"{base}/ckpt",
+                       available_now=True, fanout=2).awaitTermination()
+    return RU.read_rollup(spark, rollup, f"{base}/table", **read)
+
+
+def q_late_quota(spark, sf_dir):
+    """Quota windows kept in a table; the last load is older than the others."""
+    r = requests(trace(spark, sf_dir))
+    third, b = r.agg(F.max("batch_id")).first()[0] // 3, F.col("batch_id")
+    parts = [r.where((b >= third) & (b < 2 * third)), r.where(b >= 2 * third), r.where(b < third)]
+    return _rollup(spark, parts, RU.quota_rollup("source", "token", REQUEST_LIMIT, REQUEST_LIMIT), "late-quota")
+
+
+def q_late_alerts(spark, sf_dir):
+    """R2: alert windows kept in a table over three loads."""
+    return _rollup(spark, loads(trace(spark, sf_dir)), RU.alert_rollup(threshold=10), "late-alerts")
+
+
+def q_late_dedupe(spark, sf_dir):
+    """First copies kept in a table; retried batches arrive as later loads."""
+    t, base = trace(spark, sf_dir), scratch(spark, "late-dedupe")
+    resent = with_resent(t).where(F.col("seq") >= F.lit(1_000_000_000))
+    for part in [*loads(t), resent]:
+        part.write.mode("append").parquet(f"{base}/in")
+        RU.keep_first(spark.readStream.schema(t.schema).parquet(f"{base}/in"), f"{base}/table", f"{base}/ckpt",
+                      available_now=True).awaitTermination()
+    return RU.read_first(spark, f"{base}/table", t.schema).select("ts", "type", "class_name", "method", "user_id")
+
+
+def q_usage_days(spark, sf_dir):
+    """Events, errors and distinct users per app over all days, from daily
+    sketches; users_ok: within 4 standard errors of the exact count."""
+    t = trace(spark, sf_dir)
+    got = _rollup(spark, loads(t), RU.usage_rollup(), "usage", by=["app_id"]).alias("g")
+    exact = t.groupBy("app_id").agg(F.countDistinct("user_id").alias("n")).alias("x")
+    off = F.abs(F.col("users") - F.col("n")) <= F.col("n") * F.lit(4 * 1.04 / 2 ** (RU.HLL_LG_K / 2))
+    return got.join(exact, F.col("g.app_id").eqNullSafe(F.col("x.app_id"))).select(
+        "g.app_id", "events", "errors", off.alias("users_ok"))
+
+
+def q_latency_days(spark, sf_dir):
+    """p50, p95 and p99 per method over all days, from daily sketches: each is a
+    value whose rank is within 0.8 % of what it should be."""
+    t = trace(spark, sf_dir)
+    got = _rollup(spark, loads(t), RU.latency_rollup(), "latency-days", by=["class_name", "method"])
+    return IN.rank_check(t, max_ms=None, approx=got, error=0.008)
+
+
 # --- rules on rows that meet them --------------------------------------------------------
 
 def q_unknown_types(spark, sf_dir):
@@ -373,7 +480,10 @@ QUERIES = {
     "read_any": q_read_any, "log_stream": q_log_stream, "params_text": q_params_text,
     "store_erase": q_store_erase, "store_clear": q_store_clear, "store_retention": q_store_retention,
     "store_evolution": q_store_evolution, "ingest": q_ingest, "follow": _follow(False),
-    "follow_compat": _follow(True), "live_stats": q_live_stats, "live_apps": q_live_apps,
+    "follow_compat": _follow(True), "ingest_two_inboxes": q_ingest_two_inboxes,
+    "follow_after_erase": q_follow_after_erase, "log_follow": q_log_follow, "late_quota": q_late_quota,
+    "late_alerts": q_late_alerts, "late_dedupe": q_late_dedupe, "usage_days": q_usage_days,
+    "latency_days": q_latency_days, "live_stats": q_live_stats, "live_apps": q_live_apps,
     "live_labels": q_live_labels, "live_pairs": q_live_pairs, "live_alerts": q_live_alerts,
     "live_quota": q_live_quota, "live_dedupe": q_live_dedupe, "unknown_types": q_unknown_types,
     "regex_literal": q_regex_literal, "noise_builtin": q_noise_builtin, "quota_audit": q_quota_audit,
