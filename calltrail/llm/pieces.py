@@ -23,6 +23,7 @@ import heapq
 import re
 import zlib
 from itertools import chain, product
+from math import prod
 
 import numpy as np
 import pandas as pd
@@ -105,20 +106,24 @@ class Pieces:
         return out
 
     def best(self, chunks: list[str]):
-        """Of each chunk: ids of the best segmentation (little-endian uint32),
-        its score, and what the second best loses (inf if there is none)."""
-        out = [None] * len(chunks)
+        """The best segmentation of each chunk: ids of all of them (uint32) and,
+        by chunk, where its ids begin, how many they are, the score, and what the second
+        best loses (inf if there is none)."""
         order = sorted(range(len(chunks)), key=lambda i: len(chunks[i]))
+        flat, done, ends = [], [], 0
         at = 0
         while at < len(order):
             size = 1
             while at + size < len(order) and (size + 1) * len(chunks[order[at + size]]) <= 10_000:
                 size += 1
-            rows = order[at:at + size]
-            for i, r in zip(rows, self._viterbi([chunks[i] for i in rows])):
-                out[i] = r
+            ids, n, score, loss = self._viterbi([chunks[i] for i in order[at:at + size]])
+            flat.append(ids)
+            done.append((ends + np.cumsum(n) - n, n, score, loss))
+            ends += len(ids)
             at += size
-        return out
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return (np.concatenate(flat), *(np.concatenate(c)[back] for c in zip(*done)))
 
     def _viterbi(self, chunks):
         n = len(chunks)
@@ -171,14 +176,14 @@ class Pieces:
         second = through.reshape(n, -1).max(1)
         ids = np.stack(ids, 1)
         used = ids != -2
-        raw = ids[used].astype("<u4").tobytes()  # all rows behind each other
-        ends = (4 * used.sum(1).cumsum()).tolist()
-        out = list(zip([raw[i:j] for i, j in zip([0, *ends], ends)], total.tolist(), (total - second).tolist()))
-        for i in np.flatnonzero((ids == -1).any(1)):  # characters that no piece covers
-            row = [x for j, at in zip(ids[i][used[i]], [s[i] for s in steps])
-                   for x in ([j] if j >= 0 else self.byte_ids(chunks[i][at]))]
-            out[i] = (np.array(row, "<u4").tobytes(), *out[i][1:])
-        return out
+        flat, count = ids[used], used.sum(1)
+        if (flat == -1).any():  # characters that no piece covers
+            places = np.stack(steps, 1)[used]
+            rows = np.repeat(np.arange(n), count)
+            parts = [[j] if j >= 0 else self.byte_ids(chunks[r][p]) for j, p, r in zip(flat.tolist(), places.tolist(), rows.tolist())]
+            count = np.bincount(rows, [len(x) for x in parts], n).astype(np.int64)
+            flat = np.array([x for part in parts for x in part])
+        return flat.astype(np.uint32), count, total, total - second
 
     def byte_ids(self, char: str) -> list[int]:
         return [self.bytes_of[b] for b in char.encode("utf-8", "replace")]
@@ -243,63 +248,105 @@ class Pieces:
 
 
 class Segmenter:
-    """N-best segmentation of texts, with the chunks met so far."""
+    """N-best segmentation of texts, with the chunks met so far: their numbers,
+    and by number their ids (a stretch of one array), score, loss, and whether the
+    ids spell the chunk."""
 
     def __init__(self, pieces: Pieces, n: int):
-        self.pieces, self.n, self.known, self.lists, self.kept = pieces, n, {}, {}, 0
+        self.pieces, self.n, self.choices = pieces, n, {}
+        self.length = np.array([len(t) for t in pieces.text], np.int64)
+        self._forget()
+
+    def _forget(self):
+        self.known, self.lists, self.kept = {}, {}, 0
+        self.ids = [np.zeros(0, np.uint32)]
+        self.table = [np.zeros((0, 5))]  # begin, size, score, loss, spelt
 
     def _learn(self, wanted):
         new = [c for c in wanted if c not in self.known]
         self.kept += sum(map(len, new))
         if len(self.known) + len(new) > CACHE_CHUNKS or self.kept > 10 * CACHE_CHUNKS:
-            self.known, self.lists, new = {}, {}, list(wanted)
+            self._forget()
+            new = list(wanted)
             self.kept = sum(map(len, new))
+        begin = sum(map(len, self.ids))
         for c in [c for c in new if len(c) > LONG_CHUNK]:
             found = self.lists[c] = self.pieces.n_best(c, max(self.n, 2))
-            loss = found[0][0] - found[1][0] if len(found) > 1 else np.inf
-            self.known[c] = (np.array(found[0][1], "<u4").tobytes(), found[0][0], loss, self._spells(c, found[0][1]))
+            score, ids = found[0]
+            loss = score - found[1][0] if len(found) > 1 else np.inf
+            self.known[c] = len(self.known)
+            self.ids.append(np.array(ids, np.uint32))
+            self.table.append(np.array([[begin, len(ids), score, loss, self._spells(c, ids)]], float))
+            begin += len(ids)
         new = [c for c in new if len(c) <= LONG_CHUNK]
-        for c, (raw, score, loss) in zip(new, self.pieces.best(new)):
-            self.known[c] = (raw, score, loss, self._spells(c, np.frombuffer(raw, "<u4").tolist()))
+        if new:
+            flat, at, size, score, loss = self.pieces.best(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.ids.append(flat)
+            self.table.append(np.stack([at + begin, size, score, loss, self._all_spelt(new, flat, at, size)], 1))
+        self.ids, self.table = [np.concatenate(self.ids)], [np.concatenate(self.table)]
 
     def _spells(self, chunk: str, ids) -> bool:
-        return b"".join(map(self.pieces.text.__getitem__, ids)) == chunk.replace(BLANK, " ").encode("utf-8", "replace")
+        return b"".join(map(self.pieces.text.__getitem__, ids)) == _bytes(chunk)
+
+    def _all_spelt(self, chunks, flat, at, size):
+        want = list(map(_bytes, chunks))
+        out = np.concatenate([[0], np.cumsum(self.length[flat])])
+        have = b"".join(map(self.pieces.text.__getitem__, flat.tolist()))
+        return [have[a:b] == w for a, b, w in zip(out[at].tolist(), out[at + size].tolist(), want)]
 
     def run(self, texts: list[str]):
         """For each text its segmentations, best first: (score, ids as bytes,
         whether they decode to the text).  That is checked by chunk, once for each
         segmentation met; a text that holds the blank mark itself does not come back."""
         cut = [self.pieces.chunks(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        self._learn(dict.fromkeys(chain.from_iterable(cut)))
-        for text, cs in zip(texts, cut):
-            ids, scores, losses, spelt = zip(*map(self.known.__getitem__, cs)) if cs else ((), (), (), ())
-            total, whole = sum(scores), all(spelt) and BLANK not in (text or "")
-            least = np.array(losses)
+        flat = list(chain.from_iterable(cut))
+        self._learn(dict.fromkeys(flat))
+        own = self.table[0][np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))]
+        size = own[:, 1].astype(np.int64)
+        place = np.concatenate([[0], np.cumsum(size)])  # of each chunk's ids among those of all texts
+        raw = self.ids[0][np.arange(place[-1]) + np.repeat(own[:, 0].astype(np.int64) - place[:-1], size)].astype("<u4").tobytes()
+        first = np.cumsum([0] + [len(cs) for cs in cut]).tolist()
+        for text, cs, a, b in zip(texts, cut, first, first[1:]):
+            total, whole = float(own[a:b, 2].sum()), bool(own[a:b, 4].all()) and BLANK not in (text or "")
+            least = own[a:b, 3]
             if len(least) > self.n - 1:  # ties go to the chunks in front
                 edge = np.partition(least, self.n - 2)[self.n - 2] if self.n > 1 else -np.inf
                 near = np.flatnonzero(least <= edge)
             else:
                 near = np.arange(len(least))
-            few = [(least[i], int(i)) for i in near[np.argsort(least[near], kind="stable")][:self.n - 1] if least[i] < np.inf]
+            few = [int(i) for i in near[np.argsort(least[near], kind="stable")][:self.n - 1] if least[i] < np.inf]
             options = []
-            for _, i in few:
-                if cs[i] not in self.lists:
+            for i in few:
+                c = cs[i]
+                if c not in self.lists:
                     if len(self.lists) >= CACHE_CHUNKS:
                         self.lists = {}
-                    self.lists[cs[i]] = self.pieces.n_best(cs[i], self.n)
-                whole = whole and all(self._spells(cs[i], x) for _, x in self.lists[cs[i]])
-                options.append([(s - scores[i], x) for s, x in self.lists[cs[i]]])
-            ways = sorted(((-sum(o[0] for o in way), [o[1] for o in way]) for way in product(*options)))[:self.n]
-            result = []
-            for rank, (loss, way) in enumerate(ways):
-                own = ids
-                if rank:
-                    own = list(ids)
-                    for (_, i), x in zip(few, way):
-                        own[i] = np.array(x, "<u4").tobytes()
-                result.append((total - loss, b"".join(own), whole))
+                    self.lists[c] = self.pieces.n_best(c, self.n)
+                whole = whole and all(self._spells(c, x) for _, x in self.lists[c])
+                options.append([(own[a + i, 2] - s, x) for s, x in self.lists[c]])
+            # a choice of the p-th, q-th, ... of its chunks is one of p * q * ... that are as good
+            ways = sorted((sum(o[0] for o in way), [o[1] for o in way])
+                          for way in (tuple(o[k] for o, k in zip(options, ks)) for ks in self._choices(options)))[:self.n]
+            result = [(total, raw[4 * place[a]:4 * place[b]], whole)]
+            for loss, way in ways[1:]:
+                parts, at = [], place[a]
+                for i, x in sorted(zip(few, way)):
+                    parts += [raw[4 * at:4 * place[a + i]], np.array(x, "<u4").tobytes()]
+                    at = place[a + i + 1]
+                result.append((total - loss, b"".join([*parts, raw[4 * at:4 * place[b]]]), whole))
             yield result
 
+    def _choices(self, options):
+        sizes = tuple(map(len, options))
+        if sizes not in self.choices:
+            self.choices[sizes] = [ks for ks in product(*map(range, sizes)) if prod(k + 1 for k in ks) <= self.n]
+        return self.choices[sizes]
+
+
+def _bytes(chunk: str) -> bytes:
+    return chunk.replace(BLANK, " ").encode("utf-8", "replace")
+
 
 def encode_n_best(docs: DataFrame, model: str, n: int = N_BEST, with_ids: bool = True) -> DataFrame:
     """The n best segmentations of every whole text: doc_id, rank (from 1),

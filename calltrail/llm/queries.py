@@ -61,8 +61,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_n_best_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from calltrail.llm import pieces
-    return pieces.encode_n_best(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"),
-                                with_ids=False)
+    return pieces.encode_n_best(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
