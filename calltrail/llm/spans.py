@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from calltrail.llm.base import mix64, text_chunks, word_table
+from calltrail.llm.base import kept, mix64, text_chunks, word_table
 
 #: Sentences of a run -> words that it must have.  Ten sentences have ten words.
 MIN_WORDS = {1: 15, 2: 15, **dict.fromkeys(range(3, 11), 10)}
@@ -78,28 +78,34 @@ def _first_in_row(rows: np.ndarray, at: np.ndarray, h: np.ndarray) -> np.ndarray
     return out
 
 
-def _id(df: DataFrame):
-    # documents without an id come after all others
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+def _keyed(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs under safe names with `__anon`, `__key`: its id, or a number of its own
+    for a row without an id (these come after all others).  Such rows are
+    written out once, so that the number is one and the same in every pass."""
+    key = F.col("`doc_id`").cast("long")
+    plain = docs.withColumns({"__key": key, "__anon": F.lit(False)}).where("__key is not null")
+    no_id = kept(docs.where(key.isNull()).toDF(*names).withColumn("__key", F.monotonically_increasing_id()))
+    return plain.toDF(*names, "__key", "__anon").unionByName(no_id.withColumn("__anon", F.lit(True)))
 
 
-def repeated(docs: DataFrame, min_words: dict[int, int] = MIN_WORDS) -> DataFrame:
-    """(key, hashes): for each document that is not the first with some run,
-    those runs' hashes."""
+def repeated(keyed: DataFrame, text: str, min_words: dict[int, int] = MIN_WORDS) -> DataFrame:
+    """(__anon, __key, hashes): for each document that is not the first with some run,
+    those runs' hashes; keyed: `__anon`, `__key` and the column `text`."""
     def run(batches):
         for b in batches:
-            for at, off, data in text_chunks(b["text"]):
+            for at, off, data in text_chunks(b[text]):
                 rows, _, n, h = sentences(off, data)
                 first, _, g = runs(rows, n, h, min_words)
                 own = _first_in_row(rows, first, g)
-                ids = b["key"].slice(at, len(off) - 1).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(g[own].view(np.int64)), pa.array(ids[rows[first[own]]])],
-                                                 ["h", "key"])
+                doc = pa.array(rows[first[own]] + at)
+                yield pa.RecordBatch.from_arrays([pa.array(g[own].view(np.int64)), b["__key"].take(doc), b["__anon"].take(doc)],
+                                                 ["h", "__key", "__anon"])
 
-    found = docs.select(_id(docs).alias("key"), "text").mapInArrow(run, "h long, key long")
-    owner = found.groupBy("h").agg(F.min("key").alias("owner"), F.max("key").alias("other")).where("owner <> other")
-    return (found.join(owner.select("h", "owner"), "h").where("key <> owner")
-            .groupBy("key").agg(F.collect_list("h").alias("hashes")))
+    found = keyed.select("__key", "__anon", text).mapInArrow(run, "h long, __key long, __anon boolean")
+    doc = F.struct("__anon", "__key")
+    owner = found.groupBy("h").agg(F.min(doc).alias("owner"), F.max(doc).alias("other")).where("owner <> other")
+    return (found.join(owner.select("h", "owner"), "h").where(doc != F.col("owner"))
+            .groupBy("__anon", "__key").agg(F.collect_list("h").alias("hashes")))
 
 
 def remove_repeats(docs: DataFrame, min_words: dict[int, int] = MIN_WORDS) -> DataFrame:
@@ -108,14 +114,13 @@ def remove_repeats(docs: DataFrame, min_words: dict[int, int] = MIN_WORDS) -> Da
 
     Every row stays, with an empty text if all its sentences go; a null text
     stays null.  Rows that repeat a doc_id count as one document, so they are
-    cut alike.  Among documents without an id, none is the first.
+    cut alike.  Rows without an id are a document each, after all with one.
     """
     fields = docs.schema.fields
     names = [f"c{i}" for i in range(len(fields))]  # safe names: a table may hold clashing ones
     text = names[[f.name for f in fields].index("text")]
-    plain = docs.select(F.col("*"), _id(docs).alias("__key")).toDF(*names, "__key")
-    hashes = repeated(docs, min_words)
-    joined = plain.join(hashes.select(F.col("key").alias("__key"), "hashes"), "__key", "left").select(*names, "hashes")
+    keyed = _keyed(docs, names)
+    joined = keyed.join(repeated(keyed, text, min_words), ["__anon", "__key"], "left").select(*names, "hashes")
 
     def run(batches):
         for b in batches:

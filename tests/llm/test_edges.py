@@ -80,3 +80,37 @@ def test_best_of_long_and_short_search_agree():
         found = p.n_best(c, 2)
         assert score[i] == found[0][0] and loss[i] == (found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
         assert sum(p.score_of[x] if p.text[x] and x not in p.bytes_of else 0 for x in ids[at[i]:at[i] + size[i]]) >= score[i]
+
+
+def test_rows_without_an_id_are_deduplicated(spark):
+    a = "One sentence with quite a number of words that stands in many texts of this table here. And its own end %s."
+    rows = [(None, a % "x", 1), (None, a % "x", 2), (5, a % "y", 3), (None, a % "z", 4), ((1 << 63) - 1, a % "w", 5), (None, None, 6)]
+    got = spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)).collect()
+    by = {r["n"]: r for r in got}
+    assert len(got) == 6 and by[3]["__removed"] == 0 and by[6]["text"] is None
+    assert all(by[n]["__removed"] >= 1 for n in (1, 2, 4, 5))
+    alone = spans.remove_repeats(spark.createDataFrame(rows[:2], "doc_id long, text string, n int")).collect()
+    assert sorted(r["__removed"] for r in alone)[0] == 0 and sorted(r["__removed"] for r in alone)[1] >= 1
+
+
+def test_large_components_and_repeated_queries(spark):
+    from calltrail.llm import topk
+    schema = "vec_id long, embedding array<double>"
+    df = spark.createDataFrame([(0, [2.0 ** 41, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 3.0])], schema)
+    got = topk.top_k(df, df.where("vec_id = 1"), k=5).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(0, 2 ** 57), (2, 2 ** 15)]
+    wide = spark.createDataFrame([(0, [2.0 ** 30, 2.0 ** 30]), (1, [2.0 ** 30, -(2.0 ** 30)]), (2, [2.0 ** 31, -(2.0 ** 31) + 1])], schema)
+    got = topk.top_k(wide, wide.where("vec_id = 0"), k=5).orderBy("rank").collect()  # products beyond 64 bits, a sum that fits
+    assert [(r["vec_id"], r["score"]) for r in got] == [(2, 2 ** 46), (1, 0)]
+    with pytest.raises(Exception, match="fit a long"):
+        topk.top_k(wide, wide.where("vec_id = 2"), k=5).collect()
+    near = spark.createDataFrame([(i, [1000.0 + i % 7 / 256, 1000.0 - i % 5 / 256]) for i in range(300)], schema)
+    got = topk.top_k(near, near.where("vec_id % 50 = 0"), k=5, block=40).collect()
+    vec = {i: (256000 + i % 7, 256000 - i % 5) for i in range(300)}
+    for q in range(0, 300, 50):
+        want = sorted(((-(vec[q][0] * v[0] + vec[q][1] * v[1]), i) for i, v in vec.items() if i != q))[:5]
+        assert [(r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [
+            (-s, i) for s, i in want]
+    twice = spark.createDataFrame([(0, [1.0]), (0, [-1.0]), (0, [1.0]), *[(i, [float(i)]) for i in range(1, 8)]], schema)
+    got = topk.top_k(twice, twice.where("vec_id = 0"), k=5).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == sorted([(k, 8 - k) for k in range(1, 6)] * 2 + [(k, k) for k in range(1, 6)])
