@@ -22,7 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from itertools import chain, product
+from itertools import chain, product, repeat
 from math import prod
 
 import numpy as np
@@ -262,13 +262,25 @@ class Segmenter:
         self.ids = [np.zeros(0, np.uint32)]
         self.table = [np.zeros((0, 5))]  # begin, size, score, loss, spelt
 
-    def _learn(self, wanted):
-        new = [c for c in wanted if c not in self.known]
-        self.kept += sum(map(len, new))
-        if len(self.known) + len(new) > CACHE_CHUNKS or self.kept > 10 * CACHE_CHUNKS:
-            self._forget()
-            new = list(wanted)
-            self.kept = sum(map(len, new))
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """The chunks' numbers; those not met before are searched."""
+        out = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        for _ in range(2):
+            left = np.flatnonzero(out < 0)
+            if not len(left):
+                break
+            new = list(dict.fromkeys(map(chunks.__getitem__, left.tolist())))
+            room = sum(map(len, new))
+            if self.known and (len(self.known) + len(new) > CACHE_CHUNKS or self.kept + room > 10 * CACHE_CHUNKS):
+                self._forget()
+                out[:] = -1
+                continue
+            self.kept += room
+            self._learn(new)
+            out[left] = np.fromiter(map(self.known.__getitem__, map(chunks.__getitem__, left.tolist())), np.int64, len(left))
+        return out
+
+    def _learn(self, new):
         begin = sum(map(len, self.ids))
         for c in [c for c in new if len(c) > LONG_CHUNK]:
             found = self.lists[c] = self.pieces.n_best(c, max(self.n, 2))
@@ -300,9 +312,8 @@ class Segmenter:
         whether they decode to the text).  That is checked by chunk, once for each
         segmentation met; a text that holds the blank mark itself does not come back."""
         cut = [self.pieces.chunks(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        flat = list(chain.from_iterable(cut))
-        self._learn(dict.fromkeys(flat))
-        own = self.table[0][np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))]
+        numbers = self._numbers(list(chain.from_iterable(cut)))
+        own = self.table[0][numbers]
         size = own[:, 1].astype(np.int64)
         place = np.concatenate([[0], np.cumsum(size)])  # of each chunk's ids among those of all texts
         raw = self.ids[0][np.arange(place[-1]) + np.repeat(own[:, 0].astype(np.int64) - place[:-1], size)].astype("<u4").tobytes()
