@@ -272,3 +272,37 @@ def grouped_table(df: DataFrame, scope: str = "thread", zone: str = "UTC",
     manufacturer, device, tag, detail) plus sort keys and ``nav_seq``."""
     rows = tree_rows(df, scope, zone=zone, chunk_span=chunk_span, table=True, **kw)
     return rows.withColumnsRenamed({"type_label": "type", "tag_text": "tag"})
+
+
+def window_of_rows(rows: DataFrame, offset: int, limit: int, chunk_span: int = DEFAULT_CHUNK_SPAN) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit - 1`` of the pre-order of tree
+    rows (``tree_rows``, ``grouped_table``), with their place ``pos`` (from 0), without sorting the tree.
+
+    Rows are counted per node and stretch of ``seq``; prefix sums of those counts say
+    at which place each stretch begins.  The totals of stretches of scopes (one number per
+    ``chunk_span`` of seq) are summed on the driver, the rest in windows per stretch and scope.
+    Only the rows of stretches that reach into the window are then ranked and kept.  A scope
+    without its own row and collapsed nodes are counted as they are: by the rows there.
+    """
+    cut = rows.withColumn("__chunk", F.floor(F.col("seq") / F.lit(int(chunk_span))).cast("bigint"))
+    node = ["sf", "cf", "level", "__chunk"]
+    counts = cut.groupBy(*node).agg(F.count(F.lit(1)).cast("bigint").alias("__n"))
+    per_scope = (counts.groupBy("sf").agg(F.sum("__n").cast("bigint").alias("__scope"))
+                 .withColumn("__far", F.floor(F.col("sf") / F.lit(int(chunk_span))).cast("bigint")))
+    near, done = [], 0
+    for far, n in sorted(map(tuple, per_scope.groupBy("__far").agg(F.sum("__scope")).collect())):
+        if done < offset + limit and done + n > offset:  # at most `limit` of them
+            near.append((far, done))
+        done += n
+    upto = F.sum("__scope").over(Window.partitionBy("__far").orderBy("sf").rowsBetween(Window.unboundedPreceding, 0))
+    scopes = (per_scope.withColumn("__own", upto)
+              .join(rows.sparkSession.createDataFrame(near, "__far long, __done long"), "__far")
+              .select("sf", "__scope", (F.col("__done") + F.col("__own")).alias("__upto")))
+    before = Window.partitionBy("sf").orderBy("cf", "level", "__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (counts.withColumn("__in", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+              .join(scopes, "sf").withColumn("__start", F.col("__upto") - F.col("__scope") + F.col("__in"))
+              .where((F.col("__start") < F.lit(offset + limit)) & (F.col("__start") + F.col("__n") > F.lit(offset)))
+              .select(*node, "__start"))
+    place = F.col("__start") + F.row_number().over(Window.partitionBy(*node).orderBy("seq")) - 1
+    return (cut.join(starts, node).withColumn("pos", place.cast("bigint"))
+            .where((F.col("pos") >= F.lit(offset)) & (F.col("pos") < F.lit(offset + limit))).select(*rows.columns, "pos"))

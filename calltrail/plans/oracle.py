@@ -508,6 +508,28 @@ ORACLE["latency_days"] = q("""SELECT class_name, method, CAST(count(*) AS BIGINT
 FROM trace WHERE type = 'EXIT' AND duration_ms IS NOT NULL GROUP BY class_name, method""")
 ORACLE["log_follow"] = ORACLE["log_stream"]
 
+ISSUES = f""", o AS (SELECT app_id, ts, seq, sha256(coalesce(exception, '') || chr(10) ||
+  coalesce(array_to_string(list_slice({STACK_LIST}, 1, 5), chr(10)), '')) AS fingerprint FROM trace WHERE type = 'CATCH'),
+i AS (SELECT app_id, fingerprint, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM o GROUP BY app_id, fingerprint),
+h AS (SELECT *, (first_seen + last_seen) // 2 AS mid FROM i),
+r AS (SELECT *, ts - lag(ts, 2) OVER w AS b2, ts - lag(ts, 3) OVER w AS b3, ts - lag(ts, 4) OVER w AS b4,
+  ts - lag(ts, 5) OVER w AS b5 FROM o WINDOW w AS (PARTITION BY app_id, fingerprint ORDER BY ts, seq))"""
+FIRINGS = f"""
+SELECT 'any-new' AS rule, app_id, fingerprint, min(ts) AS ts, arg_min(seq, (ts, seq)) AS seq FROM o GROUP BY app_id, fingerprint
+UNION ALL SELECT 'back-again', o.app_id, o.fingerprint, min(o.ts), arg_min(o.seq, (o.ts, o.seq)) FROM o JOIN h
+  ON o.app_id IS NOT DISTINCT FROM h.app_id AND o.fingerprint = h.fingerprint
+  WHERE o.ts > h.mid AND (h.n % 2 = 1 OR o.ts <= h.mid + 86400000) GROUP BY o.app_id, o.fingerprint
+UNION ALL SELECT 'burst', app_id, fingerprint, ts, seq FROM r WHERE b2 < 21600000 AND NOT coalesce(b3 < 21600000, false)
+UNION ALL SELECT 'app-burst', app_id, fingerprint, ts, seq FROM r WHERE app_id = '{APP}' AND b4 < 86400000
+  AND NOT coalesce(b5 < 86400000, false)"""
+ORACLE["rule_alerts"] = q(FIRINGS, ISSUES)
+ORACLE["live_rules"] = ORACLE["rule_alerts"]
+ORACLE["issue_status"] = q("""SELECT app_id, fingerprint, first_seen, last_seen, CAST(n AS BIGINT) AS events,
+  CASE WHEN n % 2 = 0 THEN 'ignored' WHEN last_seen > mid THEN 'unresolved' ELSE 'resolved' END AS status FROM h""", ISSUES)
+ORACLE["tree_window"] = f"""SELECT pos, level, kind, label, date, time, type, detail FROM (
+  SELECT *, CAST(row_number() OVER (ORDER BY sf, cf, level, seq) - 1 AS BIGINT) AS pos FROM ({tree_sql("device", table=True)}) x) y
+WHERE pos >= 3000 AND pos < 3500"""
+
 # --- rules on rows that meet them ----------------------------------------------------
 
 ORACLE["unknown_types"] = q("""SELECT CAST(count(*) FILTER (WHERE seq % 10 IN (0, 1)

@@ -16,6 +16,7 @@ from calltrail.functions import render as R
 from calltrail.operators import filters as FL
 from calltrail.operators import governance as G
 from calltrail.operators import insights as IN
+from calltrail.operators import rules as RL
 from calltrail.sources import batches as B
 from calltrail.sources import logs as LG
 from calltrail.sources import store as ST
@@ -411,6 +412,54 @@ def q_latency_days(spark, sf_dir):
     return IN.rank_check(t, max_ms=None, approx=got, error=0.008)
 
 
+# --- issues and rules ---------------------------------------------------------------------
+
+def _rules(spark):
+    return spark.createDataFrame([("any-new", "new", None, None, None), ("back-again", "reopened", None, None, None),
+                                  ("burst", "count", None, 2, 6 * 3_600_000), ("app-burst", "count", APP, 4, 86_400_000)],
+                                 "rule string, kind string, app_id string, threshold long, window_ms long")
+
+
+def _resolved(t):
+    # every issue is resolved halfway between its first and its last occurrence, and every second ignored a day later
+    i = IN.issues(t).withColumn("at", ((F.col("first_seen") + F.col("last_seen")) / 2).cast("bigint"))
+    own = i.select("app_id", "fingerprint", F.col("at").alias("ts"), F.lit("resolved").alias("status"))
+    return own.unionByName(i.where(F.col("events") % 2 == 0).select(
+        "app_id", "fingerprint", (F.col("at") + 86_400_000).alias("ts"), F.lit("ignored").alias("status")))
+
+
+def q_rule_alerts(spark, sf_dir):
+    """R2: new and reopened issues and counts over limits, each fired once per change."""
+    t = trace(spark, sf_dir)
+    return RL.firings(t, _rules(spark), _resolved(t))
+
+
+def q_issue_status(spark, sf_dir):
+    """The status of every issue after its changes and occurrences."""
+    t = trace(spark, sf_dir)
+    return RL.issue_status(t, _resolved(t))
+
+
+def q_live_rules(spark, sf_dir):
+    """R2 on the store as it grows by three loads in order of time."""
+    base, t = scratch(spark, "rules"), trace(spark, sf_dir)
+    low, high = t.agg(F.min("ts"), F.max("ts")).first()
+    rules, statuses = _rules(spark), _resolved(t)
+    for i in range(3):
+        a, b = (low + (high - low) * k // 3 for k in (i, i + 1))
+        ST.append_events(t.where((F.col("ts") >= a) & ((F.col("ts") < b) | F.lit(i == 2))), f"{base}/table", load_id=i)
+        LV.live_rules(spark, f"{base}/table", rules, f"{base}/out", f"{base}/ckpt", statuses,
+                      available_now=True).awaitTermination()
+    return spark.read.schema("rule string, app_id string, fingerprint string, ts long, seq long").parquet(f"{base}/out/batch=*")
+
+
+def q_tree_window(spark, sf_dir):
+    """500 rows of the grouped table from row 3,000 on."""
+    from calltrail.operators.calls import grouped_table, window_of_rows
+    rows = window_of_rows(grouped_table(trace(spark, sf_dir), "device"), 3000, 500, chunk_span=1 << 10)
+    return rows.select("pos", "level", "kind", "label", "date", "time", "type", "detail")
+
+
 # --- rules on rows that meet them --------------------------------------------------------
 
 def q_unknown_types(spark, sf_dir):
@@ -483,7 +532,8 @@ QUERIES = {
     "follow_compat": _follow(True), "ingest_two_inboxes": q_ingest_two_inboxes,
     "follow_after_erase": q_follow_after_erase, "log_follow": q_log_follow, "late_quota": q_late_quota,
     "late_alerts": q_late_alerts, "late_dedupe": q_late_dedupe, "usage_days": q_usage_days,
-    "latency_days": q_latency_days, "live_stats": q_live_stats, "live_apps": q_live_apps,
+    "latency_days": q_latency_days, "rule_alerts": q_rule_alerts, "issue_status": q_issue_status,
+    "live_rules": q_live_rules, "tree_window": q_tree_window, "live_stats": q_live_stats, "live_apps": q_live_apps,
     "live_labels": q_live_labels, "live_pairs": q_live_pairs, "live_alerts": q_live_alerts,
     "live_quota": q_live_quota, "live_dedupe": q_live_dedupe, "unknown_types": q_unknown_types,
     "regex_literal": q_regex_literal, "noise_builtin": q_noise_builtin, "quota_audit": q_quota_audit,
