@@ -114,7 +114,7 @@ def _starts(spark: SparkSession, path: str) -> DataFrame:
     seen = (spark.read.text(path).where(F.col("value").rlike(r"\S"))
             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
                     F.monotonically_increasing_id().alias("n"),
-                    F.substring(F.regexp_replace(F.substring("value", 1, 4096), r"^\s+", ""), 1, 1).alias("head")))
+                    F.regexp_extract("value", r"(\S)", 1).alias("head")))
     return seen.groupBy("file").agg(F.min_by("head", F.struct("at", "n")).alias("head"))
 
 
