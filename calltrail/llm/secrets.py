@@ -9,8 +9,12 @@ models are bigram counts of labelled samples: values that the base rules found
 
 Positions come from the text itself: every match is put between marks, the
 marked text is split at them, and the lengths of the parts add up to starts and
-ends.  The mark is U+0001, which no rule can match; where a text holds it, it
-is taken as U+0002 first, so positions do not move.
+ends.  Spans are blanked in a copy of the text of the same length; candidates
+are looked for in that copy, so the rest of a token that a base span cuts is
+judged on its own, and redaction replaces the copy's blanks.  All steps are
+linear in the text and its spans.  Mark and blank are two noncharacters of
+Unicode, which no rule can match; where a text holds them, they are taken as a
+third one first, so positions do not move (a redacted text keeps the third one).
 """
 
 from __future__ import annotations
@@ -36,18 +40,30 @@ ORDINARY = rf"(?<!{_CLASS}){_CLASS}{{6,}}"
 MAX_RANDOM, MAX_DOCUMENTS = 5_000, 500
 #: A token is a secret if its log-likelihood ratio is at least this much per transition.
 THRESHOLD = 0.5
-_MARK, _OTHER = "\u0001", "\u0002"
+_MARK, _BLANK, _OTHER = "\ufdd0", "\ufdd1", "\ufdd2"
+#: Parts of a text walked in one fold (an even number): a step copies what its fold has gathered.
+_BLOCK = 64
 
 
 def clean(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), _MARK, _OTHER)
+    text = F.coalesce(text, F.lit(""))
+    return F.replace(F.replace(text, F.lit(_MARK), F.lit(_OTHER)), F.lit(_BLANK), F.lit(_OTHER))
+
+
+def parts_of(text: Column, pattern: str) -> Column:
+    """The text cut at the matches of `pattern`, which are every second part."""
+    return F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def found(text: Column, pattern: str, ok) -> Column:
     """Leftmost non-overlapping matches that satisfy `ok`, as an array of
     (start, end, part); code points, end exclusive."""
     kind = "array<struct<start:int,end:int,part:string>>"
-    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
 
     def step(acc, part):
         to = acc["at"] + F.char_length(part)
@@ -55,19 +71,53 @@ def found(text: Column, pattern: str, ok) -> Column:
         return F.struct(to.alias("at"), (~acc["hit"]).alias("hit"),
                         F.when(acc["hit"] & ok(part), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(kind).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
+    def of_block(block, at):
+        start = F.struct(at.alias("at"), F.lit(False).alias("hit"), F.array().cast(kind).alias("out"))
+        return F.aggregate(block, start, step, lambda a: a["out"])
+
+    def border(acc, block):
+        length = F.aggregate(block, F.lit(0), lambda n, part: n + F.char_length(part))
+        return F.struct((acc["at"] + length).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def cut(parts):
+        last = F.floor((F.size(parts) - 1) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(parts, b * _BLOCK + 1, _BLOCK))
+
+    def spans(blocks):
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.flatten(F.zip_with(blocks, F.aggregate(blocks, first, border, lambda a: a["out"]), of_block))
+
+    return F.when(text.rlike(pattern), _let(_let(parts_of(text, pattern), cut), spans)).otherwise(F.array().cast(kind))
+
+
+def blanked(text: Column, pattern: str, ok) -> Column:
+    """The text with the matches that satisfy `ok` blanked, as long as before."""
+    def step(part, i):
+        return F.when((i % 2 == 1) & ok(part), F.repeat(F.lit(_BLANK), F.char_length(part))).otherwise(part)
+
+    return F.when(text.rlike(pattern), F.array_join(F.transform(parts_of(text, pattern), step), "")).otherwise(text)
+
+
+def _both(a: Column, b: Column, t: Column) -> Column:
+    """Blanks of either of two copies of `t`."""
+    letters = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == _BLANK, x).otherwise(y))
+    return F.when(a == t, b).when(b == t, a).otherwise(F.array_join(letters, ""))
+
+
+# The base rules: pattern, and what its matches must satisfy.  A hex run is only
+# looked at if it is long enough: the runs are greedy, so this is the same.
+RULES = {
+    "assign": (ASSIGN, lambda p: F.char_length(F.regexp_extract(p, ASSIGN, 2)) >= LEAST["assign"]),
+    "access": (ACCESS, lambda p: F.char_length(p) >= LEAST["access"]),
+    "hex": (HEX[:-1] + f"{{{LEAST['hex']},}}", lambda p: F.lit(True)),
+}
 
 
 def base_spans(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
     """`others`, doc_id, t (the text as scanned) and the spans of each base rule."""
     t = F.col("t")
-    # a hex run is only looked at if it is long enough: the runs are greedy, so this is the same
     return docs.select(*others, F.col("doc_id").cast("long").alias("doc_id"), clean(F.col("text")).alias("t")).select(
-        *others, "doc_id", "t",
-        found(t, ASSIGN, lambda p: F.char_length(F.regexp_extract(p, ASSIGN, 2)) >= LEAST["assign"]).alias("assign"),
-        found(t, ACCESS, lambda p: F.char_length(p) >= LEAST["access"]).alias("access"),
-        found(t, HEX[:-1] + f"{{{LEAST['hex']},}}", lambda p: F.lit(True)).alias("hex"))
+        *others, "doc_id", "t", *[found(t, pattern, ok).alias(kind) for kind, (pattern, ok) in RULES.items()])
 
 
 def _bigrams(tokens: DataFrame) -> DataFrame:
@@ -84,8 +134,8 @@ def train(docs: DataFrame, max_random: int = MAX_RANDOM, max_documents: int = MA
     Random strings: the values of base spans, at most `max_random`.  Ordinary
     ones: tokens of six characters and more outside base spans that stand in two
     texts or more (an unlisted secret seldom does), of at most `max_documents`
-    documents.  Both are the rows with the smallest hash of
-    their text, so the models are the same on every run.  Transitions are
+    different texts.  Both are those with the smallest hash, so the models
+    are the same on every run.  Transitions are
     smoothed by the frequency of the character itself, as if seen ten times
     more; without samples all ratios are 0 and nothing is added.
     """
@@ -97,9 +147,11 @@ def train(docs: DataFrame, max_random: int = MAX_RANDOM, max_documents: int = MA
     random = (spans.select(F.explode(values).alias("token")).where(F.col("token").rlike(rf"^{_CLASS}{{2,}}$"))
               .orderBy(F.xxhash64("token"), "token").limit(max_random).select(F.lit(1).alias("label"), "token"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), "[0-9a-f]{16,}", " ")
-    ordinary = (docs.select(clean(F.col("text")).alias("t")).orderBy(F.xxhash64("t"), "t").limit(max_documents)
-                .select(F.xxhash64("t").alias("d"),
-                        F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("token"))
+    # the hashes alone are sorted; texts travel only for the few that are picked
+    hashed = docs.select("text", F.xxhash64("text").alias("d"))
+    picked = [r["d"] for r in hashed.select("d").distinct().orderBy("d").limit(max_documents).collect()]
+    ordinary = (hashed.where(F.col("d").isin(picked)).groupBy("d").agg(F.min(clean(F.col("text"))).alias("t"))
+                .select("d", F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("token"))
                 .distinct().groupBy("token").count().where("count > 1").select(F.lit(0).alias("label"), "token"))
     # at most 2 x 65 x 65 rows, whatever the input
     counts = _bigrams(random.union(ordinary)).collect()
@@ -129,25 +181,29 @@ def ratio(token: Column, model: list[float]) -> Column:
 
 
 def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, others: tuple[str, ...] = ()) -> DataFrame:
-    """`others` (columns to carry along), doc_id, t, and `spans`: all spans as an array of (start, kind no., end),
+    """`others` (columns to carry along), doc_id, t, `left`, and `spans`: all spans as an array of (start, kind no., end),
     sorted.  Null texts are empty; an empty text has no spans.
 
-    A markov span is a token of 20 characters or more whose mean ratio reaches
-    the threshold and which overlaps no base span.
+    A markov span is a token of 20 characters or more, or what base spans leave
+    of one, whose mean ratio reaches the threshold; it overlaps no base span.
+    `left` is t with all spans blanked.
     """
+    t = F.col("t")
     based = base_spans(docs, others)
-    based = based.select("*", found(F.col("t"), CANDIDATE, lambda p: ratio(p, model) >= threshold).alias("likely"))
-
-    def apart(s):
-        base = F.concat("assign", "access", "hex")
-        return ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    for kind, (pattern, ok) in RULES.items():
+        based = based.withColumn(f"without_{kind}", F.when(F.size(kind) > 0, blanked(t, pattern, ok)).otherwise(t))
+    based = based.withColumn("keys", _both(F.col("without_access"), F.col("without_hex"), t))
+    based = based.withColumn("rest", _both(F.col("without_assign"), F.col("keys"), t))
+    likely = lambda p: ratio(p, model) >= threshold
+    based = based.withColumn("likely", found(F.col("rest"), CANDIDATE, likely))
+    left = F.when(F.size("likely") > 0, blanked(F.col("rest"), CANDIDATE, likely)).otherwise(F.col("rest"))
 
     def listed(col, k):
         return F.transform(col, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")))
 
     return based.select(*others, "doc_id", "t", F.array_sort(F.concat(
-        listed("assign", 0), listed("access", 1), listed("hex", 2),
-        listed(F.filter("likely", apart), 3))).alias("spans"))
+        listed("assign", 0), listed("access", 1), listed("hex", 2), listed("likely", 3))).alias("spans"),
+        left.alias("left"))
 
 
 def told(spans: Column) -> Column:
@@ -167,26 +223,13 @@ def report(docs: DataFrame, model: list[float]) -> DataFrame:
                     told(F.col("spans")).alias("spans"))
 
 
-def redact(t: Column, spans: Column, by: str = "[SECRET]") -> Column:
-    """The text with each span (overlapping ones as one) replaced."""
-    def step(acc, s):
-        kept_to = F.greatest(acc["at"], s["end"])
-        gap = F.substring(t, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(by))).otherwise(acc["out"])
-        return F.struct(kept_to.alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, start, step,
-                       lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.char_length(t) - a["at"])))
-    return F.when(F.size(spans) > 0, done).otherwise(t)
-
-
 def redacted(docs: DataFrame, model: list[float], by: str = "[SECRET]") -> DataFrame:
-    """docs with its columns, every span of `text` replaced; a null text stays
-    null, and a text without spans stays as it is."""
+    """docs with its columns, every span of `text` replaced (spans that overlap
+    or touch as one); a null text stays null, and a text without spans stays as it is."""
     names = [f"c{i}" for i in range(len(docs.columns))]  # safe names: a table may hold clashing ones
     text = F.col(names[docs.columns.index("text")])
     plain = docs.toDF(*names).select("*", F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
     s = scan(plain, model, others=tuple(names))
-    new = F.when(F.size("spans") > 0, redact(F.col("t"), F.col("spans"), by)).otherwise(text)
+    plain_by = by.replace("\\", "\\\\").replace("$", "\\$")  # the two characters that a replacement escapes
+    new = F.when(F.col("left") != F.col("t"), F.regexp_replace("left", f"{_BLANK}+", plain_by)).otherwise(text)
     return s.select(*[new.alias(c) if n == "text" else F.col(c) for c, n in zip(names, docs.columns)]).toDF(*docs.columns)

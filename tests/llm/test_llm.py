@@ -289,6 +289,53 @@ def test_markov_models_tell_random_tokens_from_words(spark):
     assert all(x.n_markov == 0 for x in got if x.doc_id < 1000)
 
 
+def test_markov_spans_equal_a_plain_reading_of_the_model(spark):
+    """Candidates and ratios said again in Python, base spans cut out first."""
+    from calltrail.llm import secrets as m
+    r = random.Random(11)
+    draw = lambda n: "".join(r.choice("ABCXYZabcxyz0189+/_-") for _ in range(n))
+    texts = [" ".join(r.choice([draw(r.randint(15, 45)), "AKIA" + draw(16).upper(), "0123456789abcdef" + draw(24),
+                                "token=" + draw(r.randint(8, 30)), "plain", "\ufdd1\u0001"]) for _ in range(12)) for _ in range(60)]
+    texts += ["AKIA" + "A" * 16 + "/" + "aZ9" * 14, "x" * 19, ""]
+    model = [r.uniform(-0.6, 1.5) for _ in range(128 * 128)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {x.doc_id: x.spans for x in m.report(docs, model).collect()}
+    clean = {x.doc_id: x.text for x in m.redacted(docs, model, by="<$1\\>").collect()}
+    n_markov = 0
+    for i, t in enumerate(texts):
+        want, cut = list(_spans(t)), list(t)
+        for a, _, b in want:
+            cut[a:b] = "\ufdd0" * (b - a)
+        for f in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", "".join(cut)):
+            steps = [float(f"{model[ord(c) * 128 + ord(d)]:.4f}") for c, d in zip(f.group(), f.group()[1:])]
+            if sum(x / len(steps) for x in [sum(steps)]) >= m.THRESHOLD:
+                want.append((f.start(), 3, f.end()))
+                cut[f.start():f.end()] = "\ufdd0" * (f.end() - f.start())
+                n_markov += 1
+        assert spans[i] == ",".join(f"{m.KINDS[k]}:{a}:{b}" for a, k, b in sorted(want))
+        if want:
+            plain = "".join(cut).replace("\ufdd1", "\ufdd2")
+            assert clean[i] == re.sub("\ufdd0+", lambda _: "<$1\\>", plain)
+        else:
+            assert clean[i] == t
+    assert n_markov > 5 and spans[60].startswith("access:0:20")
+
+
+def test_secret_scan_is_linear_in_the_spans_of_a_text(spark):
+    import time
+    from calltrail.llm import secrets as m
+    text = " ".join(f"{i:016x}{i * 7919:012x}" for i in range(16_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = [0.0] * (128 * 128)
+    m.report(docs.where("doc_id = 2"), model).collect()
+    began = time.time()
+    got = m.report(docs, model).collect()[0]
+    clean = m.redacted(docs, model).collect()[0].text
+    assert got.n_hex == 16_000 and got.spans.endswith(f"hex:{len(text) - 28}:{len(text)}")
+    assert clean == " ".join(["[SECRET]"] * 16_000)
+    assert time.time() - began < 10
+
+
 # ---- 5 top k ---------------------------------------------------------------------------
 
 def test_top_k(spark):
