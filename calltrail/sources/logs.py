@@ -4,7 +4,7 @@
 Each reader first builds *candidates* (one row per array element or per log
 line that mentions the JSON tag) with an ``ok`` flag; ``events`` are the ok
 rows and ``load_report`` counts both.  Everything is column expressions;
-a file is one row only for JSON arrays (S4, S5) and pages (S6).
+a file is one row only for pages (S6) and arrays that are not plain ones.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from calltrail.functions.render import JSON_LOG_TAG, LOG_TAG_PREFIX
 from calltrail.schema import EVENT_TYPES, FIELDS
+from calltrail.sources import arrays as AR
 from calltrail.sources.batches import _flat_json
 
 _MAP = T.MapType(T.StringType(), T.StringType())
@@ -119,8 +120,8 @@ def _starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _by_start(spark: SparkSession, path: str):
-    """The files under ``path`` that start with ``[`` (JSON arrays, which must be
-    read whole) and the others (read by line).  One path per file comes to the
+    """The files under ``path`` that start with ``[`` (JSON arrays, read by
+    element) and the others (read by line).  One path per file comes to the
     driver, as in any listing."""
     arrays, others = [], []
     for r in _starts(spark, path).collect():
@@ -133,17 +134,32 @@ def _whole(spark: SparkSession, paths) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
 
 
+def _of_arrays(spark: SparkSession, paths) -> DataFrame:
+    """S4 candidates of JSON array files, each cut between tasks.  Only files that are not plain
+    arrays of valid objects (their paths come to the driver) are read whole,
+    by the rule for the array as one value."""
+    if not paths:
+        return array_candidates(_none(spark, "source string, value string"))
+    rows = AR.elements(spark, paths).withColumn("__e", F.when(F.col("closed"), F.from_json(AR.body(F.col("text")), _MAP)))
+    fine = AR.is_plain() & (~F.col("closed") | F.col("__e").isNotNull())
+    odd = [r["source"] for r in rows.groupBy("source").agg(
+        F.bool_and(fine).alias("fine"), F.count_if(~F.col("closed")).alias("rests"))
+        .where("not fine or rests != 1").select("source").collect()]
+    cand = _session_rows(rows.where(F.col("closed") & ~F.col("source").isin(odd)))
+    whole = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(o)).toString() for o in sorted(odd)]
+    return cand.unionByName(array_candidates(_whole(spark, whole))) if whole else cand
+
+
 def _none(spark: SparkSession, columns: str) -> DataFrame:
     return spark.createDataFrame([], columns)
 
 
 def read_session(spark: SparkSession, path: str):
     """Saved sessions -> (events, candidates).  A file is a JSON array (read
-    whole, one file one row) or JSON lines (read by line)."""
+    by element) or JSON lines (read by line)."""
     arrays, others = _by_start(spark, path)
-    whole = _whole(spark, arrays) if arrays else _none(spark, "source string, value string")
     lines = _lines(spark, others) if others else _none(spark, "source string, line_no long, value string")
-    cand = array_candidates(whole).unionByName(line_candidates(lines))
+    cand = _of_arrays(spark, arrays).unionByName(line_candidates(lines))
     return events_of(cand), cand
 
 
@@ -151,9 +167,8 @@ def read_any(spark: SparkSession, path: str):
     """Per file, trimmed content starting with ``[`` is a session, else a
     log; logs are read by line."""
     arrays, others = _by_start(spark, path)
-    whole = _whole(spark, arrays) if arrays else _none(spark, "source string, value string")
     lines = _lines(spark, others) if others else _none(spark, "source string, line_no long, value string")
-    sess = array_candidates(whole).withColumn("kind", F.lit("session"))
+    sess = _of_arrays(spark, arrays).withColumn("kind", F.lit("session"))
     logs = logcat_candidates(lines, "value", "line_no", "source").withColumn("kind", F.lit("log"))
     cand = sess.unionByName(logs)
     return events_of(cand), cand
