@@ -163,15 +163,33 @@ def _held_out_accuracy(spark, query, label):
     return ((pdf["score"] >= 0.3) == (pdf[label] == 1)).mean(), pdf
 
 
+def _recall(pdf, label, value):
+    """Share of the held-out rows of `label` = `value` that are predicted so."""
+    rows = pdf[pdf[label] == value]
+    assert len(rows) > 20
+    return (rows["predicted"] == value).mean()
+
+
+def _auc(pdf, label):
+    """Share of (label 1, label 0) pairs in the right order; ties count half."""
+    rank, ones = pdf["score"].rank(), pdf[label] == 1
+    n1, n0 = ones.sum(), (~ones).sum()
+    return (rank[ones].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
+
+
 def test_quality_net_on_held_out_rows(spark):
     from calltrail.llm import queries as q
     accuracy, pdf = _held_out_accuracy(spark, q.op2_quality_net, "quality")
+    pdf = pdf[pdf["quality"].notna()]
+    assert _recall(pdf, "quality", 0) > 0.93 and _recall(pdf, "quality", 1) > 0.97 and _auc(pdf, "quality") > 0.99
     assert accuracy > 0.97 and pdf.score.between(0, 1).all()
 
 
 def test_toxicity_on_held_out_rows(spark):
     from calltrail.llm import queries as q
-    accuracy, _ = _held_out_accuracy(spark, q.op10_toxicity, "toxic")
+    accuracy, pdf = _held_out_accuracy(spark, q.op10_toxicity, "toxic")
+    pdf = pdf[pdf["toxic"].notna()]
+    assert _recall(pdf, "toxic", 0) > 0.97 and _recall(pdf, "toxic", 1) > 0.85 and _auc(pdf, "toxic") > 0.93
     assert accuracy > 0.97
 
 
