@@ -333,6 +333,11 @@ def drop_repeats_live(events: DataFrame, watermark: str | None = None, columns=N
     return d.drop("__fp", "event_time")
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    fs, p = LD.fs_of(spark, path)
+    fs.delete(p, True)
+
+
 def live_rules(spark: SparkSession, table: str, rules: DataFrame, out: str, checkpoint: str,
                statuses: DataFrame | None = None, available_now: bool = False, trigger: str = "10 seconds"):
     """R2 as the store grows: the firings that new loads bring, written to
@@ -342,7 +347,8 @@ def live_rules(spark: SparkSession, table: str, rules: DataFrame, out: str, chec
     can matter (a window before their first occurrence; for new and reopened all days),
     and leaves out what earlier batches fired: for a count the same occurrence, for a
     new issue any firing of that rule and issue, for a reopened one any after the same
-    change.  A replay overwrites its batch.  Over events that arrive in order of time
+    change.  A replay overwrites its batch.  The store is scanned once for the occurrences of
+    those issues, which are kept in ``<out>/_work`` while the batch runs.  Over events that arrive in order of time
     the firings are those of ``rules.firings``.
     """
     from calltrail.operators import rules as RL
@@ -351,27 +357,32 @@ def live_rules(spark: SparkSession, table: str, rules: DataFrame, out: str, chec
 
     def run(records: DataFrame, epoch: int):
         batch = rows_of(spark, table, [r["value"] for r in records.collect()])
-        mine = RL.occurrences(batch)
-        touched = mine.select("app", "fingerprint").distinct()
-        first = mine.agg(F.min("ts")).first()[0]
+        work = f"{root}/_work/batch={int(epoch)}"
+        (RL.occurrences(batch).groupBy("app", "fingerprint").agg(F.min("ts").alias("ts"))
+           .write.mode("overwrite").parquet(f"{work}/touched"))
+        touched = spark.read.schema("app struct<app_id: string>, fingerprint string, ts long").parquet(f"{work}/touched")
+        first = touched.agg(F.min("ts")).first()[0]
         if first is None:
+            _drop(spark, work)
             return
         back = rules.where("kind = 'count'").agg(F.max("window_ms")).first()[0] or 0
-        every = RL.occurrences(read_events(spark, table)).join(touched, ["app", "fingerprint"], "left_semi")
-        near = RL.occurrences(read_events(spark, table).where(F.col("ts") > F.lit(first - 2 * back))
-                              .where(F.col("event_date") >= F.date_from_unix_date(F.floor(F.lit(first - 2 * back) / 86_400_000).cast("int"))))
-        near = near.join(touched, ["app", "fingerprint"], "left_semi")
+        # the occurrences of these issues are looked for in the store once
+        all_days = RL.occurrences(read_events(spark, table)).join(touched.drop("ts"), ["app", "fingerprint"], "left_semi")
+        all_days.write.mode("overwrite").parquet(f"{work}/occurrences")
+        every = spark.read.schema(all_days.schema).parquet(f"{work}/occurrences")
+        near = every.where(F.col("ts") > F.lit(first - 2 * back))
         none = F.lit(None).cast("long")
         found = (RL.new_issues(every, rules).select("*", F.lit("new").alias("kind"), none.alias("at"))
                  .unionByName(RL.over_count(near, rules).where(F.col("ts") >= F.lit(first))
                               .select("*", F.lit("count").alias("kind"), F.col("seq").alias("at"))))
         if statuses is not None:
             found = found.unionByName(RL.reopened(every, statuses, rules, with_change=True).withColumn("kind", F.lit("reopened")))
-        if LD.exists(spark, root):
+        if any(n.startswith("batch=") for n in LD.names_in(spark, root)):
             old = spark.read.schema(fired).parquet(root).where(F.col("batch") < epoch).alias("o")
             n, same = found.alias("n"), ["rule", "app_id", "fingerprint", "kind", "at"]
             found = n.join(old, [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in same], "left_anti")
         found.write.mode("overwrite").parquet(f"{root}/batch={int(epoch)}")
+        _drop(spark, work)
 
     w = commit_stream(spark, table).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)

@@ -110,3 +110,16 @@ def test_any_window_of_the_tree_equals_the_full_order(spark):
             got = C.window_of_rows(tree, offset, limit, span).orderBy("pos").collect()
             assert [r["pos"] for r in got] == list(range(offset, min(offset + limit, len(full)))) if offset < len(full) else not got
             assert [tuple(r)[:-1] for r in got] == full[offset:offset + limit]
+
+
+def test_a_batch_of_rules_looks_at_the_store_once(spark, tmp_path, monkeypatch):
+    events, rules = _events(spark), _rules(spark)
+    looks, read = [], LV.read_events
+    monkeypatch.setattr(LV, "read_events", lambda *a: looks.append(a) or read(*a))
+    ST.append_events(events, str(tmp_path / "t"), load_id=1)
+    LV.live_rules(spark, str(tmp_path / "t"), rules, str(tmp_path / "out"), str(tmp_path / "ck"), _statuses(spark, events),
+                  available_now=True).awaitTermination()
+    assert len(looks) == 2  # the new loads, and the occurrences of their issues
+    assert not list((tmp_path / "out" / "_work").glob("batch=*"))
+    got = spark.read.parquet(str(tmp_path / "out")).select("rule", "app_id", "fingerprint", "ts", "seq").collect()
+    assert sorted(map(tuple, got), key=repr) == _brute(events, rules, _statuses(spark, events))
