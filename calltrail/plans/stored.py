@@ -18,6 +18,7 @@ from calltrail.operators import governance as G
 from calltrail.operators import insights as IN
 from calltrail.operators import rules as RL
 from calltrail.sources import batches as B
+from calltrail.sources import loads as LD
 from calltrail.sources import logs as LG
 from calltrail.sources import store as ST
 from calltrail.streaming import ingest as IG
@@ -70,11 +71,26 @@ def log_lines(t: DataFrame) -> DataFrame:
     ).select("l.line_no", "l.value")
 
 
-def _write_texts(texts: DataFrame, path: str) -> None:
-    # one file per `batch`, every second one gzipped
-    odd = F.col("batch") % 2 == 1
-    texts.where(~odd).write.partitionBy("batch").text(path)
-    texts.where(odd).write.mode("append").option("compression", "gzip").partitionBy("batch").text(path)
+def _write_texts(texts: DataFrame, path: str, gzip_odd: bool = True) -> None:
+    # one file per `batch` in one folder, every second one gzipped; tasks write them themselves,
+    # as Spark's writer makes a folder per batch and moves it twice
+    def write(rows):
+        import gzip
+
+        from calltrail.streaming.tail import _open
+        system, base = _open(path)
+        for n, value, odd in rows:
+            data = f"{'' if value is None else value}\n".encode()
+            own = f"{base}/batch={'__HIVE_DEFAULT_PARTITION__' if n is None else n}.txt" + (".gz" if odd else "")
+            with system.open_output_stream(own, compression=None) as f:
+                f.write(gzip.compress(data, 6) if odd else data)
+
+    fs, p = LD.fs_of(texts.sparkSession, path)
+    fs.mkdirs(p)
+    if gzip_odd:
+        texts = texts.where(F.col("batch").isNotNull())
+    odd = F.coalesce(F.col("batch") % 2 == 1, F.lit(False)) if gzip_odd else F.lit(False)
+    texts.select("batch", "value", odd.alias("odd")).foreachPartition(write)
 
 
 def _body_files(t: DataFrame, path: str) -> None:
@@ -91,7 +107,7 @@ def _page_files(t: DataFrame, path: str) -> None:
     b, v = F.col("batch_id"), F.col("value")
     page = (F.when(b % 9 == 4, F.lit('{"error":"busy"}')).when(b % 2 == 1, v)
              .otherwise(F.concat(F.lit('{"events":'), v, F.lit(',"nextCursor":null}'))))
-    batch_texts(t, FILE_EVENTS).select(b.alias("batch"), page.alias("value")).write.partitionBy("batch").text(path)
+    _write_texts(batch_texts(t, FILE_EVENTS).select(b.alias("batch"), page.alias("value")), path, gzip_odd=False)
 
 
 def _batch_no(col: str) -> F.Column:
@@ -127,7 +143,7 @@ def q_bodies(spark, sf_dir):
     """S1 + S2: body files (plain, gzip, bad ones) judged and decoded."""
     path = scratch(spark, "bodies")
     _body_files(trace(spark, sf_dir), path)
-    rows = B.read_batch_rows(spark, f"{path}/*")
+    rows = B.read_batch_rows(spark, path)
     good = F.col("reason").isNull()
     return rows.select(_batch_no("batch_id").alias("batch"), "pos",
                        *[F.when(good, F.col(c)).alias(c) for c in ("type", "class_name", "method", "ts")], "reason")
@@ -137,7 +153,7 @@ def q_pages(spark, sf_dir):
     """Result pages of both forms, and answers that hold no events."""
     path = scratch(spark, "pages")
     _page_files(trace(spark, sf_dir), path)
-    ev, _ = LG.read_pages(spark, f"{path}/*")
+    ev, _ = LG.read_pages(spark, path)
     return ev.select(_batch_no("source").alias("page"), F.col("seq").alias("pos"), "type", "class_name", "method", "ts")
 
 
@@ -234,7 +250,7 @@ def q_ingest(spark, sf_dir):
     """Body files streamed into the store, masked; refused batches beside it."""
     base = scratch(spark, "ingest")
     _body_files(trace(spark, sf_dir), f"{base}/in")
-    IG.ingest_stream(spark, f"{base}/in/*", f"{base}/table", f"{base}/ckpt", available_now=True).awaitTermination()
+    IG.ingest_stream(IG.inbox_session(spark), f"{base}/in", f"{base}/table", f"{base}/ckpt", available_now=True).awaitTermination()
     ev = ST.read_events(spark, f"{base}/table").select("ts", "type", "class_name", "method", "user_id", "message",
                                                        F.lit(None).cast("string").alias("reason"))
     refused = spark.read.schema("batch_id string, reason string").parquet(f"{base}/table_rejected")
@@ -251,8 +267,10 @@ def q_ingest_two_inboxes(spark, sf_dir):
     third = F.col("seq") % 3
     parts = [batch_texts(t.where(third == i), FILE_EVENTS).select(F.col("batch_id").alias("batch"), "value") for i in (0, 1)]
 
+    own = IG.inbox_session(spark)
+
     def ingest(i, ckpt):
-        IG.ingest_stream(spark, f"{base}/in{i}/*", f"{base}/table", f"{base}/{ckpt}", available_now=True,
+        IG.ingest_stream(own, f"{base}/in{i}", f"{base}/table", f"{base}/{ckpt}", available_now=True,
                          words=[], key_patterns=[], text_rules=[]).awaitTermination()
 
     for again in range(2):
@@ -444,7 +462,8 @@ def q_live_rules(spark, sf_dir):
     """R2 on the store as it grows by three loads in order of time."""
     base, t = scratch(spark, "rules"), trace(spark, sf_dir)
     low, high = t.agg(F.min("ts"), F.max("ts")).first()
-    rules, statuses = _rules(spark), _resolved(t)
+    _resolved(t).write.parquet(f"{base}/statuses")  # each load asks for them
+    rules, statuses = _rules(spark), spark.read.schema("app_id string, fingerprint string, ts long, status string").parquet(f"{base}/statuses")
     for i in range(3):
         a, b = (low + (high - low) * k // 3 for k in (i, i + 1))
         ST.append_events(t.where((F.col("ts") >= a) & ((F.col("ts") < b) | F.lit(i == 2))), f"{base}/table", load_id=i)

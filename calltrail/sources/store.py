@@ -55,7 +55,8 @@ def by_day(df: DataFrame) -> DataFrame:
 def assign_seq(df: DataFrame, load_id: int, work: str, order: list[str] | None = None) -> DataFrame:
     """Arrival order for rows without a ``seq`` (no column, or null as from a
     log stream): ``load_id`` * 2^36 + the row's dense position in the load.
-    Existing ids are kept.
+    Existing ids are kept; if no row lacks one (a look at that column alone),
+    nothing is written.
 
     The position follows ``order`` (default ``batch_id``, ``pos`` where present,
     else the order of the input), whatever the number of partitions: the rows are
@@ -68,6 +69,10 @@ def assign_seq(df: DataFrame, load_id: int, work: str, order: list[str] | None =
     if not 0 <= load_id <= _MAX_LOAD:
         raise ValueError(f"load id {load_id} is not in 0 .. {_MAX_LOAD}")
     spark = df.sparkSession
+    if "seq" in df.columns:
+        own = F.col("seq").cast("bigint")
+        if not df.where(own.isNull()).limit(1).count():
+            return df.withColumn("seq", F.coalesce(own, F.raise_error(F.lit(f"a row of load {load_id} lost its seq")).cast("bigint")))
     if order is None:
         order = ["batch_id", "pos"] if {"batch_id", "pos"} <= set(df.columns) else []
     if order:
@@ -88,6 +93,20 @@ def assign_seq(df: DataFrame, load_id: int, work: str, order: list[str] | None =
                 .drop("__part", "__at", "__start", "__fits"))
 
 
+def seq_by_batch(df: DataFrame, load_id: int) -> DataFrame:
+    """``assign_seq`` for whole batches, whose ``pos`` runs from 0 without gaps: the same
+    ids, ``load_id`` * 2^36 + the place in (batch_id, pos) order, without sorting or
+    writing the rows.  A batch's start is a running sum over one row per batch (broadcast;
+    the batches of a load are the files of a micro-batch, which its driver lists)."""
+    sizes = df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.orderBy("batch_id"))
+    start = F.when(upto > F.lit(1 << _POS_BITS), F.raise_error(F.lit(f"load {load_id} has more than 2^{_POS_BITS} rows"))
+                   .cast("bigint")).otherwise(upto - F.col("__n"))
+    seq = F.lit(int(load_id) << _POS_BITS) + F.col("__start") + F.col("pos")
+    return (df.join(F.broadcast(sizes.select("batch_id", start.alias("__start"))), "batch_id")
+              .withColumn("seq", seq.cast("bigint")).drop("__start"))
+
+
 def _fingerprint(df: DataFrame) -> list:
     # rows and a sum of row hashes; neither the order nor the ids of the rows count
     cols = [F.map_entries(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name)
@@ -108,13 +127,13 @@ def _same(df: DataFrame, load_id: int, known: str) -> None:
 
 
 def append_events(df: DataFrame, table: str, load_id: int | None = None, order: list[str] | None = None, *,
-                  source: str | None = None, batch=None) -> int:
+                  source: str | None = None, batch=None, numbered: bool = False) -> int:
     """Conform and append one load to the store, partitioned by ``event_date``.
 
     A load is known by ``load_id``, a number that the caller picks (below 2^26, as
     larger ones are given to streams), or by ``source`` and ``batch``, which get
     a number of their own (``loads.claim_number``); with neither it is a new load.
-    The number numbers the rows (``assign_seq``) and makes the append idempotent:
+    The number numbers the rows (``assign_seq``; not those that are ``numbered`` by it already) and makes the append idempotent:
     the same load appended again adds nothing.  Other rows under a ``load_id`` in
     use raise ``LoadClash``; rows are compared by count and a sum of hashes, without
     ``seq``.  Returns the number of files committed now.  Steps:
@@ -146,7 +165,7 @@ def append_events(df: DataFrame, table: str, load_id: int | None = None, order:
         fs, stage_path = _fs(spark, stage)
         fs.delete(stage_path, True)
         seen = Observation()
-        rows = by_day(_dated(assign_seq(df, number, f"{stage}/rows", order)))
+        rows = by_day(_dated(df if numbered else assign_seq(df, number, f"{stage}/rows", order)))
         rows.observe(seen, *_fingerprint(rows)).write.option(
             "parquet.bloom.filter.enabled#user_id", "true").partitionBy("event_date").parquet(files)
         _index_users(spark, root, files, number)

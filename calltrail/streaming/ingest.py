@@ -11,7 +11,7 @@ from calltrail.functions import masking as M
 from calltrail.sources import loads as LD
 from calltrail.sources.batches import MAX_INFLATED_BYTES, MAX_RAW_BYTES, bodies_of, decode_rows, split_rows
 from calltrail.sources.logs import events_of, logcat_candidates
-from calltrail.sources.store import append_events
+from calltrail.sources.store import append_events, seq_by_batch
 from calltrail.streaming.tail import tail_lines
 
 
@@ -35,6 +35,17 @@ def mask_events(df: DataFrame, words=None, key_patterns=None, text_rules=None) -
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
+def inbox_session(spark: SparkSession) -> SparkSession:
+    """A session beside `spark` (same context and settings) whose listings of many
+    files take as many tasks as there are cores, not one per file."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if spark.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(spark.sparkContext.defaultParallelism))
+    return own
+
+
 def ingest_stream(spark: SparkSession, inbox: str, table: str, checkpoint: str,
                   trigger: str = "3 seconds", max_files: int = 1000, available_now: bool = False,
                   words=None, key_patterns=None, text_rules=None, max_raw: int = MAX_RAW_BYTES,
@@ -48,7 +59,8 @@ def ingest_stream(spark: SparkSession, inbox: str, table: str, checkpoint: str,
     replay), events to the store as one load with ids in (file, index) order.  The
     load is known by this stream (the id in its checkpoint) and the micro-batch,
     so a replay after a failure adds nothing that was committed, and any number of streams,
-    checkpoints and own appends may write to one store.
+    checkpoints and own appends may write to one store.  Spark lists a micro-batch's files
+    one task each; a session of ``inbox_session`` does it in a task per core.
     """
     files = (spark.readStream.format("binaryFile").schema(_FILES)
                   .option("maxFilesPerTrigger", str(max_files)).load(inbox))
@@ -64,7 +76,8 @@ def ingest_stream(spark: SparkSession, inbox: str, table: str, checkpoint: str,
         rows.write.mode("overwrite").parquet(work)
         events, rejected = split_rows(df.sparkSession.read.schema(rows.schema).parquet(work))
         rejected.write.mode("overwrite").parquet(f"{root}_rejected/load={number}")
-        append_events(mask_events(events, words, key_patterns, text_rules), table, source=source, batch=epoch)
+        events = mask_events(seq_by_batch(events, number), words, key_patterns, text_rules)
+        append_events(events, table, source=source, batch=epoch, numbered=True)
         fs, jp = LD.fs_of(spark, work)
         fs.delete(jp, True)
 

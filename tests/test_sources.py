@@ -349,3 +349,34 @@ def test_erase_changes_nothing_if_rows_would_be_lost(spark, tmp_path, monkeypatc
     except RuntimeError:
         pass
     assert ST.read_events(spark, table).count() == 2
+
+
+def test_rendered_bodies_are_files_of_one_folder(spark, tmp_path):
+    import gzip
+    import os
+
+    from calltrail.plans import stored as Q
+    texts = spark.createDataFrame([(0, "[0]"), (1, "[1]"), (2, "é"), (None, "x")], "batch long, value string")
+    Q._write_texts(texts, str(tmp_path / "in"))
+    got = {n: open(tmp_path / "in" / n, "rb").read() for n in os.listdir(tmp_path / "in")}
+    assert sorted(got) == ["batch=0.txt", "batch=1.txt.gz", "batch=2.txt"]
+    assert gzip.decompress(got["batch=1.txt.gz"]) == b"[1]\n" and got["batch=2.txt"] == "é\n".encode()
+
+
+def test_body_shape_and_flat_values_as_before(spark):
+    from calltrail.sources import batches as B
+    raws = ['{}', '[]', 'null', '5', '"a"', '{"a":1}', '{"a":null}', '{"a":{"b":1}}', '{"a":[1]}', '["x",null]', '["x"]', '[1,"a"]',
+            '[{"a":1}]', '{"VOID":1}', '{"a<":"OBJECT<"}', '{"ARRAY<x":1}', '{"a\\nb":null}', '{"a\\nb":2}', 'no', None, '{"a":true,"b":1.5}', '[[1]]']
+    df = spark.createDataFrame([(r,) for r in raws], "raw string")
+    sch = F.schema_of_variant(F.try_parse_json("raw"))
+    inner = F.substring(sch, F.instr(sch, "<") + 1, 1 << 30)
+    old = (sch.isNotNull() & ~inner.contains("OBJECT<") & ~inner.contains("ARRAY<") & ~inner.contains("VOID") & ~inner.contains("VARIANT"))
+    assert df.where(~old.eqNullSafe(B._flat_json(F.col("raw")))).collect() == []
+    sep = ["", " ", "\n", "\r\n ", "\t\x0b", "\u0085", "  ", " ", "x"]
+    bodies = [a + b + c for a in sep for b in ("[", "[]", "[]]", "]", '[{"type":"ENTER"}]', "") for c in sep]
+    texts = spark.createDataFrame([(str(i), v) for i, v in enumerate(bodies)], "batch_id string, value string")
+    t = F.regexp_replace("value", r"^\s+|\s+$", "")
+    no = {r["batch_id"] for r in texts.where(~(t.startswith("[") & t.endswith("]"))).collect()}
+    assert {r["batch_id"] for r in B.decode_rows(texts).where("reason = 'not a JSON array'").collect()} == no
+    plan = B.decode_rows(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 0

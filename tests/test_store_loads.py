@@ -198,3 +198,26 @@ def test_a_load_staged_before_an_erase_does_not_bring_the_user_back(spark, tmp_p
     assert os.listdir(f"{table}/_judged") == [] and os.listdir(f"{table}/_staging") == []
     got = []
     assert _follow(spark, table, str(tmp_path / "ck"), got) == ["m12", "m15", "m22", "m25"]
+
+
+def test_whole_batches_get_the_same_ids_without_being_written(spark, tmp_path):
+    rows = [(f"f{b}", p, f"{b}-{p}") for b in (10, 2, 33, 4) for p in range(b)]
+    df = spark.createDataFrame(rows, "batch_id string, pos int, method string").repartition(5)
+    want = {r["method"]: r["seq"] for r in ST.assign_seq(df, 7, str(tmp_path / "w")).collect()}
+    got = {r["method"]: r["seq"] for r in ST.seq_by_batch(df, 7).collect()}
+    assert got == want and min(got.values()) == 7 << 36
+    own = df.withColumn("seq", F.col("pos").cast("long") + 5)
+    kept = ST.assign_seq(own, 7, str(tmp_path / "none"))
+    assert sorted(r["seq"] for r in kept.collect()) == sorted(p + 5 for _, p, _ in rows)
+    assert not (tmp_path / "none").exists()
+    some = own.withColumn("seq", F.when(F.col("pos") > 0, F.col("seq")))
+    filled = ST.assign_seq(some, 7, str(tmp_path / "some")).where("pos = 0")
+    assert {r["method"]: r["seq"] for r in filled.collect()} == {m: s for m, s in want.items() if m.endswith("-0")}
+
+
+def test_an_inbox_session_lists_files_in_few_tasks_and_keeps_settings(spark):
+    name, old = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.conf.get("spark.sql.ansi.enabled")
+    before = spark.conf.get(name)
+    own = IG.inbox_session(spark)
+    assert int(own.conf.get(name)) == spark.sparkContext.defaultParallelism
+    assert own.conf.get("spark.sql.ansi.enabled") == old and spark.conf.get(name) == before
