@@ -270,14 +270,15 @@ def q_ingest_two_inboxes(spark, sf_dir):
     own = IG.inbox_session(spark)
 
     def ingest(i, ckpt):
-        IG.ingest_stream(own, f"{base}/in{i}", f"{base}/table", f"{base}/{ckpt}", available_now=True,
-                         words=[], key_patterns=[], text_rules=[]).awaitTermination()
-
-    for again in range(2):
-        for i, p in enumerate(parts):
-            if not again:
-                _write_texts(p, f"{base}/in{i}")
-            ingest(i, f"ckpt{i}")
+        return IG.ingest_stream(own, f"{base}/in{i}", f"{base}/table", f"{base}/{ckpt}", available_now=True,
+                                words=[], key_patterns=[], text_rules=[])
+
+    for i, p in enumerate(parts):
+        _write_texts(p, f"{base}/in{i}")
+    for _ in range(2):
+        streams = [ingest(i, f"ckpt{i}") for i in (0, 1)]
+        for s in streams:
+            s.awaitTermination()
         ST.append_events(t.where(third == 2).drop("seq"), f"{base}/table", load_id=1)
     return ST.read_events(spark, f"{base}/table").select("ts", "type", "class_name", "method", "user_id", "line")
 

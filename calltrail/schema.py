@@ -65,10 +65,10 @@ EVENT = T.StructType(
 )
 
 
-def _typed(name: str, c: Column, dtype: T.DataType) -> Column:
+def _typed(name: str, dtype: T.DataType) -> str:
     if isinstance(dtype, T.StringType):
-        return c.cast("string")
-    return c.try_cast(dtype)
+        return f"cast(`{name}` AS string)"
+    return f"try_cast(`{name}` AS {dtype.simpleString()})"
 
 
 def conform(df: DataFrame, keep_extra: bool = False) -> DataFrame:
@@ -77,23 +77,21 @@ def conform(df: DataFrame, keep_extra: bool = False) -> DataFrame:
     Works on any frame that holds a subset of the store columns (or already
     typed columns); missing columns appear as null or their wire default.
     """
-    present = set(df.columns)
-    cols = []
-    if "seq" in present:
-        cols.append(F.col("seq").cast("bigint").alias("seq"))
+    # as SQL text: a column made of parts asks the JVM for each of them
+    types = {f.name: f.dataType for f in df.schema.fields}
+    cols = ["cast(seq AS bigint) AS seq"] if "seq" in types else []
     for _, s, t, default in FIELDS:
-        if s in present:
-            src = df[s]
-            c = src if df.schema[s].dataType == t else _typed(s, src, t)
+        if s not in types:
+            c = f"cast(NULL AS {t.simpleString()})"
         else:
-            c = F.lit(None).cast(t)
+            c = f"`{s}`" if types[s] == t else _typed(s, t)
         if default is not None:
-            c = F.coalesce(c, F.lit(default).cast(t))
-        cols.append(c.alias(s))
+            c = f"coalesce({c}, cast('{default}' AS {t.simpleString()}))"
+        cols.append(f"{c} AS `{s}`")
     if keep_extra:
         known = {"seq", *STORE_COLUMNS}
-        cols += [F.col(c) for c in df.columns if c not in known]
-    return df.select(*cols)
+        return df.select(*[F.expr(c) for c in cols], *[F.col(c) for c in df.columns if c not in known])
+    return df.selectExpr(*cols)
 
 
 def length_violations(df: DataFrame, caps: dict | None = None) -> DataFrame:

@@ -21,6 +21,7 @@ import uuid
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
+from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
 POS_BITS = 36                          # rows of one load: up to 2^36
@@ -38,8 +39,16 @@ class StoreBusy(RuntimeError):
     """Another process is erasing."""
 
 
+def jvm_class(spark: SparkSession, name: str):
+    """A class of the JVM, looked up once: each step of ``jvm.org.apache...`` asks it anew."""
+    known = spark._jvm.__dict__.setdefault("_calltrail_classes", {})
+    if name not in known:
+        known[name] = getattr(spark._jvm, name)
+    return known[name]
+
+
 def fs_of(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p = jvm_class(spark, "org.apache.hadoop.fs.Path")(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
@@ -64,11 +73,32 @@ def text_of(spark: SparkSession, path: str) -> str | None:
         return None
     stream = fs.open(p)
     try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return jvm_class(spark, "org.apache.commons.io.IOUtils").toString(stream, "UTF-8")
     finally:
         stream.close()
 
 
+def at_once(spark: SparkSession, *steps) -> None:
+    """Run the first step here and each other in a thread of its own, with this thread's
+    job group; ends when all have ended, with the error of one if any failed."""
+    errors = []
+
+    def held(step):
+        try:
+            step()
+        except BaseException as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [InheritableThread(held, args=(step,), session=spark) for step in steps[1:]]
+    for t in threads:
+        t.start()
+    held(steps[0])
+    for t in threads:
+        t.join()
+    if errors:
+        raise errors[0]
+
+
 def _write(spark: SparkSession, path: str, text: str):
     fs, p = fs_of(spark, path)
     out = fs.create(p, True)
@@ -84,18 +114,18 @@ def put_new(spark: SparkSession, path: str, text: str) -> bool:
     fails on an existing one: a rename that does not overwrite (HDFS), or a hard link
     on a local disk, where a rename would overwrite.
     """
-    jvm = spark._jvm
     fs, p = fs_of(spark, path)
-    fs.mkdirs(p.getParent())
-    _, aside = _write(spark, f"{p.getParent()}/.{p.getName()}.{uuid.uuid4().hex}", text)
+    folder = p.getParent()
+    fs.mkdirs(folder)
+    _, aside = _write(spark, f"{folder}/.{p.getName()}.{uuid.uuid4().hex}", text)
     try:
         if fs.getUri().getScheme() == "file":
-            local = [jvm.java.io.File(x.toUri().getPath()).toPath() for x in (p, aside)]
-            jvm.java.nio.file.Files.createLink(*local)
+            local = [jvm_class(spark, "java.io.File")(x.toUri().getPath()).toPath() for x in (p, aside)]
+            jvm_class(spark, "java.nio.file.Files").createLink(*local)
         else:
-            rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+            rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
             plain = spark.sparkContext._gateway.new_array(rename, 0)
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            jvm_class(spark, "org.apache.hadoop.fs.FileContext").getFileContext(
                 fs.getUri(), spark._jsc.hadoopConfiguration()).rename(aside, p, plain)
         return True
     except Py4JJavaError as e:

@@ -18,6 +18,7 @@ import time
 import uuid
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,25 +94,32 @@ def assign_seq(df: DataFrame, load_id: int, work: str, order: list[str] | None =
                 .drop("__part", "__at", "__start", "__fits"))
 
 
-def seq_by_batch(df: DataFrame, load_id: int) -> DataFrame:
+def seq_by_batch(df: DataFrame, load_id: int, sizes: dict[str, int] | None = None) -> DataFrame:
     """``assign_seq`` for whole batches, whose ``pos`` runs from 0 without gaps: the same
     ids, ``load_id`` * 2^36 + the place in (batch_id, pos) order, without sorting or
-    writing the rows.  A batch's start is a running sum over one row per batch (broadcast;
-    the batches of a load are the files of a micro-batch, which its driver lists)."""
-    sizes = df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(Window.orderBy("batch_id"))
-    start = F.when(upto > F.lit(1 << _POS_BITS), F.raise_error(F.lit(f"load {load_id} has more than 2^{_POS_BITS} rows"))
-                   .cast("bigint")).otherwise(upto - F.col("__n"))
-    seq = F.lit(int(load_id) << _POS_BITS) + F.col("__start") + F.col("pos")
-    return (df.join(F.broadcast(sizes.select("batch_id", start.alias("__start"))), "batch_id")
-              .withColumn("seq", seq.cast("bigint")).drop("__start"))
+    writing the rows.  A batch's start is a running sum over ``sizes`` (rows of each batch,
+    counted here if not given), one number per batch (broadcast; the batches of a load are the
+    files of a micro-batch, which its driver lists)."""
+    if sizes is None:
+        sizes = {r["batch_id"]: r["n"] for r in df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first = at = int(load_id) << _POS_BITS
+    batches, starts = sorted((b for b in sizes if b is not None), key=str.encode), []
+    for batch in batches:
+        starts.append(at)
+        at += sizes[batch]
+    if at - first > 1 << _POS_BITS:
+        raise ValueError(f"load {load_id} has more than 2^{_POS_BITS} rows")
+    known = df.sparkSession.createDataFrame(
+        pa.table({"batch_id": pa.array(batches, pa.string()), "__start": pa.array(starts, pa.int64())}))
+    return (df.join(F.broadcast(known), "batch_id")
+              .withColumn("seq", F.col("__start") + F.col("pos")).drop("__start"))
 
 
 def _fingerprint(df: DataFrame) -> list:
     # rows and a sum of row hashes; neither the order nor the ids of the rows count
-    cols = [F.map_entries(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name)
-            for f in df.schema.fields if f.name != "seq"]
-    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*cols).cast("decimal(38,0)")), F.lit(0))
+    cols = ", ".join(f"map_entries(`{f.name}`)" if isinstance(f.dataType, T.MapType) else f"`{f.name}`"
+                     for f in df.schema.fields if f.name != "seq")
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.expr(f"xxhash64({cols})").cast("decimal(38,0)")), F.lit(0))
             .cast("string").alias("sum")]
 
 
@@ -133,7 +141,8 @@ def append_events(df: DataFrame, table: str, load_id: int | None = None, order:
     A load is known by ``load_id``, a number that the caller picks (below 2^26, as
     larger ones are given to streams), or by ``source`` and ``batch``, which get
     a number of their own (``loads.claim_number``); with neither it is a new load.
-    The number numbers the rows (``assign_seq``; not those that are ``numbered`` by it already) and makes the append idempotent:
+    The number numbers the rows (``assign_seq``; not those that are ``numbered`` by it already, which are read
+    twice at once, so they should be files) and makes the append idempotent:
     the same load appended again adds nothing.  Other rows under a ``load_id`` in
     use raise ``LoadClash``; rows are compared by count and a sum of hashes, without
     ``seq``.  Returns the number of files committed now.  Steps:
@@ -165,10 +174,18 @@ def append_events(df: DataFrame, table: str, load_id: int | None = None, order:
         fs, stage_path = _fs(spark, stage)
         fs.delete(stage_path, True)
         seen = Observation()
-        rows = by_day(_dated(df if numbered else assign_seq(df, number, f"{stage}/rows", order)))
-        rows.observe(seen, *_fingerprint(rows)).write.option(
-            "parquet.bloom.filter.enabled#user_id", "true").partitionBy("event_date").parquet(files)
-        _index_users(spark, root, files, number)
+        dated = _dated(df if numbered else assign_seq(df, number, f"{stage}/rows", order))
+        rows = by_day(dated)
+
+        def write():
+            rows.observe(seen, *_fingerprint(rows)).write.option(
+                "parquet.bloom.filter.enabled#user_id", "true").partitionBy("event_date").parquet(files)
+
+        if numbered:
+            LD.at_once(spark, write, lambda: _index_users(spark, root, dated, number))
+        else:
+            write()
+            _index_users(spark, root, spark.read.schema(STORE_SCHEMA).parquet(files), number)
         days = [n.split("=", 1)[1] for n in LD.names_in(spark, files) if n.startswith("event_date=")]
         LD.put_new(spark, f"{stage}/info", json.dumps({**seen.get, "commit": uuid.uuid4().hex, "days": days}))
         _mark(spark, ready)
@@ -199,35 +216,34 @@ def _finish(spark: SparkSession, root: str, number: int) -> int:
     return committed
 
 
-def _index_users(spark: SparkSession, root: str, files: str, number: int) -> None:
+def _index_users(spark: SparkSession, root: str, files: DataFrame, number: int) -> None:
     """Which day of the load holds which user, by the user's hash and sorted by
-    it, so that a look-up reads one row group of one small file per load."""
-    (spark.read.schema(STORE_SCHEMA).parquet(files).where("user_id is not null")
-          .select(F.xxhash64("user_id").alias("user"), F.coalesce(F.col("event_date").cast("string"), F.lit(NO_DAY)).alias("day")).distinct()
-          .repartitionByRange("user").sortWithinPartitions("user")
+    it in one shuffle, so that a look-up reads a row group of a few small files per load."""
+    (files.where("user_id is not null")
+          .select(F.xxhash64("user_id").alias("user"), F.coalesce(F.col("event_date").cast("string"), F.lit(NO_DAY)).alias("day"))
+          .repartition("user").distinct().sortWithinPartitions("user")
           .write.mode("overwrite").parquet(f"{root}/_users/load={number}"))
 
 
 def _move_in(spark: SparkSession, files: str, table: str, prefix: str) -> int:
     """Rename staged files into their day partitions as ``<prefix><part>``.  A
     name already taken by another file is an error; nothing is overwritten."""
-    jvm = spark._jvm
-    fs, sp = _fs(spark, files)
-    moved = 0
-    for day in fs.listStatus(sp):
-        name = day.getPath().getName()
-        if not (day.isDirectory() and name.startswith("event_date=")):
+    fs, _ = _fs(spark, files)
+    path, moved = LD.jvm_class(spark, "org.apache.hadoop.fs.Path"), 0
+    for day in LD.names_in(spark, files):
+        source = path(f"{files}/{day}")
+        if not day.startswith("event_date=") or not fs.getFileStatus(source).isDirectory():
             continue
-        target_dir = jvm.org.apache.hadoop.fs.Path(f"{table}/{name}")
-        fs.mkdirs(target_dir)
-        for f in fs.listStatus(day.getPath()):
-            own = f.getPath().getName()
+        fs.mkdirs(path(f"{table}/{day}"))
+        for f in fs.listStatus(source):
+            found = f.getPath()
+            own = found.getName()
             if not own.startswith("part-"):
                 continue
             suffix = own[own.index("."):] if "." in own else ""
-            target = jvm.org.apache.hadoop.fs.Path(target_dir, f"{prefix}{own.split('-')[1]}{suffix}")
-            if fs.exists(target) or not fs.rename(f.getPath(), target):
-                raise OSError(f"could not commit {f.getPath()} as {target}")
+            target = path(f"{table}/{day}/{prefix}{own.split('-')[1]}{suffix}")
+            if fs.exists(target) or not fs.rename(found, target):
+                raise OSError(f"could not commit {found} as {target}")
             moved += 1
     return moved
 

@@ -36,13 +36,17 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def inbox_session(spark: SparkSession) -> SparkSession:
-    """A session beside `spark` (same context and settings) whose listings of many
-    files take as many tasks as there are cores, not one per file."""
+    """A session beside `spark` (same context and settings) for streams over many small
+    files: a micro-batch's files are listed and read by as many tasks as there are cores, not
+    one per file or per 32 files, and the log of the files seen, which is written whole
+    each time, is put together every 100 micro-batches instead of every 10."""
     own = spark.newSession()
     for k, v in spark.conf.getAll.items():
         if spark.conf.isModifiable(k):
             own.conf.set(k, v)
     own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(spark.sparkContext.defaultParallelism))
+    own.conf.set("spark.sql.files.openCostInBytes", str(512 << 10))
+    own.conf.set("spark.sql.streaming.fileSource.log.compactInterval", "100")
     return own
 
 
@@ -54,35 +58,40 @@ def ingest_stream(spark: SparkSession, inbox: str, table: str, checkpoint: str,
     caps), decoded (S1), masked, appended (S8).
 
     A file is one batch (all-or-nothing).  A micro-batch is read and judged
-    once: its rows are written to ``<table>/_judged`` and split from there.
-    Refused batches go to ``<table>_rejected/load=<number>`` (overwritten by a
+    once: its rows are written to ``<table>/_judged`` and split from there; the driver gets the
+    number of events of each file.  Refused batches go to ``<table>_rejected/load=<number>`` (overwritten by a
     replay), events to the store as one load with ids in (file, index) order.  The
     load is known by this stream (the id in its checkpoint) and the micro-batch,
     so a replay after a failure adds nothing that was committed, and any number of streams,
-    checkpoints and own appends may write to one store.  Spark lists a micro-batch's files
-    one task each; a session of ``inbox_session`` does it in a task per core.
+    checkpoints and own appends may write to one store, at the same time too.  Spark lists a
+    micro-batch's files one task each; a session of ``inbox_session`` does it in a task per core.
     """
     files = (spark.readStream.format("binaryFile").schema(_FILES)
                   .option("maxFilesPerTrigger", str(max_files)).load(inbox))
-    root = table.rstrip("/")
+    rows, root = decode_rows(bodies_of(files, max_raw, max_inflated)), table.rstrip("/")
+    schema = rows.schema
 
     def write(df: DataFrame, epoch: int):
         source = stream_source(spark, checkpoint)
-        if load_done(spark, root, source, epoch):
-            return
         number = LD.claim_number(spark, root, source, epoch)
+        if LD.exists(spark, f"{root}/_loads/done/{number}"):
+            return
         work = f"{root}/_judged/{number}"
-        rows = decode_rows(df)
-        rows.write.mode("overwrite").parquet(work)
-        events, rejected = split_rows(df.sparkSession.read.schema(rows.schema).parquet(work))
-        rejected.write.mode("overwrite").parquet(f"{root}_rejected/load={number}")
-        events = mask_events(seq_by_batch(events, number), words, key_patterns, text_rules)
-        append_events(events, table, source=source, batch=epoch, numbered=True)
+        df.write.mode("overwrite").parquet(work)
+        events, rejected = split_rows(df.sparkSession.read.schema(schema).parquet(work))
+        sizes = {}
+
+        def count():
+            sizes.update((r["batch_id"], r["n"]) for r in events.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).collect())
+
+        # at most a row per file: one task writes them
+        LD.at_once(spark, count, lambda: rejected.coalesce(1).write.mode("overwrite").parquet(f"{root}_rejected/load={number}"))
+        events = seq_by_batch(events, number, sizes)
+        append_events(mask_events(events, words, key_patterns, text_rules), table, source=source, batch=epoch, numbered=True)
         fs, jp = LD.fs_of(spark, work)
         fs.delete(jp, True)
 
-    w = (bodies_of(files, max_raw, max_inflated).writeStream.foreachBatch(write)
-         .option("checkpointLocation", checkpoint))
+    w = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
     return w.start()
 

@@ -221,3 +221,97 @@ def test_an_inbox_session_lists_files_in_few_tasks_and_keeps_settings(spark):
     own = IG.inbox_session(spark)
     assert int(own.conf.get(name)) == spark.sparkContext.defaultParallelism
     assert own.conf.get("spark.sql.ansi.enabled") == old and spark.conf.get(name) == before
+
+
+def test_known_sizes_number_batches_without_a_job_and_refuse_too_many_rows(spark):
+    df = spark.createDataFrame([(b, p) for b in ("ä", "b", "a b") for p in range(len(b) + 1)], "batch_id string, pos int")
+    sizes = {"ä": 2, "b": 2, "a b": 4, None: 3}
+    got = ST.seq_by_batch(df, 3, sizes)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(got.collect(), key=lambda r: r["seq"])
+    assert [r["seq"] - (3 << 36) for r in rows] == list(range(8))
+    assert [(r["batch_id"], r["pos"]) for r in rows[::2]] == [("a b", 0), ("a b", 2), ("b", 0), ("ä", 0)]
+    with pytest.raises(ValueError):
+        ST.seq_by_batch(df, 3, {"b": 1 << 36, "ä": 1})
+    assert ST.seq_by_batch(df, 3, {}).count() == 0
+
+
+def test_steps_at_once_all_end_and_one_error_is_raised(spark):
+    both, ended = threading.Barrier(2, timeout=30), []
+    group = lambda: spark.sparkContext.getLocalProperty("spark.jobGroup.id")
+
+    def fails():
+        both.wait()
+        raise OSError("one")
+
+    def ends():
+        both.wait()
+        ended.append((group(), spark.range(5).count()))
+
+    spark.sparkContext.setJobGroup("mine", "")
+    try:
+        with pytest.raises(OSError, match="one"):
+            LD.at_once(spark, fails, ends)
+        with pytest.raises(OSError, match="one"):
+            LD.at_once(spark, ends, fails)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert ended == [("mine", 5)] * 2
+
+
+def test_an_inbox_session_reads_many_small_files_in_a_task_per_core(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(1000):
+        (tmp_path / f"in/{i}.json").write_text("[]")
+    own = IG.inbox_session(spark)
+    cores = spark.sparkContext.defaultParallelism
+    assert own.read.format("binaryFile").load(str(tmp_path / "in")).rdd.getNumPartitions() <= cores + 1
+    assert int(own.conf.get("spark.sql.streaming.fileSource.log.compactInterval")) == 100
+
+
+def test_the_query_runs_both_inboxes_at_the_same_time(spark, tmp_path, monkeypatch):
+    from calltrail.plans import stored as Q
+    spark.range(700).selectExpr(
+        "id AS event_id", "timestamp_micros(1704067200000000 + id * 3600000000) AS ts", "id % 9 AS user_id",
+        "element_at(array('click', 'view', 'error', 'signup', 'other'), cast(id % 5 + 1 AS int)) AS event_type",
+        "id / 7 AS value", "concat('{\"k\":', id % 100, '}') AS props").write.parquet(str(tmp_path / "events.parquet"))
+    real, events = IG.ingest_stream, []
+
+    class Watched:
+        def __init__(self, stream, name):
+            self.stream, self.name = stream, name
+            events.append(("start", name))
+
+        def awaitTermination(self):
+            self.stream.awaitTermination()
+            events.append(("end", self.name))
+
+    monkeypatch.setattr(IG, "ingest_stream", lambda s, inbox, *a, **k: Watched(real(s, inbox, *a, **k), inbox[-3:]))
+    rows = Q.QUERIES["ingest_two_inboxes"](spark, str(tmp_path))
+    assert [k for k, _ in events] == ["start", "start", "end", "end"] * 2
+    want = Q.trace(spark, str(tmp_path)).select(*rows.columns)
+    assert rows.count() == 700 and rows.exceptAll(want).count() == 0
+
+
+def test_streams_and_an_own_append_write_to_one_store_at_the_same_time(spark, tmp_path):
+    table = str(tmp_path / "t")
+    for i in range(4):
+        _inbox(str(tmp_path / "a"), 100 + 10 * i, 7)
+        _inbox(str(tmp_path / "b"), 200 + 10 * i, 5)
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/bad.json").write_text("[{]")              # a micro-batch of refused files only
+    (tmp_path / "c/other.json").write_text('{"a":1}')
+    own = IG.inbox_session(spark)
+    streams = [IG.ingest_stream(own, str(tmp_path / i), table, str(tmp_path / f"ck-{i}"), max_files=2, available_now=True)
+               for i in "abc"]
+    ST.append_events(_load(spark, 9), table, load_id=1)
+    for s in streams:
+        s.awaitTermination()
+    want = [f"m{i}" for i in range(9)] + [f"m{100 + 10 * i + j}" for i in range(4) for j in range(7)] + \
+        [f"m{200 + 10 * i + j}" for i in range(4) for j in range(5)]
+    assert _methods(spark, table) == sorted(want)
+    assert ST.read_events(spark, table).select("seq").distinct().count() == len(want)
+    refused = spark.read.parquet(f"{table}_rejected").collect()
+    assert sorted((r["batch_id"].rsplit("/", 1)[1], r["reason"]) for r in refused) == [
+        ("bad.json", "malformed JSON"), ("other.json", "not a JSON array")]
+    assert os.listdir(f"{table}/_judged") == [] and os.listdir(f"{table}/_staging") == []
