@@ -45,7 +45,7 @@ def inbox_session(spark: SparkSession) -> SparkSession:
         if spark.conf.isModifiable(k):
             own.conf.set(k, v)
     own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(spark.sparkContext.defaultParallelism))
-    own.conf.set("spark.sql.files.openCostInBytes", str(512 << 10))
+    own.conf.set("spark.sql.files.openCostInBytes", str(64 << 10))
     own.conf.set("spark.sql.streaming.fileSource.log.compactInterval", "100")
     return own
 
